@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from siftlake.functions.text import contains_any, safe_filename
+from siftlake.functions.text import contains_any, safe_filename, sql_text
 
 
 def cascade(branches, default) -> Column:
-    """First branch whose test holds."""
+    """The value of the first branch whose test holds."""
     chain = None
     for test, value in branches:
         chain = F.when(test, value) if chain is None else chain.when(test, value)
@@ -121,26 +121,30 @@ def minimal_fix(issue: Column, path: Column) -> Column:
     """Suggestion, code and explanation for a finding."""
     low = F.lower(F.coalesce(issue, F.lit("")))
     path = F.coalesce(path, F.lit(""))
+    names = ("suggestion", "minimal_code", "explanation")
 
-    def fix(suggestion, code, why):
-        return F.struct(suggestion.alias("suggestion"), code.alias("minimal_code"),
-                        why.alias("explanation"))
+    def fixed(*texts):
+        fields = ", ".join(f"'{n}', {sql_text(t)}" for n, t in zip(names, texts))
+        return F.expr(f"named_struct({fields})")
+
+    def built(*columns):
+        return F.struct(*[c.alias(n) for n, c in zip(names, columns)])
 
     title, rename, arrow, why = RENAME_FIX
     branches = [(
         low.contains("filename") & contains_any(low, ["space", "accent"]),
-        fix(F.lit(title), F.concat(F.lit(rename), path, F.lit(arrow), safe_filename(path)),
-            F.lit(why)),
+        built(F.lit(title), F.concat(F.lit(rename), path, F.lit(arrow), safe_filename(path)),
+              F.lit(why)),
     )]
-    for groups, suggestion, code, why in FIXES:
-        test = F.lit(True)
-        for words in groups:
+    for groups, *texts in FIXES:
+        test = contains_any(low, groups[0])
+        for words in groups[1:]:
             test = test & contains_any(low, words)
-        branches.append((test, fix(F.lit(suggestion), F.lit(code), F.lit(why))))
+        branches.append((test, fixed(*texts)))
     prefix, code, why = OTHER_FIX
     no_suggestion, no_why = NO_ISSUE_TEXT
-    default = fix(F.concat(F.lit(prefix), F.coalesce(issue, F.lit(no_suggestion))), F.lit(code),
-                  F.concat(F.lit(why), F.coalesce(issue, F.lit(no_why))))
+    default = built(F.concat(F.lit(prefix), F.coalesce(issue, F.lit(no_suggestion))), F.lit(code),
+                    F.concat(F.lit(why), F.coalesce(issue, F.lit(no_why))))
     return cascade(branches, default)
 
 
@@ -169,7 +173,7 @@ def prose_class(line: Column) -> Column:
     low = F.lower(line)
 
     def pair(kind, severity):
-        return F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"))
+        return F.expr(f"named_struct('type', '{kind}', 'severity', '{severity}')")
 
     return cascade([(contains_any(low, words), pair(kind, sev)) for words, kind, sev in PROSE_CLASSES],
                    pair(*PROSE_OTHER))

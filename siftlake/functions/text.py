@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from siftlake import rules as R
@@ -21,18 +23,23 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+def sql_text(text: str) -> str:
+    """``text`` as a literal of Spark SQL.  Large expressions are written as SQL text:
+    one call to the JVM in place of thousands."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def any_word(words) -> str:
+    """Pattern for any of the words, taken literally."""
+    return "|".join(re.escape(w) for w in words)
+
+
 def starts_with_any(col: Column, prefixes) -> Column:
-    test = F.lit(False)
-    for prefix in prefixes:
-        test = test | col.startswith(prefix)
-    return test
+    return col.rlike(f"^(?:{any_word(prefixes)})")
 
 
 def contains_any(col: Column, words) -> Column:
-    test = F.lit(False)
-    for word in words:
-        test = test | col.contains(word)
-    return test
+    return col.rlike(any_word(words))
 
 
 def file_name(path: Column) -> Column:
@@ -46,20 +53,20 @@ def file_ext(path: Column) -> Column:
 
 def has_extension(path: Column, extensions) -> Column:
     """Keep by suffix, so that a file named just ``.py`` counts too."""
-    test = F.lit(False)
-    for ext in extensions:
-        test = test | path.endswith(ext)
-    return test
+    return path.rlike(rf"(?:{any_word(extensions)})\z")
+
 
+def comment_mark(ext: Column) -> Column:
+    """What starts a line comment in files of this kind, or null."""
+    return (F.when(has_extension(ext, R.HASH_COMMENT_EXTENSIONS), "#")
+            .when(has_extension(ext, R.SLASH_COMMENT_EXTENSIONS), "//"))
 
-def strip_comments(line: Column, ext: Column) -> Column:
+
+def strip_comments(line: Column, mark: Column) -> Column:
     """Cut at the first line-comment mark, even when it is inside a string."""
     flat = strip(F.translate(line, "\xa0\t", "  "))
-    return (
-        F.when(ext.isin(*R.HASH_COMMENT_EXTENSIONS), strip(F.substring_index(flat, "#", 1)))
-        .when(ext.isin(*R.SLASH_COMMENT_EXTENSIONS), strip(F.substring_index(flat, "//", 1)))
-        .otherwise(flat)
-    )
+    return F.when(mark.isNull(), flat).otherwise(strip(
+        F.call_function("substring_index", flat, mark, F.lit(1))))
 
 
 def decode_text(raw: Column) -> Column:
@@ -220,9 +227,17 @@ def folded(line: Column) -> Column:
         F.lower(F.translate(line, "\u0130\u0131\u017f\u212a", "iisk")))
 
 
-def matches(col: Column, pattern: str, low: Column | None = None) -> Column:
-    """Does the pattern occur, case ignored?  ``low``, the folded line, spares most
-    lines the regular expression: they lack the literal it needs."""
-    test = col.rlike(FLAGS + linear_form(pattern))
-    literal = needed_literal(pattern)
-    return test if low is None or not literal else low.contains(literal) & test
+def first_match(text: str, low: str, patterns) -> Column:
+    """Index of the first pattern that occurs in column ``text``, case ignored, or
+    null; null patterns are passed over.  ``low`` is the folded line: most lines lack
+    the literal a pattern needs and are spared the regular expression."""
+    branches = []
+    for i, pattern in enumerate(patterns):
+        if pattern is None:
+            continue
+        test = f"rlike({text}, {sql_text(FLAGS + linear_form(pattern))})"
+        literal = needed_literal(pattern)
+        if literal:
+            test = f"contains({low}, {sql_text(literal)}) AND {test}"
+        branches.append(f"WHEN {test} THEN {i}")
+    return F.expr(f"CASE {' '.join(branches)} END")

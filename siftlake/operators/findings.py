@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from siftlake import rules as R
 from siftlake.functions import text as T
 from siftlake.functions.classify import minimal_fix
 
-COLUMNS = ("repo_id", "path", "line", "rank", "rule", "severity", "issue", "type", "code_snippet")
 # Fixed order of a repository's findings.
-ORDER = ("rank", "path", "line", "rule")
+ORDER = ("rank", "path", "line", "report_id", "rule")
 
 
 def dedup_hits(hits: DataFrame) -> DataFrame:
@@ -51,11 +50,6 @@ def top_per_group(df: DataFrame, keys, order, limit: int, name: str = "rn") -> D
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= limit)
 
 
-def source_order(kind: Column, tool: Column) -> Column:
-    return F.when(tool == "semgrep", R.RANKS["semgrep"]).otherwise(
-        F.get(F.map_from_arrays(F.lit(list(R.RANKS)), F.lit(list(R.RANKS.values()))), kind))
-
-
 def with_fix(findings: DataFrame) -> DataFrame:
     """Attach B8.  Findings of Pylint, Semgrep and the model carry none of ours."""
     ours = F.col("tool").isin("rules", "bandit")

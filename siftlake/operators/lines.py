@@ -92,21 +92,25 @@ def explode_lines(files: DataFrame, iterate: bool = False) -> DataFrame:
     return rows.select("repo_id", "path", "ext", (F.col("pos") + 1).alias("line"), "raw")
 
 
-def annotated_lines(files: DataFrame, comments: bool = True, docs: bool = True) -> DataFrame:
+def annotated_lines(files: DataFrame, comments: bool = True, docs: bool = True,
+                    carry: dict | None = None) -> DataFrame:
     """Lines with ``stripped`` text, ``masked`` (C4) and ``undocumented`` marks
-    ('F', 'K' or other; D9/D10)."""
+    ('F', 'K' or other; D9/D10).  ``carry`` are columns worked out once per file."""
+    carry = dict(carry or {})
     arrays = split_lines(files)
     ext, lines = F.col("ext"), F.col("lines")
+    carry["mark"] = T.comment_mark(ext)
     arrays = arrays.withColumns({
-        "letters": F.when(ext.isin(*R.TRIPLE_QUOTE_EXTENSIONS), _letters(lines, _quote_letter))
-        .when(ext.isin(*R.BLOCK_COMMENT_EXTENSIONS), _letters(lines, _block_letter))
+        **carry,
+        "letters": F.when(T.has_extension(ext, R.TRIPLE_QUOTE_EXTENSIONS), _letters(lines, _quote_letter))
+        .when(T.has_extension(ext, R.BLOCK_COMMENT_EXTENSIONS), _letters(lines, _block_letter))
         if comments else F.lit(None).cast("string"),
         "doc_letters": F.when(ext == ".py", _letters(lines, _documentation_letter))
         if docs else F.lit(None).cast("string"),
     })
     none = F.array().cast("array<string>")
     flagged = arrays.select(
-        "repo_id", "path", "ext", "lines",
+        "repo_id", "path", "ext", "lines", *carry,
         # most files have no block at all: they skip the run marking
         F.when(F.col("letters").rlike("[ods]"), _inside_flags(F.col("letters")))
         .otherwise(none).alias("inside"),
@@ -116,10 +120,10 @@ def annotated_lines(files: DataFrame, comments: bool = True, docs: bool = True)
     # lines as a file iterator counts them: no empty remainder after a final break
     counted = F.size("lines") - F.when(last_line_is_empty(F.col("lines")), 1).otherwise(0)
     return flagged.select(
-        "repo_id", "path", "ext", counted.alias("n_lines"),
+        "repo_id", "path", "ext", *carry, counted.alias("n_lines"),
         F.posexplode(F.arrays_zip("lines", "inside", "doc")).alias("pos", "cell"),
     ).select(
-        "repo_id", "path", "ext", "n_lines",
+        "repo_id", "path", "ext", *carry, "n_lines",
         (F.col("pos") + 1).alias("line"),
         F.col("cell.lines").alias("raw"),
         T.strip(F.col("cell.lines")).alias("stripped"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlake import rules as R
 from siftlake.functions import text as T
-from siftlake.functions.classify import contains_any
+from siftlake.operators.lines import annotated_lines
 
 # Line starts that the analysers skip.
 COMMENT_STARTS = ("#", "//", "/*")
@@ -29,7 +29,7 @@ def kept_by_quality(stripped: Column) -> Column:
         (stripped == "")
         | T.starts_with_any(stripped, COMMENT_STARTS + IMPORT_STARTS + ("__import__",))
         | stripped.contains("import ") | stripped.endswith(" import")
-        | F.substring(stripped, 1, 10).contains("from ")
+        | F.left(stripped, F.lit(10)).contains("from ")
     )
 
 
@@ -45,57 +45,61 @@ def pruned(path: Column, names) -> Column:
                     lambda d: d.startswith(".") | d.isin(*names))
 
 
-def kept_by(group: R.RuleGroup) -> Column:
-    """Which lines a group looks at."""
-    stripped, clean = F.col("stripped"), F.col("clean")
+def reads(group: R.RuleGroup) -> Column:
+    """Which files a group looks at; evaluated once per file."""
     keep = T.has_extension(F.col("path"), group.extensions)
-    if group.prune:
-        keep = keep & ~F.col("vendored")
+    return keep & ~pruned(F.col("path"), R.VENDORED_DIRS) if group.prune else keep
+
+
+def kept_by(group: R.RuleGroup) -> Column:
+    """Which lines of those files it looks at."""
     if group.name == "security":
-        return keep & ~F.col("masked") & kept_by_security(stripped, clean)
-    if group.name == "quality":
-        return keep & kept_by_quality(stripped)
-    if group.text == "clean":
-        return keep & ~F.col("masked") & kept_simple(stripped) & (clean != "")
-    return keep & kept_simple(stripped)
+        keep = "NOT masked AND kept_security"
+    elif group.name == "quality":
+        keep = "kept_quality"
+    elif group.text == "clean":
+        keep = "NOT masked AND kept_simple AND clean <> ''"
+    else:
+        keep = "kept_simple"
+    return F.expr(f"reads_{group.name} AND {keep}")
 
 
 def first_rule(group: R.RuleGroup) -> Column:
     """Index of the first rule that matches, or null."""
-    text = F.col(group.text)
-    chain = None
-    for i, rule in enumerate(group.rules):
-        if rule.live:
-            test = T.matches(text, rule.pattern, F.col("low"))
-            chain = F.when(test, i) if chain is None else chain.when(test, i)
-    return F.when(kept_by(group), chain)
+    patterns = [r.pattern if r.live else None for r in group.rules]
+    return F.when(kept_by(group), T.first_match(group.text, "low", patterns))
 
 
 def prepared_lines(lines: DataFrame) -> DataFrame:
-    """Add the comment-free text and the directory mark the groups need."""
+    """Add the comment-free text, the folded text and the skip rules' verdicts."""
     return lines.withColumns({
-        "clean": T.strip_comments(F.col("stripped"), F.col("ext")),
+        "clean": T.strip_comments(F.col("stripped"), F.col("mark")),
         "low": T.folded(F.col("raw")),
-        "vendored": pruned(F.col("path"), R.VENDORED_DIRS),
+    }).withColumns({
+        "kept_security": kept_by_security(F.col("stripped"), F.col("clean")),
+        "kept_quality": kept_by_quality(F.col("stripped")),
+        "kept_simple": kept_simple(F.col("stripped")),
     })
 
 
 def _cell(rank, kind, dedup, rule, issue, severity, snippet) -> Column:
-    return F.struct(
-        F.lit(rank).alias("rank"), rule.cast("int").alias("rule"),
-        severity.alias("severity"), issue.alias("issue"), F.lit(kind).alias("type"),
-        F.lit(dedup).alias("dedup"), snippet.alias("code_snippet"))
+    return F.expr(
+        f"named_struct('rank', {rank}, 'rule', {rule}, 'severity', {severity}, 'issue', {issue}, "
+        f"'type', '{kind}', 'dedup', '{dedup}', 'code_snippet', {snippet})")
+
+
+def _texts(values) -> str:
+    return "array(" + ", ".join(T.sql_text(v or "") for v in values) + ")"
 
 
 def rule_cell(group: R.RuleGroup) -> Column:
     """The finding of a group on this line, or null.  Messages and severities are
     looked up by position in a literal, not joined."""
-    hit = F.col(f"hit_{group.name}")
-    return F.when(hit.isNotNull(), _cell(
+    hit = f"hit_{group.name}"
+    return F.when(F.col(hit).isNotNull(), _cell(
         group.rank, group.issue_type, group.dedup, hit,
-        F.get(F.lit([r.message or "" for r in group.rules]), hit),
-        F.get(F.lit([r.severity or "" for r in group.rules]), hit),
-        F.col("stripped")))
+        f"get({_texts(r.message for r in group.rules)}, {hit})",
+        f"get({_texts(r.severity for r in group.rules)}, {hit})", "stripped"))
 
 
 # Texts of the findings that no rule table holds.
@@ -105,74 +109,77 @@ LONG_FILE_LINES = 500
 
 def filename_cell() -> Column:
     """Once per file, so it sits on the first line."""
-    test = ((F.col("line") == 1) & T.has_extension(F.col("path"), R.SECURITY_EXTENSIONS)
-            & T.file_name(F.col("path")).rlike(r"[^\x00-\x7F]| "))
-    return F.when(test, _cell(
-        R.SECURITY.rank, "security", R.ONCE_PER_LINE, F.lit(-1), F.lit(FILENAME_ISSUE),
-        F.lit("HIGH"), F.lit(None).cast("string")))
+    return F.when(F.expr("line = 1 AND bad_name"), _cell(
+        R.SECURITY.rank, "security", R.ONCE_PER_LINE, -1, T.sql_text(FILENAME_ISSUE), "'HIGH'",
+        "CAST(NULL AS STRING)"))
 
 
 def long_file_cell() -> Column:
     """Once per file."""
-    n = F.col("n_lines").cast("string")
-    test = ((F.col("line") == 1) & (F.col("n_lines") > LONG_FILE_LINES) & ~F.col("vendored")
-            & T.has_extension(F.col("path"), R.STYLE_EXTENSIONS))
-    return F.when(test, _cell(
-        R.MAINTAINABILITY.rank, "maintainability", R.ONCE_PER_LINE, F.lit(-1),
-        F.concat(F.lit("File too long ("), n, F.lit(" lines) - consider splitting")),
-        F.lit("MEDIUM"), F.concat(F.lit("Total lines: "), n)))
+    return F.when(F.expr(f"line = 1 AND may_be_long AND n_lines > {LONG_FILE_LINES}"), _cell(
+        R.MAINTAINABILITY.rank, "maintainability", R.ONCE_PER_LINE, -1,
+        "concat('File too long (', n_lines, ' lines) - consider splitting')", "'MEDIUM'",
+        "concat('Total lines: ', n_lines)"))
+
+
+# Name of the function or class on a line.
+_NAME = r"regexp_extract(stripped, '(?U)^(?:def|class)\\s+(\\w+)', 1)"
 
 
 def documentation_cells() -> list[Column]:
     """Missing docstrings and TODO/FIXME marks in visible Python files."""
-    visible = T.has_extension(F.col("path"), R.DOCUMENTATION_EXTENSIONS) & ~F.col("vendored")
-    rank, mark = R.RANKS["documentation"], F.col("undocumented")
-    name = F.regexp_extract("stripped", r"(?U)^(?:def|class)\s+(\w+)", 1)
-    upper = F.upper("raw")
-    clip = F.substring("stripped", 1, 80)
-
     def cell(test, dedup, order, issue, severity, snippet):
-        return F.when(visible & test, _cell(
-            rank, "documentation", dedup, F.lit(order), issue, F.lit(severity), snippet))
+        return F.when(F.expr(f"documented AND {test}"), _cell(
+            R.RANKS["documentation"], "documentation", dedup, order, issue, f"'{severity}'", snippet))
 
     return [
-        cell(mark == "F", R.FIRST_PER_MESSAGE, 0,
-             F.concat(F.lit("Missing docstring for function "), name), "LOW",
-             F.concat(F.lit("def "), name, F.lit("(...)"))),
-        cell(mark == "K", R.FIRST_PER_MESSAGE, 0,
-             F.concat(F.lit("Missing docstring for class "), name), "MEDIUM",
-             F.concat(F.lit("class "), name, F.lit(":"))),
-        cell(upper.contains("TODO"), R.ONCE_PER_LINE, 1,
-             F.lit("TODO comment found - address before release"), "LOW", clip),
-        cell(upper.contains("FIXME"), R.ONCE_PER_LINE, 2,
-             F.lit("FIXME comment found - fix before release"), "MEDIUM", clip),
+        cell("undocumented = 'F'", R.FIRST_PER_MESSAGE, 0,
+             f"concat('Missing docstring for function ', {_NAME})", "LOW",
+             f"concat('def ', {_NAME}, '(...)')"),
+        cell("undocumented = 'K'", R.FIRST_PER_MESSAGE, 0,
+             f"concat('Missing docstring for class ', {_NAME})", "MEDIUM",
+             f"concat('class ', {_NAME}, ':')"),
+        cell("contains(upper(raw), 'TODO')", R.ONCE_PER_LINE, 1,
+             "'TODO comment found - address before release'", "LOW", "left(stripped, 80)"),
+        cell("contains(upper(raw), 'FIXME')", R.ONCE_PER_LINE, 2,
+             "'FIXME comment found - fix before release'", "MEDIUM", "left(stripped, 80)"),
     ]
 
 
 HIT_COLUMNS = ("rank", "rule", "severity", "issue", "type", "dedup", "code_snippet")
 
 
-def line_hits(lines: DataFrame, groups=(), filenames=False, long_files=False,
+def line_hits(files: DataFrame, groups=(), filenames=False, long_files=False,
               documentation=False) -> DataFrame:
-    """Everything asked for in one narrow pass over the lines: a projection finds
-    the first rule of each group, then each hit becomes a row."""
-    found = prepared_lines(lines).select(
-        "*", *[first_rule(g).alias(f"hit_{g.name}") for g in groups])
+    """Everything asked for in one narrow pass over the files: what depends on the file
+    is worked out once per file, a projection over its lines finds the first rule of
+    each group, then each hit becomes a row."""
+    path = F.col("path")
+    visible = ~pruned(path, R.VENDORED_DIRS)
+    carry = {f"reads_{g.name}": reads(g) for g in groups}
     cells = [rule_cell(g) for g in groups]
     if filenames:
+        carry["bad_name"] = (T.has_extension(path, R.SECURITY_EXTENSIONS)
+                             & T.file_name(path).rlike(r"[^\x00-\x7F]| "))
         cells.append(filename_cell())
     if long_files:
+        carry["may_be_long"] = T.has_extension(path, R.STYLE_EXTENSIONS) & visible
         cells.append(long_file_cell())
     if documentation:
+        carry["documented"] = T.has_extension(path, R.DOCUMENTATION_EXTENSIONS) & visible
         cells.extend(documentation_cells())
-    names = {g.name for g in groups}
-    if {"security", "advanced"} <= names:
+    names = [g.name for g in groups]
+    if {"security", "advanced"} <= set(names):
         # E3 on the line itself: drop an advanced hit that repeats the security hit
-        at = [g.name for g in groups].index("advanced")
-        security, advanced = cells[[g.name for g in groups].index("security")], cells[at]
-        cells[at] = F.when(~F.coalesce(security["issue"] == advanced["issue"], F.lit(False)), advanced)
+        at = names.index("advanced")
+        same = cells[names.index("security")]["issue"] == cells[at]["issue"]
+        cells[at] = F.when(~F.coalesce(same, F.lit(False)), cells[at])
+    lines = annotated_lines(files, comments=any(g.text == "clean" for g in groups),
+                            docs=documentation, carry=carry)
+    found = prepared_lines(lines).select(
+        "*", *[first_rule(g).alias(f"hit_{g.name}") for g in groups])
     return (
         found.select("repo_id", "path", "line", F.explode(F.array(*cells)).alias("hit"))
         .where(F.col("hit").isNotNull())
-        .select("repo_id", "path", "line", *[F.col(f"hit.{c}").alias(c) for c in HIT_COLUMNS])
+        .select("repo_id", "path", "line", *[f"hit.{c}" for c in HIT_COLUMNS])
     )

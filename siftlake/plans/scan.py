@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from siftlake import rules as R
 from siftlake.operators import findings as FD
-from siftlake.operators.lines import annotated_lines
 from siftlake.operators.matching import line_hits
 
 
 def rule_findings(files: DataFrame, *groups: R.RuleGroup) -> DataFrame:
     """Findings of single rule groups."""
-    lines = annotated_lines(files, comments=any(g.text == "clean" for g in groups), docs=False)
-    hits = line_hits(lines, groups)
+    hits = line_hits(files, groups)
     if any(g.dedup == R.FIRST_PER_MESSAGE for g in groups):
         return FD.dedup_hits(hits)
     return hits.drop("dedup")  # one hit per line and group is unique as it is
@@ -21,15 +19,14 @@ def rule_findings(files: DataFrame, *groups: R.RuleGroup) -> DataFrame:
 
 def documentation_findings(files: DataFrame) -> DataFrame:
     """D9 to D11."""
-    lines = annotated_lines(files.where(F.col("path").endswith(".py")), comments=False)
-    return FD.dedup_hits(line_hits(lines, documentation=True))
+    return FD.dedup_hits(line_hits(files.where(F.col("path").endswith(".py")), documentation=True))
 
 
 def own_findings(files: DataFrame) -> DataFrame:
     """All analysers in one pass over the corpus and one shuffle of the hits."""
-    hits = line_hits(annotated_lines(files), R.ALL_GROUPS, filenames=True, long_files=True,
-                     documentation=True)
-    return FD.dedup_hits(hits).withColumn("tool", F.lit("rules"))
+    hits = line_hits(files, R.ALL_GROUPS, filenames=True, long_files=True, documentation=True)
+    return FD.dedup_hits(hits).withColumns({
+        "tool": F.lit("rules"), "report_id": F.lit(None).cast("long")})
 
 
 def scan(files: DataFrame, bandit: DataFrame | None = None, pylint: DataFrame | None = None,

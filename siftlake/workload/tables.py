@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siftlake.plans import scan
+from siftlake.sources import test_reports as test_report_fields, tool_reports
+from siftlake.sources.corpus import spread
 from siftlake.workload.bank import BANK, DIRS, EXTENSIONS, STEMS
 
 
@@ -37,10 +40,212 @@ def file_content(doc_id: Column, text: Column) -> Column:
     return F.concat(head, F.lit("\n"), text, tail)
 
 
+def as_files(docs: DataFrame) -> DataFrame:
+    doc_id = F.col("doc_id")
+    return docs.select(F.col("source").alias("repo_id"), file_path(doc_id).alias("path"),
+                       file_content(doc_id, F.col("text")).alias("content"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_files(spread(table(spark, sf_dir, "documents")))
+
+
+def repo_url(repo_id: Column, doc_id: Column, lang: Column) -> Column:
+    """Addresses in the forms that a user types."""
+    web = F.concat(F.lit("https://github.com/"), lang, F.lit("/"), repo_id)
+    forms = [F.concat(web, F.lit(".git")), F.concat(web, F.lit("/")),
+             F.concat(F.lit("  git@gitlab.com:"), F.initcap(lang), F.lit("/"), F.upper(repo_id), F.lit(".git ")),
+             repo_id, F.concat(F.lit("git@host:"), repo_id), web, F.lit("https://x.y/"),
+             F.concat(F.lit("https://host.example/group/sub/"), repo_id, F.lit("-api.git/"))]
+    return F.get(F.array(*forms), (doc_id % len(forms)).cast("int"))
+
+
+def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo_id, repo_url)"""
+    suffix = ["-api", "-web.git", "-lib", ""]
     docs = table(spark, sf_dir, "documents")
-    doc_id = F.col("doc_id")
-    content = file_content(doc_id, F.col("text"))
-    return docs.select(
-        F.col("source").alias("repo_id"), file_path(doc_id).alias("path"),
-        content.alias("content"))
+    return docs.groupBy(F.col("source").alias("repo_id")).agg(F.min("doc_id").alias("d")).select(
+        "repo_id", F.concat(F.lit("https://github.com/team/"), F.col("repo_id"),
+                            pick(suffix, F.col("d"))).alias("repo_url"))
+
+
+ROOT = "/scan"
+BANDIT_TEXTS = ["Use of assert detected.", "Consider possible security implications with subprocess module.",
+                "Possible hardcoded password: 'x'", "Using IMPORT hooks", "Use of insecure MD5 hash function."]
+PYLINT_TEXTS = ["Unused variable 'a'", "Undefined variable 'b'", "Unable to import 'c'",
+                "Dangerous default value [] as argument", "Missing module docstring"]
+PYLINT_TYPES = ["error", "warning", "convention", "warning"]
+SEMGREP_LEVELS = ["ERROR", "warning", "INFO", "EXPERIMENT", None]
+SEMGREP_AREAS = ["security", "best-practice", "correctness", "performance", "maintainability",
+                 "style", None]
+
+
+def _source_no(doc_id: Column) -> Column:
+    return doc_id % 20
+
+
+def _tool_base(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.col("source").alias("repo_id"), file_path(F.col("doc_id")).alias("path"))
+
+
+def bandit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report per file with doc_id % 4 results.  The text follows the repository,
+    so some repositories keep no result at all."""
+    d = F.col("doc_id")
+    results = F.transform(F.sequence(F.lit(1), d % 4), lambda k: F.struct(
+        F.concat(F.lit(ROOT + "/"), F.col("path")).alias("filename"),
+        (k * 3 + d % 5).cast("int").alias("line_number"),
+        pick(["LOW", "MEDIUM", "HIGH"], d + k).alias("issue_severity"),
+        pick(BANDIT_TEXTS, _source_no(d)).alias("issue_text")))
+    none = F.array().cast("array<struct<filename:string,line_number:int,issue_severity:string,issue_text:string>>")
+    return _tool_base(spark, sf_dir).select("repo_id", d.alias("report_id"), F.to_json(F.struct(
+        F.when(d % 4 == 0, none).otherwise(results).alias("results"))).alias("report"))
+
+
+def pylint_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    rows = F.transform(F.sequence(F.lit(1), d % 3 + 1), lambda k: F.struct(
+        pick(PYLINT_TYPES, d + k).alias("type"), pick(PYLINT_TEXTS, _source_no(d)).alias("message"),
+        F.concat(F.lit(ROOT + "/"), F.col("path")).alias("path"), (k + d % 7).cast("int").alias("line")))
+    return _tool_base(spark, sf_dir).select("repo_id", d.alias("report_id"), F.to_json(rows).alias("report"))
+
+
+def semgrep_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that are null are left out of the JSON."""
+    d = F.col("doc_id")
+    rows = F.transform(F.sequence(F.lit(1), d % 3 + 1), lambda k: F.struct(
+        F.concat(F.when(d % 2 == 0, ROOT + "/").otherwise(""), F.col("path")).alias("path"),
+        F.when(d % 6 != 1, F.concat(F.lit("rule."), (d % 9).cast("string"))).alias("check_id"),
+        F.struct(F.when(d % 5 != 2, (k + d % 7).cast("int")).alias("line"),
+                 F.when(d % 5 != 3, k.cast("int")).alias("col")).alias("start"),
+        F.struct(pick(SEMGREP_LEVELS, d + k).alias("severity"),
+                 F.when(d % 7 != 4, F.concat(F.lit("finding "), k.cast("string"))).alias("message"),
+                 F.when(d % 11 != 4, F.concat(F.lit("line \""), F.col("path"), F.lit("\""))).alias("lines"),
+                 F.struct(pick(SEMGREP_AREAS, d + k * 2).alias("category")).alias("metadata"),
+                 ).alias("extra")))
+    return _tool_base(spark, sf_dir).select("repo_id", d.alias("report_id"), F.to_json(
+        F.struct(rows.alias("results"))).alias("report"))
+
+
+PROSE = [
+    "A security hole in login", "Outdated package found", "The loop is slow", "null pointer here",
+    "A race between threads", "Not a good practice", "Too nested for readers", "The docstring lies",
+    "Missing ARIA label", "Tight coupling of parts", "A dead branch", "This is fine", "",
+    "  A duplicate method, which has a text that goes on for so many words that it must be cut to be shown  ",
+    "An issue somewhere", "See the API", "Nothing to report",
+]
+
+
+def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One response per turn: JSON inside prose, prose, or broken JSON in prose."""
+    c, t = F.col("conv_id"), F.col("turn")
+    prose = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), (c + t) % 30 + 1), lambda k: pick(
+        PROSE, c * 7 + t * 5 + k * 3)), "\n"), F.lit("\n"), F.col("text"))
+    issues = F.transform(F.sequence(F.lit(1), c % 3 + 1), lambda k: F.struct(
+        F.concat(F.lit("f"), c.cast("string"), F.lit(".py")).alias("file"), (t + k).cast("int").alias("line"),
+        pick(["security", "quality", "accessibility", "testability"], c + k).alias("type"),
+        pick(["HIGH", "MEDIUM", "LOW"], t + k).alias("severity"),
+        F.substring("text", 1, 40).alias("issue")))
+    whole = F.concat(F.lit("Found these:\n"), F.to_json(F.struct(issues.alias("issues"))), F.lit("\nDone."))
+    broken = F.concat(F.lit('{"issues": [ '), prose, F.lit(" }"))
+    text = F.when(t % 3 == 0, whole).when(t % 3 == 1, prose).otherwise(broken)
+    return table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("src"), (c % 20).cast("string")).alias("repo_id"),
+        (c * 100 + t).alias("report_id"),
+        text.alias("report"))
+
+
+COVERAGES = ["85.5%", " 40 ", "n/a", "12.25", None]
+
+
+def test_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One test report per document, with fields that come and go."""
+    d = F.col("doc_id")
+    path = F.col("path")
+    name = F.concat(F.lit("test_"), d.cast("string"))
+    details = F.transform(F.sequence(F.lit(0), d % 4), lambda k: F.struct(
+        F.concat(name, F.lit("_"), k.cast("string")).alias("name"),
+        F.get(F.array(path, F.concat(F.lit("./"), path), F.concat(F.lit("gone/x"), d.cast("string"), F.lit(".py")),
+                      F.lit("old/main.py")), (d + k).cast("int") % 4).alias("file"),
+        pick(["PASSED", "FAILED", "SKIPPED"], d + k).alias("status"),
+        F.when(d % 3 != 0, F.concat((k + 1).cast("string"), F.lit("s"))).alias("duration"),
+        F.when(d % 2 == 0, F.concat(F.lit('say "no" at '), path)).alias("error")))
+    extra = F.struct(
+        F.when(d % 3 == 1, F.concat(F.lit("team/"), F.col("repo_id"))).alias("project"),
+        F.struct(F.when(d % 5 == 1, F.concat(F.lit("x/"), F.col("repo_id"))).alias("repo_url"),
+                 F.when(d % 7 == 1, F.col("repo_id")).alias("name")).alias("metadata"))
+    files = F.array(F.struct(path.alias("path")), F.struct(F.concat(F.lit("lost/"), path).alias("path")))
+    body = F.struct(
+        F.when(d % 4 == 0, F.concat(F.lit("en/"), F.col("repo_id"))).alias("repository"),
+        F.lit("Python").alias("language"), extra["project"].alias("project"),
+        extra["metadata"].alias("metadata"),
+        F.when(d % 3 != 2, (d % 4 + 1).cast("int")).alias("total_tests"),
+        F.when(d % 3 == 2, (d % 4 + 1).cast("int")).alias("total"),
+        F.when(d % 6 != 5, (d % 4).cast("int")).alias("passed"),
+        F.when(d % 5 != 4, F.lit(1)).alias("failed"),
+        pick(COVERAGES, d).alias("coverage_percent"),
+        F.when(d % 6 == 0, F.struct(files.alias("files"))).alias("coverage"),
+        F.when(d % 9 != 8, details).alias("test_details"))
+    empty = F.struct(F.lit("none").alias("kind"), F.lit(1).alias("n"))
+    report = (F.when(d % 50 == 7, F.to_json(F.array(F.struct(name.alias("test")))))
+              .when(d % 50 == 8, F.to_json(empty)).otherwise(F.to_json(body)))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(d, F.col("source").alias("repo_id"), "lang", file_path(d).alias("path")).select(
+        "repo_id", d.alias("report_id"), repo_url(F.col("repo_id"), d, F.col("lang")).alias("repo_url"),
+        report.alias("report"))
+
+
+STATUS = {"signup": "queued", "click": "running", "view": "running", "purchase": "completed",
+          "error": "failed"}
+
+
+def scan_events(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Writes of scan rows: an event is one write of the job of its user."""
+    rows = table(spark, sf_dir, "events") if rows is None else rows
+    u, e = F.col("user_id"), F.col("event_id")
+    k = F.get_json_object("props", "$.k").cast("int")
+    status = F.element_at(F.map_from_arrays(F.lit(list(STATUS)), F.lit(list(STATUS.values()))), F.col("event_type"))
+    return rows.select(
+        F.concat(F.lit("job-"), u.cast("string")).alias("job_id"),
+        F.nullif((u % 7).cast("int"), F.lit(0)).alias("user_id"),
+        F.concat(F.lit("https://github.com/team/repo"), (u % 11).cast("string")).alias("repo_url"),
+        status.alias("status"), k.alias("total_issues"), (e % 13).cast("int").alias("security_issues"),
+        (e % 17).cast("int").alias("quality_issues"), (e % 19).cast("int").alias("files_scanned"),
+        (e % 5).cast("int").alias("directories_scanned"),
+        F.when(e % 3 != 0, F.array(F.struct(F.col("event_type").alias("issue"), k.alias("line")))).alias("issues"),
+        F.when(e % 4 != 0, F.struct(k.alias("total_tests"))).alias("unit_test_report"),
+        F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"),
+        F.when(status == "completed", F.col("ts")).alias("completed_at"))
+
+
+CUTOVER = "2024-01-20"
+
+
+def scan_base(spark, sf_dir) -> DataFrame:
+    """The scan table as it stood at the cutover."""
+    from siftlake.operators.history import last_per_job
+
+    return last_per_job(scan_events(spark, sf_dir).where(F.col("updated_at") < F.lit(CUTOVER).cast("timestamp")))
+
+
+def scan_updates(spark, sf_dir) -> DataFrame:
+    return scan_events(spark, sf_dir).where(F.col("updated_at") >= F.lit(CUTOVER).cast("timestamp"))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined findings of all sources (F1)."""
+    corpus = files(spark, sf_dir)
+    bandit = tool_reports.cap_findings(tool_reports.ingest_bandit(bandit_reports(spark, sf_dir), ROOT))
+    pylint = tool_reports.cap_findings(tool_reports.ingest_pylint(pylint_reports(spark, sf_dir), ROOT))
+    linted = tool_reports.snippet_lookup(bandit.unionByName(pylint), corpus)
+    return scan.scan(
+        corpus, linted.where("tool = 'bandit'"), linted.where("tool = 'pylint'"),
+        tool_reports.ingest_semgrep(semgrep_reports(spark, sf_dir), ROOT),
+        tool_reports.ingest_model(model_responses(spark, sf_dir)))
+
+
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo_id, test_coverage) from the latest report of each repository."""
+    known = test_report_fields.ingest_test_report(test_reports(spark, sf_dir))
+    return known.groupBy("repo_id").agg(F.max_by("coverage", "report_id").alias("test_coverage"))
