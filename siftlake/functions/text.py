@@ -34,8 +34,8 @@ def any_word(words) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-def starts_with_any(col: Column, prefixes) -> Column:
-    return col.rlike(f"^(?:{any_word(prefixes)})")
+def starts_with_any(column: str, prefixes) -> Column:
+    return F.expr(" OR ".join(f"startswith({column}, {sql_text(p)})" for p in prefixes))
 
 
 def contains_any(col: Column, words) -> Column:
@@ -62,11 +62,13 @@ def comment_mark(ext: Column) -> Column:
             .when(has_extension(ext, R.SLASH_COMMENT_EXTENSIONS), "//"))
 
 
-def strip_comments(line: Column, mark: Column) -> Column:
-    """Cut at the first line-comment mark, even when it is inside a string."""
-    flat = strip(F.translate(line, "\xa0\t", "  "))
-    return F.when(mark.isNull(), flat).otherwise(strip(
-        F.call_function("substring_index", flat, mark, F.lit(1))))
+def strip_comments(stripped: Column, mark: Column) -> Column:
+    """B3 on a stripped line: cut at the first line-comment mark, even when it is
+    inside a string.  Most lines need none of the three steps."""
+    flat = F.when(stripped.contains("\t") | stripped.contains("\xa0"),
+                  F.translate(stripped, "\xa0\t", "  ")).otherwise(stripped)
+    return F.when(flat.contains(mark), strip(F.call_function(
+        "substring_index", flat, mark, F.lit(1)))).otherwise(flat)
 
 
 def decode_text(raw: Column) -> Column:

@@ -66,14 +66,24 @@ def repo_gates(files: DataFrame) -> DataFrame:
 
 
 def gate_by_language(findings: DataFrame, gates: DataFrame) -> DataFrame:
-    """security and quality rules need a Python file, Semgrep any code file."""
-    linted = F.col("rank").isin(R.RANKS["security"], R.RANKS["advanced"], R.RANKS["quality"])
+    """security and quality rules need a Python file, Semgrep any code file.
+    F2 as well when ``gates`` says which repositories a linter covers."""
+    security = F.col("rank").isin(R.RANKS["security"], R.RANKS["advanced"])
+    quality = F.col("rank") == R.RANKS["quality"]
     semgrep = F.col("rank") == R.RANKS["semgrep"]
-    return (
-        findings.join(gates, "repo_id", "left")
-        .where((~linted | F.col("has_python")) & (~semgrep | F.col("has_code")))
-        .drop("has_python", "has_code")
-    )
+    drop = ((security | quality) & ~F.col("has_python")) | (semgrep & ~F.col("has_code"))
+    if "covers_security" in gates.columns:
+        own = F.col("tool") == "rules"
+        drop = drop | (own & security & F.col("covers_security")) | (own & quality & F.col("covers_quality"))
+    rows = findings.join(gates, "repo_id", "left").where(~F.coalesce(drop, F.lit(False)))
+    return rows.drop(*[c for c in gates.columns if c != "repo_id"])
+
+
+def linter_cover(linters: DataFrame) -> DataFrame:
+    """which repositories have rows of a security or a quality linter."""
+    return linters.groupBy("repo_id").agg(
+        F.bool_or(F.col("rank") == R.RANKS["security"]).alias("covers_security"),
+        F.bool_or(F.col("rank") == R.RANKS["quality"]).alias("covers_quality"))
 
 
 def tool_or_rules(tool_rows: DataFrame, rule_rows: DataFrame) -> DataFrame:

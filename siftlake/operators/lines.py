@@ -40,12 +40,17 @@ def _quote_letter(line: Column) -> Column:
     )
 
 
+# Python's white space at the start of a line.
+_INDENT = r"(?U)^[\s\x1c-\x1f]*"
+
+
 def _documentation_letter(line: Column) -> Column:
     quoted = line.contains(DQ) | line.contains(SQ)
-    start = T.strip(line)
+    is_def = line.contains("def") & line.rlike(_INDENT + r"def\s+\w+\s*\(")
+    is_class = line.contains("class") & line.rlike(_INDENT + r"class\s+\w")
     return (
-        F.when(start.rlike(r"(?U)^def\s+\w+\s*\("), F.when(quoted, "g").otherwise("f"))
-        .when(start.rlike(r"(?U)^class\s+\w"), F.when(quoted, "l").otherwise("k"))
+        F.when(is_def, F.when(quoted, "g").otherwise("f"))
+        .when(is_class, F.when(quoted, "l").otherwise("k"))
         .when(quoted, "q").otherwise(".")
     )
 
@@ -69,10 +74,15 @@ def _documentation_flags(letters: Column) -> Column:
 
 
 def split_lines(files: DataFrame) -> DataFrame:
-    """Add ``ext`` and the array ``lines`` to a file table."""
+    """Add ``ext`` and the array ``lines`` to a file table, and whether the file has
+    any mark that the comment or the documentation state depends on."""
+    content = F.col("content")
     return files.withColumns({
         "ext": T.file_ext(F.col("path")),
-        "lines": F.split(T.unify_newlines(F.col("content")), "\n", -1),
+        "lines": F.split(T.unify_newlines(content), "\n", -1),
+        "has_quotes": content.contains(DQ) | content.contains(SQ),
+        "has_block": content.contains("/*"),
+        "has_names": content.contains("def") | content.contains("class"),
     }).drop("content")
 
 
@@ -102,10 +112,12 @@ def annotated_lines(files: DataFrame, comments: bool = True, docs: bool = True,
     carry["mark"] = T.comment_mark(ext)
     arrays = arrays.withColumns({
         **carry,
-        "letters": F.when(T.has_extension(ext, R.TRIPLE_QUOTE_EXTENSIONS), _letters(lines, _quote_letter))
-        .when(T.has_extension(ext, R.BLOCK_COMMENT_EXTENSIONS), _letters(lines, _block_letter))
+        "letters": F.when(F.col("has_quotes") & T.has_extension(ext, R.TRIPLE_QUOTE_EXTENSIONS),
+                          _letters(lines, _quote_letter))
+        .when(F.col("has_block") & T.has_extension(ext, R.BLOCK_COMMENT_EXTENSIONS),
+              _letters(lines, _block_letter))
         if comments else F.lit(None).cast("string"),
-        "doc_letters": F.when(ext == ".py", _letters(lines, _documentation_letter))
+        "doc_letters": F.when(F.col("has_names") & (ext == ".py"), _letters(lines, _documentation_letter))
         if docs else F.lit(None).cast("string"),
     })
     none = F.array().cast("array<string>")

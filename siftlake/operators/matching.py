@@ -14,28 +14,29 @@ SECURITY_STARTS = COMMENT_STARTS + ("*", '"""', "'''")
 IMPORT_STARTS = ("import ", "from ")
 
 
-def kept_by_security(stripped: Column, clean: Column) -> Column:
-    """C1, with the second look at the comment-free text."""
+def kept_by_security() -> Column:
+    """C1 on ``stripped``, with a second look at the comment-free ``clean``."""
     return ~(
-        (stripped == "") | (clean == "")
-        | T.starts_with_any(stripped, SECURITY_STARTS + IMPORT_STARTS)
-        | T.starts_with_any(clean, COMMENT_STARTS + IMPORT_STARTS)
+        (F.col("stripped") == "") | (F.col("clean") == "")
+        | T.starts_with_any("stripped", SECURITY_STARTS + IMPORT_STARTS)
+        | T.starts_with_any("clean", COMMENT_STARTS + IMPORT_STARTS)
     )
 
 
-def kept_by_quality(stripped: Column) -> Column:
-    """C2."""
+def kept_by_quality() -> Column:
+    """C2 on ``stripped``."""
+    stripped = F.col("stripped")
     return ~(
         (stripped == "")
-        | T.starts_with_any(stripped, COMMENT_STARTS + IMPORT_STARTS + ("__import__",))
+        | T.starts_with_any("stripped", COMMENT_STARTS + IMPORT_STARTS + ("__import__",))
         | stripped.contains("import ") | stripped.endswith(" import")
         | F.left(stripped, F.lit(10)).contains("from ")
     )
 
 
-def kept_simple(stripped: Column) -> Column:
-    """C3."""
-    return ~((stripped == "") | T.starts_with_any(stripped, COMMENT_STARTS))
+def kept_simple() -> Column:
+    """C3 on ``stripped``."""
+    return ~((F.col("stripped") == "") | T.starts_with_any("stripped", COMMENT_STARTS))
 
 
 def pruned(path: Column, names) -> Column:
@@ -76,9 +77,9 @@ def prepared_lines(lines: DataFrame) -> DataFrame:
         "clean": T.strip_comments(F.col("stripped"), F.col("mark")),
         "low": T.folded(F.col("raw")),
     }).withColumns({
-        "kept_security": kept_by_security(F.col("stripped"), F.col("clean")),
-        "kept_quality": kept_by_quality(F.col("stripped")),
-        "kept_simple": kept_simple(F.col("stripped")),
+        "kept_security": kept_by_security(),
+        "kept_quality": kept_by_quality(),
+        "kept_simple": kept_simple(),
     })
 
 

@@ -15,9 +15,12 @@ _SLOT = "_slot"
 
 
 def _ordered(df: DataFrame, keys, order) -> DataFrame:
-    """Rows with an increasing ``_slot`` whose upper bits are the partition.  The
-    cut keeps partition and slot the same for every later read."""
-    return cut(df.orderBy(*keys, *order).withColumn(_SLOT, F.monotonically_increasing_id()))
+    """Rows with an increasing ``_slot`` whose upper bits are the partition.
+
+    A range sort reads its input twice, to sample and to sort, so the input is cut
+    first; the second cut fixes partitions and slots for every later read."""
+    rows = cut(df, "unsorted")
+    return cut(rows.orderBy(*keys, *order).withColumn(_SLOT, F.monotonically_increasing_id()), "sorted")
 
 
 def _starts(rows: DataFrame, keys, value) -> DataFrame:

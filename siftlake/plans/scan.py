@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from siftlake import rules as R
 from siftlake.operators import findings as FD
 from siftlake.operators.matching import line_hits
+from siftlake.sources.tool_reports import snippet_lookup
 
 
 def rule_findings(files: DataFrame, *groups: R.RuleGroup) -> DataFrame:
@@ -29,19 +30,18 @@ def own_findings(files: DataFrame) -> DataFrame:
         "tool": F.lit("rules"), "report_id": F.lit(None).cast("long")})
 
 
-def scan(files: DataFrame, bandit: DataFrame | None = None, pylint: DataFrame | None = None,
-         semgrep: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
+def scan(files: DataFrame, linters: DataFrame | None = None, semgrep: DataFrame | None = None,
+         model: DataFrame | None = None) -> DataFrame:
     """the combined findings of all sources, gated per repository.
 
-    Tool tables are the outputs of ``siftlake.sources.tool_reports``."""
-    rows = own_findings(files)
-    for tool, ranks in ((bandit, ("security", "advanced")), (pylint, ("quality",))):
-        if tool is not None:
-            covered = tool.select("repo_id").distinct().withColumn("covered", F.lit(True))
-            own = F.col("rank").isin(*[R.RANKS[r] for r in ranks])
-            rows = (rows.join(covered, "repo_id", "left")
-                    .where(~(own & F.coalesce("covered", F.lit(False)))).drop("covered"))
-    for tool in (bandit, pylint, semgrep, model):
+    The tables are outputs of ``siftlake.sources.tool_reports``; ``linters`` holds the
+    capped rows of Bandit and Pylint, which replace our rules where they have any."""
+    rows, gates = own_findings(files), FD.repo_gates(files)
+    if linters is not None:
+        gates = gates.join(FD.linter_cover(linters), "repo_id", "left").fillna(
+            False, ["covers_security", "covers_quality"])
+        rows = rows.unionByName(snippet_lookup(linters, files), allowMissingColumns=True)
+    for tool in (semgrep, model):
         if tool is not None:
             rows = rows.unionByName(tool, allowMissingColumns=True)
-    return FD.with_fix(FD.gate_by_language(rows, FD.repo_gates(files)))
+    return FD.with_fix(FD.gate_by_language(rows, gates))

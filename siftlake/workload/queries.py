@@ -138,7 +138,7 @@ def strip_line(spark, sf):
 @query
 def strip_comments(spark, sf):
     return explode_lines(tables.files(spark, sf)).select(
-        "repo_id", "path", "line", T.strip_comments(F.col("raw"), T.comment_mark(F.col("ext"))).alias("clean"))
+        "repo_id", "path", "line", T.strip_comments(T.strip(F.col("raw")), T.comment_mark(F.col("ext"))).alias("clean"))
 
 
 @query
@@ -198,19 +198,18 @@ def clean_report_path(spark, sf):
 
 @query
 def skip_lines_security(spark, sf):
-    keep = kept_by_security(F.col("stripped"), F.col("clean"))
-    return _lines(spark, sf, docs=False).where(keep).select("repo_id", "path", "line", "clean")
+    return _lines(spark, sf, docs=False).where(kept_by_security()).select("repo_id", "path", "line", "clean")
 
 
 @query
 def skip_lines_quality(spark, sf):
-    return _lines(spark, sf, docs=False).where(kept_by_quality(F.col("stripped"))).select(
+    return _lines(spark, sf, docs=False).where(kept_by_quality()).select(
         "repo_id", "path", "line", "stripped")
 
 
 @query
 def skip_lines_simple(spark, sf):
-    return _lines(spark, sf, docs=False).where(kept_simple(F.col("stripped"))).select(
+    return _lines(spark, sf, docs=False).where(kept_simple()).select(
         "repo_id", "path", "line", "stripped")
 
 

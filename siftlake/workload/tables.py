@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siftlake.functions.text import sql_text
 from siftlake.plans import scan
 from siftlake.sources import test_reports as test_report_fields, tool_reports
 from siftlake.sources.corpus import spread
@@ -17,8 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(values) -> Column:
+    """An array of texts as one literal."""
+    cells = ", ".join("CAST(NULL AS STRING)" if v is None else sql_text(v) for v in values)
+    return F.expr(f"array({cells})")
+
+
 def pick(values, index: Column) -> Column:
-    return F.get(F.lit(list(values)), (index % len(values)).cast("int"))
+    return F.get(texts(values), (index % len(values)).cast("int"))
 
 
 def file_path(doc_id: Column) -> Column:
@@ -34,7 +41,7 @@ def file_path(doc_id: Column) -> Column:
 def file_content(doc_id: Column, text: Column) -> Column:
     count = F.when(doc_id % 97 == 5, 520).otherwise((16 + doc_id % 25).cast("int"))
     code = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.get(
-        F.lit(BANK), ((doc_id * 31 + k * 17) % len(BANK)).cast("int")))
+        texts(BANK), ((doc_id * 31 + k * 17) % len(BANK)).cast("int")))
     head = F.when(doc_id % 5 == 0, F.array_join(code, "\r\n")).otherwise(F.array_join(code, "\n"))
     tail = F.when(doc_id % 3 == 0, "\n").otherwise("")
     return F.concat(head, F.lit("\n"), text, tail)
@@ -238,9 +245,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = files(spark, sf_dir)
     bandit = tool_reports.cap_findings(tool_reports.ingest_bandit(bandit_reports(spark, sf_dir), ROOT))
     pylint = tool_reports.cap_findings(tool_reports.ingest_pylint(pylint_reports(spark, sf_dir), ROOT))
-    linted = tool_reports.snippet_lookup(bandit.unionByName(pylint), corpus)
     return scan.scan(
-        corpus, linted.where("tool = 'bandit'"), linted.where("tool = 'pylint'"),
+        corpus, bandit.unionByName(pylint),
         tool_reports.ingest_semgrep(semgrep_reports(spark, sf_dir), ROOT),
         tool_reports.ingest_model(model_responses(spark, sf_dir)))
 
