@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from siftlake import rules as R
 from siftlake.operators import findings as FD
 from siftlake.operators.matching import line_hits
+from siftlake.session import cut
 from siftlake.sources.tool_reports import snippet_lookup
 
 
@@ -44,4 +45,6 @@ def scan(files: DataFrame, linters: DataFrame | None = None, semgrep: DataFrame
     for tool in (semgrep, model):
         if tool is not None:
             rows = rows.unionByName(tool, allowMissingColumns=True)
-    return FD.with_fix(FD.gate_by_language(rows, gates))
+    # one row per repository: written out, its size is known, and Spark broadcasts it
+    # when it is small instead of shuffling all findings by repository
+    return FD.with_fix(FD.gate_by_language(rows, cut(gates, "gates")))

@@ -70,22 +70,26 @@ def max_file_size(files: DataFrame, deep: bool = False) -> DataFrame:
     return files.where(size_ok(deep))
 
 
+def payload_files(files: DataFrame, deep: bool = False) -> DataFrame:
+    return drop_blank_files(max_file_size(with_extensions(files, R.PAYLOAD_EXTENSIONS), deep))
+
+
 def payload_sizes(files: DataFrame, deep: bool = False) -> DataFrame:
     """Files that may go to a model, with their characters; no content."""
-    kept = drop_blank_files(max_file_size(with_extensions(files, R.PAYLOAD_EXTENSIONS), deep))
-    return kept.select("repo_id", "path", F.char_length(T.unify_newlines(F.col("content")))
+    return payload_files(files, deep).select("repo_id", "path", F.char_length(T.unify_newlines(F.col("content")))
                        .cast("long").alias("chars"))
 
 
-def prompt_text(files: DataFrame, kept: DataFrame, limit: int = 1000) -> DataFrame:
+def prompt_text(files: DataFrame, kept: DataFrame, limit: int = 1000, deep: bool = False) -> DataFrame:
     """One text per repository from the files that the budget kept.  The budget
-    bounds what is collected per repository."""
+    bounds what is collected per repository; only the head of a file is shuffled."""
     content = T.unify_newlines(F.col("content"))
     cut = F.when(F.char_length(content) > limit,
                  F.concat(F.substring(content, 1, limit), F.lit("..."))).otherwise(content)
     block = F.concat(F.lit("\n=== "), F.col("path"), F.lit(" ===\n"), cut, F.lit("\n"))
-    blocks = files.join(kept.select("repo_id", "path"), ["repo_id", "path"]).select(
-        "repo_id", F.struct("path", block.alias("block")).alias("part"))
+    heads = payload_files(files, deep).select("repo_id", "path", block.alias("block"))
+    blocks = heads.join(kept.select("repo_id", "path"), ["repo_id", "path"]).select(
+        "repo_id", F.struct("path", "block").alias("part"))
     return blocks.groupBy("repo_id").agg(
         F.concat(F.lit("Repository: "), F.first("repo_id"), F.lit("\n\nCode files to analyze:\n"),
                  F.array_join(F.array_sort(F.collect_list("part"))["block"], "")).alias("prompt"))

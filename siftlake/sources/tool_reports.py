@@ -126,21 +126,25 @@ def cap_findings(rows: DataFrame, limit: int = TOOL_LIMIT) -> DataFrame:
     return top_per_group(rows, ["repo_id"], ["report_id", "rule"], limit).drop("rn")
 
 
-# Above this many wanted files the look-up is a shuffled join.
-SMALL_SIDE_ROWS = 200_000
+# Up to this many named files their 8-byte hashes are broadcast to thin out the corpus.
+HASHES_BROADCAST = 2_000_000
 
 
 def snippet_lookup(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``code_snippet``, the stripped text of the named line or ''.
 
-    The corpus is large and the findings few, so the files are first reduced to those
-    named; that list is broadcast only when counting shows that it is small."""
-    named = rows.select("repo_id", F.ltrim("path", F.lit("/")).alias("path")).distinct()
-    small = named.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS
-    wanted = files.join(F.broadcast(named) if small else named, ["repo_id", "path"], "left_semi")
-    texts = wanted.select("repo_id", F.col("path").alias("_path"), F.split(
-        T.unify_newlines(F.col("content")), "\n", -1).alias("_lines"))
+    The corpus is large and the named files are few, so the contents of all others must
+    not reach the shuffle of the join: a broadcast of the hashes of the named files drops
+    them first.  The hashes are counted before; beyond the bound the join is done without.
+    The join itself is on the names, so an equal hash changes nothing."""
+    named = rows.select("repo_id", F.ltrim("path", F.lit("/")).alias("path"))
+    hashes = named.select(F.xxhash64("repo_id", "path").alias("h")).distinct()
+    wanted = files
+    if hashes.limit(HASHES_BROADCAST + 1).count() <= HASHES_BROADCAST:
+        wanted = files.join(F.broadcast(hashes), F.xxhash64("repo_id", "path") == F.col("h"), "left_semi")
+    texts = wanted.select("repo_id", F.col("path").alias("_path"), F.col("content").alias("_content"))
     found = rows.withColumn("_path", F.ltrim("path", F.lit("/"))).join(
         texts, ["repo_id", "_path"], "left")
-    line = F.when(F.col("line") >= 1, F.get("_lines", F.col("line") - 1))
-    return found.withColumn("code_snippet", F.coalesce(T.strip(line), F.lit(""))).drop("_path", "_lines")
+    lines = F.split(T.unify_newlines(F.col("_content")), "\n", -1)
+    line = F.when(F.col("line") >= 1, F.get(lines, F.col("line") - 1))
+    return found.withColumn("code_snippet", F.coalesce(T.strip(line), F.lit(""))).drop("_path", "_content")
