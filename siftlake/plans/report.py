@@ -133,10 +133,12 @@ def issue_block() -> Column:
                   F.concat(F.lit("   Code: "), F.col("code_snippet"), F.lit("\n")))
     fix = F.when(F.col("minimal_fix").isNotNull(),
                  F.concat(F.lit("   Fix: "), F.col("minimal_fix.suggestion"), F.lit("\n")))
+    none = F.lit("")
     return F.concat(
         F.col("n").cast("string"), F.lit(". ["), F.coalesce("severity", F.lit("MEDIUM")), F.lit("] "),
-        F.col("issue"), F.lit("\n   File: "), F.col("path"), F.lit(" (Line "),
-        F.col("line").cast("string"), F.lit(")\n   Type: "), title, F.lit("\n"),
+        F.col("issue"), F.lit("\n   File: "), F.coalesce("path", none), F.lit(" (Line "),
+        F.coalesce(F.col("line").cast("string"), none), F.lit(")\n   Type: "),
+        F.coalesce(title, none), F.lit("\n"),
         F.coalesce(code, F.lit("")), F.coalesce(fix, F.lit("")), F.lit("\n"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from siftlake import rules as R
@@ -38,13 +40,15 @@ def scan(files: DataFrame, linters: DataFrame | None = None, semgrep: DataFrame
     The tables are outputs of ``siftlake.sources.tool_reports``; ``linters`` holds the
     capped rows of Bandit and Pylint, which replace our rules where they have any."""
     rows, gates = own_findings(files), FD.repo_gates(files)
-    if linters is not None:
-        gates = gates.join(FD.linter_cover(linters), "repo_id", "left").fillna(
+    quoting = [t for t in (linters, model) if t is not None]
+    if quoting:
+        # written once: the reports are parsed once for cover, hashes and rows
+        named = cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), quoting), "named")
+        gates = gates.join(FD.linter_cover(named), "repo_id", "left").fillna(
             False, ["covers_security", "covers_quality"])
-        rows = rows.unionByName(snippet_lookup(linters, files), allowMissingColumns=True)
-    for tool in (semgrep, model):
-        if tool is not None:
-            rows = rows.unionByName(tool, allowMissingColumns=True)
+        rows = rows.unionByName(snippet_lookup(named, files), allowMissingColumns=True)
+    if semgrep is not None:
+        rows = rows.unionByName(semgrep, allowMissingColumns=True)
     # one row per repository: written out, its size is known, and Spark broadcasts it
     # when it is small instead of shuffling all findings by repository
     return FD.with_fix(FD.gate_by_language(rows, cut(gates, "gates")))

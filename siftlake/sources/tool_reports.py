@@ -17,7 +17,8 @@ PYLINT = "array<struct<type:string,message:string,path:string,line:int>>"
 SEMGREP = ("results array<struct<path:string,check_id:string,start:struct<line:int,col:int>,"
            "extra:struct<severity:string,message:string,lines:string,"
            "metadata:struct<category:string>>>>")
-MODEL = "array<struct<issues:array<struct<file:string,line:string,type:string,severity:string,issue:string>>>>"
+MODEL_ISSUE = "struct<file:string,line:string,type:string,severity:string,issue:string,code_snippet:string>"
+MODEL = f"array<struct<issues:array<{MODEL_ISSUE}>>>"
 
 # Fixed values.
 BANDIT_SKIP = ("import", "module")
@@ -94,10 +95,12 @@ def prose_findings(text: Column) -> Column:
     """B10 with E5: an array of findings from the lines of a model's prose.  It stays
     within the row, so there is nothing to shuffle."""
     kept = F.slice(F.filter(F.split(text, "\n", -1), prose_is_finding), 1, PROSE_LIMIT)
-    return F.transform(kept, lambda line: F.struct(
-        F.lit(PROSE_FILE).alias("path"), F.lit(1).alias("line"),
-        prose_class(line)["type"].alias("type"), prose_class(line)["severity"].alias("severity"),
-        T.snippet_clip(line, PROSE_CLIP).alias("issue")))
+    classed = F.transform(kept, lambda line: F.struct(
+        prose_class(line).alias("c"), T.snippet_clip(line, PROSE_CLIP).alias("issue")))
+    return F.transform(classed, lambda x: F.struct(
+        F.lit(PROSE_FILE).alias("path"), F.lit(1).alias("line"), x["c"]["type"].alias("type"),
+        x["c"]["severity"].alias("severity"), x["issue"].alias("issue"),
+        F.lit(None).cast("string").alias("code_snippet")))
 
 
 def ingest_model(responses: DataFrame) -> DataFrame:
@@ -108,10 +111,10 @@ def ingest_model(responses: DataFrame) -> DataFrame:
     parsed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), MODEL)
     known = (F.col("body") != "") & (F.coalesce(F.size("parsed"), F.lit(0)) == 1)
     issues = F.transform(F.coalesce(F.get("parsed", F.lit(0))["issues"], F.array().cast(
-        "array<struct<file:string,line:string,type:string,severity:string,issue:string>>")),
+        f"array<{MODEL_ISSUE}>")),
         lambda i: F.struct(i["file"].alias("path"), i["line"].try_cast("int").alias("line"),
                            i["type"].alias("type"), i["severity"].alias("severity"),
-                           i["issue"].alias("issue")))
+                           i["issue"].alias("issue"), i["code_snippet"].alias("code_snippet")))
     rows = responses.withColumns({"body": body, "parsed": parsed})
     return rows.select(
         "repo_id", "report_id",
@@ -131,20 +134,25 @@ HASHES_BROADCAST = 2_000_000
 
 
 def snippet_lookup(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Add ``code_snippet``, the stripped text of the named line or ''.
+    """Add ``code_snippet``, the stripped text of the named line or ''; a snippet
+    that is there already stays.  ``rows`` is read three times: pass a written table.
 
     The corpus is large and the named files are few, so the contents of all others must
     not reach the shuffle of the join: a broadcast of the hashes of the named files drops
     them first.  The hashes are counted before; beyond the bound the join is done without.
     The join itself is on the names, so an equal hash changes nothing."""
-    named = rows.select("repo_id", F.ltrim("path", F.lit("/")).alias("path"))
-    hashes = named.select(F.xxhash64("repo_id", "path").alias("h")).distinct()
+    # linters give whole paths below the root; a model's leading slash leads out of it
+    outside = (F.col("tool") == "model") & F.col("path").startswith("/")
+    keyed = rows.withColumn("_path", F.when(~outside, F.ltrim("path", F.lit("/"))))
+    hashes = keyed.select(F.xxhash64("repo_id", "_path").alias("h")).distinct()
     wanted = files
     if hashes.limit(HASHES_BROADCAST + 1).count() <= HASHES_BROADCAST:
         wanted = files.join(F.broadcast(hashes), F.xxhash64("repo_id", "path") == F.col("h"), "left_semi")
     texts = wanted.select("repo_id", F.col("path").alias("_path"), F.col("content").alias("_content"))
-    found = rows.withColumn("_path", F.ltrim("path", F.lit("/"))).join(
-        texts, ["repo_id", "_path"], "left")
     lines = F.split(T.unify_newlines(F.col("_content")), "\n", -1)
-    line = F.when(F.col("line") >= 1, F.get(lines, F.col("line") - 1))
-    return found.withColumn("code_snippet", F.coalesce(T.strip(line), F.lit(""))).drop("_path", "_content")
+    number = F.coalesce("line", F.lit(1))
+    found = T.strip(F.when(number >= 1, F.get(lines, number - 1)))
+    if "code_snippet" in rows.columns:
+        found = F.coalesce("code_snippet", found)
+    return (keyed.join(texts, ["repo_id", "_path"], "left")
+            .withColumn("code_snippet", F.coalesce(found, F.lit(""))).drop("_path", "_content"))

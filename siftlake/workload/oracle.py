@@ -33,8 +33,8 @@ SQL["scan_corpus"] = with_(B.FILES) + "SELECT repo_id, path, length(content)::IN
 SQL["prune_dirs"] = with_(B.FILES) + f"SELECT repo_id, path, {B.IGNORED} AS ignored FROM files WHERE NOT {B.VENDORED}"
 SQL["repository_files"] = with_(B.FILES) + f"SELECT repo_id, path FROM files WHERE {VISIBLE}"
 SQL["decode_text"] = with_(B.FILES) + f"SELECT repo_id, path, {FOLDED} || 'A(B' AS text FROM files"
-SQL["explode_l1"] = with_(B.SPLIT) + "SELECT repo_id, path, line, raw FROM lines0"
-SQL["explode_l2"] = with_(B.SPLIT) + "SELECT repo_id, path, line, raw FROM lines0 WHERE line < n OR raw <> ''"
+SQL["explode_lines"] = with_(B.SPLIT) + "SELECT repo_id, path, line, raw FROM lines0"
+SQL["explode_lines_iterated"] = with_(B.SPLIT) + "SELECT repo_id, path, line, raw FROM lines0 WHERE line < n OR raw <> ''"
 SQL["strip_line"] = with_(B.SPLIT) + f"SELECT repo_id, path, line, {strip('raw')} AS stripped FROM lines0"
 SQL["strip_comments"] = with_(B.LINES) + "SELECT repo_id, path, line, clean FROM lines"
 SQL["file_ext"] = with_(B.FILES) + f"""SELECT repo_id, path,
@@ -141,7 +141,8 @@ prose AS (
     (row_number() OVER (PARTITION BY report_id ORDER BY rule) - 1)::INTEGER AS place
   FROM prose_lines WHERE {contains_any('lower(text)', C.PROSE_WORDS)}),
 model AS (
-  SELECT repo_id, report_id, (k - 1)::INTEGER AS rule, 'f' || conv_id || '.py' AS path, (turn + k)::INTEGER AS line,
+  SELECT repo_id, report_id, (k - 1)::INTEGER AS rule,
+    CASE WHEN conv_id % 2 = 0 THEN 'main.py' ELSE 'f' || conv_id || '.py' END AS path, (turn + k)::INTEGER AS line,
     {pick(['HIGH', 'MEDIUM', 'LOW'], '(turn + k)')} AS severity, left(text, 40) AS issue,
     {pick(['security', 'quality', 'accessibility', 'testability'], '(conv_id + k)')} AS type
   FROM (SELECT *, unnest(range(1, conv_id % 3 + 2)) AS k FROM responses WHERE turn % 3 = 0)
@@ -156,7 +157,8 @@ SQL["ingest_semgrep_json"] = with_(B.FILES, TOOLS) + \
 SQL["ingest_llm_json"] = with_(B.FILES, TOOLS) + f"SELECT {_TOOL} FROM model"
 _JSON_PROSE = """
 whole AS (SELECT repo_id, report_id, 'Found these:' || chr(10) || '{"issues":[' || array_to_string(
-    list_transform(range(1, conv_id % 3 + 2), lambda k: '{"file":"f' || conv_id || '.py","line":' || turn + k
+    list_transform(range(1, conv_id % 3 + 2), lambda k: '{"file":"' ||
+      CASE WHEN conv_id % 2 = 0 THEN 'main.py' ELSE 'f' || conv_id || '.py' END || '","line":' || turn + k
       || ',"type":"' || (['security', 'quality', 'accessibility', 'testability'])[1 + (conv_id + k) % 4]
       || '","severity":"' || (['HIGH', 'MEDIUM', 'LOW'])[1 + (turn + k) % 3] || '","issue":'
       || to_json(left(text, 40))::VARCHAR || '}'), ',') || ']}' || chr(10) || 'Done.' AS report
@@ -175,11 +177,13 @@ SELECT repo_id, report_id, (place - 1)::INTEGER AS rule, left({strip('text')}, 1
   class[2] AS severity
 FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY rule) AS place FROM classed) WHERE place <= 20"""
 _CAP = "QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY report_id, rule) <= 10"
-SQL["cap_tool_findings"] = with_(B.FILES, TOOLS) + f"SELECT {_TOOL} FROM bandit {_CAP}"
+SQL["cap_tool_findings"] = with_(B.FILES, TOOLS) + f"""SELECT 'bandit' AS tool, {_TOOL} FROM bandit {_CAP}
+UNION ALL SELECT 'pylint', {_TOOL} FROM pylint {_CAP}"""
 _SNIPPET = f"""coalesce((SELECT any_value({strip('raw')}) FROM lines0 l
   WHERE l.repo_id = t.repo_id AND l.path = ltrim(t.path, '/') AND l.line = t.line), '')"""
 SQL["snippet_lookup"] = with_(B.SPLIT, TOOLS) + f"""SELECT t.*, {_SNIPPET} AS code_snippet FROM (
-  SELECT 'bandit' AS tool, {_TOOL} FROM bandit UNION ALL SELECT 'pylint', {_TOOL} FROM pylint) t"""
+  SELECT 'bandit' AS tool, {_TOOL} FROM bandit UNION ALL SELECT 'pylint', {_TOOL} FROM pylint
+  UNION ALL SELECT 'model', {_TOOL} FROM model) t"""
 SQL["tool_or_rules"] = with_(B.LINES, B.group_cte(R.QUALITY), TOOLS) + f""",
 capped AS (SELECT * FROM pylint {_CAP})
 SELECT repo_id, path, line, severity, issue, type, {_SNIPPET} AS code_snippet FROM capped t
@@ -267,7 +271,7 @@ combined AS (
   UNION ALL SELECT 'bandit', 10, report_id, rule, repo_id, path, line, severity, issue, type, {_SNIPPET} FROM bandit_kept t
   UNION ALL SELECT 'pylint', 20, report_id, rule, repo_id, path, line, severity, issue, type, {_SNIPPET} FROM pylint_kept t
   UNION ALL SELECT tool, 30, report_id, rule, repo_id, path, line, severity, issue, type, code_snippet FROM semgrep
-  UNION ALL SELECT 'model', 40, report_id, rule, repo_id, path, line, severity, issue, type, NULL FROM model),
+  UNION ALL SELECT 'model', 40, report_id, rule, repo_id, path, line, severity, issue, type, {_SNIPPET} FROM model t),
 findings AS MATERIALIZED (
   SELECT c.* FROM combined c LEFT JOIN gates USING (repo_id)
   WHERE ("rank" NOT IN (10, 11, 20) OR has_python) AND ("rank" <> 30 OR has_code))"""

@@ -12,6 +12,7 @@ from siftlake.operators.lines import annotated_lines, explode_lines
 from siftlake.operators.matching import (
     kept_by_quality, kept_by_security, kept_simple, line_hits, prepared_lines, pruned)
 from siftlake.plans import report, scan
+from siftlake.session import cut
 from siftlake.sources import corpus, test_reports, tool_reports
 from siftlake.streaming import jobs
 from siftlake.workload import tables
@@ -21,7 +22,7 @@ QUERIES = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -120,12 +121,12 @@ def decode_text(spark, sf):
 
 
 @query
-def explode_l1(spark, sf):
+def explode_lines_(spark, sf):
     return explode_lines(tables.files(spark, sf)).select("repo_id", "path", "line", "raw")
 
 
 @query
-def explode_l2(spark, sf):
+def explode_lines_iterated(spark, sf):
     return explode_lines(tables.files(spark, sf), iterate=True).select("repo_id", "path", "line", "raw")
 
 
@@ -299,14 +300,15 @@ def cap_llm_lines(spark, sf):
 
 @query
 def cap_tool_findings(spark, sf):
-    return tool_reports.cap_findings(_bandit(spark, sf).unionByName(_pylint(spark, sf)).where(
-        "tool = 'bandit'")).select(TOOL)
+    cap = tool_reports.cap_findings
+    return cap(_bandit(spark, sf)).unionByName(cap(_pylint(spark, sf))).select("tool", *TOOL)
 
 
 @query
 def snippet_lookup(spark, sf):
-    rows = _bandit(spark, sf).unionByName(_pylint(spark, sf))
-    return tool_reports.snippet_lookup(rows, tables.files(spark, sf)).select(
+    rows = _bandit(spark, sf).unionByName(_pylint(spark, sf)).unionByName(
+        tool_reports.ingest_model(tables.model_responses(spark, sf)), allowMissingColumns=True)
+    return tool_reports.snippet_lookup(cut(rows), tables.files(spark, sf)).select(
         "tool", *TOOL, "code_snippet")
 
 

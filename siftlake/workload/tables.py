@@ -150,7 +150,8 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     prose = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), (c + t) % 30 + 1), lambda k: pick(
         PROSE, c * 7 + t * 5 + k * 3)), "\n"), F.lit("\n"), F.col("text"))
     issues = F.transform(F.sequence(F.lit(1), c % 3 + 1), lambda k: F.struct(
-        F.concat(F.lit("f"), c.cast("string"), F.lit(".py")).alias("file"), (t + k).cast("int").alias("line"),
+        F.when(c % 2 == 0, "main.py").otherwise(F.concat(F.lit("f"), c.cast("string"), F.lit(".py"))).alias("file"),
+        (t + k).cast("int").alias("line"),
         pick(["security", "quality", "accessibility", "testability"], c + k).alias("type"),
         pick(["HIGH", "MEDIUM", "LOW"], t + k).alias("severity"),
         F.substring("text", 1, 40).alias("issue")))

@@ -38,7 +38,8 @@ def test_prose_cap_and_clip(spark):
 def test_snippets(spark, make_files):
     files = make_files([("r", "a/b.py", "one\r\n two \nthree")])
     rows = spark.createDataFrame([("r", "/a/b.py", 2), ("r", "a/b.py", 1), ("r", "a/b.py", 9), ("r", "a/b.py", 0),
-                                  ("q", "a/b.py", 1)], "repo_id string, path string, line int")
+                                  ("q", "a/b.py", 1)], "repo_id string, path string, line int"
+                                 ).withColumn("tool", F.lit("pylint"))
     got = {(r.repo_id, r.path, r.line): r.code_snippet for r in TO.snippet_lookup(rows, files).collect()}
     assert got == {("r", "/a/b.py", 2): "two", ("r", "a/b.py", 1): "one", ("r", "a/b.py", 9): "",
                    ("r", "a/b.py", 0): "", ("q", "a/b.py", 1): ""}
