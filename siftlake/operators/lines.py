@@ -93,10 +93,10 @@ def last_line_is_empty(lines: Column) -> Column:
 def explode_lines(files: DataFrame, iterate: bool = False) -> DataFrame:
     """B1: (repo_id, path, ext, line, raw).  ``iterate`` leaves out the empty
     remainder after a final line break, as reading a file line by line does."""
-    arrays = split_lines(files)
+    # counted before the explode, so that no line row carries its file's array along
+    arrays = split_lines(files).select("repo_id", "path", "ext", "lines", F.size("lines").alias("n"))
     rows = arrays.select(
-        "repo_id", "path", "ext",
-        F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "raw"))
+        "repo_id", "path", "ext", "n", F.posexplode("lines").alias("pos", "raw"))
     if iterate:
         rows = rows.where((F.col("pos") + 1 < F.col("n")) | (F.col("raw") != ""))
     return rows.select("repo_id", "path", "ext", (F.col("pos") + 1).alias("line"), "raw")
@@ -121,18 +121,19 @@ def annotated_lines(files: DataFrame, comments: bool = True, docs: bool = True,
         if docs else F.lit(None).cast("string"),
     })
     none = F.array().cast("array<string>")
+    # lines as a file iterator counts them: no empty remainder after a final break.
+    # Counted before the explode, so that no line row carries its file's array along.
+    counted = F.size("lines") - F.when(last_line_is_empty(F.col("lines")), 1).otherwise(0)
     flagged = arrays.select(
-        "repo_id", "path", "ext", "lines", *carry,
+        "repo_id", "path", "ext", "lines", *carry, counted.alias("n_lines"),
         # most files have no block at all: they skip the run marking
         F.when(F.col("letters").rlike("[ods]"), _inside_flags(F.col("letters")))
         .otherwise(none).alias("inside"),
         F.when(F.col("doc_letters").rlike("[fgkl]"), _documentation_flags(F.col("doc_letters")))
         .otherwise(none).alias("doc"),
     )
-    # lines as a file iterator counts them: no empty remainder after a final break
-    counted = F.size("lines") - F.when(last_line_is_empty(F.col("lines")), 1).otherwise(0)
     return flagged.select(
-        "repo_id", "path", "ext", *carry, counted.alias("n_lines"),
+        "repo_id", "path", "ext", *carry, "n_lines",
         F.posexplode(F.arrays_zip("lines", "inside", "doc")).alias("pos", "cell"),
     ).select(
         "repo_id", "path", "ext", *carry, "n_lines",
