@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftlake.operators import metrics as M
 from siftlake.operators.findings import ORDER
 from siftlake.operators.prefix import number_within
+from siftlake.session import cut
 
 PAGE_ISSUES = 1000
 ISSUE_FIELDS = ("path", "line", "severity", "issue", "type", "code_snippet", "minimal_fix")
@@ -37,13 +38,14 @@ def report_json(findings: DataFrame, repos: DataFrame, page_issues: int = PAGE_I
     issue = F.struct(F.col("n"), F.struct(*ISSUE_FIELDS).alias("doc"))
     pages = rows.groupBy("repo_id", _page(page_issues).alias("page")).agg(
         F.array_sort(F.collect_list(issue))["doc"].alias("issues"))
-    counts = M.raw_counts(rows, repos)
-    documents = counts.join(pages, "repo_id", "left").withColumns({
-        "page": F.coalesce("page", F.lit(1)),
-        "issues": F.coalesce("issues", F.array().cast(pages.schema["issues"].dataType))})
+    # one row per repository, of known size: the pages of a large repository are not
+    # brought together by the join
+    counts = cut(M.raw_counts(rows, repos), "counts")
+    empty = counts.where("total_issues = 0").select(
+        "repo_id", F.lit(1).alias("page"), F.array().cast(pages.schema["issues"].dataType).alias("issues"))
     document = F.struct("repo_id", "total_issues", *COUNTERS, "issues")
-    return documents.select("repo_id", "page",
-                            F.to_json(document, {"ignoreNullFields": "false"}).alias("report"))
+    return pages.unionByName(empty).join(counts, "repo_id").select(
+        "repo_id", "page", F.to_json(document, {"ignoreNullFields": "false"}).alias("report"))
 
 
 def _lines(*parts) -> Column:
@@ -163,5 +165,35 @@ def report_text(findings: DataFrame, repos: DataFrame, as_of: str,
                            report_header(facts, as_of).alias("text"))
     blocks = drop_empty_issues(rows).select(
         "repo_id", _page(page_issues).alias("page"), "n", issue_block().alias("text"))
+    return _pages(headers, blocks)
+
+
+def _pages(headers: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Texts of a page in order; a page has a fixed number of them."""
     return headers.unionByName(blocks).groupBy("repo_id", "page").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("n", "text")))["text"], "").alias("text"))
+
+
+def basic_report_text(findings: DataFrame, repos: DataFrame, as_of: str,
+                      page_issues: int = PAGE_ISSUES) -> DataFrame:
+    """A11 without metrics: the short form, in pages too."""
+    rows = numbered(findings)
+    counts = M.raw_counts(rows, repos)
+    header = _lines(
+        "BASIC SCAN REPORT", "=================", "", _value("Repository: ", "repo_url"),
+        _value("Job ID: ", "repo_id"), f"Completed: {as_of}", "", "SUMMARY", "-------",
+        _value("Total Issues: ", "total_issues"), _value("Security Issues: ", "security_issues"),
+        _value("Quality Issues: ", "quality_issues"), "", *ISSUES)
+    headers = counts.select("repo_id", F.lit(1).alias("page"), F.lit(0).cast("long").alias("n"),
+                            header.alias("text"))
+    none = F.lit("")
+    code = F.when(F.col("code_snippet") != "",
+                  F.concat(F.lit("   Code: "), F.col("code_snippet"), F.lit("\n")))
+    block = F.concat(
+        F.col("n").cast("string"), F.lit(". "), F.upper(F.coalesce("type", none)), F.lit(": "),
+        F.col("issue"), F.lit("\n   File: "), F.coalesce("path", none), F.lit(" (Line "),
+        F.coalesce(F.col("line").cast("string"), none), F.lit(")\n   Severity: "),
+        F.coalesce("severity", none), F.lit("\n"), F.coalesce(code, none), F.lit("\n"))
+    blocks = drop_empty_issues(rows).select(
+        "repo_id", _page(page_issues).alias("page"), "n", block.alias("text"))
+    return _pages(headers, blocks)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from siftlake import rules as R
 from siftlake.operators import findings as FD
+from siftlake.operators.metrics import raw_counts
+from siftlake.operators.structure import scan_stats
 from siftlake.operators.matching import line_hits
 from siftlake.session import cut
 from siftlake.sources.tool_reports import snippet_lookup
@@ -52,3 +54,19 @@ def scan(files: DataFrame, linters: DataFrame | None = None, semgrep: DataFrame
     # one row per repository: written out, its size is known, and Spark broadcasts it
     # when it is small instead of shuffling all findings by repository
     return FD.with_fix(FD.gate_by_language(rows, cut(gates, "gates")))
+
+
+def scan_rows(files: DataFrame, findings: DataFrame, repos: DataFrame, as_of: str) -> DataFrame:
+    """The rows that a finished scan writes to the scan table: one per repository, with
+    its counters.  The findings stay a table of their own; ``repos`` is (repo_id,
+    repo_url, user_id) and the job is named after the repository and the time."""
+    at = F.lit(as_of).cast("timestamp_ntz")
+    rows = repos.join(scan_stats(files), "repo_id", "left").join(
+        raw_counts(findings).select("repo_id", "total_issues", "security_issues", "quality_issues"),
+        "repo_id", "left").fillna(0, ["total_issues", "security_issues", "quality_issues",
+                                      "files_scanned", "directories_scanned"])
+    return rows.select(
+        F.concat_ws("@", "repo_id", F.lit(as_of)).alias("job_id"), "user_id", "repo_url",
+        F.lit("completed").alias("status"), "total_issues", "security_issues", "quality_issues",
+        "files_scanned", "directories_scanned", at.alias("created_at"), at.alias("updated_at"),
+        at.alias("completed_at"))

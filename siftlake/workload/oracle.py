@@ -543,6 +543,24 @@ parts AS (
   FROM paged WHERE trim(coalesce(issue, '')) <> '')
 SELECT repo_id, page, string_agg(text, '' ORDER BY n) AS text FROM parts GROUP BY repo_id, page"""
 
+SQL["basic_report_text"] = with_(_BY_REPO, _NUMBERED) + f"""
+SELECT repo_id, page, string_agg(text, '' ORDER BY n) AS text FROM (
+  SELECT repo_id, 1 AS page, 0 AS n, {_nl("'BASIC SCAN REPORT'", "'================='", "''", "'Repository: ' || repo_url",
+    "'Job ID: ' || repo_id", "'Completed: 2024-02-01'", "''", "'SUMMARY'", "'-------'", "'Total Issues: ' || total_issues",
+    "'Security Issues: ' || security_issues", "'Quality Issues: ' || quality_issues", "''", "'DETAILED ISSUES'",
+    "'---------------'")} AS text FROM counts JOIN repos USING (repo_id)
+  UNION ALL
+  SELECT repo_id, page, n, n || '. ' || upper(type) || ': ' || issue || chr(10) || '   File: ' || path || ' (Line ' || line || ')'
+    || chr(10) || '   Severity: ' || severity || chr(10)
+    || CASE WHEN code_snippet <> '' THEN '   Code: ' || code_snippet || chr(10) ELSE '' END || chr(10)
+  FROM paged WHERE trim(coalesce(issue, '')) <> '') GROUP BY repo_id, page"""
+_DIRS, _STATS = SQL["scan_stats"].split(_REPO_LIST, 1)[1].rsplit("\nSELECT repo_id, (SELECT", 1)
+SQL["scan_rows"] = with_(_BY_REPO, _REPO_LIST) + f"""{_DIRS}, stats AS (SELECT repo_id, (SELECT{_STATS})
+SELECT repo_id || '@2024-02-01 00:00:00' AS job_id, 1 AS user_id, repo_url, 'completed' AS status, total_issues,
+  security_issues, quality_issues, files_scanned, directories_scanned, TIMESTAMP '2024-02-01' AS created_at,
+  TIMESTAMP '2024-02-01' AS updated_at, TIMESTAMP '2024-02-01' AS completed_at
+FROM repos JOIN counts USING (repo_id) JOIN stats USING (repo_id)"""
+
 # --- scan history -----------------------------------------------------------
 
 SCANS = f"""

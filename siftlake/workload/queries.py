@@ -585,6 +585,17 @@ def report_text(spark, sf):
                               tables.coverage(spark, sf))
 
 
+@query
+def basic_report_text(spark, sf):
+    return report.basic_report_text(tables.findings(spark, sf), tables.repos(spark, sf), "2024-02-01")
+
+
+@query
+def scan_rows(spark, sf):
+    repos = tables.repos(spark, sf).withColumn("user_id", F.lit(1))
+    return scan.scan_rows(tables.files(spark, sf), tables.findings(spark, sf), repos, "2024-02-01 00:00:00")
+
+
 # --- scan history -----------------------------------------------------------
 
 def _scans(spark, sf):
