@@ -95,6 +95,8 @@ def report_header(facts: DataFrame, as_of: str) -> Column:
     """Everything above the issues.  ``facts`` has one row per repository."""
     security = [n for n, _ in M.SECURITY_AREAS] + [M.OTHER_AREA]
     quality = [n for n, _ in M.QUALITY_AREAS] + [M.OTHER_AREA]
+    # a missing coverage is the whole number 0
+    coverage = F.when(F.col("test_coverage") == 0, "0").otherwise(F.col("test_coverage").cast("string"))
     return F.concat(
         _lines(*TITLE, "", *REPOSITORY, _value("Repository: ", "repo_url"),
                _value("Scan ID: ", "scan_id"), f"Scan Date: {as_of}",
@@ -104,7 +106,8 @@ def report_header(facts: DataFrame, as_of: str) -> Column:
                _value("Security Score: ", "security_score", "/100"),
                _value("Quality Score: ", "quality_score", "/100"),
                _value("Performance Score: ", "performance_score", "/100"),
-               _value("Risk Level: ", "risk_level"), _value("Test Coverage: ", "test_coverage", "%"),
+               _value("Risk Level: ", "risk_level"),
+               F.concat(F.lit("Test Coverage: "), coverage, F.lit("%")),
                _value("Compliance Status: ", "compliance_status"),
                _value("Remediation Effort: ", "remediation_effort"), "", *SECURITY,
                _value("Total Security Issues: ", "security_issues"),

@@ -61,13 +61,14 @@ def drop_blank_files(files: DataFrame) -> DataFrame:
     return files.where(T.strip(F.col("content")) != "")
 
 
-def size_ok(deep: bool = False) -> Column:
-    """On the bytes of the file."""
-    return F.octet_length("content") <= FILE_BYTES[deep]
+def size_ok(files: DataFrame, deep: bool = False) -> Column:
+    """On the bytes of the file, which the source tells or the content has."""
+    size = F.col("size_bytes") if "size_bytes" in files.columns else F.octet_length("content")
+    return size <= FILE_BYTES[deep]
 
 
 def max_file_size(files: DataFrame, deep: bool = False) -> DataFrame:
-    return files.where(size_ok(deep))
+    return files.where(size_ok(files, deep))
 
 
 def payload_files(files: DataFrame, deep: bool = False) -> DataFrame:

@@ -505,7 +505,7 @@ _HEADER = " || ".join([
         *[lit(x) for x in P.SUMMARY], _SUMMARY, "''", *[lit(x) for x in P.METRICS],
         "'Overall Score: ' || overall_score || '/100'", "'Security Score: ' || security_score || '/100'",
         "'Quality Score: ' || quality_score || '/100'", "'Performance Score: ' || performance_score || '/100'",
-        "'Risk Level: ' || risk_level", "'Test Coverage: ' || test_coverage || '%'",
+        "'Risk Level: ' || risk_level", "'Test Coverage: ' || CASE WHEN test_coverage = 0 THEN '0' ELSE test_coverage::VARCHAR END || '%'",
         "'Compliance Status: ' || compliance_status", "'Remediation Effort: ' || remediation_effort", "''",
         *[lit(x) for x in P.SECURITY], "'Total Security Issues: ' || security_issues",
         "'Security Score: ' || security_score || '/100'", "'Compliance Status: ' || compliance_status", "''",

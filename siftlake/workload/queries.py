@@ -231,8 +231,9 @@ def drop_blank_files(spark, sf):
 
 @query
 def max_file_size(spark, sf):
-    return tables.files(spark, sf).select(
-        "repo_id", "path", corpus.size_ok().alias("standard"), corpus.size_ok(deep=True).alias("deep"))
+    files = tables.files(spark, sf)
+    return files.select("repo_id", "path", corpus.size_ok(files).alias("standard"),
+                        corpus.size_ok(files, deep=True).alias("deep"))
 
 
 @query
