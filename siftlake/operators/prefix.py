@@ -23,41 +23,50 @@ def _ordered(df: DataFrame, keys, order) -> DataFrame:
     return cut(rows.orderBy(*keys, *order).withColumn(_SLOT, F.monotonically_increasing_id()), "sorted")
 
 
-def _starts(rows: DataFrame, keys, value) -> DataFrame:
-    """Per key and partition: the total of the partitions before it."""
+def _starts(rows: DataFrame, keys, totals: dict) -> DataFrame:
+    """Per key and partition: for each total, what the partitions before it add up to."""
     earlier = (Window.partitionBy(*keys).orderBy("_part")
                .rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        rows.groupBy(*keys, F.shiftright(_SLOT, 33).alias("_part"))
-        .agg(F.sum(value).alias("_sum"), F.min(_SLOT).alias("_first"))
-        .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-        .drop("_sum")
-    )
+    sums = rows.groupBy(*keys, "_part").agg(
+        F.min(_SLOT).alias("_first"), *[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
+    return sums.select(*keys, "_part", "_first", *[
+        F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_start_{n}") for n in totals])
+
+
+def _inside(keys, value: str):
+    """What the rows before this one in its partition add up to."""
+    earlier = (Window.partitionBy(*keys, "_part").orderBy(_SLOT)
+               .rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(F.sum(value).over(earlier), F.lit(0))
+
 
+_HELPERS = (_SLOT, "_part", "_first", "_start_rows", "_start_value")
 
-def number_within(df: DataFrame, keys, order, name: str = "n") -> DataFrame:
-    """1, 2, 3... within each key by ``order``."""
+
+def number_within(df: DataFrame, keys, order, name: str = "n", value: str | None = None) -> DataFrame:
+    """1, 2, 3... within each key by ``order``; with ``value`` also ``before``, the sum
+    of that column over the rows before."""
     rows = _ordered(df, keys, order).withColumn("_part", F.shiftright(_SLOT, 33))
-    starts = _starts(rows, keys, F.lit(1))
-    return (
-        rows.join(starts, [*keys, "_part"])
-        .withColumn(name, F.col("_before") + F.col(_SLOT) - F.col("_first") + 1)
-        .drop(_SLOT, "_part", "_first", "_before")
-    )
+    totals = {"rows": F.lit(1)}
+    if value:
+        totals["value"] = F.col(value)
+    rows = rows.join(_starts(rows, keys, totals), [*keys, "_part"])
+    rows = rows.withColumn(name, F.col("_start_rows") + F.col(_SLOT) - F.col("_first") + 1)
+    if value:
+        rows = rows.withColumn("before", F.col("_start_value") + _inside(keys, value))
+    return rows.drop(*_HELPERS)
 
 
 def keep_while_before(df: DataFrame, keys, order, value: str, limit: int) -> DataFrame:
     """Rows whose predecessors within the key add up to at most ``limit``; adds that
     sum as ``before``.  Partitions that start beyond the limit drop out at once."""
     rows = _ordered(df, keys, order).withColumn("_part", F.shiftright(_SLOT, 33))
-    starts = _starts(rows, keys, F.col(value)).where(F.col("_before") <= limit)
-    earlier = (Window.partitionBy(*keys, "_part").orderBy(_SLOT)
-               .rowsBetween(Window.unboundedPreceding, -1))
+    starts = _starts(rows, keys, {"value": F.col(value)}).where(F.col("_start_value") <= limit)
     return (
         rows.join(starts, [*keys, "_part"])
-        .withColumn("before", F.col("_before") + F.coalesce(F.sum(value).over(earlier), F.lit(0)))
+        .withColumn("before", F.col("_start_value") + _inside(keys, value))
         .where(F.col("before") <= limit)
-        .drop(_SLOT, "_part", "_first", "_before")
+        .drop(*_HELPERS)
     )
 
 

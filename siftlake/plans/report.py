@@ -1,7 +1,7 @@
 """Reports per repository as JSON or text.
 
 A report of a very large repository cannot be one value: it comes in pages of a
-fixed number of issues.  A repository within one page gets exactly one document, and
+bounded number of issues and characters.  A repository within one page gets exactly one document, and
 the text pages of a repository, put together, are its whole report."""
 
 from __future__ import annotations
@@ -14,13 +14,20 @@ from siftlake.operators.prefix import number_within
 from siftlake.session import cut
 
 PAGE_ISSUES = 1000
+PAGE_CHARS = 4_000_000
 ISSUE_FIELDS = ("path", "line", "severity", "issue", "type", "code_snippet", "minimal_fix")
 COUNTERS = tuple(f"{t}_issues" for t in M.ISSUE_TYPES)
 
 
-def numbered(findings: DataFrame) -> DataFrame:
-    """Issue numbers in report order, also for a repository of any size."""
-    return number_within(findings, ["repo_id"], ORDER)
+def numbered(findings: DataFrame, page_issues: int = PAGE_ISSUES) -> DataFrame:
+    """Issue numbers ``n`` in report order and their ``page``, also for a repository of
+    any size.  A page holds at most ``page_issues`` issues, and fewer when their lines
+    are long, so that its text stays within a few million characters."""
+    chars = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("path", "issue", "code_snippet")), F.lit(0))
+    share = F.greatest(F.lit(PAGE_CHARS // page_issues), chars).cast("long")
+    rows = number_within(findings.withColumn("share", share), ["repo_id"], ORDER, value="share")
+    return rows.withColumn("page", (F.floor(F.col("before") / PAGE_CHARS) + 1).cast("int")).drop(
+        "share", "before")
 
 
 def drop_empty_issues(findings: DataFrame) -> DataFrame:
@@ -28,15 +35,11 @@ def drop_empty_issues(findings: DataFrame) -> DataFrame:
     return findings.where(F.trim(F.coalesce("issue", F.lit(""))) != "")
 
 
-def _page(size: int) -> Column:
-    return F.ceil(F.col("n") / size).cast("int")
-
-
 def report_json(findings: DataFrame, repos: DataFrame, page_issues: int = PAGE_ISSUES) -> DataFrame:
     """A10: (repo_id, page, report): counters by type and the nested issues."""
-    rows = numbered(findings)  # also the cut that the counts read
+    rows = numbered(findings, page_issues)  # also the cut that the counts read
     issue = F.struct(F.col("n"), F.struct(*ISSUE_FIELDS).alias("doc"))
-    pages = rows.groupBy("repo_id", _page(page_issues).alias("page")).agg(
+    pages = rows.groupBy("repo_id", "page").agg(
         F.array_sort(F.collect_list(issue))["doc"].alias("issues"))
     # one row per repository, of known size: the pages of a large repository are not
     # brought together by the join
@@ -162,12 +165,12 @@ def report_text(findings: DataFrame, repos: DataFrame, as_of: str,
                 coverage: DataFrame | None = None, page_issues: int = PAGE_ISSUES) -> DataFrame:
     """(repo_id, page, text).  Issues are numbered before empty ones are left
     out, so their numbers leave gaps.  The header is the first part of page 1."""
-    rows = numbered(findings)  # also the cut that the header reads
+    rows = numbered(findings, page_issues)  # also the cut that the header reads
     facts = repository_facts(rows, repos, coverage).withColumn("scan_id", F.col("repo_id"))
     headers = facts.select("repo_id", F.lit(1).alias("page"), F.lit(0).cast("long").alias("n"),
                            report_header(facts, as_of).alias("text"))
     blocks = drop_empty_issues(rows).select(
-        "repo_id", _page(page_issues).alias("page"), "n", issue_block().alias("text"))
+        "repo_id", "page", "n", issue_block().alias("text"))
     return _pages(headers, blocks)
 
 
@@ -180,7 +183,7 @@ def _pages(headers: DataFrame, blocks: DataFrame) -> DataFrame:
 def basic_report_text(findings: DataFrame, repos: DataFrame, as_of: str,
                       page_issues: int = PAGE_ISSUES) -> DataFrame:
     """A11 without metrics: the short form, in pages too."""
-    rows = numbered(findings)
+    rows = numbered(findings, page_issues)
     counts = M.raw_counts(rows, repos)
     header = _lines(
         "BASIC SCAN REPORT", "=================", "", _value("Repository: ", "repo_url"),
@@ -198,5 +201,5 @@ def basic_report_text(findings: DataFrame, repos: DataFrame, as_of: str,
         F.coalesce(F.col("line").cast("string"), none), F.lit(")\n   Severity: "),
         F.coalesce("severity", none), F.lit("\n"), F.coalesce(code, none), F.lit("\n"))
     blocks = drop_empty_issues(rows).select(
-        "repo_id", _page(page_issues).alias("page"), "n", block.alias("text"))
+        "repo_id", "page", "n", block.alias("text"))
     return _pages(headers, blocks)

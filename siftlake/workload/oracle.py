@@ -468,7 +468,10 @@ SELECT repo_id, files AS files_analyzed, py AS code_files, test_files,
 _NUMBERED = f"""
 numbered AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY "rank", path, line, report_id NULLS FIRST, rule) AS n,
     {_FIXED} AS fixed FROM findings),
-paged AS (SELECT *, ((n - 1) // {P.PAGE_ISSUES} + 1)::INTEGER AS page FROM numbered)"""
+paged AS (SELECT *, (coalesce(sum(greatest({P.PAGE_CHARS // P.PAGE_ISSUES},
+      length(path) + coalesce(length(issue), 0) + coalesce(length(code_snippet), 0)))
+    OVER (PARTITION BY repo_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
+    // {P.PAGE_CHARS} + 1)::INTEGER AS page FROM numbered)"""
 _COUNTERS = ", ".join(f"'{t}_issues', {t}_issues" for t in M.ISSUE_TYPES)
 SQL["report_json"] = with_(_BY_REPO, _NUMBERED) + f""",
 pages AS (SELECT repo_id, page, list(json_object('path', path, 'line', line, 'severity', severity, 'issue', issue,

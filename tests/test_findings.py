@@ -131,3 +131,13 @@ def test_cap_is_per_repository(spark):
     got = TO.cap_findings(df).collect()
     assert {(r.report_id, r.rule) for r in got if r.repo_id == "a"} == {(i // 3, i % 3) for i in range(10)}
     assert len(got) == 11
+
+
+def test_pages_close_early_when_lines_are_long(spark):
+    rows = [(*some(i)[:8], "x" * 900_000, "rules", None) for i in range(1, 12)] + [some(i) for i in range(12, 40)]
+    got = report.numbered(finding(spark, rows)).collect()
+    chars = {}
+    for r in got:
+        chars[r.page] = chars.get(r.page, 0) + len(r.code_snippet)
+    assert sorted(r.n for r in got) == list(range(1, 40)) and len(chars) == 3
+    assert max(chars.values()) <= report.PAGE_CHARS + 900_000
