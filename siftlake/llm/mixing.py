@@ -84,9 +84,9 @@ def _thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
             F.max("slot").alias("last"), F.sum("amount").alias("whole")))
         nothing = F.col("hit").isNull()
         state = (state.join(passed, state.source.eqNullSafe(F.col("s")), "left")
-                 .withColumn("base", F.col("base") + F.when(F.col("s").isNull(), F.lit(0)).when(
+                 .withColumn("base", F.col("base") + F.when(F.col("whole").isNull(), F.lit(0)).when(
                      nothing, (F.col("last") + (1 if width == 1 else 0)) * F.lit(width)).otherwise(F.col("hit.slot") * F.lit(width)))
-                 .withColumn("used", F.col("used") + F.when(F.col("s").isNull(), F.lit(0)).when(
+                 .withColumn("used", F.col("used") + F.when(F.col("whole").isNull(), F.lit(0)).when(
                      nothing, F.lit(0)).otherwise(F.col("hit.below")))
                  .select(*goals.columns, "times", "budget", "base", "used"))
     return cut(state.select(*goals.columns, "times", F.col("base").alias("below")), "state")
