@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlake.llm import bpe, chat, exact_dedup, mixing, near_dedup, sharding, toxicity
+from siftlake.llm import (bpe, chat, exact_dedup, html_text, licenses, mixing, near_dedup, neighbours, sharding,
+                          toxicity)
 from siftlake.llm.common import SPACE, read, text_of
 
 SHARDS = 24
@@ -17,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (exact_dedup.duplicate_groups(read(spark, sf_dir, "documents"))
             .select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
@@ -33,6 +38,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def vocabulary_path() -> str:
     """The public vocabulary that the contract names; the operator takes any path."""
     import public_tokenizers
@@ -51,6 +60,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: every row whose id is divisible by 100, against all rows."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)],
@@ -65,11 +80,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_html": op2_html,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_licenses": op6_licenses,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
+    "op9_neighbours": op9_neighbours,
     "op10_chat": op10_chat,
 }
 
