@@ -229,16 +229,29 @@ def folded(line: Column) -> Column:
         F.lower(F.translate(line, "\u0130\u0131\u017f\u212a", "iisk")))
 
 
-def first_match(text: str, low: str, patterns) -> Column:
+# What must not be taken apart: alternatives, groups, back references, coded characters, quoted
+# runs, lazy and possessive marks, and repeats, whose ends the rest of the pattern may need.
+_COMPLEX = re.compile(r"""[|()+*?{}^$]|\\[^sSdDwWbB.\[\]()|+*?{}^$/"'\\-]""")
+
+
+def is_simple(pattern: str) -> bool:
+    """Only letters, escaped marks, classes of characters, and ``.*`` between them."""
+    return not any(_COMPLEX.search(re.sub(r"\[\^?[^\[\]\\]*\]", "x", p)) or "[" in re.sub(r"\[\^?[^\[\]\\]*\]|\\.", "", p)
+                   for p in pattern.split(".*"))
+
+
+def first_match(text: str, low: str, patterns, proven=frozenset()) -> Column:
     """Index of the first pattern that occurs in column ``text``, case ignored, or
     null; null patterns are passed over.  ``low`` is the folded line: most lines lack
-    the literal a pattern needs and are spared the regular expression."""
+    the literal a pattern needs and are spared the regular expression.  Only ``proven``
+    and simple patterns get a quicker form; all others are matched as they are."""
     branches = []
     for i, pattern in enumerate(patterns):
         if pattern is None:
             continue
-        test = f"rlike({text}, {sql_text(FLAGS + linear_form(pattern))})"
-        literal = needed_literal(pattern)
+        quick = pattern in proven or is_simple(pattern)
+        test = f"rlike({text}, {sql_text(FLAGS + (linear_form(pattern) if quick else pattern))})"
+        literal = needed_literal(pattern) if quick else ""
         if literal:
             test = f"contains({low}, {sql_text(literal)}) AND {test}"
         branches.append(f"WHEN {test} THEN {i}")

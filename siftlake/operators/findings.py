@@ -71,7 +71,8 @@ def gate_by_language(findings: DataFrame, gates: DataFrame) -> DataFrame:
     security = F.col("rank").isin(R.RANKS["security"], R.RANKS["advanced"])
     quality = F.col("rank") == R.RANKS["quality"]
     semgrep = F.col("rank") == R.RANKS["semgrep"]
-    drop = ((security | quality) & ~F.col("has_python")) | (semgrep & ~F.col("has_code"))
+    has_python, has_code = (F.coalesce(c, F.lit(False)) for c in ("has_python", "has_code"))  # no file at all
+    drop = ((security | quality) & ~has_python) | (semgrep & ~has_code)
     if "covers_security" in gates.columns:
         own = F.col("tool") == "rules"
         drop = drop | (own & security & F.col("covers_security")) | (own & quality & F.col("covers_quality"))

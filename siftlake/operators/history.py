@@ -17,6 +17,16 @@ LISTED = ("job_id", "repo_url", "status", *COUNTERS, "created_at", "completed_at
 LIST_LIMIT = 50
 
 
+# How far a job has come.
+STATES = {"queued": 0, "running": 1, "completed": 2, "failed": 2}
+
+
+def event_order(time: str = "updated_at", event: str = "event_id") -> tuple[Column, ...]:
+    """Order of a job's events: time, then state, then event."""
+    state = F.expr("CASE status " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in STATES.items()) + " ELSE -1 END")
+    return F.col(time).alias("time"), state.alias("state"), F.col(event).alias("event")
+
+
 def last_per_job(rows: DataFrame, order=("updated_at",)) -> DataFrame:
     """Fold several writes of a job to one row: first values of the kept columns, last
     of the others.  An aggregate, so a job with very many writes is combined early."""

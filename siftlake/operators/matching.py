@@ -54,21 +54,18 @@ def reads(group: R.RuleGroup) -> Column:
 
 def kept_by(group: R.RuleGroup) -> Column:
     """Which lines of those files it looks at."""
-    if group.name == "security":
-        keep = "NOT masked AND kept_security"
-    elif group.name == "quality":
-        keep = "kept_quality"
-    elif group.text == "clean":
-        keep = "NOT masked AND kept_simple AND clean <> ''"
-    else:
-        keep = "kept_simple"
-    return F.expr(f"reads_{group.name} AND {keep}")
+    keep = [f"reads_{group.name}", f"kept_{group.skip}"]
+    if group.mask:
+        keep.append("NOT masked")
+    if group.text == "clean":
+        keep.append("clean <> ''")
+    return F.expr(" AND ".join(keep))
 
 
 def first_rule(group: R.RuleGroup) -> Column:
     """Index of the first rule that matches, or null."""
     patterns = [r.pattern if r.live else None for r in group.rules]
-    return F.when(kept_by(group), T.first_match(group.text, "low", patterns))
+    return F.when(kept_by(group), T.first_match(group.text, "low", patterns, R.BUILT_IN))
 
 
 def prepared_lines(lines: DataFrame) -> DataFrame:
@@ -127,13 +124,16 @@ def long_file_cell() -> Column:
 _NAME = r"regexp_extract(stripped, '(?U)^(?:def|class)\\s+(\\w+)', 1)"
 
 
-def documentation_cells() -> list[Column]:
+DOCUMENTATION = ("function", "class", "marker")
+
+
+def documentation_cells(kinds=DOCUMENTATION) -> list[Column]:
     """Missing docstrings and TODO/FIXME marks in visible Python files."""
     def cell(test, dedup, order, issue, severity, snippet):
         return F.when(F.expr(f"documented AND {test}"), _cell(
             R.RANKS["documentation"], "documentation", dedup, order, issue, f"'{severity}'", snippet))
 
-    return [
+    cells = [
         cell("undocumented = 'F'", R.FIRST_PER_MESSAGE, 0,
              f"concat('Missing docstring for function ', {_NAME})", "LOW",
              f"concat('def ', {_NAME}, '(...)')"),
@@ -145,13 +145,14 @@ def documentation_cells() -> list[Column]:
         cell("contains(upper(raw), 'FIXME')", R.ONCE_PER_LINE, 2,
              "'FIXME comment found - fix before release'", "MEDIUM", "left(stripped, 80)"),
     ]
+    return [c for c, kind in zip(cells, ("function", "class", "marker", "marker")) if kind in kinds]
 
 
 HIT_COLUMNS = ("rank", "rule", "severity", "issue", "type", "dedup", "code_snippet")
 
 
 def line_hits(files: DataFrame, groups=(), filenames=False, long_files=False,
-              documentation=False) -> DataFrame:
+              documentation=()) -> DataFrame:
     """Everything asked for in one narrow pass over the files: what depends on the file
     is worked out once per file, a projection over its lines finds the first rule of
     each group, then each hit becomes a row."""
@@ -168,15 +169,15 @@ def line_hits(files: DataFrame, groups=(), filenames=False, long_files=False,
         cells.append(long_file_cell())
     if documentation:
         carry["documented"] = T.has_extension(path, R.DOCUMENTATION_EXTENSIONS) & visible
-        cells.extend(documentation_cells())
+        cells.extend(documentation_cells(documentation))
     names = [g.name for g in groups]
     if {"security", "advanced"} <= set(names):
         # E3 on the line itself: drop an advanced hit that repeats the security hit
         at = names.index("advanced")
         same = cells[names.index("security")]["issue"] == cells[at]["issue"]
         cells[at] = F.when(~F.coalesce(same, F.lit(False)), cells[at])
-    lines = annotated_lines(files, comments=any(g.text == "clean" for g in groups),
-                            docs=documentation, carry=carry)
+    lines = annotated_lines(files, comments=any(g.mask or g.text == "clean" for g in groups),
+                            docs=bool({"function", "class"} & set(documentation)), carry=carry)
     found = prepared_lines(lines).select(
         "*", *[first_rule(g).alias(f"hit_{g.name}") for g in groups])
     return (
@@ -184,3 +185,26 @@ def line_hits(files: DataFrame, groups=(), filenames=False, long_files=False,
         .where(F.col("hit").isNotNull())
         .select("repo_id", "path", "line", *[f"hit.{c}" for c in HIT_COLUMNS])
     )
+
+
+def filename_findings(files: DataFrame) -> DataFrame:
+    """D7 by itself: reads paths only."""
+    path = F.col("path")
+    bad = T.has_extension(path, R.SECURITY_EXTENSIONS) & T.file_name(path).rlike(r"[^\x00-\x7F]| ")
+    return files.where(bad).select(
+        "repo_id", "path", F.lit(1).alias("line"), F.lit(R.SECURITY.rank).alias("rank"), F.lit(-1).alias("rule"),
+        F.lit("HIGH").alias("severity"), F.lit(FILENAME_ISSUE).alias("issue"), F.lit("security").alias("type"),
+        F.lit(None).cast("string").alias("code_snippet"))
+
+
+def long_file_findings(files: DataFrame) -> DataFrame:
+    """D8 by itself: lines are counted, not made."""
+    path, text = F.col("path"), T.unify_newlines(F.col("content"))
+    seen = files.where(T.has_extension(path, R.STYLE_EXTENSIONS) & ~pruned(path, R.VENDORED_DIRS))
+    last = F.when(text.endswith("\n") | (text == ""), 0).otherwise(1)
+    count = (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + last).cast("string")
+    return seen.select("repo_id", "path", count.alias("n")).where(F.col("n").cast("long") > LONG_FILE_LINES).select(
+        "repo_id", "path", F.lit(1).alias("line"), F.lit(R.MAINTAINABILITY.rank).alias("rank"),
+        F.lit(-1).alias("rule"), F.lit("MEDIUM").alias("severity"),
+        F.concat(F.lit("File too long ("), "n", F.lit(" lines) - consider splitting")).alias("issue"),
+        F.lit("maintainability").alias("type"), F.concat(F.lit("Total lines: "), "n").alias("code_snippet"))

@@ -78,9 +78,10 @@ def top_files(findings: DataFrame, limit: int = 5) -> DataFrame:
     return top.select("repo_id", "place", "path", "issues")
 
 
-def raw_counts(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+def raw_counts(findings: DataFrame, repos: DataFrame | None = None, areas: bool = False) -> DataFrame:
     """G4 and what the scores, effort, profile and recommendations need: one pass,
-    one row per repository.  ``repos`` adds repositories without findings."""
+    one row per repository.  ``repos`` adds repositories without findings; those of
+    findings that it lacks stay.  ``areas`` adds the counts of B11 and B12."""
     points = " ".join(f"WHEN '{s}' THEN {p}" for s, p in EFFORT_POINTS.items())
     counters = {"total_issues": "count(*)"}
     counters.update({f"{t}_issues": f"count_if(type = '{t}')" for t in ISSUE_TYPES})
@@ -96,9 +97,14 @@ def raw_counts(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame
         "effort_points": f"sum(CASE {_SEVERITY} {points} ELSE 1 END)",
     })
     aggregates = [F.expr(f"{how} AS {name}") for name, how in counters.items()]
+    if areas:
+        findings = findings.withColumns({"_security": security_area(F.col("issue")), "_quality": quality_area(F.col("issue"))})
+        aggregates += [F.count_if((F.col("type") == kind) & (F.col(f"_{kind}") == n)).alias(f"{kind}_area_{n}")
+                       for kind, table in (("security", SECURITY_AREAS), ("quality", QUALITY_AREAS))
+                       for n in [*(n for n, _ in table), OTHER_AREA]]
     counts = findings.groupBy("repo_id").agg(*aggregates)
     if repos is not None:
-        counts = repos.join(counts, "repo_id", "left").fillna(0)
+        counts = repos.join(counts, "repo_id", "full").fillna(0)
     return counts
 
 

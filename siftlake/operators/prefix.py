@@ -40,6 +40,15 @@ def _inside(keys, value: str):
     return F.coalesce(F.sum(value).over(earlier), F.lit(0))
 
 
+def _with_starts(rows: DataFrame, starts: DataFrame, keys) -> DataFrame:
+    """Keys may be null."""
+    renamed = starts.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)} | {"_part": "_of"})
+    same = F.col("_part") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return rows.join(renamed, same).drop("_of", *[f"_key_{i}" for i in range(len(keys))])
+
+
 _HELPERS = (_SLOT, "_part", "_first", "_start_rows", "_start_value")
 
 
@@ -50,7 +59,7 @@ def number_within(df: DataFrame, keys, order, name: str = "n", value: str | None
     totals = {"rows": F.lit(1)}
     if value:
         totals["value"] = F.col(value)
-    rows = rows.join(_starts(rows, keys, totals), [*keys, "_part"])
+    rows = _with_starts(rows, _starts(rows, keys, totals), keys)
     rows = rows.withColumn(name, F.col("_start_rows") + F.col(_SLOT) - F.col("_first") + 1)
     if value:
         rows = rows.withColumn("before", F.col("_start_value") + _inside(keys, value))
@@ -63,7 +72,7 @@ def keep_while_before(df: DataFrame, keys, order, value: str, limit: int) -> Dat
     rows = _ordered(df, keys, order).withColumn("_part", F.shiftright(_SLOT, 33))
     starts = _starts(rows, keys, {"value": F.col(value)}).where(F.col("_start_value") <= limit)
     return (
-        rows.join(starts, [*keys, "_part"])
+        _with_starts(rows, starts, keys)
         .withColumn("before", F.col("_start_value") + _inside(keys, value))
         .where(F.col("before") <= limit)
         .drop(*_HELPERS)

@@ -1,8 +1,8 @@
-"""Reports per repository as JSON or text.
+"""Reports per repository as JSON or text, in rows.
 
-A report of a very large repository cannot be one value: it comes in pages of a
-bounded number of issues and characters.  A repository within one page gets exactly one document, and
-the text pages of a repository, put together, are its whole report."""
+A report of a very large repository cannot be one value: it is the rows of its repository in the
+order of ``n``, row 0 being the head and row n the n-th issue, whatever the size.  The writers put
+them below each other in files."""
 
 from __future__ import annotations
 
@@ -11,23 +11,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftlake.operators import metrics as M
 from siftlake.operators.findings import ORDER
 from siftlake.operators.prefix import number_within
-from siftlake.session import cut
 
-PAGE_ISSUES = 1000
-PAGE_CHARS = 4_000_000
 ISSUE_FIELDS = ("path", "line", "severity", "issue", "type", "code_snippet", "minimal_fix")
 COUNTERS = tuple(f"{t}_issues" for t in M.ISSUE_TYPES)
 
 
-def numbered(findings: DataFrame, page_issues: int = PAGE_ISSUES) -> DataFrame:
-    """Issue numbers ``n`` in report order and their ``page``, also for a repository of
-    any size.  A page holds at most ``page_issues`` issues, and fewer when their lines
-    are long, so that its text stays within a few million characters."""
-    chars = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("path", "issue", "code_snippet")), F.lit(0))
-    share = F.greatest(F.lit(PAGE_CHARS // page_issues), chars).cast("long")
-    rows = number_within(findings.withColumn("share", share), ["repo_id"], ORDER, value="share")
-    return rows.withColumn("page", (F.floor(F.col("before") / PAGE_CHARS) + 1).cast("int")).drop(
-        "share", "before")
+def numbered(findings: DataFrame) -> DataFrame:
+    """Issue numbers ``n`` in report order, also for a repository of any size."""
+    return number_within(findings, ["repo_id"], ORDER)
 
 
 def drop_empty_issues(findings: DataFrame) -> DataFrame:
@@ -35,20 +26,23 @@ def drop_empty_issues(findings: DataFrame) -> DataFrame:
     return findings.where(F.trim(F.coalesce("issue", F.lit(""))) != "")
 
 
-def report_json(findings: DataFrame, repos: DataFrame, page_issues: int = PAGE_ISSUES) -> DataFrame:
-    """A10: (repo_id, page, report): counters by type and the nested issues."""
-    rows = numbered(findings, page_issues)  # also the cut that the counts read
-    issue = F.struct(F.col("n"), F.struct(*ISSUE_FIELDS).alias("doc"))
-    pages = rows.groupBy("repo_id", "page").agg(
-        F.array_sort(F.collect_list(issue))["doc"].alias("issues"))
-    # one row per repository, of known size: the pages of a large repository are not
-    # brought together by the join
-    counts = cut(M.raw_counts(rows, repos), "counts")
-    empty = counts.where("total_issues = 0").select(
-        "repo_id", F.lit(1).alias("page"), F.array().cast(pages.schema["issues"].dataType).alias("issues"))
-    document = F.struct("repo_id", "total_issues", *COUNTERS, "issues")
-    return pages.unionByName(empty).join(counts, "repo_id").select(
-        "repo_id", "page", F.to_json(document, {"ignoreNullFields": "false"}).alias("report"))
+def _json(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def report_json(findings: DataFrame, repos: DataFrame) -> DataFrame:
+    """A10: (repo_id, n, report): the counters by type in row 0, then an issue a row."""
+    rows = numbered(findings)  # also the cut that the counts read
+    heads = M.raw_counts(rows, repos).select(
+        "repo_id", F.lit(0).cast("long").alias("n"), _json("repo_id", "total_issues", *COUNTERS).alias("report"))
+    return heads.unionByName(rows.select("repo_id", F.col("n").cast("long").alias("n"), _json(*ISSUE_FIELDS).alias("report")))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Sink of A10 and A11: the rows of ``report_json`` (as JSON lines) or of a text report, one
+    repository after another, each in order; a large one covers several files, in their order."""
+    text = F.regexp_replace(F.col([c for c in rows.columns if c in ("report", "text")][0]), r"\n\z", "")
+    rows.orderBy("repo_id", "n").select(text.alias("value")).write.text(path)
 
 
 def _lines(*parts) -> Column:
@@ -60,7 +54,7 @@ def _lines(*parts) -> Column:
 
 
 def _value(label: str, name: str, suffix: str = "") -> Column:
-    return F.concat(F.lit(label), F.col(name).cast("string"), F.lit(suffix))
+    return F.concat(F.lit(label), F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit(suffix))
 
 
 def _area_lines(prefix: str, names) -> Column:
@@ -153,45 +147,30 @@ def issue_block() -> Column:
 def repository_facts(findings: DataFrame, repos: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
     """One row per repository with all metrics, areas, profile and recommendations.
     ``repos`` is (repo_id, repo_url)."""
-    counts = M.raw_counts(findings, repos)
-    rows = M.repo_profile(M.metrics(counts, coverage))
-    rows = rows.join(M.security_areas(findings, "security_area_"), "repo_id", "left")
-    rows = rows.join(M.quality_areas(findings, "quality_area_"), "repo_id", "left")
-    return rows.fillna(0).withColumns({
+    rows = M.repo_profile(M.metrics(M.raw_counts(findings, repos, areas=True), coverage))
+    return rows.withColumns({
         "executive_summary": M.executive_summary(), "recommendations": M.recommendation_array()})
 
 
-def report_text(findings: DataFrame, repos: DataFrame, as_of: str,
-                coverage: DataFrame | None = None, page_issues: int = PAGE_ISSUES) -> DataFrame:
-    """(repo_id, page, text).  Issues are numbered before empty ones are left
-    out, so their numbers leave gaps.  The header is the first part of page 1."""
-    rows = numbered(findings, page_issues)  # also the cut that the header reads
+def report_text(findings: DataFrame, repos: DataFrame, as_of: str, coverage: DataFrame | None = None) -> DataFrame:
+    """(repo_id, n, text).  Issues are numbered before empty ones are left
+    out, so their numbers leave gaps.  The header is row 0."""
+    rows = numbered(findings)  # also the cut that the header reads
     facts = repository_facts(rows, repos, coverage).withColumn("scan_id", F.col("repo_id"))
-    headers = facts.select("repo_id", F.lit(1).alias("page"), F.lit(0).cast("long").alias("n"),
-                           report_header(facts, as_of).alias("text"))
-    blocks = drop_empty_issues(rows).select(
-        "repo_id", "page", "n", issue_block().alias("text"))
-    return _pages(headers, blocks)
-
-
-def _pages(headers: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Texts of a page in order; a page has a fixed number of them."""
-    return headers.unionByName(blocks).groupBy("repo_id", "page").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("n", "text")))["text"], "").alias("text"))
+    heads = facts.select("repo_id", F.lit(0).cast("long").alias("n"), report_header(facts, as_of).alias("text"))
+    return heads.unionByName(drop_empty_issues(rows).select(
+        "repo_id", F.col("n").cast("long").alias("n"), issue_block().alias("text")))
 
 
-def basic_report_text(findings: DataFrame, repos: DataFrame, as_of: str,
-                      page_issues: int = PAGE_ISSUES) -> DataFrame:
-    """A11 without metrics: the short form, in pages too."""
-    rows = numbered(findings, page_issues)
-    counts = M.raw_counts(rows, repos)
+def basic_report_text(findings: DataFrame, repos: DataFrame, as_of: str) -> DataFrame:
+    """A11 without metrics: the short form."""
+    rows = numbered(findings)
     header = _lines(
         "BASIC SCAN REPORT", "=================", "", _value("Repository: ", "repo_url"),
         _value("Job ID: ", "repo_id"), f"Completed: {as_of}", "", "SUMMARY", "-------",
         _value("Total Issues: ", "total_issues"), _value("Security Issues: ", "security_issues"),
         _value("Quality Issues: ", "quality_issues"), "", *ISSUES)
-    headers = counts.select("repo_id", F.lit(1).alias("page"), F.lit(0).cast("long").alias("n"),
-                            header.alias("text"))
+    heads = M.raw_counts(rows, repos).select("repo_id", F.lit(0).cast("long").alias("n"), header.alias("text"))
     none = F.lit("")
     code = F.when(F.col("code_snippet") != "",
                   F.concat(F.lit("   Code: "), F.col("code_snippet"), F.lit("\n")))
@@ -200,6 +179,5 @@ def basic_report_text(findings: DataFrame, repos: DataFrame, as_of: str,
         F.col("issue"), F.lit("\n   File: "), F.coalesce("path", none), F.lit(" (Line "),
         F.coalesce(F.col("line").cast("string"), none), F.lit(")\n   Severity: "),
         F.coalesce("severity", none), F.lit("\n"), F.coalesce(code, none), F.lit("\n"))
-    blocks = drop_empty_issues(rows).select(
-        "repo_id", "page", "n", block.alias("text"))
-    return _pages(headers, blocks)
+    return heads.unionByName(drop_empty_issues(rows).select(
+        "repo_id", F.col("n").cast("long").alias("n"), block.alias("text")))

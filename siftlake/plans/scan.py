@@ -10,7 +10,7 @@ from siftlake import rules as R
 from siftlake.operators import findings as FD
 from siftlake.operators.metrics import raw_counts
 from siftlake.operators.structure import scan_stats
-from siftlake.operators.matching import line_hits
+from siftlake.operators.matching import DOCUMENTATION, line_hits
 from siftlake.session import cut
 from siftlake.sources.tool_reports import snippet_lookup
 
@@ -23,14 +23,15 @@ def rule_findings(files: DataFrame, *groups: R.RuleGroup) -> DataFrame:
     return hits.drop("dedup")  # one hit per line and group is unique as it is
 
 
-def documentation_findings(files: DataFrame) -> DataFrame:
-    """D9 to D11."""
-    return FD.dedup_hits(line_hits(files.where(F.col("path").endswith(".py")), documentation=True))
+def documentation_findings(files: DataFrame, kinds=DOCUMENTATION) -> DataFrame:
+    """D9 to D11, or some of them."""
+    hits = line_hits(files.where(F.col("path").endswith(".py")), documentation=kinds)
+    return hits.drop("dedup") if set(kinds) == {"marker"} else FD.dedup_hits(hits)
 
 
 def own_findings(files: DataFrame) -> DataFrame:
     """All analysers in one pass over the corpus and one shuffle of the hits."""
-    hits = line_hits(files, R.ALL_GROUPS, filenames=True, long_files=True, documentation=True)
+    hits = line_hits(files, R.ALL_GROUPS, filenames=True, long_files=True, documentation=DOCUMENTATION)
     return FD.dedup_hits(hits).withColumns({
         "tool": F.lit("rules"), "report_id": F.lit(None).cast("long")})
 
@@ -40,7 +41,7 @@ def scan(files: DataFrame, linters: DataFrame | None = None, semgrep: DataFrame
     """the combined findings of all sources, gated per repository.
 
     The tables are outputs of ``siftlake.sources.tool_reports``; ``linters`` holds the
-    capped rows of Bandit and Pylint, which replace our rules where they have any."""
+    rows of Bandit and Pylint, which replace our rules where they have any."""
     rows, gates = own_findings(files), FD.repo_gates(files)
     quoting = [t for t in (linters, model) if t is not None]
     if quoting:

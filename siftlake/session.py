@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="siftlake-")
+    folder = f"{tempfile.gettempdir()}/siftlake-{spark.sparkContext.applicationId}"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

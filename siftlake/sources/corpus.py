@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftlake import rules as R
@@ -13,13 +16,20 @@ FILE_BYTES = {False: 20_000, True: 100_000}
 PAYLOAD_CHARS = {False: 100_000, True: 500_000}
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def read_tree(spark: SparkSession, root: str, extensions=None) -> DataFrame:
     """A1: files below ``root/<repository>/``, filtered by name at the source."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if extensions:
         reader = reader.option("pathGlobFilter", "*{" + ",".join(extensions) + "}")
-    # the listing gives whole addresses: keep what follows the root
-    relative = F.element_at(F.split(F.col("path"), F.lit("/" + root.strip("/").split("/")[-1] + "/"), 2), 2)
+    # the listing gives whole addresses, perhaps with a scheme: keep what follows the root
+    top = re.sub("/+", "/", re.sub(_SCHEME, "", root)).rstrip("/")
+    if top and not top.startswith("/"):
+        top = os.path.abspath(top)
+    whole = F.regexp_replace("path", _SCHEME, "")
+    relative = F.substring(whole, F.lit(len(top) + 2), F.length(whole))
     return reader.load(root).select(
         F.substring_index(relative, "/", 1).alias("repo_id"),
         F.element_at(F.split(relative, "/", 2), 2).alias("path"),
@@ -33,15 +43,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """Rules cost far more than moving the bytes: an input with fewer partitions
-    than cores is spread over them.  A large input is left as it is."""
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() < cores:
-        return files.repartition(cores)
-    return files
-
-
 def with_extensions(files: DataFrame, extensions) -> DataFrame:
     return files.where(T.has_extension(F.col("path"), extensions))
 

@@ -59,7 +59,8 @@ def report_structure_ok(report: Column) -> Column:
 
 # A key named like a path, at any depth, with a text value.  A quote inside a JSON
 # string is escaped, so such a pair cannot be part of a string.
-_PAIR = r'(?i)(?<!\\)"(?:{})"\s*:\s*"((?:[^"\\]|\\.)*)"'.format("|".join(PATH_KEYS))
+# Possessive runs: the match goes on in a loop, however long the value, and never back.
+_PAIR = r'(?i)(?<!\\)"(?:{})"\s*:\s*"((?:[^"\\]++|\\.)*+)"'.format("|".join(PATH_KEYS))
 
 
 def report_paths(reports: DataFrame) -> DataFrame:
@@ -131,44 +132,36 @@ def report_match(reports: DataFrame, files: DataFrame) -> DataFrame:
     return rows.withColumns({"matches": ~fails, "message": F.when(fails, message).otherwise("")})
 
 
-def _entries(json_text: Column) -> Column:
-    return F.map_entries(F.from_json(json_text, "map<string,string>"))
-
-
-def _named(entries: Column, name: str) -> Column:
-    """The JSON text of the first entry called ``name``, any case."""
-    return F.get(F.filter(entries, lambda e: F.lower(e["key"]) == name), F.lit(0))["value"]
-
-
 _PAIRS = "array<struct<key:string,value:string>>"
 
 
-def _candidates(level: str, depth: int) -> Column:
-    """Texts of one object that may name the repository."""
-    def wanted(e):
+def _candidates(json_text: Column, depth: int = 0) -> Column:
+    """Key and text of what may name the repository in an object, in document order, with
+    the same of its ``metadata`` in the place of that."""
+    none = F.array().cast(_PAIRS)
+
+    def of(e):
         low = F.lower(e["key"])
-        test = low.isin(*REPOSITORY_KEYS)
+        wanted = low.isin(*REPOSITORY_KEYS)
         if depth <= 1:
-            test = test | ((low == "name") & ~e["value"].startswith("test_"))
-        return test
+            wanted = wanted | ((low == "name") & ~e["value"].startswith("test_"))
+        files = F.from_json(e["value"], "files array<struct<path:string>>")["files"]
+        path = F.element_at(F.filter(files, lambda f: f["path"].isNotNull()), -1)["path"]
+        covered = F.when((low == "coverage") & path.isNotNull(), F.array(
+            F.struct(F.lit("coverage_file").alias("key"), path.alias("value"))))
+        parts = [F.when(wanted, F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")))), covered]
+        if depth < METADATA_DEPTH:
+            parts.append(F.when(low == "metadata", _candidates(e["value"], depth + 1)))
+        return F.concat(*[F.coalesce(p, none) for p in parts])
 
-    files = F.from_json(_named(F.col(level), "coverage"), "files array<struct<path:string>>")["files"]
-    last = F.element_at(F.filter(files, lambda f: f["path"].isNotNull()), -1)["path"]
-    empty = F.array().cast(_PAIRS)
-    return F.concat(
-        F.coalesce(F.filter(F.col(level), wanted), empty),
-        F.when(F.size(files) > 0, F.array(F.struct(F.lit("coverage_file").alias("key"),
-                                                   last.alias("value")))).otherwise(empty))
+    entries = F.map_entries(F.from_json(json_text, "map<string,string>"))
+    return F.coalesce(F.flatten(F.transform(entries, of)), none)
 
 
 def report_metadata_match(reports: DataFrame) -> DataFrame:
     """I4: does any repository field of the report contain the repository's name?
-    The answer is a column and never a gate.  Of equal keys the deeper one counts."""
-    rows = reports.withColumn("level0", _entries(F.col("report")))
-    for depth in range(1, METADATA_DEPTH + 1):
-        rows = rows.withColumn(f"level{depth}", _entries(_named(F.col(f"level{depth - 1}"), "metadata")))
-    rows = rows.withColumn("pairs", F.concat(
-        *[_candidates(f"level{d}", d) for d in range(METADATA_DEPTH + 1)]))
+    The answer is a column and never a gate.  Of equal keys the later one counts."""
+    rows = reports.withColumn("pairs", _candidates(F.col("report")))
     last = F.filter("pairs", lambda p, i: ~F.exists(
         F.slice("pairs", i + 2, F.size("pairs")), lambda q: q["key"] == p["key"]))
     name = T.owned_repo_name(F.col("repo_url"))

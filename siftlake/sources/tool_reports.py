@@ -91,10 +91,12 @@ def ingest_semgrep(reports: DataFrame, root: str) -> DataFrame:
         F.lit(R.RANKS["semgrep"]).alias("rank"), F.lit("semgrep").alias("tool"))
 
 
-def prose_findings(text: Column) -> Column:
-    """B10 with E5: an array of findings from the lines of a model's prose.  It stays
-    within the row, so there is nothing to shuffle."""
-    kept = F.slice(F.filter(F.split(text, "\n", -1), prose_is_finding), 1, PROSE_LIMIT)
+def prose_findings(text: Column, limit: int | None = None) -> Column:
+    """An array of findings from the lines of a model's prose, all of them or, with
+    ``limit`` (E5), the first ones.  It stays within the row: there is nothing to shuffle."""
+    kept = F.filter(F.split(text, "\n", -1), prose_is_finding)
+    if limit is not None:
+        kept = F.slice(kept, 1, limit)
     classed = F.transform(kept, lambda line: F.struct(
         prose_class(line).alias("c"), T.snippet_clip(line, PROSE_CLIP).alias("issue")))
     return F.transform(classed, lambda x: F.struct(
@@ -129,30 +131,28 @@ def cap_findings(rows: DataFrame, limit: int = TOOL_LIMIT) -> DataFrame:
     return top_per_group(rows, ["repo_id"], ["report_id", "rule"], limit).drop("rn")
 
 
-# Up to this many named files their 8-byte hashes are broadcast to thin out the corpus.
-HASHES_BROADCAST = 2_000_000
-
-
 def snippet_lookup(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``code_snippet``, the stripped text of the named line or ''; a snippet
-    that is there already stays.  ``rows`` is read three times: pass a written table.
+    that is there already stays.  ``rows`` is read twice: pass a written table.
 
-    The corpus is large and the named files are few, so the contents of all others must
-    not reach the shuffle of the join: a broadcast of the hashes of the named files drops
-    them first.  The hashes are counted before; beyond the bound the join is done without.
-    The join itself is on the names, so an equal hash changes nothing."""
+    The line numbers wanted of a file are brought together first, so a file is joined
+    and split once, however many findings name it, and no finding carries a file."""
     # linters give whole paths below the root; a model's leading slash leads out of it
     outside = (F.col("tool") == "model") & F.col("path").startswith("/")
-    keyed = rows.withColumn("_path", F.when(~outside, F.ltrim("path", F.lit("/"))))
-    hashes = keyed.select(F.xxhash64("repo_id", "_path").alias("h")).distinct()
-    wanted = files
-    if hashes.limit(HASHES_BROADCAST + 1).count() <= HASHES_BROADCAST:
-        wanted = files.join(F.broadcast(hashes), F.xxhash64("repo_id", "path") == F.col("h"), "left_semi")
-    texts = wanted.select("repo_id", F.col("path").alias("_path"), F.col("content").alias("_content"))
+    keyed = rows.withColumns({"_path": F.when(~outside, F.ltrim("path", F.lit("/"))),
+                              "_line": F.coalesce("line", F.lit(1))})
+    wanted = keyed.where(F.col("_path").isNotNull()).groupBy("repo_id", "_path").agg(
+        F.collect_set("_line").alias("_wanted"))
+    texts = files.select("repo_id", F.col("path").alias("_path"), F.col("content").alias("_content"))
     lines = F.split(T.unify_newlines(F.col("_content")), "\n", -1)
-    number = F.coalesce("line", F.lit(1))
-    found = T.strip(F.when(number >= 1, F.get(lines, number - 1)))
+    # the explode of one element keeps the split out of the lambda below
+    split = texts.join(wanted, ["repo_id", "_path"]).select(
+        "repo_id", "_path", "_wanted", F.explode(F.array(lines)).alias("_lines"))
+    found = split.select("repo_id", "_path", F.explode(F.transform("_wanted", lambda n: F.struct(
+        n.alias("_line"), T.strip(F.when(n >= 1, F.get("_lines", n - 1))).alias("_found")))).alias("f"))
+    snippet = F.col("_found")
     if "code_snippet" in rows.columns:
-        found = F.coalesce("code_snippet", found)
-    return (keyed.join(texts, ["repo_id", "_path"], "left")
-            .withColumn("code_snippet", F.coalesce(found, F.lit(""))).drop("_path", "_content"))
+        snippet = F.coalesce("code_snippet", snippet)
+    return (keyed.join(found.select("repo_id", "_path", "f.*"), ["repo_id", "_path", "_line"], "left")
+            .withColumn("code_snippet", F.coalesce(snippet, F.lit("")))
+            .drop("_path", "_line", "_found"))

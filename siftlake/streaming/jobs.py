@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftlake.operators.history import KEPT, UPDATED
+from siftlake.operators.findings import gate_by_language, repo_gates, with_fix
+from siftlake.operators.history import KEPT, UPDATED, event_order
 from siftlake.plans.scan import own_findings
 from siftlake.session import fresh_path
 
@@ -16,16 +17,22 @@ def _run(stream: DataFrame, write, checkpoint: str) -> None:
 
 
 def stream_findings(files: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """K1: findings of files as they arrive.  A file arrives whole, so each batch is
-    the batch plan; a batch that is run again replaces its own folder."""
+    """K1: findings of files as they arrive, gated and with fixes.  A file arrives whole,
+    so each batch is the batch plan; a batch that is run again replaces its own folder.
+    Whether a repository has code of a language is known from all its batches together,
+    so the gates are kept beside the findings and applied to what is read."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        own_findings(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        own_findings(batch).write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
+        repo_gates(batch).write.mode("overwrite").parquet(f"{out}/gates/batch={batch_id}")
 
     _run(files, write, checkpoint)
-    return files.sparkSession.read.parquet(out).drop("batch")
+    read = files.sparkSession.read.parquet
+    gates = read(f"{out}/gates").groupBy("repo_id").agg(
+        F.bool_or("has_python").alias("has_python"), F.bool_or("has_code").alias("has_code"))
+    return with_fix(gate_by_language(read(f"{out}/findings").drop("batch"), gates))
 
 
-def _fold(rows: DataFrame, first_at: str, last_at: str) -> DataFrame:
+def _fold(rows: DataFrame, first_at: Column, last_at: Column) -> DataFrame:
     """First values of the kept columns, last of the others, and when those were."""
     kept = [c for c in rows.columns if c in KEPT]
     updated = [c for c in rows.columns if c in UPDATED]
@@ -38,14 +45,37 @@ def _fold(rows: DataFrame, first_at: str, last_at: str) -> DataFrame:
 
 def stream_scan_status(events: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """K2: status events to the scan table.  A batch adds one folded row per job it
-    touches and rewrites nothing; the table is the fold of all batches.  Folding keeps
-    the times, so late or repeated batches give the same table."""
+    touches and rewrites nothing; the table is the fold of all batches.  Events follow
+    their time, then their state, then ``event_id``, and folding keeps these, so late,
+    equal or repeated ones give the same table in any order of batches."""
+    at = F.struct(*event_order())
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        _fold(batch, "updated_at", "updated_at").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        _fold(batch, at, at).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     _run(events, write, checkpoint)
-    rows = events.sparkSession.read.parquet(out).drop("batch")
-    return _fold(rows, "first_at", "last_at").drop("first_at", "last_at")
+    return status_table(events.sparkSession, out)
+
+
+def _folded(spark: SparkSession, *folders: str) -> DataFrame:
+    rows = None
+    for folder in folders:
+        part = spark.read.parquet(folder)
+        part = part.drop(*[c for c in ("batch",) if c in part.columns])
+        rows = part if rows is None else rows.unionByName(part)
+    return _fold(rows, F.col("first_at"), F.col("last_at"))
+
+
+def status_table(spark: SparkSession, *folders: str) -> DataFrame:
+    """One row per job from the folders of a status stream and of its compacted past."""
+    return _folded(spark, *folders).drop("first_at", "last_at")
+
+
+def compact_status(spark: SparkSession, into: str, *folders: str) -> None:
+    """Fold ``folders`` into the new folder ``into``, one row per job, which then stands
+    for them in ``status_table``.  What is read is never overwritten: the stream goes on
+    into a folder of its own, and the old folders can be removed once nobody reads them."""
+    _folded(spark, *folders).write.mode("errorifexists").parquet(into)
 
 
 def read_stream(spark: SparkSession, folder: str, file_name: str, schema) -> DataFrame:

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from siftlake import rules as R
 from siftlake.functions import classify as C
 from siftlake.operators import metrics as M, structure as S
 from siftlake.plans import report as P
 from siftlake.sources import corpus, test_reports as TR, tool_reports as TO
 from siftlake.workload import oracle_base as B, tables as T
+from siftlake.workload.queries import OWN as OWN_GROUP
 from siftlake.workload.oracle_base import FINDING, contains_any, items, lit, pick, strip, with_
 
 SQL = {}
 for _g in R.ALL_GROUPS:
     SQL[f"rules_{_g.name}"] = with_(B.LINES, B.group_cte(_g)) + f"SELECT {FINDING} FROM {_g.name}_rows"
 SQL["rule_filename"] = with_(B.FILES, B.FILENAME) + f"SELECT {FINDING} FROM filename_rows"
+# the same rules without back references and codes, which RE2 lacks
+_TWIN = replace(OWN_GROUP, rules=tuple(replace(r, pattern=p) for r, p in zip(OWN_GROUP.rules, (
+    """'.*'|".*\"""", "zq|pass.*word", "TODO", "retu.*n", r"\w.*="))))
+SQL["rules_own"] = with_(B.LINES, B.group_cte(_TWIN)) + f"SELECT {FINDING} FROM own_rows"
+SQL["scan_tree"] = """SELECT 'repo=' || source AS repo_id, 'name=' || doc_id AS folder,
+  md5(coalesce(text, '') || chr(10)) AS md5, strlen(coalesce(text, ''))::BIGINT + 1 AS size_bytes FROM documents"""
 SQL["rule_long_file"] = with_(B.SPLIT, B.LONG_FILE) + f"SELECT {FINDING} FROM long_rows"
 for _n, _r in (("missing_function", "function"), ("missing_class", "class"), ("markers", "marker")):
     SQL[f"doc_{_n}"] = with_(B.SPLIT, B.DOCUMENTATION) + f"SELECT {FINDING} FROM doc_{_r}_rows"
@@ -143,12 +152,12 @@ prose AS (
 model AS (
   SELECT repo_id, report_id, (k - 1)::INTEGER AS rule,
     CASE WHEN conv_id % 2 = 0 THEN 'main.py' ELSE 'f' || conv_id || '.py' END AS path, (turn + k)::INTEGER AS line,
-    {pick(['HIGH', 'MEDIUM', 'LOW'], '(turn + k)')} AS severity, left(text, 40) AS issue,
+    {pick(['HIGH', 'MEDIUM', 'LOW'], '(turn + k)')} AS severity, text AS issue,
     {pick(['security', 'quality', 'accessibility', 'testability'], '(conv_id + k)')} AS type
   FROM (SELECT *, unnest(range(1, conv_id % 3 + 2)) AS k FROM responses WHERE turn % 3 = 0)
   UNION ALL
   SELECT repo_id, report_id, place, 'detected_file', 1, class[2], left({strip('text')}, 100), class[1]
-  FROM prose WHERE place < 20)"""
+  FROM prose)"""
 _TOOL = "repo_id, report_id, rule, path, line, severity, issue, type"
 SQL["ingest_bandit_json"] = with_(B.FILES, TOOLS) + f"SELECT {_TOOL} FROM bandit"
 SQL["ingest_pylint_json"] = with_(B.FILES, TOOLS) + f"SELECT {_TOOL} FROM pylint"
@@ -161,7 +170,7 @@ whole AS (SELECT repo_id, report_id, 'Found these:' || chr(10) || '{"issues":['
       CASE WHEN conv_id % 2 = 0 THEN 'main.py' ELSE 'f' || conv_id || '.py' END || '","line":' || turn + k
       || ',"type":"' || (['security', 'quality', 'accessibility', 'testability'])[1 + (conv_id + k) % 4]
       || '","severity":"' || (['HIGH', 'MEDIUM', 'LOW'])[1 + (turn + k) % 3] || '","issue":'
-      || to_json(left(text, 40))::VARCHAR || '}'), ',') || ']}' || chr(10) || 'Done.' AS report
+      || to_json(text)::VARCHAR || '}'), ',') || ']}' || chr(10) || 'Done.' AS report
   FROM responses WHERE turn % 3 = 0),
 all_lines AS (
   SELECT repo_id, report_id, unnest(range(0, len(string_split(report, chr(10)))))::INTEGER AS rule,
@@ -184,10 +193,9 @@ _SNIPPET = f"""coalesce((SELECT any_value({strip('raw')}) FROM lines0 l
 SQL["snippet_lookup"] = with_(B.SPLIT, TOOLS) + f"""SELECT t.*, {_SNIPPET} AS code_snippet FROM (
   SELECT 'bandit' AS tool, {_TOOL} FROM bandit UNION ALL SELECT 'pylint', {_TOOL} FROM pylint
   UNION ALL SELECT 'model', {_TOOL} FROM model) t"""
-SQL["tool_or_rules"] = with_(B.LINES, B.group_cte(R.QUALITY), TOOLS) + f""",
-capped AS (SELECT * FROM pylint {_CAP})
-SELECT repo_id, path, line, severity, issue, type, {_SNIPPET} AS code_snippet FROM capped t
-UNION ALL SELECT {FINDING} FROM quality_rows WHERE repo_id NOT IN (SELECT repo_id FROM capped)"""
+SQL["tool_or_rules"] = with_(B.LINES, B.group_cte(R.QUALITY), TOOLS) + f"""
+SELECT repo_id, path, line, severity, issue, type, {_SNIPPET} AS code_snippet FROM pylint t
+UNION ALL SELECT {FINDING} FROM quality_rows WHERE repo_id NOT IN (SELECT repo_id FROM pylint)"""
 
 # --- test reports -----------------------------------------------------------
 
@@ -263,13 +271,12 @@ SELECT repo_id, report_id, repo AS repo_name, len(found) AS metadata_fields,
 # --- the combined findings --------------------------------------------------
 
 ALL = B.OWN + "," + B.GATES + "," + TOOLS + f""",
-bandit_kept AS (SELECT * FROM bandit {_CAP}), pylint_kept AS (SELECT * FROM pylint {_CAP}),
 combined AS (
   SELECT 'rules' AS tool, "rank", NULL::BIGINT AS report_id, rule, {FINDING} FROM own
-  WHERE NOT ("rank" IN (10, 11) AND repo_id IN (SELECT repo_id FROM bandit_kept))
-    AND NOT ("rank" = 20 AND repo_id IN (SELECT repo_id FROM pylint_kept))
-  UNION ALL SELECT 'bandit', 10, report_id, rule, repo_id, path, line, severity, issue, type, {_SNIPPET} FROM bandit_kept t
-  UNION ALL SELECT 'pylint', 20, report_id, rule, repo_id, path, line, severity, issue, type, {_SNIPPET} FROM pylint_kept t
+  WHERE NOT ("rank" IN (10, 11) AND repo_id IN (SELECT repo_id FROM bandit))
+    AND NOT ("rank" = 20 AND repo_id IN (SELECT repo_id FROM pylint))
+  UNION ALL SELECT 'bandit', 10, report_id, rule, repo_id, path, line, severity, issue, type, {_SNIPPET} FROM bandit t
+  UNION ALL SELECT 'pylint', 20, report_id, rule, repo_id, path, line, severity, issue, type, {_SNIPPET} FROM pylint t
   UNION ALL SELECT tool, 30, report_id, rule, repo_id, path, line, severity, issue, type, code_snippet FROM semgrep
   UNION ALL SELECT 'model', 40, report_id, rule, repo_id, path, line, severity, issue, type, {_SNIPPET} FROM model t),
 findings AS MATERIALIZED (
@@ -467,20 +474,16 @@ SELECT repo_id, files AS files_analyzed, py AS code_files, test_files,
 
 _NUMBERED = f"""
 numbered AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY "rank", path, line, report_id NULLS FIRST, rule) AS n,
-    {_FIXED} AS fixed FROM findings),
-paged AS (SELECT *, (coalesce(sum(greatest({P.PAGE_CHARS // P.PAGE_ISSUES},
-      length(path) + coalesce(length(issue), 0) + coalesce(length(code_snippet), 0)))
-    OVER (PARTITION BY repo_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
-    // {P.PAGE_CHARS} + 1)::INTEGER AS page FROM numbered)"""
+    {_FIXED} AS fixed FROM findings)"""
 _COUNTERS = ", ".join(f"'{t}_issues', {t}_issues" for t in M.ISSUE_TYPES)
-SQL["report_json"] = with_(_BY_REPO, _NUMBERED) + f""",
-pages AS (SELECT repo_id, page, list(json_object('path', path, 'line', line, 'severity', severity, 'issue', issue,
+SQL["report_json"] = with_(_BY_REPO, _NUMBERED) + f"""
+SELECT repo_id, 0 AS n, json_object('repo_id', repo_id, 'total_issues', total_issues, {_COUNTERS})::VARCHAR AS report
+FROM counts
+UNION ALL
+SELECT repo_id, n, json_object('path', path, 'line', line, 'severity', severity, 'issue', issue,
     'type', type, 'code_snippet', code_snippet, 'minimal_fix', CASE WHEN fixed THEN json_object(
-      'suggestion', {_fix_case(0)}, 'minimal_code', {_fix_case(1)}, 'explanation', {_fix_case(2)}) END) ORDER BY n) AS docs
-  FROM paged GROUP BY repo_id, page)
-SELECT repo_id, coalesce(page, 1) AS page,
-  json_object('repo_id', repo_id, 'total_issues', total_issues, {_COUNTERS}, 'issues', coalesce(docs, []))::VARCHAR AS report
-FROM counts LEFT JOIN pages USING (repo_id)"""
+      'suggestion', {_fix_case(0)}, 'minimal_code', {_fix_case(1)}, 'explanation', {_fix_case(2)}) END)::VARCHAR
+FROM numbered"""
 
 
 def _nl(*parts) -> str:
@@ -537,26 +540,26 @@ facts AS (SELECT m.*, {_OVERALL}, p.name, p.language, r.repo_url, a.* EXCLUDE (r
   FROM metrics m JOIN profiled p USING (repo_id) JOIN repos r USING (repo_id) JOIN area_counts a USING (repo_id)
   LEFT JOIN advised USING (repo_id)),
 parts AS (
-  SELECT repo_id, 1 AS page, 0 AS n, {_HEADER} AS text FROM facts
+  SELECT repo_id, 0 AS n, {_HEADER} AS text FROM facts
   UNION ALL
-  SELECT repo_id, page, n, n || '. [' || severity || '] ' || issue || chr(10) || '   File: ' || path || ' (Line ' || line || ')'
+  SELECT repo_id, n, n || '. [' || severity || '] ' || issue || chr(10) || '   File: ' || path || ' (Line ' || line || ')'
     || chr(10) || '   Type: ' || CASE type {_TITLES} END || chr(10)
     || CASE WHEN code_snippet <> '' THEN '   Code: ' || code_snippet || chr(10) ELSE '' END
     || CASE WHEN fixed THEN '   Fix: ' || {_fix_case(0)} || chr(10) ELSE '' END || chr(10)
-  FROM paged WHERE trim(coalesce(issue, '')) <> '')
-SELECT repo_id, page, string_agg(text, '' ORDER BY n) AS text FROM parts GROUP BY repo_id, page"""
+  FROM numbered WHERE trim(coalesce(issue, '')) <> '')
+SELECT * FROM parts"""
 
 SQL["basic_report_text"] = with_(_BY_REPO, _NUMBERED) + f"""
-SELECT repo_id, page, string_agg(text, '' ORDER BY n) AS text FROM (
-  SELECT repo_id, 1 AS page, 0 AS n, {_nl("'BASIC SCAN REPORT'", "'================='", "''", "'Repository: ' || repo_url",
+SELECT * FROM (
+  SELECT repo_id, 0 AS n, {_nl("'BASIC SCAN REPORT'", "'================='", "''", "'Repository: ' || repo_url",
     "'Job ID: ' || repo_id", "'Completed: 2024-02-01'", "''", "'SUMMARY'", "'-------'", "'Total Issues: ' || total_issues",
     "'Security Issues: ' || security_issues", "'Quality Issues: ' || quality_issues", "''", "'DETAILED ISSUES'",
     "'---------------'")} AS text FROM counts JOIN repos USING (repo_id)
   UNION ALL
-  SELECT repo_id, page, n, n || '. ' || upper(type) || ': ' || issue || chr(10) || '   File: ' || path || ' (Line ' || line || ')'
+  SELECT repo_id, n, n || '. ' || upper(type) || ': ' || issue || chr(10) || '   File: ' || path || ' (Line ' || line || ')'
     || chr(10) || '   Severity: ' || severity || chr(10)
     || CASE WHEN code_snippet <> '' THEN '   Code: ' || code_snippet || chr(10) ELSE '' END || chr(10)
-  FROM paged WHERE trim(coalesce(issue, '')) <> '') GROUP BY repo_id, page"""
+  FROM numbered WHERE trim(coalesce(issue, '')) <> '')"""
 _DIRS, _STATS = SQL["scan_stats"].split(_REPO_LIST, 1)[1].rsplit("\nSELECT repo_id, (SELECT", 1)
 SQL["scan_rows"] = with_(_BY_REPO, _REPO_LIST) + f"""{_DIRS}, stats AS (SELECT repo_id, (SELECT{_STATS})
 SELECT repo_id || '@2024-02-01 00:00:00' AS job_id, 1 AS user_id, repo_url, 'completed' AS status, total_issues,
@@ -576,13 +579,14 @@ scan_events AS (
     (event_id % 5)::INTEGER AS directories_scanned,
     CASE WHEN event_id % 3 <> 0 THEN '[{{"issue":"' || event_type || '","line":' || (props->>'$.k') || '}}]' END AS issues,
     CASE WHEN event_id % 4 <> 0 THEN '{{"total_tests":' || (props->>'$.k') || '}}' END AS unit_test_report,
-    ts AS created_at, ts AS updated_at, CASE WHEN event_type = 'purchase' THEN ts END AS completed_at
+    ts AS created_at, ts AS updated_at, CASE WHEN event_type = 'purchase' THEN ts END AS completed_at, event_id,
+    CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 2 WHEN 'error' THEN 2 ELSE 1 END AS state
   FROM events),
 scans AS MATERIALIZED (
-  SELECT * REPLACE (first_value(created_at) OVER w AS created_at, first_value(user_id) OVER w AS user_id,
+  SELECT * EXCLUDE (event_id, state) REPLACE (first_value(created_at) OVER w AS created_at, first_value(user_id) OVER w AS user_id,
     first_value(repo_url) OVER w AS repo_url) FROM scan_events
-  WINDOW w AS (PARTITION BY job_id ORDER BY updated_at)
-  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC) = 1)"""
+  WINDOW w AS (PARTITION BY job_id ORDER BY updated_at, state, event_id)
+  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC, state DESC, event_id DESC) = 1)"""
 _S = with_(SCANS)
 _ALL_SCANS = _S + "SELECT * FROM scans"
 SQL["upsert_scans"] = _ALL_SCANS
@@ -600,4 +604,5 @@ SQL["visible_scans"] = _S + "SELECT job_id, user_id, status FROM scans WHERE use
 SQL["active_scans"] = _S + "SELECT count(*) AS active_scans FROM scans WHERE status = 'running'"
 SQL["scan_duration"] = _S + """SELECT job_id, (epoch_us(updated_at) - epoch_us(created_at)) / 1000000 AS seconds,
   printf('%.2fs', (epoch_us(updated_at) - epoch_us(created_at)) / 1000000) AS scan_duration FROM scans"""
-SQL["stream_findings"] = with_(B.OWN) + f"SELECT {FINDING} FROM own"
+SQL["stream_findings"] = with_(B.OWN, B.GATES) + f"""SELECT {FINDING},
+  {_fix_case(0)} AS suggestion FROM own JOIN gates USING (repo_id) WHERE "rank" NOT IN (10, 11, 20) OR has_python"""

@@ -119,6 +119,7 @@ def _condition(group: R.RuleGroup, i: int) -> str:
 _COMMENT = ("#", "//", "/*")
 _IMPORT = ("import ", "from ")
 KEEP = {
+    "own": f"NOT masked AND stripped <> '' AND NOT {starts_any('stripped', _COMMENT)}",
     "security": f"NOT masked AND stripped <> '' AND clean <> '' AND NOT "
                 f"{starts_any('stripped', _COMMENT + ('*', chr(34) * 3, chr(39) * 3) + _IMPORT)} "
                 f"AND NOT {starts_any('clean', _COMMENT + _IMPORT)}",

@@ -10,7 +10,8 @@ from siftlake.functions.classify import prose_class, prose_is_finding
 from siftlake.operators import findings as FD, history, metrics as M, prefix, structure
 from siftlake.operators.lines import annotated_lines, explode_lines
 from siftlake.operators.matching import (
-    kept_by_quality, kept_by_security, kept_simple, line_hits, prepared_lines, pruned)
+    filename_findings, kept_by_quality, kept_by_security, kept_simple, line_hits, long_file_findings, prepared_lines,
+    pruned)
 from siftlake.plans import report, scan
 from siftlake.session import cut
 from siftlake.sources import corpus, test_reports, tool_reports
@@ -58,29 +59,39 @@ def rules_advanced(spark, sf):
 
 @query
 def rule_filename(spark, sf):
-    return line_hits(tables.files(spark, sf), filenames=True).select(FINDING)
+    return filename_findings(tables.files(spark, sf)).select(FINDING)
 
 
 @query
 def rule_long_file(spark, sf):
-    return line_hits(tables.files(spark, sf), long_files=True).select(FINDING)
+    return long_file_findings(tables.files(spark, sf)).select(FINDING)
 
 
 @query
 def doc_missing_function(spark, sf):
-    return scan.documentation_findings(tables.files(spark, sf)).where(
-        F.col("issue").startswith("Missing docstring for function ")).select(FINDING)
+    return scan.documentation_findings(tables.files(spark, sf), ["function"]).select(FINDING)
 
 
 @query
 def doc_missing_class(spark, sf):
-    return scan.documentation_findings(tables.files(spark, sf)).where(
-        F.col("issue").startswith("Missing docstring for class ")).select(FINDING)
+    return scan.documentation_findings(tables.files(spark, sf), ["class"]).select(FINDING)
 
 
 @query
 def doc_markers(spark, sf):
-    return scan.documentation_findings(tables.files(spark, sf)).where(F.col("rule") > 0).select(FINDING)
+    return scan.documentation_findings(tables.files(spark, sf), ["marker"]).select(FINDING)
+
+
+OWN = R.RuleGroup("own", "quality", R.RANKS["quality"], (".py", ".js"), "raw", R.ONCE_PER_LINE, False, (
+    R.Rule(r"""(['"]).*\1""", "Quoted text", "LOW"), R.Rule(r"zq|pass.*word", "Secret word", "HIGH"),
+    R.Rule(r"\x54ODO", "Open end", "LOW"), R.Rule(r"retu.*?n", "Way out", "MEDIUM"),
+    R.Rule(r"\w+.*=", "Assignment", "LOW")), mask=True)
+
+
+@query
+def rules_own(spark, sf):
+    """A rule group that a user brings, with patterns of every kind."""
+    return scan.rule_findings(tables.files(spark, sf), OWN).select(FINDING)
 
 
 # --- corpus, lines and scalar functions -------------------------------------
@@ -101,6 +112,14 @@ def scan_corpus(spark, sf):
         *[T.has_extension(path, e).alias(f"in_{n}") for n, e in sets.items()])
 
 
+@query
+def scan_tree(spark, sf):
+    """The documents as single files, read as a tree of repositories."""
+    files = corpus.read_tree(spark, tables.written_tree(spark, sf))
+    return files.select("repo_id", F.substring_index("path", "/", 1).alias("folder"),
+                        F.md5(F.col("content").cast("binary")).alias("md5"), "size_bytes")
+
+
 @query
 def prune_dirs(spark, sf):
     files = corpus.prune_dirs(tables.files(spark, sf))
@@ -295,7 +314,8 @@ def classify_text_lines(spark, sf):
 @query
 def cap_llm_lines(spark, sf):
     return tables.model_responses(spark, sf).select(
-        "repo_id", "report_id", F.posexplode(tool_reports.prose_findings(F.col("report"))).alias("rule", "f"),
+        "repo_id", "report_id", F.posexplode(tool_reports.prose_findings(
+            F.col("report"), tool_reports.PROSE_LIMIT)).alias("rule", "f"),
     ).select("repo_id", "report_id", "rule", "f.issue", "f.type", "f.severity")
 
 
@@ -315,7 +335,7 @@ def snippet_lookup(spark, sf):
 
 @query
 def tool_or_rules(spark, sf):
-    tool = tool_reports.snippet_lookup(tool_reports.cap_findings(_pylint(spark, sf)), tables.files(spark, sf))
+    tool = cut(tool_reports.snippet_lookup(cut(_pylint(spark, sf)), tables.files(spark, sf)))
     own = scan.rule_findings(tables.files(spark, sf), R.QUALITY)
     return FD.tool_or_rules(tool.select(FINDING), own.select(FINDING))
 
@@ -600,7 +620,7 @@ def scan_rows(spark, sf):
 # --- scan history -----------------------------------------------------------
 
 def _scans(spark, sf):
-    return history.upsert_scans(tables.scan_base(spark, sf), tables.scan_updates(spark, sf))
+    return history.upsert_scans(tables.scan_base(spark, sf), tables.scan_updates(spark, sf), history.event_order())
 
 
 def _flat(rows):
@@ -666,7 +686,8 @@ def scan_duration(spark, sf):
 def stream_findings(spark, sf):
     schema = tables.table(spark, sf, "documents").schema
     stream = tables.as_files(jobs.read_stream(spark, sf, "documents.parquet", schema))
-    return jobs.stream_findings(stream, *jobs.stream_paths(spark, "findings")).select(FINDING)
+    return jobs.stream_findings(stream, *jobs.stream_paths(spark, "findings")).select(
+        *FINDING, "minimal_fix.suggestion")
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from siftlake.functions.text import sql_text
 from siftlake.plans import scan
 from siftlake.sources import test_reports as test_report_fields, tool_reports
-from siftlake.sources.corpus import spread
+from siftlake.session import fresh_path
 from siftlake.workload.bank import BANK, DIRS, EXTENSIONS, STEMS
 
 
@@ -54,7 +54,17 @@ def as_files(docs: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_files(spread(table(spark, sf_dir, "documents")))
+    return as_files(table(spark, sf_dir, "documents"))
+
+
+def written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files below a new folder of the shared folder; its path repeats a
+    name and has letters that mean something in a pattern."""
+    root = f"{fresh_path(spark, 'tree')}/c++/data/data"
+    docs = table(spark, sf_dir, "documents")
+    (docs.select(F.col("source").alias("repo"), F.col("doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("value"))
+     .write.partitionBy("repo", "name").text(root))
+    return root
 
 
 def repo_url(repo_id: Column, doc_id: Column, lang: Column) -> Column:
@@ -154,7 +164,7 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         (t + k).cast("int").alias("line"),
         pick(["security", "quality", "accessibility", "testability"], c + k).alias("type"),
         pick(["HIGH", "MEDIUM", "LOW"], t + k).alias("severity"),
-        F.substring("text", 1, 40).alias("issue")))
+        F.col("text").alias("issue")))
     whole = F.concat(F.lit("Found these:\n"), F.to_json(F.struct(issues.alias("issues"))), F.lit("\nDone."))
     broken = F.concat(F.lit('{"issues": [ '), prose, F.lit(" }"))
     text = F.when(t % 3 == 0, whole).when(t % 3 == 1, prose).otherwise(broken)
@@ -223,7 +233,7 @@ def scan_events(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
         (e % 5).cast("int").alias("directories_scanned"),
         F.when(e % 3 != 0, F.array(F.struct(F.col("event_type").alias("issue"), k.alias("line")))).alias("issues"),
         F.when(e % 4 != 0, F.struct(k.alias("total_tests"))).alias("unit_test_report"),
-        F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"),
+        e.alias("event_id"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"),
         F.when(status == "completed", F.col("ts")).alias("completed_at"))
 
 
@@ -232,9 +242,10 @@ CUTOVER = "2024-01-20"
 
 def scan_base(spark, sf_dir) -> DataFrame:
     """The scan table as it stood at the cutover."""
-    from siftlake.operators.history import last_per_job
+    from siftlake.operators.history import event_order, last_per_job
 
-    return last_per_job(scan_events(spark, sf_dir).where(F.col("updated_at") < F.lit(CUTOVER).cast("timestamp")))
+    return last_per_job(scan_events(spark, sf_dir).where(F.col("updated_at") < F.lit(CUTOVER).cast("timestamp")),
+                        event_order())
 
 
 def scan_updates(spark, sf_dir) -> DataFrame:
@@ -244,8 +255,8 @@ def scan_updates(spark, sf_dir) -> DataFrame:
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The combined findings of all sources (F1)."""
     corpus = files(spark, sf_dir)
-    bandit = tool_reports.cap_findings(tool_reports.ingest_bandit(bandit_reports(spark, sf_dir), ROOT))
-    pylint = tool_reports.cap_findings(tool_reports.ingest_pylint(pylint_reports(spark, sf_dir), ROOT))
+    bandit = tool_reports.ingest_bandit(bandit_reports(spark, sf_dir), ROOT)
+    pylint = tool_reports.ingest_pylint(pylint_reports(spark, sf_dir), ROOT)
     return scan.scan(
         corpus, bandit.unionByName(pylint),
         tool_reports.ingest_semgrep(semgrep_reports(spark, sf_dir), ROOT),

@@ -99,30 +99,57 @@ def test_top_files_ties_go_to_the_first_seen(spark):
     assert got == [(1, "c.py"), (2, "b.py"), (3, "a.py"), (4, "d.py"), (5, "f.py")]
 
 
-def test_report_pages_hold_every_issue_once(spark):
+def test_json_report_holds_every_issue_once(spark):
     import json
 
-    rows = [some(i, repo="hot", path=f"p{i % 7}.py") for i in range(1, 60)] + [some(1, repo="one")]
+    rows = [some(i, repo="hot", path=f"p{i % 7}.py") for i in range(1, 60)] + [some(1, repo="one"), some(2, repo="unlisted"),
+                                                                              some(3, repo=None)]
     found = FD.with_fix(finding(spark, rows))
     repos = spark.createDataFrame([("hot",), ("one",), ("none",)], "repo_id string")
-    docs = [(r.repo_id, r.page, json.loads(r.report)) for r in report.report_json(found, repos, page_issues=10).collect()]
-    assert sorted((d[0], d[1], len(d[2]["issues"])) for d in docs) == (
-        [("hot", p, 10 if p < 6 else 9) for p in range(1, 7)] + [("none", 1, 0), ("one", 1, 1)])
-    pages = sorted((d for d in docs if d[0] == "hot"), key=lambda d: d[1])
-    order = [(i["path"], i["line"]) for d in pages for i in d[2]["issues"]]
+    docs = {(r.repo_id, r.n): json.loads(r.report) for r in report.report_json(found, repos).collect()}
+    assert sorted(k[1] for k in docs if k[0] == "hot") == list(range(60))
+    order = [(docs["hot", n]["path"], docs["hot", n]["line"]) for n in range(1, 60)]
     assert order == sorted(order) and len(set(order)) == 59
-    assert all(d[2]["total_issues"] == 59 and d[2]["security_issues"] == 59 for d in pages)
+    assert docs["hot", 0]["total_issues"] == docs["hot", 0]["security_issues"] == 59
+    # no issue of a repository that the list of repositories lacks is lost
+    assert docs["none", 0]["total_issues"] == 0 and docs["unlisted", 0]["total_issues"] == docs[None, 0]["total_issues"] == 1
+    assert docs["unlisted", 1]["line"] == 2 and docs[None, 1]["line"] == 3 and len(docs) == 60 + 2 + 1 + 2 + 2
 
 
-def test_text_report_keeps_number_gaps(spark):
+def test_text_report_keeps_number_gaps(spark, tmp_path):
     rows = [some(1, issue="first"), some(2, issue=None), some(3, issue="  "), some(4, issue="last", severity=None)]
     repos = spark.createDataFrame([("r", "https://host/o/my-api")], "repo_id string, repo_url string")
-    pages = report.report_text(FD.with_fix(finding(spark, rows)), repos, "today", page_issues=2).orderBy("page").collect()
-    text = "".join(p.text for p in pages)
+    made = report.report_text(FD.with_fix(finding(spark, rows)), repos, "today")
+    parts = made.orderBy("n").collect()
+    text = "".join(p.text for p in parts)
     assert "1. [HIGH] first\n   File: a.py (Line 1)\n   Type: Security\n   Code: code 1\n   Fix: Fix: first\n\n" in text
     assert "\n4. [MEDIUM] last\n" in text and "\n2. " not in text and "\n3. " not in text
     assert text.startswith("COMPREHENSIVE SECURITY & QUALITY SCAN REPORT\n") and "Repository Type: api_service" in text
-    assert [p.page for p in pages] == [1, 2]
+    assert [p.n for p in parts] == [0, 1, 4]
+    report.write_report(made, str(tmp_path / "text"))
+    files = sorted((tmp_path / "text").glob("part-*"))
+    assert "".join(f.read_text() for f in files) == text
+
+
+def test_numbers_of_a_null_key(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("k", 5)], "k string, a int")
+    assert sorted((r.k or "", r.a, r.n) for r in prefix.number_within(df, ["k"], ["a"]).collect()) == [("", 1, 1), ("", 2, 2), ("k", 5, 1)]
+
+
+def test_rows_of_a_repository_without_files_are_gated(spark, make_files):
+    files = make_files([("r", "a.py", "x = 1")])
+    bandit = TO.ingest_bandit(spark.createDataFrame(
+        [("gone", 1, '{"results":[{"filename":"/t/a.py","line_number":1,"issue_severity":"LOW","issue_text":"Bad"}]}')],
+        "repo_id string, report_id long, report string"), "/t")
+    assert scan.scan(files, bandit).where("repo_id = 'gone'").count() == 0
+
+
+def test_tool_findings_are_not_cut(spark, make_files):
+    results = ",".join(f'{{"filename":"/t/a.py","line_number":{i},"issue_severity":"LOW","issue_text":"Bad"}}' for i in range(1, 41))
+    bandit = TO.ingest_bandit(spark.createDataFrame([("r", 1, f'{{"results":[{results}]}}')],
+                                                    "repo_id string, report_id long, report string"), "/t")
+    rows = scan.scan(make_files([("r", "a.py", "\n".join(f"line {i}" for i in range(1, 60)))]), bandit).where("tool = 'bandit'").collect()
+    assert {(r.line, r.code_snippet) for r in rows} == {(i, f"line {i}") for i in range(1, 41)}
 
 
 def test_cap_is_per_repository(spark):
@@ -131,13 +158,3 @@ def test_cap_is_per_repository(spark):
     got = TO.cap_findings(df).collect()
     assert {(r.report_id, r.rule) for r in got if r.repo_id == "a"} == {(i // 3, i % 3) for i in range(10)}
     assert len(got) == 11
-
-
-def test_pages_close_early_when_lines_are_long(spark):
-    rows = [(*some(i)[:8], "x" * 900_000, "rules", None) for i in range(1, 12)] + [some(i) for i in range(12, 40)]
-    got = report.numbered(finding(spark, rows)).collect()
-    chars = {}
-    for r in got:
-        chars[r.page] = chars.get(r.page, 0) + len(r.code_snippet)
-    assert sorted(r.n for r in got) == list(range(1, 40)) and len(chars) == 3
-    assert max(chars.values()) <= report.PAGE_CHARS + 900_000

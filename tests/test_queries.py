@@ -13,8 +13,9 @@ FAMILIES = ("rules_security", "rules_best_practice", "doc_missing_function", "ma
             "decode_text", "prune_dirs", "size_budget", "prompt_text", "ingest_semgrep_json", "ingest_llm_json",
             "snippet_lookup", "report_matches_repo", "report_metadata_match", "union_findings", "breakdown",
             "file_scores", "scan_stats", "report_json", "report_text", "upsert_scans", "scan_store_rw",
-            "recent_scans", "stream_scan_status")
-NAMES = sorted(entry.queries()) if os.environ.get("SIFTLAKE_ALL") else FAMILIES
+            "recent_scans", "stream_scan_status", "scan_tree",
+            "rules_own", "rule_filename", "rule_long_file", "distinct_report_paths", "tool_or_rules")
+NAMES = sorted(entry.oracle_sql()) if os.environ.get("SIFTLAKE_ALL") else FAMILIES
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,9 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from siftlake.workload.queries import QUERIES
+
+    assert set(QUERIES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
@@ -34,4 +37,4 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, con, name):
     problem = compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name])
-    assert problem in ("", "no rows")
+    assert problem == ""

@@ -31,8 +31,22 @@ def test_model_text_forms(spark):
 
 
 def test_prose_cap_and_clip(spark):
-    rows = TO.ingest_model(responses(spark, ["\n".join(["  an issue " + "x" * 200] * 30)])).collect()
-    assert len(rows) == 20 and all(len(r.issue) == 100 and r.issue.startswith("an issue") for r in rows)
+    prose = responses(spark, ["\n".join(["  an issue " + "x" * 200] * 30)])
+    rows = TO.ingest_model(prose).collect()
+    assert len(rows) == 30 and all(len(r.issue) == 100 and r.issue.startswith("an issue") for r in rows)
+    assert prose.select(F.size(TO.prose_findings(F.col("report"), 20))).first()[0] == 20
+
+
+def test_snippets_of_many_findings_in_one_large_file(spark, make_files):
+    lines = [f"line {i} " + "x" * 100 for i in range(1, 20_001)]
+    files = make_files([("r", "big.py", "\n".join(lines))])
+    rows = spark.range(10_000).select(F.lit("r").alias("repo_id"), F.lit("big.py").alias("path"),
+                                      (F.col("id") * 2 + 1).cast("int").alias("line"), F.lit("pylint").alias("tool"))
+    found = TO.snippet_lookup(rows, files)
+    assert found.where(F.col("code_snippet") != F.concat(F.lit("line "), "line", F.lit(" " + "x" * 100))).count() == 0
+    assert found.count() == 10_000
+    plan = found._jdf.queryExecution().toString()
+    assert "RoundRobin" not in plan
 
 
 def test_snippets(spark, make_files):
@@ -77,6 +91,13 @@ def test_paths_at_any_depth(spark):
     assert got == {(i, p) for i, d in enumerate(docs) for p in walk(d)}
 
 
+def test_long_and_much_escaped_values(spark):
+    values = ["x" * 1_000_000, 'a\\"' * 100_000 + ".py", "é" * 50_000]
+    rows = [("r", i, json.dumps({"file": v})) for i, v in enumerate(values)]
+    got = {r.report_id: r.path for r in TR.report_paths(spark.createDataFrame(rows, REPORT)).collect()}
+    assert got == dict(enumerate(values))
+
+
 def test_match_threshold(spark, make_files):
     files = make_files([("r", "src/a.py", ""), ("r", "main.py", "")])
 
@@ -108,6 +129,10 @@ def test_metadata(spark):
     assert not match({"results": {"repo": "tool"}}) and not match({})
     assert match({"coverage": {"files": [{"path": "a"}, {"path": "src/tool/x"}]}})
     assert not match({"coverage": {"files": [{"path": "src/tool/x"}, {"path": "a"}]}})
+    # of equal keys the later one in the document counts, whatever its depth
+    assert match({"metadata": {"repo": "other"}, "repo": "tool"}) and not match({"metadata": {"repo": "tool"}, "repo": "other"})
+    assert match({"repo": "other", "metadata": {"repo": "tool"}}) and not match({"repo": "tool", "Metadata": {"repo": "other"}})
+    assert match({"metadata": {"a": 1}, "Metadata": {"repo": "tool"}}) and not match({"metadata": "repo tool"})
 
 
 def test_addresses(spark):
@@ -127,6 +152,7 @@ SCAN = ("job_id string, user_id int, repo_url string, status string, total_issue
         "quality_issues int, files_scanned int, directories_scanned int, "
         "issues array<struct<issue:string>>, unit_test_report struct<passed:int>, "
         "created_at timestamp_ntz, updated_at timestamp_ntz, completed_at timestamp_ntz")
+EVENT = SCAN + ", event_id long"
 
 
 def at(minute):
@@ -187,24 +213,50 @@ def test_status_stream_over_many_batches(spark, tmp_path):
     writes = [write(f"j{rng.randrange(5)}", m, rng.choice(["queued", "running", "completed", "failed"]),
                     user=rng.randrange(1, 4), n=m) for m in range(60)]
     rng.shuffle(writes)
+    events = [(*w, i) for i, w in enumerate(writes)]
     for i in range(0, 60, 15):
-        spark.createDataFrame(writes[i:i + 15], SCAN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    spark.createDataFrame(writes[:15], SCAN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    schema = spark.createDataFrame([], SCAN).schema
+        spark.createDataFrame(events[i:i + 15], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame(events[:15], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.createDataFrame([], EVENT).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = jobs.stream_scan_status(stream, str(tmp_path / "out"), str(tmp_path / "state"))
-    names = [f.name for f in schema]
+    names = [f.name for f in schema][:-1]
     assert {r.job_id: tuple(r) for r in out.select(names).collect()} == fold(writes)
+    # compacted, the past gives the same table, also beside what came twice
+    jobs.compact_status(spark, str(tmp_path / "packed"), str(tmp_path / "out"))
+    for folders in ([tmp_path / "packed"], [tmp_path / "packed", tmp_path / "out"]):
+        again = jobs.status_table(spark, *map(str, folders))
+        assert {r.job_id: tuple(r) for r in again.select(names).collect()} == fold(writes)
+
+
+def test_events_of_equal_time_follow_state_and_event(spark, tmp_path):
+    """Whatever batch they come in."""
+    rng = random.Random(12)
+    events = [(*write(f"j{i % 3}", 7, ["completed", "queued", "running", "failed"][i % 4], n=i), i) for i in range(24)]
+    want = {}
+    for e in sorted(events, key=lambda e: (H.STATES[e[3]], e[-1])):
+        want[e[0]] = e[-1]
+    for run in range(3):
+        rng.shuffle(events)
+        for i in range(0, 24, 8):
+            spark.createDataFrame(events[i:i + 8], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{run}"))
+        stream = (spark.readStream.schema(spark.createDataFrame([], EVENT).schema).option("maxFilesPerTrigger", 1)
+                  .parquet(str(tmp_path / f"in{run}")))
+        out = jobs.stream_scan_status(stream, str(tmp_path / f"out{run}"), str(tmp_path / f"state{run}"))
+        assert {r.job_id: r.total_issues for r in out.collect()} == want
 
 
 def test_findings_stream_equals_batch(spark, tmp_path, make_files):
+    from siftlake.operators.findings import gate_by_language, repo_gates, with_fix
     from siftlake.plans.scan import own_findings
 
-    rows = [("r", f"f{i}.py", "eval(x)\ndef a():\ndef b():\n" * (i + 1)) for i in range(6)]
+    rows = [("r" if i < 4 else "s", f"f{i}.{'py' if i in (1, 3) else 'js'}", "eval(x)\ndef a():\ndef b():\n" * (i + 1))
+            for i in range(6)]
     for i in range(0, 6, 2):
         make_files(rows[i:i + 2]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = make_files(rows).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = jobs.stream_findings(stream, str(tmp_path / "out"), str(tmp_path / "state"))
-    want = own_findings(make_files(rows))
+    files = make_files(rows)
+    want = with_fix(gate_by_language(own_findings(files), repo_gates(files)))
     assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from siftlake import rules as R
-from siftlake.functions.text import linear_form, needed_literal
+from siftlake.functions.text import is_simple, linear_form, needed_literal
 from siftlake.plans import scan
 from siftlake.workload.bank import BANK
 
@@ -96,3 +96,56 @@ def test_long_line_is_matched_in_linear_time(make_files):
     line = "for (i in x) if (a == b) { print(c) } " * 20_000
     rows = scan.own_findings(make_files([("r", "min.js", line)])).collect()
     assert {r.type for r in rows} >= {"performance"}
+
+
+PARTS = st.lists(st.sampled_from(["a", "b", "ab", r"\s", r"\.", "[ab]", "[^a]", ".*", ".*?", "|", "(a)", r"(['\"])", r"\1", "a+", "b?",
+                                  "x{2}", r"\x41", r"\u0042", "^", "$", "a++", "(?i)", r"\Qa\E", r"\p{L}", r"\b", "'"]),
+                 min_size=1, max_size=5).map("".join)
+
+
+@settings(max_examples=600, deadline=None)
+@given(PARTS, st.lists(st.text("abAB'. x\"", max_size=12), min_size=3, max_size=8))
+def test_own_patterns_are_only_rewritten_if_simple(pattern, lines):
+    try:
+        plain = re.compile(pattern, re.I)
+    except re.error:
+        return
+    if is_simple(pattern):
+        quick, literal = re.compile(linear_form(pattern), re.I), needed_literal(pattern)
+        for line in lines:
+            assert bool(quick.search(line)) == bool(plain.search(line))
+            assert not plain.search(line) or literal in line.lower()
+
+
+def test_own_group_chooses_skip_and_mask(make_files):
+    files = make_files([("r", "a.py", "# token\n\"\"\"\ntoken inside\n\"\"\"\ntoken here\nimport token")])
+
+    def lines(**options):
+        group = R.RuleGroup("mine", "quality", 20, (".py",), "raw", R.ONCE_PER_LINE, False,
+                            (R.Rule("token|a.*b", "m", "LOW"),), **options)
+        return sorted(r.line for r in scan.rule_findings(files, group).collect())
+
+    assert lines() == [3, 5, 6] and lines(mask=True) == [5, 6] and lines(skip="quality") == [3, 5]
+
+
+def test_tree_below_an_odd_root(spark, tmp_path):
+    from siftlake.sources import corpus
+
+    root = tmp_path / "data" / "c++" / "data"
+    (root / "repoA" / "src" / "data").mkdir(parents=True)
+    (root / "repoA" / "src" / "data" / "a.py").write_text("x = 1")
+    (root / "repoA" / "b.md").write_text("y")
+    for given in (str(root), str(root) + "/", "file://" + str(root), "file:" + str(root)):
+        rows = {(r.repo_id, r.path): r.content for r in corpus.read_tree(spark, given).collect()}
+        assert rows == {("repoA", "src/data/a.py"): "x = 1", ("repoA", "b.md"): "y"}
+    assert [r.path for r in corpus.read_tree(spark, str(root), [".py"]).collect()] == ["src/data/a.py"]
+
+
+def test_single_file_findings_equal_the_pass(make_files, corpus):
+    from siftlake.operators.matching import filename_findings, line_hits, long_file_findings
+
+    files = make_files(corpus + [("r", "a/é x.py", ""), ("r", "b c.js", "x\n" * 501), ("r", "d.js", "x\r\n" * 500 + "y"), ("r", "e.py", "x\n" * 500)])
+    for alone, option in ((filename_findings, "filenames"), (long_file_findings, "long_files")):
+        want = line_hits(files, **{option: True})
+        got = alone(files).select([c for c in want.columns if c != "dedup"])
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.drop("dedup").collect())) and got.count() >= 2
