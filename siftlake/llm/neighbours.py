@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
 Every vector is projected on LINES random lines; per line the projections are a sorted array.  A
-query opens a window around its own projection on every line, as wide as WIDTH times a radius, and
-counts for each vector the windows that hold it.  Vectors with at least NEED collisions are verified
-by their exact distance.  The radius grows (virtual rehashing: wider windows on the same arrays)
-until the k-th best verified distance lies within it, or all vectors have been verified.  A vector
-within the radius falls into a window with probability 0.826, and so misses NEED of LINES windows
-with a probability under 0.1 %.
+query opens a window around its own projection on every line and counts for each vector the windows
+that hold it.  The first windows hold FIRST vectors a side; the vectors with most collisions are
+verified by their exact distance, and the k-th best of them is a radius that holds k vectors.  Then
+the windows grow to WIDTH times that radius (virtual rehashing: wider windows on the same arrays),
+and all vectors with at least NEED collisions are verified.  A vector within the radius falls into a
+window with probability 0.826, and so misses NEED of LINES windows with a probability under 0.1 %.
 
 Vectors are dealt into blocks by hash and queries into blocks of their own; a task searches one
 block of vectors for one block of queries, and the best of all blocks are merged.  Every vector is
@@ -23,8 +23,8 @@ from siftlake.llm.common import ship
 
 LINES = 64
 NEED = 43
+FIRST = 32  # vectors on each side of the query in the first windows
 WIDTH = 2.72  # window on a line, in radii
-GROW = 1.3
 VECTORS, QUERIES = 8_192, 4_096  # in a block, on average
 
 
@@ -42,50 +42,41 @@ class Index:
         self.order = np.argsort(points, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.take_along_axis(points.T, self.order.astype(np.int64), axis=1)
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k nearest found: (id, distance), nearest first, ties to the smaller id."""
-        n = len(self.ids)
-        at = query @ self.lines
-        lo = np.array([np.searchsorted(row, x, "left") for row, x in zip(self.sorted, at)])
-        hi = lo.copy()
-        counts = np.zeros(n, np.int32)
-        distance = np.full(n, np.inf)
-        checked = self.ids == query_id
-        left = n - int(checked.sum())
-        k = min(k, left)
-        if not k:
-            return []
-        # begin where the windows hold about k vectors
-        reach = min(n - 1, k)
-        gaps = np.minimum(np.abs(self.sorted[np.arange(LINES), np.minimum(lo + reach // 2, n - 1)] - at),
-                          np.abs(self.sorted[np.arange(LINES), np.maximum(lo - 1 - reach // 2, 0)] - at))
-        radius = max(float(np.median(gaps)) * 2 / WIDTH, 1e-12 * (1.0 + float(np.abs(at).max())))
-        while True:
-            half = WIDTH * radius / 2
-            new = []
-            for j in range(LINES):
-                a = int(np.searchsorted(self.sorted[j], at[j] - half, "left"))
-                b = int(np.searchsorted(self.sorted[j], at[j] + half, "right"))
-                a, b = min(a, lo[j]), max(b, hi[j])
-                if a < lo[j]:
-                    new.append(self.order[j, a:lo[j]])
-                if b > hi[j]:
-                    new.append(self.order[j, hi[j]:b])
-                lo[j], hi[j] = a, b
-            if new:
-                counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-            found = np.flatnonzero((counts >= NEED) & ~checked)
-            if len(found):
-                distance[found] = np.sqrt(((self.vectors[found] - query) ** 2).sum(axis=1))
-                checked[found] = True
-                left -= len(found)
-            if not left or np.partition(distance, k - 1)[k - 1] <= radius:
-                break
-            radius *= GROW
-        best = np.partition(distance, k - 1)[k - 1]
-        near = np.flatnonzero(distance <= best)
-        near = near[np.lexsort((self.ids[near], distance[near]))][:k]
-        return [(int(self.ids[i]), float(distance[i])) for i in near]
+    def _counts(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """In how many windows each vector is."""
+        inside = np.concatenate([order[a:b] for order, a, b in zip(self.order, lo.tolist(), hi.tolist())])
+        return np.bincount(inside, minlength=len(self.ids))
+
+    def _verified(self, found: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of ``found`` and their distances, ties to the smaller id."""
+        distance = np.sqrt(((self.vectors[found] - query) ** 2).sum(axis=1))
+        best = np.lexsort((self.ids[found], distance))[:k]
+        return found[best], distance[best]
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """(query, id, distance) of the k nearest found per query, without vectors of its own id."""
+        n, at = len(self.ids), queries @ self.lines
+        place = np.stack([np.searchsorted(row, x) for row, x in zip(self.sorted, at.T)], axis=1)
+        lo, hi = np.maximum(place - FIRST, 0), np.minimum(place + FIRST, n)
+        radius = np.full(len(queries), np.inf)
+        for q, query in enumerate(queries):
+            counts = self._counts(lo[q], hi[q])
+            top = np.argpartition(counts, n - min(n, 8 * k))[n - min(n, 8 * k):]
+            top = top[self.ids[top] != query_ids[q]]
+            _, distance = self._verified(top, query, k)
+            if len(distance) == k:
+                radius[q] = distance[-1]
+        # equal vectors may differ in the last bits of their projections
+        half = WIDTH / 2 * radius[:, None] + 1e-9 * (1.0 + np.abs(at))
+        lo = np.stack([np.searchsorted(row, x, "left") for row, x in zip(self.sorted, (at - half).T)], axis=1)
+        hi = np.stack([np.searchsorted(row, x, "right") for row, x in zip(self.sorted, (at + half).T)], axis=1)
+        out = []
+        for q, query in enumerate(queries):
+            enough = np.ones(n, bool) if np.isinf(radius[q]) else self._counts(lo[q], hi[q]) >= NEED
+            found = np.flatnonzero(enough & (self.ids != query_ids[q]))
+            ids, distance = self._verified(found, query, k)
+            out += [(int(query_ids[q]), int(self.ids[i]), float(d)) for i, d in zip(ids, distance)]
+        return out
 
 
 def _search(k: int):
@@ -93,8 +84,7 @@ def _search(k: int):
         out = []
         if len(vectors) and len(queries):
             index = Index(vectors["vec_id"].to_numpy(np.int64), np.stack(vectors["vector"].to_list()).astype(np.float64))
-            for i, q in zip(queries["vec_id"], queries["vector"]):
-                out += [(i, v, d) for v, d in index.search(i, np.asarray(q, np.float64), k)]
+            out = index.search(queries["vec_id"].to_numpy(np.int64), np.stack(queries["vector"].to_list()).astype(np.float64), k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(
             {"query_id": "int64", "vec_id": "int64", "score": "float64"})
     return run
