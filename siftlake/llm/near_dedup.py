@@ -9,11 +9,12 @@ their sets' intersection is at least 85 % of their union.
 2. Equal sets become one class, represented by its smallest id, so exact copies end here.
 3. In each band bucket all classes point to its smallest one, the hub; a class is compared on full
    sets with the hub that it shares most bands with.  Links found are united.
-4. What remains are pairs of classes that share a bucket but not a component.  Those that share
-   SHARED bands and whose set sizes allow a link are all compared on full sets, each pair once.
+4. What remains are pairs of classes that share a bucket but not a component.  They are dealt into
+   blocks; a task takes two blocks and compares, on full sets, all pairs of different components
+   that share SHARED bands and whose set sizes allow a link.  It returns links, never pairs.
 
-So a group of thousands of near copies costs one comparison per copy, and every pair that could
-join two components is still looked at."""
+So most of a group of thousands of near copies costs one comparison per copy, and every pair that
+could join two components is still looked at."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from siftlake.llm.common import fresh, ship
+from siftlake.llm.common import fresh, ship, small_batches
 from siftlake.llm.components import components
 from siftlake.session import cut
 
@@ -34,8 +35,9 @@ LANES, BANDS, ROWS = 128, 32, 4
 SHARED = 4
 PERCENT = 85
 GROUP = 500  # members compared with one hub by one task
+BLOCK, BLOCK_SHINGLES = 1_000, 4_000_000  # classes of a block, and their shingles, on average at most
 _CHUNK = 1 << 16  # shingles whose permutations are held at a time
-_CACHE = 1 << 19  # distinct words whose hashes are kept
+_CACHE = 1 << 17  # distinct words whose hashes are kept
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -174,24 +176,78 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(ordered.mapInPandas(_confirm, "u long, v long").distinct(), "links")
 
 
-def _pairs_left(classes: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of classes with a common bucket, in different components, that may be linked.  A pair
-    comes up in the first bucket that the two share."""
-    rows = (classes.join(joined.withColumnRenamed("u", "id"), "id", "left")
-            .select("id", F.coalesce("v", "id").alias("component"), "n_shingles", "bands"))
-    in_buckets = cut(rows.select(F.explode("bands").alias("bucket"), "id", "component"), "buckets")
-    mixed = (in_buckets.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-             .where("a < b").select("bucket"))
-    mixed_rows = in_buckets.join(mixed, "bucket").join(rows.select("id", "n_shingles", "bands"), "id")
-    mixed_rows = cut(mixed_rows, "mixed")
-    a, b = mixed_rows.alias("a"), mixed_rows.alias("b")
-    common = F.array_intersect("a.bands", "b.bands")
-    fits = ((F.col("a.n_shingles") * 100 >= F.col("b.n_shingles") * PERCENT)
-            & (F.col("b.n_shingles") * 100 >= F.col("a.n_shingles") * PERCENT))
-    return a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id"))
-                  & (F.col("a.component") != F.col("b.component")) & fits
-                  & (F.size(common) >= SHARED) & (F.get(common, F.lit(0)) == F.col("a.bucket"))
-                  ).select(F.col("a.id").alias("hub"), F.col("b.id").alias("member"))
+def _left(classes: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes with their component, and (id, group): which classes hang together through buckets
+    that still hold more than one component."""
+    rows = cut(classes.join(joined.withColumnRenamed("u", "id"), "id", "left")
+               .select("id", F.coalesce("v", "id").alias("component"), "n_shingles", "bands"), "left")
+    in_buckets = rows.select(F.explode("bands").alias("bucket"), "id", "component")
+    mixed = cut(in_buckets.groupBy("bucket").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.min("id").alias("first"))
+        .where("a < b").select("bucket", "first"), "mixed")
+    edges = cut(in_buckets.join(mixed, "bucket").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct(), "edges")
+    groups = (edges.select("u").distinct().join(components(edges), "u", "left")
+              .select(F.col("u").alias("id"), F.coalesce("v", "u").alias("group")))
+    return rows, cut(groups, "groups")
+
+
+def _compare(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links that join components, among the pairs of two blocks of a group (or within one).  Pairs
+    that share most bands come first, and a pair already joined here needs no comparison."""
+    rows = rows.sort_values("id", kind="stable")
+    low = np.flatnonzero(rows["block"] == rows["lo"])
+    high = np.flatnonzero(rows["block"] == rows["hi"])
+    same = bool(rows["lo"].iloc[0] == rows["hi"].iloc[0])
+    found = []
+    if len(low) and len(high):
+        bands = np.stack(rows["bands"].to_list()).astype(np.int64)
+        size, part = rows["n_shingles"].to_numpy(np.int64), rows["component"].to_numpy(np.int64)
+        shared = np.zeros((len(low), len(high)), np.uint8)
+        for k in range(BANDS):
+            shared += bands[low, k][:, None] == bands[high, k][None, :]
+        a, b = size[low][:, None], size[high][None, :]
+        wanted = ((shared >= SHARED) & (part[low][:, None] != part[high][None, :])
+                  & (a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT))
+        if same:
+            wanted &= low[:, None] < high[None, :]
+        x, y = np.nonzero(wanted)
+        order = np.argsort(-shared[x, y].astype(np.int64), kind="stable")
+        ids, texts, top, sets, hashes = rows["id"].tolist(), rows["text"].tolist(), {}, {}, _WordHashes()
+
+        def root(c: int) -> int:
+            while top.get(c, c) != c:
+                top[c] = top.get(top[c], top[c])
+                c = top[c]
+            return c
+
+        def elements(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(texts[i], hashes)
+            return sets[i]
+
+        for i, j in zip(low[x[order]].tolist(), high[y[order]].tolist()):
+            p, q = root(int(part[i])), root(int(part[j]))
+            if p != q and linked(elements(i), elements(j)):
+                top[max(p, q)] = min(p, q)
+                found.append((ids[i], ids[j]))
+    return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+
+def _left_links(classes: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
+    """All comparisons that step 3 left open.  A group is dealt into blocks of bounded length and a
+    task gets two of them, so neither a group nor its pairs come together in one place."""
+    rows, groups = _left(classes, joined)
+    members = groups.join(rows, "id")
+    sizes = (members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("all"))
+             .where("n > 1").select("group", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES))
+                                    .cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = (groups.join(sizes, "group").select("group", "id", block.alias("block"), F.explode(
+        F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("group", "id", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
+    whole = dealt.join(rows, "id").join(texts, "id").select(
+        "group", "lo", "hi", "block", "id", "component", "n_shingles", "bands", "text")
+    return cut(whole.groupBy("group", "lo", "hi").applyInPandas(_compare, "u long, v long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,7 +255,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     Null and empty texts have no shingles and are linked with nothing.  A row without id is linked
     with nothing, has no component_id and is kept.  Rows that share an id are one document; a link
-    of either is a link of both."""
+    of either is a link of both.  Sets the session's Arrow batches to ROWS rows."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketch = cut(docs.mapInArrow(_sketches, _SKETCH), "sketch")
     some = sketch.where("n_shingles > 0 and doc_id is not null")
@@ -219,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     near = cut(classes.join(crowd.select("id"), "id", "left_semi"), "near")
     links = _confirmed(crowd.where("hub is not null").select("hub", F.col("id").alias("member")), texts)
     joined = components(links)
-    more = _confirmed(_pairs_left(near, joined), texts)
+    more = _left_links(near, joined, texts)
     # the rows of a class, and of one id with several classes, hang together
     same = (some.select(*key, "doc_id").distinct().join(firsts, key).where("doc_id <> id")
             .select(F.col("doc_id").alias("u"), F.col("id").alias("v")))
