@@ -20,6 +20,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+ROWS = 1_000  # documents that go to a Python worker at a time
+
+
+def small_batches(spark: SparkSession, rows: int = ROWS) -> None:
+    """Rows of documents are wide: let at most ``rows`` of them go to a Python worker at a time, in
+    this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

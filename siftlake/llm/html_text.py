@@ -44,7 +44,7 @@ BOILER_NAMES = frozenset(
     "gdpr notice notices alert popup modal overlay sidebar rail widget widgets nav navbar navigation menu menus "
     "breadcrumb breadcrumbs footer header masthead topbar share sharing social related recommended recommendations "
     "newsletter subscribe subscription signup login search pagination pager toolbar skip legal copyright disclaimer "
-    "comment comments commentlist reply replies discussion disqus respond form".split())
+    "comment comments commentlist reply replies discussion disqus respond form side topnav sidenav subnav".split())
 PLACES = frozenset("site page main top bottom global primary secondary left right user reader post entry article blog "
                    "web app".split())
 CONTENT_NAMES = frozenset("content article post entry story body text main".split())

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftlake.llm.common import fresh, ship
+from siftlake.llm.common import fresh, ship, small_batches
 from siftlake.session import cut
 
 TRAIN_DOCS = 30_000  # about as many labelled documents, chosen by hash, are learned from
@@ -30,7 +30,7 @@ PRIOR = 20.0  # weight of the common distribution in each class's counts
 SURE = 1.96  # standard errors taken off a log-odds ratio
 GAP = 0.3  # taken off for each word without evidence
 EDGE = ".,;:!?\"'()[]{}<>|*_-#…«»“”‘’¿¡"
-_CACHE = 1 << 19
+_CACHE = 1 << 17
 
 
 def clean(word: str) -> str:
@@ -160,7 +160,9 @@ def _training_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
         train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from the labelled rows whose crc32 of the id, modulo 5, is not 0.  With no toxic or no
-    other row among them every document scores alike, below 0.5."""
+    other row among them every document scores alike, below 0.5.  Sets the session's Arrow batches
+    to ROWS rows."""
+    small_batches(docs.sparkSession)
     sample = _labelled(docs, labels, id_col, text, train_docs)
     rows = cut(sample.select("_id", "_toxic", "_text").mapInPandas(_training_rows, _ROWS), "training")
     first = rows.groupBy("key", "part", "toxic").agg(F.min("doc_id").alias("doc_id")).select("key", "doc_id")
