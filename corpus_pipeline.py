@@ -33,8 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    ids = bpe.encode(docs.select("doc_id", "text"), vocabulary_path()).drop("text")
-    return bpe.digests(bpe.decode(ids, vocabulary_path()))
+    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), vocabulary_path(), decoded="decoded"))
 
 
 STAGES = [

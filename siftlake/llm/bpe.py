@@ -1,50 +1,144 @@
 """Byte-level BPE with a distinct-word table.
 
-A text is split into words before every single space between two other characters; no token of
-the vocabulary's own split crosses such a place, so words can be encoded one by one.  The table of
-words has two parts.  Words that recur are counted over all documents by Spark, and the HEAD most
-frequent ones, a bounded number, are encoded once and sent to every task.  Every other word is
-looked up in its task: a task collects the distinct words of a block of texts, encodes each once,
-and joins the ids back by position.  Decoding joins ids with the pieces of the vocabulary."""
+A text is split into words at every single space or line feed between two other characters, the
+space going with the word after it; no token of the vocabulary's own split crosses such a place, so
+words can be encoded one by one.  The table of words has two parts.  Words that recur are counted
+over all documents by Spark, and the HEAD most frequent ones, a bounded number, are encoded once
+and sent to every task.  Every other word is looked up in its task: a task collects the distinct
+words of a block of texts, encodes each once, and joins the ids back by position.  Decoding joins
+ids with the pieces of the vocabulary."""
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import fresh, ship
+from siftlake.llm.common import fresh, ship, small_batches
 
-HEAD = 100_000  # words sent to every task
+HEAD = 50_000  # words sent to every task
 RECURS = 8  # a block reports the words that it has as often; the head does not change results
 BLOCK = 2 << 20  # characters of a block
-_CACHE = 400_000  # distinct words a task keeps besides
-_SPLIT = re.compile(r"(?<=\S) (?=\S)")
-_TOKENIZERS: dict = {}
+_CACHE = 100_000  # distinct words a task keeps besides
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
+_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = ".,;:!?)]}"
+_ENCODERS: dict = {}
 
 
 def _words(text: str) -> list[str]:
-    """The text in words; all but the first begin with a space."""
-    first, *rest = _SPLIT.split(text)
-    return [first, *[" " + w for w in rest]]
-
+    """The text in words.  Joined, they are the text."""
+    out: list[str] = []
+    for line in _LINE.split(text) if "\n" in text else (text,):
+        if out:
+            out.append("\n")
+        words = line.split()
+        # equal numbers: the words stand between single spaces and nothing else
+        if len(words) != line.count(" ") + 1:
+            words = _SPACE.split(line)
+        out.append(words[0])
+        out += [" " + w for w in words[1:]]
+    return out
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """Letters, after one space or none, and the marks behind them; ('', '') for other words.  The
+    vocabulary's split separates letters from marks, so both can be encoded by themselves."""
+    core = word.rstrip(_MARKS)
+    if len(core) < len(word) and (core[1:] if core[:1] == " " else core).isalpha():
+        return core, word[len(core):]
+    return "", ""
+
+
+# Fixed value: how byte-level vocabularies split a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LATIN = re.compile(r"[\n\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+class _Encoder:
+    """Ids of single words.  Words in ASCII and Latin letters go through the merge ranks, which is
+    quick; words with other characters or a special token, and vocabularies whose ids are not their
+    ranks, go through the tokenizers library, which is loaded when it is needed."""
+
+    def __init__(self, file: str):
+        import json
+
+        self.file, self.library, self.ranks = file, None, None
+        with open(file, encoding="utf-8") as f:
+            whole = json.load(f)
+        model, self.special = whole["model"], [t["content"] for t in whole.get("added_tokens") or []]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = [model["vocab"].get(a + b, -1) for a, b in merges]
+        if ids and ids[0] >= 256 and all(x < y for x, y in zip(ids, ids[1:])):
+            import tiktoken
+
+            byte = _byte_of()
+            ranks = {bytes(byte[c] for c in piece): i for piece, i in model["vocab"].items() if all(c in byte for c in piece)}
+            # a special token's text is no merge
+            ranks = {piece: i for piece, i in ranks.items() if len(piece) == 1 or i >= ids[0]}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        rest = []
+        for word in words:
+            if self.ranks is not None and _LATIN.fullmatch(word) and not any(t in word for t in self.special):
+                yield word, self.ranks.encode_ordinary(word)
+            else:
+                rest.append(word)
+        if rest and self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.file)
+            self.library.no_truncation()
+            self.library.no_padding()
+        for begin in range(0, len(rest), 4096):
+            part = rest[begin:begin + 4096]
+            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                yield word, found.ids
+
+
+class _Table(dict):
+    """Word -> its ids as int32 bytes: the shared head, then what this task has met."""
+
+    def __init__(self, head: dict[str, bytes], encoder: _Encoder):
+        super().__init__(head)
+        self.head, self.encoder = head, encoder
+
+    def learn(self, words: set[str]) -> None:
+        """Encode each word that is not known yet, once."""
+        if len(self) - len(self.head) > _CACHE:
+            self.clear()
+            self.update(self.head)
+        split = {w: _parts(w) for w in words if w not in self}
+        simple = {x for w, (core, marks) in split.items() for x in ((core, marks) if core else (w,)) if x not in self}
+        for word, ids in self.encoder(list(simple)):
+            self[word] = array("i", ids).tobytes()
+        for word, (core, marks) in split.items():
+            if core:
+                self[word] = self[core] + self[marks]
+
+
+def _byte_of() -> dict[str, int]:
+    """A byte-level vocabulary writes each byte as one character: the printable ones of Latin-1 as
+    themselves, the others, in order, as the characters from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-def _tokenizer(vocabulary: str):
-    from tokenizers import Tokenizer
 
+def _encoder(vocabulary: str) -> _Encoder:
     name = SparkFiles.get(vocabulary)
-    if name not in _TOKENIZERS:
-        made = _TOKENIZERS[name] = Tokenizer.from_file(name)
-        made.no_truncation()
-        made.no_padding()
-    return _TOKENIZERS[name]
+    if name not in _ENCODERS:
+        _ENCODERS[name] = _Encoder(name)
+    return _ENCODERS[name]
 
 
 def _share(spark: SparkSession, path: str) -> str:
@@ -74,7 +168,7 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in _blocks(batches, 0):
         for text in block.column(0).to_pylist():
             counts.update(_words(text or ""))
-        if len(counts) > 2 * _CACHE:
+        if len(counts) > _CACHE:
             yield report(counts)
             counts = Counter()
     yield report(counts)
@@ -82,46 +176,52 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encode_words(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(vocabulary)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            ids = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
-            yield pa.record_batch([pa.array(words, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            table = _Table({}, _encoder(vocabulary))
+            table.learn(set(words))
+            yield pa.record_batch([pa.array(words, pa.string()), pa.array([table[w] for w in words], pa.binary())],
+                                  names=["word", "ids"])
     return run
 
 
 def head_table(docs: DataFrame, vocabulary: str, text: str = "text", size: int = HEAD) -> DataFrame:
-    """(word, ids) of the ``size`` most frequent words, each encoded once."""
+    """(word, ids) of the ``size`` most frequent words, each encoded once; ids are int32 bytes."""
     counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_recurring, "word string, n long")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).select("word")
-    return top.mapInArrow(_encode_words(vocabulary), "word string, ids array<int>")
+    return top.mapInArrow(_encode_words(vocabulary), "word string, ids binary")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", head: int = HEAD) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", head: int = HEAD,
+           decoded: str | None = None) -> DataFrame:
     """``docs`` with ``out``, the ids of the whole text: what the tokenizers library gives with
     add_special_tokens=False, the strings of special tokens in the text included.  A null text is
-    an empty one and has no ids.  ``path`` is the tokenizer's JSON file, read on the driver."""
+    an empty one and has no ids.  ``path`` is the tokenizer's JSON file, read on the driver; its
+    special tokens must not contain white space.  With ``decoded``, a column of that name has the
+    ids decoded again, as ``decode`` does, by the same worker and so without a second one.  Sets the session's Arrow batches to ROWS rows."""
     spark = docs.sparkSession
+    small_batches(spark)
     vocabulary = _share(spark, path)
-    known = {r["word"]: tuple(r["ids"]) for r in head_table(docs, vocabulary, text, head).toLocalIterator()}
+    known = {r["word"]: bytes(r["ids"]) for r in head_table(docs, vocabulary, text, head).toLocalIterator()}
     shared = spark.sparkContext.broadcast(known)
     (mine,) = fresh(docs, "_text")
     rows = docs.withColumn(mine, F.col(text).cast("string"))
     place = len(rows.columns) - 1
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    names = [*docs.columns, out, *([decoded] if decoded else [])]
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())),
+                           *([T.StructField(decoded, T.StringType())] if decoded else [])])
+    pieces = spark.sparkContext.broadcast(id_pieces(path))  # as many as the vocabulary has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, frequent, rare = _tokenizer(vocabulary), shared.value, {}
+        table = _Table(shared.value, _encoder(vocabulary))
         for block in _blocks(batches, place):
             texts = [_words(t) if t else [] for t in block.column(place).to_pylist()]
-            if len(rare) > _CACHE:
-                rare = {}
-            new = list({w for words in texts for w in words if w not in frequent and w not in rare})
-            for word, found in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                rare[word] = tuple(found.ids)
-            ids = [list(chain.from_iterable([frequent[w] if w in frequent else rare[w] for w in words])) for words in texts]
-            yield pa.RecordBatch.from_arrays([*block.columns[:place], pa.array(ids, pa.list_(pa.int32()))],
-                                             names=[*block.schema.names[:place], out])
+            table.learn({w for words in texts for w in words})
+            ids = [b"".join(map(table.__getitem__, words)) for words in texts]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            more = [pa.array([_joined(np.frombuffer(x, np.int32), pieces.value) for x in ids], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*block.columns[:place], lists, *more], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -129,32 +229,34 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", hea
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with ``out``, the text of ``ids``: each id is joined with its piece, special tokens
     included; bytes that are no UTF-8 become U+FFFD.  Null ids give an empty text."""
-    spark = rows.sparkSession
-    vocabulary = _share(spark, path)
+    pieces = rows.sparkSession.sparkContext.broadcast(id_pieces(path))  # as many as the vocabulary has
     place = rows.columns.index(ids)
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(_tokenizer(vocabulary))
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                texts = [b"".join([pieces[i] for i in row or []]).decode("utf-8", "replace")
-                         for row in part.column(place).to_pylist()]
+            for begin in range(0, batch.num_rows, 64):
+                part = batch.slice(begin, 64)
+                texts = [_joined(row.values.to_numpy(), pieces.value) if row.is_valid else "" for row in part.column(place)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                                  names=[*part.schema.names, out])
 
     return rows.mapInArrow(run, schema)
 
 
-def _pieces(tokenizer) -> dict[int, bytes]:
-    """id -> bytes.  A byte-level vocabulary writes each byte as one character: the printable ones
-    of Latin-1 as themselves, the others, in order, as the characters from U+0100 on."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in shown]
-    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-    return {i: bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
-            for piece, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+def _joined(ids: np.ndarray, pieces: list[bytes]) -> str:
+    return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+
+def id_pieces(path: str) -> list[bytes]:
+    """The bytes of every id, special tokens included."""
+    from tokenizers import Tokenizer
+
+    vocabulary, byte = Tokenizer.from_file(path).get_vocab(with_added_tokens=True), _byte_of()
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for text, i in vocabulary.items():
+        out[i] = bytes(byte[c] for c in text) if all(c in byte for c in text) else text.encode()
+    return out
 
 
 def digests(rows: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -51,8 +51,7 @@ def vocabulary_path() -> str:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, vocabulary_path()).drop("text")
-    return bpe.digests(bpe.decode(ids, vocabulary_path()))
+    return bpe.digests(bpe.encode(docs, vocabulary_path(), decoded="decoded"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
