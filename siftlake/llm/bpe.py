@@ -41,8 +41,7 @@ def _words(text: str) -> list[str]:
         if out:
             out.append("\n")
         words = line.split()
-        # equal numbers: the words stand between single spaces and nothing else
-        if len(words) != line.count(" ") + 1:
+        if not words or " ".join(words) != line:  # something other than single spaces between or around them
             words = _SPACE.split(line)
         out.append(words[0])
         out += [" " + w for w in words[1:]]
