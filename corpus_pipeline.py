@@ -13,6 +13,8 @@ from siftlake.llm.common import read
 from siftlake.llm.queries import vocabulary_path
 from siftlake.session import cut
 
+NEAR_PERCENT = 80  # similarity from which two documents are copies here; op4 has its own
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
@@ -23,7 +25,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

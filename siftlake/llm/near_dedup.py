@@ -1,24 +1,26 @@
 """Near duplicates: SuperMinHash signatures, banding, verification, union-find.
 
 A document is the set of its distinct 5-word shingles (64-bit hashes).  Documents are linked when
-their sets' intersection is at least 85 % of their union.
+their sets' intersection is at least PERCENT (85) % of their union, or what the caller asks for.
 
 1. One pass over the texts makes, per document, a digest of its set and a SuperMinHash signature of
-   LANES lanes, kept as BANDS hashes of ROWS lanes each.  A pair at 0.85 shares no band with
-   probability (1 - 0.85**4)**32, about 6e-11, and fewer than SHARED bands in 4 cases of 10 million.
+   LANES lanes, kept as BANDS hashes of ROWS lanes each.  A pair just at the threshold shares fewer
+   than shared_bands() of them in at most MISS of all cases: fewer than 4 at 0.85 in 4 cases of 10
+   million, fewer than 2 at 0.80 in 11 of 10 million.
 2. Equal sets become one class, represented by its smallest id, so exact copies end here.
 3. In each band bucket all classes point to its smallest one, the hub; a class is compared on full
    sets with the hub that it shares most bands with.  Links found are united.
 4. What remains are pairs of classes that share a bucket but not a component.  They are dealt into
    blocks; a task takes two blocks and compares, on full sets, all pairs of different components
-   that share SHARED bands and whose set sizes allow a link.  It returns links, never pairs.
+   that share shared_bands() bands and whose set sizes allow a link.  It returns links, never pairs.
 
 So most of a group of thousands of near copies costs one comparison per copy, and every pair that
 could join two components is still looked at."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from siftlake.session import cut
 
 WORDS = 5
 LANES, BANDS, ROWS = 128, 32, 4
-SHARED = 4
+MISS = 2e-6  # how often a pair just at the threshold may be overlooked, at most
 PERCENT = 85
 GROUP = 500  # members compared with one hub by one task
 BLOCK, BLOCK_SHINGLES = 1_000, 4_000_000  # classes of a block, and their shingles, on average at most
@@ -139,31 +141,48 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([b.tolist() if n else [] for b, n in zip(bands, lengths)], pa.list_(pa.int64()))], schema=_ARROW)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def missed(percent: float, shared: int) -> float:
+    """How often a pair at ``percent`` shares fewer than ``shared`` bands."""
+    p = (percent / 100) ** ROWS
+    return sum(math.comb(BANDS, k) * p ** k * (1 - p) ** (BANDS - k) for k in range(shared))
+
+
+def shared_bands(percent: float) -> int:
+    """The most bands that can be asked of a pair at ``percent``; below 0.80 one, and MISS does not hold."""
+    shared = 1
+    while shared < BANDS and missed(percent, shared + 1) <= MISS:
+        shared += 1
+    return shared
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: float = PERCENT) -> bool:
     """On full sets; sets without elements are linked with nothing."""
     if not len(a) or not len(b):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by hub, the hub's own text before the members'."""
-    hashes, hub, held = _WordHashes(), None, []
-    for batch in batches:
-        found = []
-        for key, salt, member, own, text in zip(batch["hub"], batch["salt"], batch["member"], batch["is_member"], batch["text"]):
-            if hub != (key, salt):
-                hub, held = (key, salt), []
-            elements = shingles(text, hashes)
-            if not own:
-                held.append(elements)
-            elif any(linked(elements, h) for h in held):
-                found.append((key, member))
-        yield pd.DataFrame(found, columns=["u", "v"]).astype("int64")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirm(percent: float) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by hub, the hub's own text before the members'."""
+        hashes, hub, held = _WordHashes(), None, []
+        for batch in batches:
+            found = []
+            for key, salt, member, own, text in zip(batch["hub"], batch["salt"], batch["member"], batch["is_member"], batch["text"]):
+                if hub != (key, salt):
+                    hub, held = (key, salt), []
+                elements = shingles(text, hashes)
+                if not own:
+                    held.append(elements)
+                elif any(linked(elements, h, percent) for h in held):
+                    found.append((key, member))
+            yield pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: float) -> DataFrame:
     """Those of ``pairs`` (hub, member) that are linked.  A hub's members are dealt to as many
     tasks as their number asks for, each with a copy of the hub's text."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("tasks"))
@@ -173,7 +192,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = dealt.withColumn("is_member", F.lit(1)).unionByName(hubs)
     rows = wanted.join(texts, wanted.member == texts.id).select("hub", "salt", "member", "is_member", "text")
     ordered = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "is_member")
-    return cut(ordered.mapInPandas(_confirm, "u long, v long").distinct(), "links")
+    return cut(ordered.mapInPandas(_confirm(percent), "u long, v long").distinct(), "links")
 
 
 def _left(classes: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -191,49 +210,54 @@ def _left(classes: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, cut(groups, "groups")
 
 
-def _compare(rows: pd.DataFrame) -> pd.DataFrame:
+def _compare(percent: float) -> Callable:
     """Links that join components, among the pairs of two blocks of a group (or within one).  Pairs
     that share most bands come first, and a pair already joined here needs no comparison."""
-    rows = rows.sort_values("id", kind="stable")
-    low = np.flatnonzero(rows["block"] == rows["lo"])
-    high = np.flatnonzero(rows["block"] == rows["hi"])
-    same = bool(rows["lo"].iloc[0] == rows["hi"].iloc[0])
-    found = []
-    if len(low) and len(high):
-        bands = np.stack(rows["bands"].to_list()).astype(np.int64)
-        size, part = rows["n_shingles"].to_numpy(np.int64), rows["component"].to_numpy(np.int64)
-        shared = np.zeros((len(low), len(high)), np.uint8)
-        for k in range(BANDS):
-            shared += bands[low, k][:, None] == bands[high, k][None, :]
-        a, b = size[low][:, None], size[high][None, :]
-        wanted = ((shared >= SHARED) & (part[low][:, None] != part[high][None, :])
-                  & (a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT))
-        if same:
-            wanted &= low[:, None] < high[None, :]
-        x, y = np.nonzero(wanted)
-        order = np.argsort(-shared[x, y].astype(np.int64), kind="stable")
-        ids, texts, top, sets, hashes = rows["id"].tolist(), rows["text"].tolist(), {}, {}, _WordHashes()
-
-        def root(c: int) -> int:
-            while top.get(c, c) != c:
-                top[c] = top.get(top[c], top[c])
-                c = top[c]
-            return c
-
-        def elements(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingles(texts[i], hashes)
-            return sets[i]
-
-        for i, j in zip(low[x[order]].tolist(), high[y[order]].tolist()):
-            p, q = root(int(part[i])), root(int(part[j]))
-            if p != q and linked(elements(i), elements(j)):
-                top[max(p, q)] = min(p, q)
-                found.append((ids[i], ids[j]))
-    return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
-
-
-def _left_links(classes: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
+    enough = shared_bands(percent)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", kind="stable")
+        low = np.flatnonzero(rows["block"] == rows["lo"])
+        high = np.flatnonzero(rows["block"] == rows["hi"])
+        same = bool(rows["lo"].iloc[0] == rows["hi"].iloc[0])
+        found = []
+        if len(low) and len(high):
+            bands = np.stack(rows["bands"].to_list()).astype(np.int64)
+            size, part = rows["n_shingles"].to_numpy(np.int64), rows["component"].to_numpy(np.int64)
+            shared = np.zeros((len(low), len(high)), np.uint8)
+            for k in range(BANDS):
+                shared += bands[low, k][:, None] == bands[high, k][None, :]
+            a, b = size[low][:, None], size[high][None, :]
+            wanted = ((shared >= enough) & (part[low][:, None] != part[high][None, :])
+                      & (a * 100 >= b * percent) & (b * 100 >= a * percent))
+            if same:
+                wanted &= low[:, None] < high[None, :]
+            x, y = np.nonzero(wanted)
+            order = np.argsort(-shared[x, y].astype(np.int64), kind="stable")
+            ids, texts, top, sets, hashes = rows["id"].tolist(), rows["text"].tolist(), {}, {}, _WordHashes()
+
+            def root(c: int) -> int:
+                while top.get(c, c) != c:
+                    top[c] = top.get(top[c], top[c])
+                    c = top[c]
+                return c
+
+            def elements(i: int) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = shingles(texts[i], hashes)
+                return sets[i]
+
+            for i, j in zip(low[x[order]].tolist(), high[y[order]].tolist()):
+                p, q = root(int(part[i])), root(int(part[j]))
+                if p != q and linked(elements(i), elements(j), percent):
+                    top[max(p, q)] = min(p, q)
+                    found.append((ids[i], ids[j]))
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    return run
+
+
+def _left_links(classes: DataFrame, joined: DataFrame, texts: DataFrame, percent: float) -> DataFrame:
     """All comparisons that step 3 left open.  A group is dealt into blocks of bounded length and a
     task gets two of them, so neither a group nor its pairs come together in one place."""
     rows, groups = _left(classes, joined)
@@ -247,11 +271,12 @@ def _left_links(classes: DataFrame, joined: DataFrame, texts: DataFrame) -> Data
         .select("group", "id", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
     whole = dealt.join(rows, "id").join(texts, "id").select(
         "group", "lo", "hi", "block", "id", "component", "n_shingles", "bands", "text")
-    return cut(whole.groupBy("group", "lo", "hi").applyInPandas(_compare, "u long, v long").distinct(), "links")
+    return cut(whole.groupBy("group", "lo", "hi").applyInPandas(_compare(percent), "u long, v long").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: float = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.  Documents are linked from
+    ``percent`` % on.
 
     Null and empty texts have no shingles and are linked with nothing.  A row without id is linked
     with nothing, has no component_id and is kept.  Rows that share an id are one document; a link
@@ -268,15 +293,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     hubs = cut(in_buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
                .where("hub < last").select("bucket", "hub"), "hubs")
     shared = cut(in_buckets.join(hubs, "bucket").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n")), "shared")
-    wanted = shared.groupBy("id").agg(F.max(F.when((F.col("n") >= SHARED) & (F.col("hub") != F.col("id")), F.struct(
+    wanted = shared.groupBy("id").agg(F.max(F.when((F.col("n") >= shared_bands(percent)) & (F.col("hub") != F.col("id")), F.struct(
         "n", (-F.col("hub")).alias("hub")))).alias("best"))
     crowd = cut(wanted.select("id", (-F.col("best.hub")).alias("hub")), "crowd")  # all that share any bucket
     texts = cut(docs.join(crowd.select("id"), docs.doc_id == F.col("id"), "left_semi")
                 .distinct().withColumnRenamed("doc_id", "id"), "texts")
     near = cut(classes.join(crowd.select("id"), "id", "left_semi"), "near")
-    links = _confirmed(crowd.where("hub is not null").select("hub", F.col("id").alias("member")), texts)
+    links = _confirmed(crowd.where("hub is not null").select("hub", F.col("id").alias("member")), texts, percent)
     joined = components(links)
-    more = _left_links(near, joined, texts)
+    more = _left_links(near, joined, texts, percent)
     # the rows of a class, and of one id with several classes, hang together
     same = (some.select(*key, "doc_id").distinct().join(firsts, key).where("doc_id <> id")
             .select(F.col("doc_id").alias("u"), F.col("id").alias("v")))
@@ -286,10 +311,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
                     F.coalesce(F.col("v").isNull(), F.lit(True)).alias("kept")))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: float = PERCENT) -> DataFrame:
     """One document of each group, with all columns; repeated rows of one id count as copies."""
     (name,) = fresh(docs, "_kept_id")
-    kept = near_duplicates(docs, id_col, text).where("kept and doc_id is not null").select(
+    kept = near_duplicates(docs, id_col, text, percent).where("kept and doc_id is not null").select(
         F.col("doc_id").alias(name)).distinct()
     hits = docs.where(F.col(id_col).isNotNull()).withColumn(f"{name}2", F.col(id_col).cast("long"))
     once = hits.join(kept, F.col(f"{name}2") == F.col(name), "left_semi").dropDuplicates([f"{name}2"])

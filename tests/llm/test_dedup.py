@@ -96,6 +96,26 @@ def test_near_groups(spark):
         assert all(r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (want[r["doc_id"]] == r["doc_id"]) for r in rows)
 
 
+def test_near_threshold_is_the_callers(spark):
+    def pair(i, changed):  # 96 shingles, of which the last ``changed`` differ
+        words = [f"t{i}w{k}" for k in range(100)]
+        return [_row(i, " ".join(words)), _row(i + 1, " ".join(words[:100 - changed] + [f"t{i}v{k}" for k in range(changed)]))]
+
+    docs = [*pair(10, 5), *pair(20, 10), *pair(30, 11)]  # 91/101, 86/106 = 0.811, 85/107 = 0.794
+    df = spark.createDataFrame(docs, DOCS)
+    for percent, gone in ((None, {11}), (85, {11}), (80, {11, 21}), (79, {11, 21, 31})):
+        more = {} if percent is None else {"percent": percent}
+        rows = near_dedup.near_duplicates(df, **more).collect()
+        assert {r["doc_id"] for r in rows if not r["kept"]} == gone
+        left = {r["doc_id"] for r in near_dedup.drop_near_duplicates(df, **more).collect()}
+        assert left == {d[0] for d in docs} - gone
+
+
+def test_overlooked_pairs_are_rare():
+    assert near_dedup.shared_bands(85) == 4 and near_dedup.shared_bands(80) == 2
+    assert all(near_dedup.missed(p, near_dedup.shared_bands(p)) <= near_dedup.MISS for p in (80, 85, 90, 99))
+
+
 def test_near_odd_rows(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     text = " ".join(f"w{i}" for i in range(50))
