@@ -26,9 +26,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from siftlake.llm.common import fresh, ship, small_batches
+from siftlake.llm.common import fresh, ship, small_batches, text_of
 from siftlake.llm.components import components
 from siftlake.session import cut
 
@@ -110,13 +110,13 @@ def bands_of(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-_SKETCH = "doc_id long, n_shingles long, high long, low long, bands array<long>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64()),
+_SKETCH = "doc_id long, text_digest binary, n_shingles long, high long, low long, bands array<long>"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("text_digest", pa.binary()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64()),
                     ("bands", pa.list_(pa.int64()))])
 
 
-def _parts(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[tuple[list, list]]:
-    """Ids and texts, about ``chars`` characters at a time."""
+def _parts(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[tuple[list, list, pa.Array]]:
+    """Ids, texts and the texts' digests, about ``chars`` characters at a time."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         begin = size = 0
@@ -125,19 +125,20 @@ def _parts(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[
         for i, n in enumerate(lengths):
             size += n
             if size >= chars or i + 1 == len(lengths):
-                yield ids.slice(begin, i + 1 - begin).to_pylist(), texts.slice(begin, i + 1 - begin).to_pylist()
+                n = i + 1 - begin
+                yield ids.slice(begin, n).to_pylist(), texts.slice(begin, n).to_pylist(), batch.column(2).slice(begin, n)
                 begin, size = i + 1, 0
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
-    for ids, texts in _parts(batches):
+    for ids, texts, digests in _parts(batches):
         sets = [shingles(t, hashes) for t in texts]
         keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets])
         bands = bands_of(superminhash(sets))
         lengths = [len(s) for s in sets]
         yield pa.record_batch([
-            pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+            pa.array(ids, pa.int64()), digests, pa.array(lengths, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
             pa.array([b.tolist() if n else [] for b, n in zip(bands, lengths)], pa.list_(pa.int64()))], schema=_ARROW)
 
 
@@ -274,21 +275,33 @@ def _left_links(classes: DataFrame, joined: DataFrame, texts: DataFrame, percent
     return cut(whole.groupBy("group", "lo", "hi").applyInPandas(_compare(percent), "u long, v long").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: float = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.  Documents are linked from
-    ``percent`` % on.
+def text_digest(text: str) -> Column:
+    """Null as empty."""
+    return F.unhex(F.sha2(text_of(text), 256))
 
-    Null and empty texts have no shingles and are linked with nothing.  A row without id is linked
-    with nothing, has no component_id and is kept.  Rows that share an id are one document; a link
-    of either is a link of both.  Sets the session's Arrow batches to ROWS rows."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+def _numbered(sketch: DataFrame) -> DataFrame:
+    """doc_id, text_digest and ``id``, a number for each two of them that rises in their order."""
+    pairs = cut(sketch.where("doc_id is not null").select("doc_id", "text_digest").distinct(), "pairs")
+    return cut(pairs.orderBy("doc_id", "text_digest").withColumn("id", F.monotonically_increasing_id()), "numbered")
+
+
+def _grouped(docs: DataFrame, percent: float, apart: bool) -> DataFrame:
+    """doc_id, text_digest, n_shingles, id and v, the smallest id of the component if it is another
+    one.  ``id`` is the document: doc_id or, with ``apart``, one per doc_id and text.  ``docs`` are
+    doc_id, text and text_digest, which only counts with ``apart``."""
     sketch = cut(docs.mapInArrow(_sketches, _SKETCH), "sketch")
-    some = sketch.where("n_shingles > 0 and doc_id is not null")
-    key = ["n_shingles", "high", "low"]
-    firsts = cut(some.groupBy(*key).agg(F.min("doc_id").alias("id")), "classes")
-    classes = (some.join(firsts.withColumnRenamed("id", "doc_id"), [*key, "doc_id"], "left_semi")
-               .select(F.col("doc_id").alias("id"), "n_shingles", "bands").dropDuplicates(["id", "n_shingles", "bands"]))
+    key = ["doc_id", "text_digest"]
+    if apart:
+        numbers = _numbered(sketch)
+        named = cut(sketch.join(numbers, key, "left"), "named")
+    else:
+        named = sketch.withColumn("id", F.col("doc_id"))
+    some = named.where("n_shingles > 0 and id is not null").drop(*key)
+    same_set = ["n_shingles", "high", "low"]
+    firsts = cut(some.groupBy(*same_set).agg(F.min("id").alias("id")), "classes")
+    classes = (some.join(firsts, [*same_set, "id"], "left_semi").select("id", "n_shingles", "bands")
+               .dropDuplicates(["id", "n_shingles", "bands"]))
     in_buckets = classes.select(F.explode("bands").alias("bucket"), "id")
     hubs = cut(in_buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
                .where("hub < last").select("bucket", "hub"), "hubs")
@@ -296,29 +309,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     wanted = shared.groupBy("id").agg(F.max(F.when((F.col("n") >= shared_bands(percent)) & (F.col("hub") != F.col("id")), F.struct(
         "n", (-F.col("hub")).alias("hub")))).alias("best"))
     crowd = cut(wanted.select("id", (-F.col("best.hub")).alias("hub")), "crowd")  # all that share any bucket
-    texts = cut(docs.join(crowd.select("id"), docs.doc_id == F.col("id"), "left_semi")
-                .distinct().withColumnRenamed("doc_id", "id"), "texts")
+    if apart:
+        texts = docs.join(crowd.select("id").join(numbers, "id"), key).select("id", "text")
+    else:
+        texts = (docs.join(crowd.select("id"), docs.doc_id == F.col("id"), "left_semi")
+                 .select(F.col("doc_id").alias("id"), "text"))
+    texts = cut(texts.distinct(), "texts")
     near = cut(classes.join(crowd.select("id"), "id", "left_semi"), "near")
     links = _confirmed(crowd.where("hub is not null").select("hub", F.col("id").alias("member")), texts, percent)
     joined = components(links)
     more = _left_links(near, joined, texts, percent)
     # the rows of a class, and of one id with several classes, hang together
-    same = (some.select(*key, "doc_id").distinct().join(firsts, key).where("doc_id <> id")
-            .select(F.col("doc_id").alias("u"), F.col("id").alias("v")))
-    groups = components(joined.unionByName(more).unionByName(same)).withColumnRenamed("u", "doc_id")
-    return (sketch.join(groups, "doc_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("v", "doc_id").alias("component_id"),
-                    F.coalesce(F.col("v").isNull(), F.lit(True)).alias("kept")))
+    same = (some.select(*same_set, F.col("id").alias("u")).distinct().join(firsts, same_set).where("u <> id")
+            .select("u", F.col("id").alias("v")))
+    groups = components(joined.unionByName(more).unionByName(same)).withColumnRenamed("u", "id")
+    return named.join(groups, "id", "left").select(*key, "n_shingles", "id", "v")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: float = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.  Documents are linked from
+    ``percent`` % on.
+
+    Null and empty texts have no shingles and are linked with nothing.  A row without id is linked
+    with nothing, has no component_id and is kept.  Rows that share an id are one document; a link
+    of either is a link of both.  Sets the session's Arrow batches to ROWS rows."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+                       F.lit(None).cast("binary").alias("text_digest"))
+    return _grouped(docs, percent, False).select(
+        "doc_id", "n_shingles", F.coalesce("v", "doc_id").alias("component_id"),
+        F.coalesce(F.col("v").isNull(), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: float = PERCENT) -> DataFrame:
-    """One document of each group, with all columns; repeated rows of one id count as copies."""
-    (name,) = fresh(docs, "_kept_id")
-    kept = near_duplicates(docs, id_col, text, percent).where("kept and doc_id is not null").select(
-        F.col("doc_id").alias(name)).distinct()
-    hits = docs.where(F.col(id_col).isNotNull()).withColumn(f"{name}2", F.col(id_col).cast("long"))
-    once = hits.join(kept, F.col(f"{name}2") == F.col(name), "left_semi").dropDuplicates([f"{name}2"])
-    return once.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """One document of each group, with all columns: the one with the smallest id, then the smallest
+    digest of the text.  Rows with one id and different texts are documents of their own; rows
+    equal in both count as copies, and the one with the smallest other columns stays (maps aside)."""
+    small_batches(docs.sparkSession)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+                        text_digest(text).alias("text_digest"))
+    name, digest, row = fresh(docs, "_kept_id", "_digest", "_row")
+    kept = _grouped(plain, percent, True).where("v is null and id is not null").select(
+        F.col("doc_id").alias(name), F.col("text_digest").alias(digest)).distinct()
+    hits = (docs.where(F.col(id_col).isNotNull()).withColumn(name, F.col(id_col).cast("long"))
+            .withColumn(digest, text_digest(text)).join(kept, [name, digest], "left_semi"))
+    others = [f.name for f in docs.schema.fields if f.name != text and "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.col(text).isNull(), *others)
+    once = hits.groupBy(name, digest).agg(F.min_by(F.struct(*docs.columns), order).alias(row))
+    return once.select(f"{row}.*").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 ship(__name__)

@@ -127,6 +127,16 @@ def test_near_odd_rows(spark):
     assert left.columns == df.columns and sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 0, 3, 9]
 
 
+def test_one_id_with_different_texts_loses_none(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = [(1, one, "en", "t", 0), (1, one, "en", "s", 9), (1, two, "en", "s", 0), (2, two + " end", "en", "s", 0),
+            (3, "", "en", "s", 0), (3, None, "en", "s", 0), (3, "c", "en", "s", 0), (None, one, "en", "s", 0)]
+    for parts in (1, 4):
+        left = near_dedup.drop_near_duplicates(spark.createDataFrame(docs, DOCS).repartition(parts)).collect()
+        assert sorted((r["doc_id"] or 0, r["text"], r["source"], r["n_chars"]) for r in left) == sorted(
+            [(1, one, "s", 9), (1, two, "s", 0), (3, "", "s", 0), (3, "c", "s", 0), (0, one, "s", 0)])
+
+
 def test_a_chain_is_one_component(spark):
     words = [f"w{i}" for i in range(200)]
     docs = []
