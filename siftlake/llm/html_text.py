@@ -29,6 +29,7 @@ SAMPLE_PAGES = 2_000  # about as many pages, chosen by hash, train the text mode
 SMOOTH = 1.0  # capacity between neighbours with one parent
 FAR = 16  # tree distances are told apart up to here
 TEXT_WEIGHT = 2.0  # the most that the text alone can say
+SURE, KIND, LAYOUT = -8.0, -2.5, -2.25  # boilerplate by element or role, by a class that names the text, by one that names its place
 
 # Names of elements, roles and classes and what they say about a block.
 SILENT = frozenset("head title script style noscript template iframe object svg math canvas audio video map "
@@ -45,6 +46,8 @@ BOILER_NAMES = frozenset(
     "breadcrumb breadcrumbs footer header masthead topbar share sharing social related recommended recommendations "
     "newsletter subscribe subscription signup login search pagination pager toolbar skip legal copyright disclaimer "
     "comment comments commentlist reply replies discussion disqus respond form side topnav sidenav subnav".split())
+COMMENT_NAMES = frozenset("comment comments commentlist reply replies discussion disqus respond".split())
+LAYOUT_NAMES = frozenset("sidebar side rail form header masthead banner topbar search login signup".split())
 PLACES = frozenset("site page main top bottom global primary secondary left right user reader post entry article blog "
                    "web app".split())
 CONTENT_NAMES = frozenset("content article post entry story body text main".split())
@@ -54,45 +57,65 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 _NAME = re.compile(r"[^\s]+")
 
 
-def _name_says(name: str) -> int:
-    """-1 boilerplate, 1 content, 0 nothing, for one class or id."""
+def _boiler_says(name: str) -> float:
+    return SURE if name in COMMENT_NAMES else LAYOUT if name in LAYOUT_NAMES else KIND
+
+
+def _name_says(name: str) -> float:
+    """What one class or id says: below 0 boilerplate, 2 content, 0 nothing."""
     parts = [p for p in re.split(r"[-_]+", name.lower()) if p]
     if not parts:
-        return 0
+        return 0.0
     if parts[0] in BOILER_NAMES:
-        return -1
+        return _boiler_says(parts[0])
     if len(parts) > 1 and parts[0] in PLACES and parts[-1] in BOILER_NAMES:
-        return 0 if parts[-1] == "header" and parts[0] in ("post", "entry", "article") else -1
-    return 1 if parts[0] in CONTENT_NAMES or parts[-1] in CONTENT_NAMES else 0
+        return 0.0 if parts[-1] == "header" and parts[0] in ("post", "entry", "article") else _boiler_says(parts[-1])
+    return 2.0 if parts[0] in CONTENT_NAMES or parts[-1] in CONTENT_NAMES else 0.0
 
 
-def _evidence(tag: str, attrs: dict, in_article: bool) -> tuple[float, bool]:
-    """What an element says about the text in it, and whether that holds for all below it."""
+def _evidence(tag: str, attrs: dict, in_article: bool) -> float:
+    """What an element says about the text in it.  What is below 0 holds for all below it, as ``_below`` says."""
     role = (attrs.get("role") or "").lower()
     style = (attrs.get("style") or "").lower().replace(" ", "")
     hidden = "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in style
-    if hidden or tag in BOILER_TAGS or role in BOILER_ROLES or (tag == "header" and not in_article):
-        return -8.0, True
+    if hidden or (tag in BOILER_TAGS and tag != "form") or role in BOILER_ROLES or (tag == "header" and not in_article):
+        return SURE
+    said = [0.0]
     if tag not in ("html", "body", "main"):
-        said = [_name_says(n) for key in ("class", "id") for n in _NAME.findall(attrs.get(key) or "")]
-        if -1 in said:
-            return -8.0, True
-        if 1 in said and tag != "article":
-            return 2.0, False
-    if tag in ("article", "main") or role in ("main", "article"):
-        return 4.0, False
-    return 0.0, False
+        said += [_name_says(n) for key in ("class", "id") for n in _NAME.findall(attrs.get(key) or "")]
+    if tag == "form":
+        said.append(LAYOUT)
+    if min(said) < 0:
+        return min(said)
+    if max(said) > 0 and tag != "article":
+        return 2.0
+    return 4.0 if tag in ("article", "main") or role in ("main", "article") else 0.0
+
+
+def _below(above: float, own: float, tag: str, role: str, form: bool) -> float:
+    """What holds in an element that says ``own``, where its parent's ``above`` holds.  A verdict of
+    boilerplate stays unless a worse one is met; that of a place ends at an article or main element,
+    that of a form also at a class for content, that of a kind of text at a main element only."""
+    if above >= 0:
+        return own or above
+    if own < 0:
+        return min(above, own)
+    main = tag == "main" or role == "main"
+    if (above == LAYOUT and (own == 4.0 or (form and own > 0))) or (above == KIND and main and own > 0):
+        return own
+    return above
 
 
 class Block:
     """A run of text without a block boundary."""
 
-    __slots__ = ("pieces", "linked", "evidence", "parent", "depth", "heading")
+    __slots__ = ("pieces", "linked", "evidence", "parent", "depth", "heading", "layouts")
 
-    def __init__(self, evidence: float, parent: int, depth: int, heading: bool):
+    def __init__(self, evidence: float, parent: int, depth: int, heading: bool, layouts: tuple = ()):
         self.pieces: list[str] = []
         self.linked = 0
         self.evidence, self.parent, self.depth, self.heading = evidence, parent, depth, heading
+        self.layouts = layouts  # the elements around it that LAYOUT comes from
 
     @property
     def text(self) -> str:
@@ -106,8 +129,8 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.parents, self.depths = [-1], [0]
-        # tag, element, evidence, holds below, silent, in article
-        self.stack: list[tuple] = [("", 0, 0.0, False, False, False)]
+        # tag, element, evidence, elements of layout around, all of them forms, silent, in article
+        self.stack: list[tuple] = [("", 0, 0.0, (), True, False, False)]
         self.block: Block | None = None
         self.links = 0
 
@@ -135,18 +158,22 @@ class _Reader(HTMLParser):
                     break
                 if self.stack[i][0] in STOPS.get(tag, ()) or (tag == "p" and self.stack[i][0] not in INLINE):
                     break
-        _, above, evidence, holds, silent, in_article = self.stack[-1]
-        own, own_holds = (0.0, False) if holds else _evidence(tag, dict(attrs), in_article)
-        if own:
-            evidence = own
-        if tag not in INLINE or own:
+        _, above, before, layouts, forms, silent, in_article = self.stack[-1]
+        attrs = dict(attrs)
+        own = _evidence(tag, attrs, in_article) if before > SURE else 0.0
+        evidence = _below(before, own, tag, (attrs.get("role") or "").lower(), forms)
+        if tag not in INLINE or evidence != before:
             self._end_block()
             self.parents.append(above)
             self.depths.append(self.depths[above] + 1)
             above = len(self.parents) - 1
         if tag == "a":
             self.links += 1
-        self.stack.append((tag, above, evidence, holds or own_holds, silent or tag in SILENT,
+        if evidence != LAYOUT:
+            layouts, forms = (), True
+        elif own == LAYOUT:
+            layouts, forms = (*layouts, above), forms and tag == "form"
+        self.stack.append((tag, above, evidence, layouts, forms, silent or tag in SILENT,
                            in_article or tag in ("article", "main")))
 
     def handle_startendtag(self, tag, attrs):
@@ -165,25 +192,50 @@ class _Reader(HTMLParser):
             self._end_block()
 
     def handle_data(self, data):
-        _, element, evidence, _, silent, _ = self.stack[-1]
+        _, element, evidence, layouts, _, silent, _ = self.stack[-1]
         if silent:
             return
         if self.block is None:
             if not data.strip():
                 return
             heading = any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in self.stack[-4:])
-            self.block = Block(evidence, element, self.depths[element], heading)
+            self.block = Block(evidence, element, self.depths[element], heading, layouts)
         self.block.pieces.append(data)
         if self.links:
             self.block.linked += len(data.strip())
 
 
+def _lift(blocks: list[Block], parents: list[int]) -> None:
+    """A layout element that holds most of a page's words, and without which nothing on the page is
+    marked as content, is a wrapper and says nothing."""
+    candidates = {e for b in blocks for e in b.layouts}
+    if not candidates:
+        return
+    inside, marked = dict.fromkeys(candidates, 0), dict.fromkeys(candidates, 0)
+    words, content = 0, 0
+    for b in blocks:
+        if b.evidence <= KIND:
+            continue
+        n, e = len(b.text.split()), b.parent
+        words, content = words + n, content + (b.evidence > 0)
+        while e >= 0:
+            if e in inside:
+                inside[e] += n
+                marked[e] += b.evidence > 0
+            e = parents[e]
+    wrappers = {e for e in candidates if 2 * inside[e] > words and marked[e] == content}
+    for b in blocks:
+        if b.layouts and wrappers.issuperset(b.layouts):
+            b.evidence = 0.0
+
+
 def read_blocks(html: str | None) -> tuple[list[Block], list[int], list[int]]:
     """Blocks, and parent and depth of every element."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
     reader._end_block()
+    _lift(reader.blocks, reader.parents)
     return reader.blocks, reader.parents, reader.depths
 
 
@@ -335,7 +387,7 @@ def fit_text_model(pages: DataFrame, id_col: str = "page_id", html: str = "html"
             found = []
             for page in batch["html"]:
                 for block in read_blocks(page)[0]:
-                    if abs(block.evidence) >= 4:
+                    if block.evidence <= KIND or block.evidence >= 4:
                         found.append([float(block.evidence > 0), *text_features(block)])
             # equal rows are counted once per batch; values are rounded so that many are equal
             table = pd.DataFrame(np.round(found, 2)) if found else pd.DataFrame(np.empty((0, 9)))

@@ -34,6 +34,29 @@ def test_odd_pages(page):
     assert isinstance(html_text.main_text(page, []), str)
 
 
+def test_wrapped_pages_keep_their_text():
+    long = "A sentence of the main text that goes on for some more words, as they do. " * 3
+    inner = f"<nav><a href=/>Home</a></nav><h1>The title</h1><p>{long}</p><p>{long}And an end.</p><footer>us</footer>"
+    want = f"The title\n{long.strip()}\n{long}And an end."
+    plain = [1.0] + [0.0] * 7  # says content of any text
+    for open_, close in (("<form>", "</form>"), ('<div class="right-sidebar">', "</div>"), ('<div class="side">', "</div>"),
+                         ("<form><article>", "</article></form>"), ('<div id="side"><main>', "</main></div>"),
+                         ('<form><div id="content">', "</div></form>"), ('<form><div class="right-sidebar">', "</div></form>")):
+        assert html_text.main_text(f"<body>{open_}{inner}{close}</body>", plain) == want, open_
+    # beside an article they stay boilerplate, and so do comments and teasers with an article of their own
+    page = f"""<article><p>{long}</p></article><form>Search here</form><div class="right-sidebar"><p>{long * 3}</p></div>
+        <div class="comments"><article><p>{long}</p></article></div><div class="related"><article><p>Read on</p></article></div>"""
+    assert html_text.main_text(page, []) == long.strip()
+
+
+def test_neighbours_and_text_outweigh_a_class():
+    blocks, parents, depths = html_text.read_blocks("<article><p>one</p><div class=promo>two</div><p>three</p></article>")
+    assert -html_text.TEXT_WEIGHT - 3 < blocks[1].evidence < 0
+    plain = [2.0] + [0.0] * 7
+    page = "<article>" + "<p>one</p>" * 3 + "<div class=promo>two</div>" + "<p>three</p>" * 3 + "</article>"
+    assert "two" in html_text.main_text(page, plain) and "two" not in html_text.main_text(page, [-x for x in plain])
+
+
 def _cut_cost(inside, balance, edges):
     return (sum(b for b, s in zip(balance, inside) if b > 0 and not s) - sum(b for b, s in zip(balance, inside) if b < 0 and s)
             + sum(c for u, v, c in edges if inside[u] != inside[v]))
