@@ -248,6 +248,11 @@ def text_features(block: Block) -> list[float]:
             math.log1p(block.depth)]
 
 
+#: Weights of ``text_features`` where no model can be trained: text is content, the more so the longer,
+#: unless it is mostly links.
+UNTRAINED = [0.1, 0.45, -3.0, 0.0, 0.2, 0.0, 0.0, 0.0]
+
+
 def _distance(a: int, b: int, parents: list[int], depths: list[int]) -> int:
     steps = 0
     while a != b and steps < FAR:
@@ -366,10 +371,10 @@ def main_text(html: str | None, weights: list[float]) -> str:
     blocks, parents, depths = read_blocks(html)
     if not blocks:
         return ""
-    w = np.asarray(weights)
+    w = np.asarray(weights or UNTRAINED)
     balance = []
     for block in blocks:
-        says = float(np.clip(np.dot(w, text_features(block)), -TEXT_WEIGHT, TEXT_WEIGHT)) if len(w) else 0.0
+        says = float(np.clip(np.dot(w, text_features(block)), -TEXT_WEIGHT, TEXT_WEIGHT))
         balance.append(block.evidence + says)
     inside = min_cut(balance, edges_of(blocks, parents, depths))
     return "\n".join(b.text for b, keep in zip(blocks, inside) if keep)
@@ -377,7 +382,7 @@ def main_text(html: str | None, weights: list[float]) -> str:
 
 def fit_text_model(pages: DataFrame, id_col: str = "page_id", html: str = "html", sample: int = SAMPLE_PAGES) -> list[float]:
     """Logistic weights of ``text_features``, from the blocks of a sample of pages chosen by hash, whose markup
-    says content or boilerplate.  Both classes count alike.  Without one of them the text says nothing."""
+    says content or boilerplate.  Both classes count alike.  Without one of them there are no weights, and UNTRAINED stands in."""
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html).cast("string").alias("html"))
     share = min(1.0, sample / max(1, rows.count()))
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("pages"), "id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)

@@ -49,6 +49,14 @@ def test_wrapped_pages_keep_their_text():
     assert html_text.main_text(page, []) == long.strip()
 
 
+def test_plain_pages_keep_their_text(spark):
+    pages = [(1, "u", "<body><p>text</p></body>"), (2, "u", "<p>One sentence here.<p>And another one."), (3, "u", "bare words"),
+             (4, "u", "<body><ul><li><a href=/a>Home</a><li><a href=/b>About us</a></ul><p>Words of the page.</p></body>"), (5, "u", "")]
+    rows = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {
+        1: "text", 2: "One sentence here.\nAnd another one.", 3: "bare words", 4: "Words of the page.", 5: ""}
+
+
 def test_neighbours_and_text_outweigh_a_class():
     blocks, parents, depths = html_text.read_blocks("<article><p>one</p><div class=promo>two</div><p>three</p></article>")
     assert -html_text.TEXT_WEIGHT - 3 < blocks[1].evidence < 0
