@@ -2,9 +2,9 @@
 
 A text is split into words at every single space or line feed between two other characters, the
 space going with the word after it; no token of the vocabulary's own split crosses such a place, so
-words can be encoded one by one.  The table of words has two parts.  Words that recur are counted
-over all documents by Spark, and the HEAD most frequent ones, a bounded number, are encoded once
-and sent to every task.  Every other word is looked up in its task: a task collects the distinct
+words can be encoded one by one.  The table of words has two parts.  All words are counted over all
+documents by Spark, and the HEAD most frequent ones, a bounded number, are encoded once and sent to
+every task.  Every other word is looked up in its task: a task collects the distinct
 words of a block of texts, encodes each once, and joins the ids back by position.  Decoding joins
 ids with the pieces of the vocabulary."""
 
@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 from siftlake.llm.common import fresh, ship, small_batches
 
 HEAD = 50_000  # words sent to every task
-RECURS = 8  # a block reports the words that it has as often; the head does not change results
 BLOCK = 2 << 20  # characters of a block
 _CACHE = 100_000  # distinct words a task keeps besides
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
@@ -157,20 +156,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
                 begin, size = i + 1, 0
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def report(counts: Counter) -> pa.RecordBatch:
-        often = [(w, n) for w, n in counts.items() if n >= RECURS]
-        return pa.record_batch([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())],
-                               names=["word", "n"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every word with its count, in parts of about _CACHE distinct words; Spark adds the parts up."""
+    def report(counts: Counter) -> Iterator[pa.RecordBatch]:
+        words, numbers = list(counts), list(counts.values())
+        for begin in range(0, len(words), 10_000):
+            yield pa.record_batch([pa.array(words[begin:begin + 10_000], pa.string()),
+                                   pa.array(numbers[begin:begin + 10_000], pa.int64())], names=["word", "n"])
 
     counts: Counter = Counter()
     for block in _blocks(batches, 0):
         for text in block.column(0).to_pylist():
             counts.update(_words(text or ""))
         if len(counts) > _CACHE:
-            yield report(counts)
+            yield from report(counts)
             counts = Counter()
-    yield report(counts)
+    yield from report(counts)
 
 
 def _encode_words(vocabulary: str):
@@ -186,7 +187,7 @@ def _encode_words(vocabulary: str):
 
 def head_table(docs: DataFrame, vocabulary: str, text: str = "text", size: int = HEAD) -> DataFrame:
     """(word, ids) of the ``size`` most frequent words, each encoded once; ids are int32 bytes."""
-    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_recurring, "word string, n long")
+    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counted, "word string, n long")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).select("word")
     return top.mapInArrow(_encode_words(vocabulary), "word string, ids binary")
 

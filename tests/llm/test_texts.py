@@ -255,6 +255,15 @@ def test_bpe_equals_the_library(spark):
             assert r["ids"] == want and r["decoded"] == library.decode(want, skip_special_tokens=False) == (r["text"] or "")
 
 
+def test_bpe_head_is_by_all_occurrences(spark):
+    """``rare`` is most frequent but never 8 times in one block."""
+    docs = [(i, " ".join(["x", *["rare"] * 4, *(["local"] * 9 if i == 0 else [])])) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6, "doc_id")
+    spark.sparkContext.addFile(vocabulary_path())
+    found = bpe.head_table(df, vocabulary_path().rsplit("/", 1)[-1], size=1).collect()
+    assert [r["word"] for r in found] == [" rare"]
+
+
 def test_bpe_query_digests(spark):
     from tokenizers import Tokenizer
 
