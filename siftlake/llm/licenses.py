@@ -47,6 +47,44 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "nc 4"),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", "nd 4"),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", "nc sa 4"),
+    ("MIT", "Distributed under the MIT License.", "mit"),
+    ("MIT", "under the terms of the MIT License", "mit"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+                   "compliance with the License.", "apache 2"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+             "held liable for any damages arising from the use of this software.", "authors arising"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and "
+             "to alter it and redistribute it freely, subject to the following restrictions", "alter redistribute"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+                "this work", "waived neighboring"),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal.", "cc0 1"),
+    *((f"{short}-{number}", f"This program is free software: you can redistribute it and/or modify it under the terms of the "
+       f"GNU {name} as published by the Free Software Foundation, either version {number.removesuffix('.0')} of the License, or (at your "
+       f"option) any later version.", f"{must} {number.removesuffix('.0')}")
+      for short, number, name, must in (
+          ("GPL", "2.0", "General Public License", "gnu general"), ("GPL", "3.0", "General Public License", "gnu general"),
+          ("LGPL", "2.1", "Lesser General Public License", "lesser"), ("LGPL", "3.0", "Lesser General Public License", "lesser"),
+          ("AGPL", "3.0", "Affero General Public License", "affero"))),
+    *((name, f"GNU {title} Version {version} Copyright (C) {year} Free Software Foundation, Inc. Everyone is permitted to copy "
+       f"and distribute verbatim copies of this license document, but changing it is not allowed.", must)
+      for name, title, version, year, must in (
+          ("GPL-2.0", "GENERAL PUBLIC LICENSE", "2, June 1991", "1989, 1991", "general 2 1991"),
+          ("GPL-3.0", "GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007", "general 3 2007"),
+          ("LGPL-2.1", "LESSER GENERAL PUBLIC LICENSE", "2.1, February 1999", "1991, 1999", "lesser 2 1999"),
+          ("LGPL-3.0", "LESSER GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007", "lesser 3 2007"),
+          ("AGPL-3.0", "AFFERO GENERAL PUBLIC LICENSE", "3, 19 November 2007", "2007", "affero 3 2007"))),
+    *((f"CC-{short}-4.0", f"licensed under a Creative Commons {title} 4.0 International License", must)
+      for short, title, must in (
+          ("BY", "Attribution", "commons attribution 4"), ("BY-SA", "Attribution-ShareAlike", "sharealike 4"),
+          ("BY-NC", "Attribution-NonCommercial", "noncommercial 4"), ("BY-ND", "Attribution-NoDerivatives", "noderivatives 4"),
+          ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike", "noncommercial sharealike 4"))),
+    *((name, f"SPDX-License-Identifier: {spdx}", f"spdx {spdx}") for name, spdx in (
+        ("MIT", "MIT"), ("ISC", "ISC"), ("BSD", "BSD"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2.0"),
+        ("GPL-3.0", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3.0"), ("AGPL-3.0", "AGPL-3.0"),
+        ("MPL-2.0", "MPL-2.0"), ("Unlicense", "Unlicense"), ("Zlib", "Zlib"), ("CC0-1.0", "CC0-1.0"),
+        ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+        ("CC-BY-ND-4.0", "CC-BY-ND-4.0"), ("CC-BY-NC-SA-4.0", "CC-BY-NC-SA-4.0"))),
 )
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 

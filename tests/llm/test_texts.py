@@ -227,6 +227,35 @@ def test_license_query_finds_every_notice(spark):
         assert max(_lcs(span, t.words) for t in licenses.templates() if t.name == r["license"] and len(t.words) == r["template_words"]) >= r["matched"]
 
 
+GPL_HEADER = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+              "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+
+
+@pytest.mark.parametrize("name,text", [
+    ("GPL-3.0", GPL_HEADER), ("GPL-3.0", GPL_HEADER.replace("program", "library")), ("GPL-3.0", GPL_HEADER.replace(" any", "")),
+    ("GPL-3.0", GPL_HEADER.replace("modify", "also modify")), ("GPL-2.0", GPL_HEADER.replace("version 3", "version 2")),
+    ("LGPL-3.0", GPL_HEADER.replace("GNU", "GNU Lesser")), ("AGPL-3.0", GPL_HEADER.replace("GNU", "GNU Affero")),
+    ("LGPL-2.1", GPL_HEADER.replace("GNU", "GNU Lesser").replace("version 3", "version 2.1")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n"
+                " Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin "
+                "Street, Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("MIT", "// SPDX-License-Identifier: MIT"), ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"), ("MIT", "Released under the terms of the MIT License"),
+    ("Unlicense", "This is free and unencumbered software given into the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event shall the authors be held liable "
+             "for any damages arising from the use of this software."),
+    ("CC0-1.0", "To the extent possible under law, Jane has waived all copyright and related or neighboring rights to this work."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the 'License'); you may not use this file except in compliance with it."),
+])
+def test_usual_wordings(name, text):
+    found = licenses.find("Some words before. " * 5 + text + " And some behind." * 5, licenses.templates())
+    assert [f[0] for f in found] == [name]
+
+
 def test_license_tables(spark):
     df = spark.createDataFrame([(1, NOTICE, "en"), (1, NOTICE, "en"), (None, None, None)], "doc_id long, text string, license string")
     assert licenses.scan(df).count() == 2 and licenses.scan(df.limit(0)).count() == 0
