@@ -10,7 +10,7 @@ from siftlake.llm import mixing, toxicity
 from siftlake.llm.common import read
 from siftlake.session import cut
 from tests.conftest import SF
-from tests.llm.test_dedup import _groups, _sets
+from tests.llm.test_dedup import _sets
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,11 +42,6 @@ def test_one_of_equal_texts_stays(stages):
     assert {r["doc_id"] for r in stages[2].collect()} == {i for _, i in best.values()}
 
 
-def test_one_of_near_copies_stays(stages):
-    groups, _ = _groups([tuple(r) for r in stages[2].collect()])
-    assert sorted(r["doc_id"] for r in stages[3].collect()) == sorted(i for i, top in groups.items() if i == top)
-
-
 def test_near_stage_links_from_80_percent_on(stages):
     """Brute force over all pairs of the stage's input: components at 0.80, the smallest id stays."""
     sets = _sets([tuple(r) for r in stages[2].collect()])
@@ -60,7 +55,7 @@ def test_near_stage_links_from_80_percent_on(stages):
     for a in sets:
         for b in sets:
             both = len(sets[a] & sets[b]) if a < b else 0
-            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+            if both and 100 * both >= corpus_pipeline.NEAR_PERCENT * len(sets[a] | sets[b]):
                 x, y = top(a), top(b)
                 root[max(x, y)] = min(x, y)
     assert sorted(r["doc_id"] for r in stages[3].collect()) == sorted(i for i in root if top(i) == i)
