@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlake.llm import (bpe, chat, exact_dedup, html_text, licenses, mixing, near_dedup, neighbours, sharding,
+from siftlake.llm import (bpe, chat, exact_dedup, hard_negatives, html_text, licenses, mixing, near_dedup, neighbours, sharding,
                           toxicity)
 from siftlake.llm.common import SPACE, read, text_of
 
@@ -77,6 +77,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "formatted_chars")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is wrong, as the contract has it; anchors are the rows whose id is divisible by 100."""
+    label = F.col("label").cast("long")
+    rows = read(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_html": op2_html,
@@ -88,6 +96,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_neighbours": op9_neighbours,
     "op10_chat": op10_chat,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 _OP3 = f"""
@@ -189,4 +198,24 @@ SELECT r.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha
        formatted_chars
 FROM r JOIN f ON r.conv_id IS NOT DISTINCT FROM f.conv_id"""
 
-SQL = {"op3_exact_dedup": _OP3, "op8_mixing": _OP8, "op10_chat": _OP10}
+_FINE = "{0} IS NOT NULL AND len(list_filter({0}, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_OP11 = f"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_FINE.format('embedding')}),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+SQL = {"op3_exact_dedup": _OP3, "op8_mixing": _OP8, "op10_chat": _OP10, "op11_hard_negatives": _OP11}
