@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftlake.llm import (bpe, chat, exact_dedup, hard_negatives, html_text, licenses, mixing, near_dedup, neighbours, sharding,
-                          toxicity)
+                          toxicity, warc)
 from siftlake.llm.common import SPACE, read, text_of
+from siftlake.session import fresh_path
 
 SHARDS = 24
 
@@ -85,6 +86,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to the shared folder and read back by ranges."""
+    path = fresh_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payloads=False).select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of("refers_to").alias("refers_to"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_html": op2_html,
@@ -97,6 +107,7 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_chat": op10_chat,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_warc": op12_warc,
 }
 
 _OP3 = f"""
@@ -218,4 +229,15 @@ FROM p JOIN s ON p.anchor_id = s.anchor_id
 WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY rank <= 10"""
 
-SQL = {"op3_exact_dedup": _OP3, "op8_mixing": _OP8, "op10_chat": _OP10, "op11_hard_negatives": _OP11}
+_OP12 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT payload_digest AS digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p LEFT JOIN f ON payload_digest = digest"""
+
+SQL = {"op3_exact_dedup": _OP3, "op8_mixing": _OP8, "op10_chat": _OP10, "op11_hard_negatives": _OP11,
+       "op12_warc": _OP12}
