@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftlake.llm import (bpe, chat, exact_dedup, hard_negatives, html_text, licenses, mixing, near_dedup, neighbours, sharding,
+from siftlake.llm import (bpe, chat, clustering, exact_dedup, hard_negatives, html_text, licenses, mixing, near_dedup, neighbours, sharding,
                           toxicity, warc)
 from siftlake.llm.common import SPACE, read, text_of
 from siftlake.session import fresh_path
@@ -95,6 +95,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         warc.page_of("refers_to").alias("refers_to"))
 
 
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(read(spark, sf_dir, "embeddings"), k=8, rounds=10, dimensions=64, scale=1024.0, seed="3")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_html": op2_html,
@@ -108,6 +112,7 @@ QUERIES = {
     "op10_chat": op10_chat,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_warc": op12_warc,
+    "op13_clustering": op13_clustering,
 }
 
 _OP3 = f"""
@@ -239,5 +244,36 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM p LEFT JOIN f ON payload_digest = digest"""
 
+
+
+def _op13(k: int = 8, rounds: int = 10) -> str:
+    """One CTE for each assignment and each move of the centroids."""
+    apart = "list_sum(list_transform(list_zip(p.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    floor = "((s - ((s % n) + n) % n) // n)::BIGINT"
+    parts = [f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND {_FINE.format('embedding')}),
+e AS MATERIALIZED (SELECT row, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM k),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM k
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id)) <= {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (SELECT row, min({apart} * {k} + c) AS best FROM k p, c{r} m GROUP BY row)""")
+        parts.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT m.c, coalesce(w.v, m.v) AS v FROM c{r} m LEFT JOIN (
+    SELECT c, list(x ORDER BY pos) AS v FROM (
+      SELECT c, pos, {floor} AS x FROM (
+        SELECT best % {k} AS c, pos, sum(x) AS s, count(*) AS n FROM a{r} JOIN e USING (row) GROUP BY 1, 2)) GROUP BY c
+  ) w ON m.c = w.c)""")
+    return ",".join(parts[:-1]) + f"""
+SELECT vec_id, (best % {k})::INTEGER AS cluster, (best // {k})::BIGINT AS distance,
+       (sum(best // {k}) OVER (PARTITION BY best % {k}))::BIGINT AS cluster_inertia, (sum(best // {k}) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN k USING (row) JOIN c{rounds} m ON m.c = best % {k}"""
+
+
 SQL = {"op3_exact_dedup": _OP3, "op8_mixing": _OP8, "op10_chat": _OP10, "op11_hard_negatives": _OP11,
-       "op12_warc": _OP12}
+       "op12_warc": _OP12, "op13_clustering": _op13()}
