@@ -21,6 +21,9 @@ DQ, SQ = '"""', "'''"
 # inside a comment; the line that closes a run is outside of it.
 _INSIDE_RUNS = r"(o[^c]*|d[^dD]*|s[^sS]*)([cdDsS]?)|([^ods]+)"
 
+# Whole runs, and what lies outside of runs.
+CLOSED_RUNS = r"o[^c]*c|d[^dD]*[dD]|s[^sS]*[sS]|[^ods]+"
+
 # Documentation letters: f/g function line without/with quotes, k/l class line
 # without/with quotes, q other line with quotes.
 _UNDOCUMENTED_CLASS = r"[kl](?!.{0,2}[glq])"
@@ -59,6 +62,18 @@ def _letters(lines: Column, letter) -> Column:
     return F.array_join(F.transform(lines, letter), "")
 
 
+def quote_letters(lines: Column) -> Column:
+    return _letters(lines, _quote_letter)
+
+
+def block_letters(lines: Column) -> Column:
+    return _letters(lines, _block_letter)
+
+
+def documentation_letters(lines: Column) -> Column:
+    return _letters(lines, _documentation_letter)
+
+
 def _inside_flags(letters: Column) -> Column:
     """One '1' or '0' per letter: is the line inside a block?"""
     parts = F.split(F.regexp_replace(letters, _INSIDE_RUNS, "<$1>$2$3"), "[<>]", -1)
@@ -106,38 +121,56 @@ def annotated_lines(files: DataFrame, comments: bool = True, docs: bool = True,
                     carry: dict | None = None) -> DataFrame:
     """Lines with ``stripped`` text, ``masked`` (C4) and ``undocumented`` marks
     ('F', 'K' or other; D9/D10).  ``carry`` are columns worked out once per file."""
+    return annotated(split_lines(files), comments, docs, carry)
+
+
+def annotated(arrays: DataFrame, comments: bool, docs: bool, carry: dict | None, placed: bool = False) -> DataFrame:
+    """The same from rows that hold arrays of lines: whole files or, ``placed``, parts of files with the
+    comment ``state`` before them, the number of their ``first_line``, the ``file_lines`` of the whole
+    file and the documentation letters that follow (``after_head``, ``after_mark``)."""
     carry = dict(carry or {})
-    arrays = split_lines(files)
     ext, lines = F.col("ext"), F.col("lines")
     carry["mark"] = T.comment_mark(ext)
+    open_ = F.col("state") != "0" if placed else F.lit(False)
+    quotes, blocks = (T.has_extension(ext, e) for e in (R.TRIPLE_QUOTE_EXTENSIONS, R.BLOCK_COMMENT_EXTENSIONS))
+
+    def entered(letters: Column, first: str, second: str) -> Column:
+        """The letters after that of a line which opens the block that a part begins in."""
+        opener = F.when(F.col("state") == "1", first).when(F.col("state") == "2", second).otherwise("") if placed else None
+        return letters if opener is None else F.concat(opener, letters)
+
+    names = F.when(F.col("has_names") & (ext == ".py"), documentation_letters(lines))
+    if placed:  # of what follows only so much that the lines here can see
+        names = F.concat(names, F.col("after_head"), F.when(F.length("after_head") == 3, F.col("after_mark")).otherwise(""))
     arrays = arrays.withColumns({
         **carry,
-        "letters": F.when(F.col("has_quotes") & T.has_extension(ext, R.TRIPLE_QUOTE_EXTENSIONS),
-                          _letters(lines, _quote_letter))
-        .when(F.col("has_block") & T.has_extension(ext, R.BLOCK_COMMENT_EXTENSIONS),
-              _letters(lines, _block_letter))
+        "letters": F.when((F.col("has_quotes") | open_) & quotes, entered(quote_letters(lines), "d", "s"))
+        .when((F.col("has_block") | open_) & blocks, entered(block_letters(lines), "o", "o"))
         if comments else F.lit(None).cast("string"),
-        "doc_letters": F.when(F.col("has_names") & (ext == ".py"), _letters(lines, _documentation_letter))
-        if docs else F.lit(None).cast("string"),
+        "doc_letters": names if docs else F.lit(None).cast("string"),
     })
     none = F.array().cast("array<string>")
     # lines as a file iterator counts them: no empty remainder after a final break.
     # Counted before the explode, so that no line row carries its file's array along.
     counted = F.size("lines") - F.when(last_line_is_empty(F.col("lines")), 1).otherwise(0)
+    inside, doc = _inside_flags(F.col("letters")), _documentation_flags(F.col("doc_letters"))
+    first = F.lit(1)
+    if placed:
+        counted, first = F.col("file_lines"), F.col("first_line")
+        inside = F.slice(inside, F.when(open_, 2).otherwise(1), F.size("lines"))
+        doc = F.slice(doc, 1, F.size("lines"))
     flagged = arrays.select(
-        "repo_id", "path", "ext", "lines", *carry, counted.alias("n_lines"),
+        "repo_id", "path", "ext", "lines", *carry, counted.alias("n_lines"), first.alias("first_line"),
         # most files have no block at all: they skip the run marking
-        F.when(F.col("letters").rlike("[ods]"), _inside_flags(F.col("letters")))
-        .otherwise(none).alias("inside"),
-        F.when(F.col("doc_letters").rlike("[fgkl]"), _documentation_flags(F.col("doc_letters")))
-        .otherwise(none).alias("doc"),
+        F.when(F.col("letters").rlike("[ods]"), inside).otherwise(none).alias("inside"),
+        F.when(F.col("doc_letters").rlike("[fgkl]"), doc).otherwise(none).alias("doc"),
     )
     return flagged.select(
-        "repo_id", "path", "ext", *carry, "n_lines",
+        "repo_id", "path", "ext", *carry, "n_lines", "first_line",
         F.posexplode(F.arrays_zip("lines", "inside", "doc")).alias("pos", "cell"),
     ).select(
         "repo_id", "path", "ext", *carry, "n_lines",
-        (F.col("pos") + 1).alias("line"),
+        (F.col("pos") + F.col("first_line")).cast("int").alias("line"),
         F.col("cell.lines").alias("raw"),
         T.strip(F.col("cell.lines")).alias("stripped"),
         F.coalesce(F.col("cell.inside") == "1", F.lit(False)).alias("masked"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlake import rules as R
 from siftlake.functions import text as T
+from siftlake.operators.chunks import annotated_chunks, placed_chunks, split_chunks
 from siftlake.operators.lines import annotated_lines
 
 # Line starts that the analysers skip.
@@ -152,10 +153,14 @@ HIT_COLUMNS = ("rank", "rule", "severity", "issue", "type", "dedup", "code_snipp
 
 
 def line_hits(files: DataFrame, groups=(), filenames=False, long_files=False,
-              documentation=()) -> DataFrame:
+              documentation=(), giant_bytes: int | None = None) -> DataFrame:
     """Everything asked for in one narrow pass over the files: what depends on the file
     is worked out once per file, a projection over its lines finds the first rule of
-    each group, then each hit becomes a row."""
+    each group, then each hit becomes a row.
+
+    A file is one row and so one task's work.  With ``giant_bytes`` larger files are cut into
+    chunks that are worked out by themselves; that reads the table a second time.  ``files`` may
+    also be chunks with their places (:func:`siftlake.operators.chunks.placed_chunks`)."""
     path = F.col("path")
     visible = ~pruned(path, R.VENDORED_DIRS)
     carry = {f"reads_{g.name}": reads(g) for g in groups}
@@ -176,8 +181,16 @@ def line_hits(files: DataFrame, groups=(), filenames=False, long_files=False,
         at = names.index("advanced")
         same = cells[names.index("security")]["issue"] == cells[at]["issue"]
         cells[at] = F.when(~F.coalesce(same, F.lit(False)), cells[at])
-    lines = annotated_lines(files, comments=any(g.mask or g.text == "clean" for g in groups),
-                            docs=bool({"function", "class"} & set(documentation)), carry=carry)
+    state = {"comments": any(g.mask or g.text == "clean" for g in groups),
+             "docs": bool({"function", "class"} & set(documentation)), "carry": carry}
+    if "first_line" in files.columns:
+        lines = annotated_chunks(files, **state)
+    elif giant_bytes is None:
+        lines = annotated_lines(files, **state)
+    else:
+        size = F.col("size_bytes") if "size_bytes" in files.columns else F.octet_length("content")
+        giant = placed_chunks(split_chunks(files.where(size > giant_bytes)))
+        lines = annotated_lines(files.where(size <= giant_bytes), **state).unionByName(annotated_chunks(giant, **state))
     found = prepared_lines(lines).select(
         "*", *[first_rule(g).alias(f"hit_{g.name}") for g in groups])
     return (

@@ -15,34 +15,34 @@ from siftlake.session import cut
 from siftlake.sources.tool_reports import snippet_lookup
 
 
-def rule_findings(files: DataFrame, *groups: R.RuleGroup) -> DataFrame:
+def rule_findings(files: DataFrame, *groups: R.RuleGroup, giant_bytes: int | None = None) -> DataFrame:
     """Findings of single rule groups."""
-    hits = line_hits(files, groups)
+    hits = line_hits(files, groups, giant_bytes=giant_bytes)
     if any(g.dedup == R.FIRST_PER_MESSAGE for g in groups):
         return FD.dedup_hits(hits)
     return hits.drop("dedup")  # one hit per line and group is unique as it is
 
 
-def documentation_findings(files: DataFrame, kinds=DOCUMENTATION) -> DataFrame:
+def documentation_findings(files: DataFrame, kinds=DOCUMENTATION, giant_bytes: int | None = None) -> DataFrame:
     """D9 to D11, or some of them."""
-    hits = line_hits(files.where(F.col("path").endswith(".py")), documentation=kinds)
+    hits = line_hits(files.where(F.col("path").endswith(".py")), documentation=kinds, giant_bytes=giant_bytes)
     return hits.drop("dedup") if set(kinds) == {"marker"} else FD.dedup_hits(hits)
 
 
-def own_findings(files: DataFrame) -> DataFrame:
+def own_findings(files: DataFrame, giant_bytes: int | None = None) -> DataFrame:
     """All analysers in one pass over the corpus and one shuffle of the hits."""
-    hits = line_hits(files, R.ALL_GROUPS, filenames=True, long_files=True, documentation=DOCUMENTATION)
+    hits = line_hits(files, R.ALL_GROUPS, filenames=True, long_files=True, documentation=DOCUMENTATION, giant_bytes=giant_bytes)
     return FD.dedup_hits(hits).withColumns({
         "tool": F.lit("rules"), "report_id": F.lit(None).cast("long")})
 
 
 def scan(files: DataFrame, linters: DataFrame | None = None, semgrep: DataFrame | None = None,
-         model: DataFrame | None = None) -> DataFrame:
+         model: DataFrame | None = None, giant_bytes: int | None = None) -> DataFrame:
     """the combined findings of all sources, gated per repository.
 
     The tables are outputs of ``siftlake.sources.tool_reports``; ``linters`` holds the
     rows of Bandit and Pylint, which replace our rules where they have any."""
-    rows, gates = own_findings(files), FD.repo_gates(files)
+    rows, gates = own_findings(files, giant_bytes), FD.repo_gates(files)
     quoting = [t for t in (linters, model) if t is not None]
     if quoting:
         # written once: the reports are parsed once for cover, hashes and rows

@@ -6,10 +6,12 @@ import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from siftlake import rules as R
 from siftlake.functions import text as T
 from siftlake.operators.matching import pruned
+from siftlake.session import cut
 
 # Limits of a standard and a deep scan.
 FILE_BYTES = {False: 20_000, True: 100_000}
@@ -19,17 +21,21 @@ PAYLOAD_CHARS = {False: 100_000, True: 500_000}
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
+def below(path: Column, root: str) -> Column:
+    """The path of a listed file below ``root``: a listing gives whole addresses, perhaps with a scheme."""
+    top = re.sub("/+", "/", re.sub(_SCHEME, "", root)).rstrip("/")
+    if top and not top.startswith("/"):
+        top = os.path.abspath(top)
+    whole = F.regexp_replace(path, _SCHEME, "")
+    return F.substring(whole, F.lit(len(top) + 2), F.length(whole))
+
+
 def read_tree(spark: SparkSession, root: str, extensions=None) -> DataFrame:
     """A1: files below ``root/<repository>/``, filtered by name at the source."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if extensions:
         reader = reader.option("pathGlobFilter", "*{" + ",".join(extensions) + "}")
-    # the listing gives whole addresses, perhaps with a scheme: keep what follows the root
-    top = re.sub("/+", "/", re.sub(_SCHEME, "", root)).rstrip("/")
-    if top and not top.startswith("/"):
-        top = os.path.abspath(top)
-    whole = F.regexp_replace("path", _SCHEME, "")
-    relative = F.substring(whole, F.lit(len(top) + 2), F.length(whole))
+    relative = below(F.col("path"), root)
     return reader.load(root).select(
         F.substring_index(relative, "/", 1).alias("repo_id"),
         F.element_at(F.split(relative, "/", 2), 2).alias("path"),
@@ -38,6 +44,28 @@ def read_tree(spark: SparkSession, root: str, extensions=None) -> DataFrame:
     )
 
 
+def read_line_blocks(spark: SparkSession, root: str, extensions=None, chunk_lines: int = 20_000) -> DataFrame:
+    """(repo_id, path, chunk, lines, counted) of files below ``root/<repository>/`` that are too large
+    for one row: Spark's text reader splits a file into blocks, and runs of at most ``chunk_lines``
+    lines of a block become the chunks.  Line ends may be \\n, \\r\\n or \\r.  Lines are those of a
+    reader that goes line by line: no empty remainder after the last line end."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    if extensions:
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(extensions) + "}")
+    rows = reader.text(root).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), T.decode_text(F.col("value").cast("binary")).alias("raw"))
+    # rows of a block follow each other in one task, and so do their numbers
+    parts = cut(rows.groupBy("file", "block", F.floor(F.col("at") / chunk_lines).alias("run"))
+                .agg(F.sort_array(F.collect_list(F.struct("at", "raw"))).alias("rows")), "blocks")
+    order = Window.partitionBy("file").orderBy("block", "run")  # narrow rows
+    numbers = parts.select("file", "block", "run").withColumn("chunk", (F.row_number().over(order) - 1).cast("long"))
+    path = below(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), root)
+    return parts.join(numbers, ["file", "block", "run"]).select(
+        F.substring_index(path, "/", 1).alias("repo_id"), F.element_at(F.split(path, "/", 2), 2).alias("path"),
+        "chunk", F.col("rows.raw").alias("lines"), F.size("rows").cast("long").alias("counted"))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A1: a parquet table (repo_id, path, content)."""
     return spark.read.parquet(path)
@@ -86,9 +114,9 @@ def prompt_text(files: DataFrame, kept: DataFrame, limit: int = 1000, deep: bool
     """One text per repository from the files that the budget kept.  The budget
     bounds what is collected per repository; only the head of a file is shuffled."""
     content = T.unify_newlines(F.col("content"))
-    cut = F.when(F.char_length(content) > limit,
-                 F.concat(F.substring(content, 1, limit), F.lit("..."))).otherwise(content)
-    block = F.concat(F.lit("\n=== "), F.col("path"), F.lit(" ===\n"), cut, F.lit("\n"))
+    clipped = F.when(F.char_length(content) > limit,
+                     F.concat(F.substring(content, 1, limit), F.lit("..."))).otherwise(content)
+    block = F.concat(F.lit("\n=== "), F.col("path"), F.lit(" ===\n"), clipped, F.lit("\n"))
     heads = payload_files(files, deep).select("repo_id", "path", block.alias("block"))
     blocks = heads.join(kept.select("repo_id", "path"), ["repo_id", "path"]).select(
         "repo_id", F.struct("path", "block").alias("part"))
