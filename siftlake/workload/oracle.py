@@ -23,9 +23,15 @@ _TWIN = replace(OWN_GROUP, rules=tuple(replace(r, pattern=p) for r, p in zip(OWN
 SQL["rules_own"] = with_(B.LINES, B.group_cte(_TWIN)) + f"SELECT {FINDING} FROM own_rows"
 SQL["scan_tree"] = """SELECT 'repo=' || source AS repo_id, 'name=' || doc_id AS folder,
   md5(coalesce(text, '') || chr(10)) AS md5, strlen(coalesce(text, ''))::BIGINT + 1 AS size_bytes FROM documents"""
+SQL["tree_line_blocks"] = f"""
+SELECT 'repo=' || source AS repo_id, 'name=' || doc_id AS folder, pos AS line, len(ls)::BIGINT AS lines, md5(ls[pos]) AS md5 FROM (
+  SELECT *, unnest(range(1, len(ls) + 1)) AS pos FROM (
+    SELECT source, doc_id, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM documents))"""
 SQL["rule_long_file"] = with_(B.SPLIT, B.LONG_FILE) + f"SELECT {FINDING} FROM long_rows"
 for _n, _r in (("missing_function", "function"), ("missing_class", "class"), ("markers", "marker")):
     SQL[f"doc_{_n}"] = with_(B.SPLIT, B.DOCUMENTATION) + f"SELECT {FINDING} FROM doc_{_r}_rows"
+    if _r != "marker":
+        SQL[f"doc_{_n}_chunked"] = SQL[f"doc_{_n}"]
 
 # --- corpus, lines and scalar functions -------------------------------------
 
@@ -91,6 +97,7 @@ SQL["skip_lines_security"] = with_(B.LINES) + "SELECT repo_id, path, line, clean
 SQL["skip_lines_quality"] = with_(B.LINES) + f"SELECT repo_id, path, line, stripped FROM lines WHERE {B.KEEP['quality']}"
 SQL["skip_lines_simple"] = with_(B.LINES) + f"SELECT repo_id, path, line, stripped FROM lines WHERE {B.SIMPLE}"
 SQL["mask_block_comments"] = with_(B.LINES) + "SELECT repo_id, path, line, raw FROM lines WHERE NOT masked"
+SQL["mask_block_comments_chunked"] = SQL["mask_block_comments"]
 SQL["drop_blank_files"] = with_(B.SPLIT) + f"""SELECT repo_id, path || '#' || line AS path FROM lines0
   WHERE {strip('raw')} <> ''"""
 SQL["max_file_size"] = with_(B.FILES) + """SELECT repo_id, path, strlen(content) <= 20000 AS standard,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftlake import rules as R
 from siftlake.functions import text as T
 from siftlake.functions.classify import prose_class, prose_is_finding
-from siftlake.operators import findings as FD, history, metrics as M, prefix, structure
+from siftlake.operators import chunks, findings as FD, history, metrics as M, prefix, structure
 from siftlake.operators.lines import annotated_lines, explode_lines
 from siftlake.operators.matching import (
     filename_findings, kept_by_quality, kept_by_security, kept_simple, line_hits, long_file_findings, prepared_lines,
@@ -77,6 +77,26 @@ def doc_missing_class(spark, sf):
     return scan.documentation_findings(tables.files(spark, sf), ["class"]).select(FINDING)
 
 
+def _small_chunks(spark, sf):
+    """Every file in chunks of 1 KB, as a giant file has them of 1 MB."""
+    return chunks.placed_chunks(chunks.split_chunks(tables.files(spark, sf), chunk_bytes=1024))
+
+
+def _chunk_docs(spark, sf, kind):
+    hits = line_hits(_small_chunks(spark, sf).where(F.col("path").endswith(".py")), documentation=[kind])
+    return FD.dedup_hits(hits).select(FINDING)
+
+
+@query
+def doc_missing_function_chunked(spark, sf):
+    return _chunk_docs(spark, sf, "function")
+
+
+@query
+def doc_missing_class_chunked(spark, sf):
+    return _chunk_docs(spark, sf, "class")
+
+
 @query
 def doc_markers(spark, sf):
     return scan.documentation_findings(tables.files(spark, sf), ["marker"]).select(FINDING)
@@ -239,6 +259,21 @@ def mask_block_comments(spark, sf):
         "repo_id", "path", "line", "raw")
 
 
+@query
+def mask_block_comments_chunked(spark, sf):
+    return chunks.annotated_chunks(_small_chunks(spark, sf), docs=False).where("NOT masked").select(
+        "repo_id", "path", "line", "raw")
+
+
+@query
+def tree_line_blocks(spark, sf):
+    """The documents as single files, read as blocks of lines and numbered."""
+    blocks = corpus.read_line_blocks(spark, tables.written_tree(spark, sf), chunk_lines=50)
+    rows = chunks.placed_chunks(blocks).select("repo_id", "path", "first_line", "file_lines", F.posexplode("lines").alias("pos", "raw"))
+    return rows.select("repo_id", F.substring_index("path", "/", 1).alias("folder"), (F.col("first_line") + F.col("pos")).alias("line"),
+                       F.col("file_lines").alias("lines"), F.md5(F.col("raw").cast("binary")).alias("md5"))
+
+
 @query
 def drop_blank_files(spark, sf):
     # each line as a file of its own: many of them are blank
