@@ -34,8 +34,9 @@ def any_word(words) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-def starts_with_any(column: str, prefixes) -> Column:
-    return F.expr(" OR ".join(f"startswith({column}, {sql_text(p)})" for p in prefixes))
+def starts_with_any(column: str, prefixes) -> str:
+    """SQL text."""
+    return " OR ".join(f"startswith({column}, {sql_text(p)})" for p in prefixes)
 
 
 def contains_any(col: Column, words) -> Column:
@@ -240,8 +241,8 @@ def is_simple(pattern: str) -> bool:
                    for p in pattern.split(".*"))
 
 
-def first_match(text: str, low: str, patterns, proven=frozenset()) -> Column:
-    """Index of the first pattern that occurs in column ``text``, case ignored, or
+def first_match(text: str, low: str, patterns, proven=frozenset()) -> str:
+    """SQL text: index of the first pattern that occurs in column ``text``, case ignored, or
     null; null patterns are passed over.  ``low`` is the folded line: most lines lack
     the literal a pattern needs and are spared the regular expression.  Only ``proven``
     and simple patterns get a quicker form; all others are matched as they are."""
@@ -255,4 +256,4 @@ def first_match(text: str, low: str, patterns, proven=frozenset()) -> Column:
         if literal:
             test = f"contains({low}, {sql_text(literal)}) AND {test}"
         branches.append(f"WHEN {test} THEN {i}")
-    return F.expr(f"CASE {' '.join(branches)} END")
+    return f"CASE {' '.join(branches)} END" if branches else "CAST(NULL AS INT)"

@@ -142,9 +142,10 @@ def placed_chunks(chunks: DataFrame) -> DataFrame:
     return _same_file(written, places(summaries(written)), "chunk")
 
 
-def annotated_chunks(placed: DataFrame, comments: bool = True, docs: bool = True, carry: dict | None = None) -> DataFrame:
+def annotated_chunks(placed: DataFrame, comments: bool = True, docs: bool = True, carry: dict | None = None,
+                     whole=None, explode: bool = True) -> DataFrame:
     """The lines of :func:`placed_chunks`, as :func:`siftlake.operators.lines.annotated_lines` has them."""
     text = F.array_join("lines", "\n")
     return L.annotated(placed.withColumns({
         "ext": T.file_ext(F.col("path")), "has_quotes": text.contains(L.DQ) | text.contains(L.SQ),
-        "has_block": text.contains("/*"), "has_names": text.contains("def") | text.contains("class")}), comments, docs, carry, placed=True)
+        "has_block": text.contains("/*"), "has_names": text.contains("def") | text.contains("class")}), comments, docs, carry, True, whole, explode)

@@ -8,25 +8,12 @@ from pyspark.sql.window import Window
 from siftlake import rules as R
 from siftlake.functions import text as T
 from siftlake.functions.classify import minimal_fix
+from siftlake.operators.dedup import dedup_hits
 
 # Fixed order of a repository's findings.
 ORDER = ("rank", "path", "line", "report_id", "rule")
 
 
-def dedup_hits(hits: DataFrame) -> DataFrame:
-    """One row per (path, line, message) or the first line per (path,
-    message).  Both are one aggregate with map-side combine: the lines of a file
-    sit in one task, so nearly all repeats go before the shuffle."""
-    per_line = F.when(F.col("dedup") == R.ONCE_PER_LINE, F.col("line"))
-    return (
-        hits.groupBy("repo_id", "path", "rank", "type", "issue", per_line.alias("per_line"))
-        .agg(F.min("line").alias("line"),
-             F.min_by(F.struct("rule", "severity", "code_snippet"), "line").alias("first"))
-        .select("repo_id", "path", "line", "rank", "first.rule", "first.severity", "issue", "type",
-                "first.code_snippet")
-    )
-
-
 def dedup_exact(findings: DataFrame) -> DataFrame:
     """E1."""
     return findings.dropDuplicates(["repo_id", "path", "line", "issue"])

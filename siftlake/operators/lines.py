@@ -111,20 +111,25 @@ def explode_lines(files: DataFrame, iterate: bool = False) -> DataFrame:
     # counted before the explode, so that no line row carries its file's array along
     arrays = split_lines(files).select("repo_id", "path", "ext", "lines", F.size("lines").alias("n"))
     rows = arrays.select(
-        "repo_id", "path", "ext", "n", F.posexplode("lines").alias("pos", "raw"))
+        "repo_id", "path", "ext", "n", F.posexplode_outer("lines").alias("pos", "raw")).where("pos IS NOT NULL")
     if iterate:
         rows = rows.where((F.col("pos") + 1 < F.col("n")) | (F.col("raw") != ""))
     return rows.select("repo_id", "path", "ext", (F.col("pos") + 1).alias("line"), "raw")
 
 
 def annotated_lines(files: DataFrame, comments: bool = True, docs: bool = True,
-                    carry: dict | None = None) -> DataFrame:
+                    carry: dict | None = None, whole=None, explode: bool = True) -> DataFrame:
     """Lines with ``stripped`` text, ``masked`` (C4) and ``undocumented`` marks
-    ('F', 'K' or other; D9/D10).  ``carry`` are columns worked out once per file."""
-    return annotated(split_lines(files), comments, docs, carry)
+    ('F', 'K' or other; D9/D10).  ``carry`` are columns worked out once per file.
 
+    ``whole`` may add a column ``hits`` to the rows of whole files, from the arrays ``lines``,
+    ``inside`` ('1' for masked lines; empty if none is) and ``doc``; the first line carries it.
+    Without ``explode`` the rows stay files."""
+    return annotated(split_lines(files), comments, docs, carry, whole=whole, explode=explode)
 
-def annotated(arrays: DataFrame, comments: bool, docs: bool, carry: dict | None, placed: bool = False) -> DataFrame:
+
+def annotated(arrays: DataFrame, comments: bool, docs: bool, carry: dict | None, placed: bool = False, whole=None,
+              explode: bool = True) -> DataFrame:
     """The same from rows that hold arrays of lines: whole files or, ``placed``, parts of files with the
     comment ``state`` before them, the number of their ``first_line``, the ``file_lines`` of the whole
     file and the documentation letters that follow (``after_head``, ``after_mark``)."""
@@ -165,14 +170,24 @@ def annotated(arrays: DataFrame, comments: bool, docs: bool, carry: dict | None,
         F.when(F.col("letters").rlike("[ods]"), inside).otherwise(none).alias("inside"),
         F.when(F.col("doc_letters").rlike("[fgkl]"), doc).otherwise(none).alias("doc"),
     )
+    if whole is not None:
+        flagged = whole(flagged)
+    if not explode:
+        return flagged
+    zipped, more = ["lines", "inside", "doc"], []
+    if "hits" in flagged.columns:
+        flagged = flagged.withColumn("hits", F.array("hits"))  # one element: that of the first line
+        zipped, more = [*zipped, "hits"], [F.col("cell.hits").alias("hits")]
     return flagged.select(
         "repo_id", "path", "ext", *carry, "n_lines", "first_line",
-        F.posexplode(F.arrays_zip("lines", "inside", "doc")).alias("pos", "cell"),
-    ).select(
+        # not posexplode: Spark would test the array's size below, and work it out a second time for that
+        F.posexplode_outer(F.arrays_zip(*zipped)).alias("pos", "cell"),
+    ).where("pos IS NOT NULL").select(
         "repo_id", "path", "ext", *carry, "n_lines",
         (F.col("pos") + F.col("first_line")).cast("int").alias("line"),
         F.col("cell.lines").alias("raw"),
         T.strip(F.col("cell.lines")).alias("stripped"),
         F.coalesce(F.col("cell.inside") == "1", F.lit(False)).alias("masked"),
         F.col("cell.doc").alias("undocumented"),
+        *more,
     )

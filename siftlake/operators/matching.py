@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftlake import rules as R
 from siftlake.functions import text as T
 from siftlake.operators.chunks import annotated_chunks, placed_chunks, split_chunks
+from siftlake.operators.dedup import dedup_hits
 from siftlake.operators.lines import annotated_lines
+from siftlake.operators.rule_index import candidate_match, candidates
 
 # Line starts that the analysers skip.
 COMMENT_STARTS = ("#", "//", "/*")
@@ -15,29 +17,35 @@ SECURITY_STARTS = COMMENT_STARTS + ("*", '"""', "'''")
 IMPORT_STARTS = ("import ", "from ")
 
 
+def kept_sql(skip: str, row: str = "") -> str:
+    """SQL text of a skip rule on the texts of a line, which are columns or, in a lambda, fields of
+    ``row``."""
+    stripped, clean = f"{row}stripped", f"{row}clean"
+    drop = [f"{stripped} = ''"]
+    if skip == "security":  # C1, with a second look at the comment-free text
+        drop += [f"{clean} = ''", T.starts_with_any(stripped, SECURITY_STARTS + IMPORT_STARTS),
+                 T.starts_with_any(clean, COMMENT_STARTS + IMPORT_STARTS)]
+    elif skip == "quality":  # C2
+        drop += [T.starts_with_any(stripped, COMMENT_STARTS + IMPORT_STARTS + ("__import__",)),
+                 f"contains({stripped}, 'import ')", f"endswith({stripped}, ' import')",
+                 f"contains(left({stripped}, 10), 'from ')"]
+    elif skip == "simple":  # C3
+        drop += [T.starts_with_any(stripped, COMMENT_STARTS)]
+    else:
+        raise ValueError(f"unknown skip rule: {skip}")
+    return f"NOT ({' OR '.join(drop)})"
+
+
 def kept_by_security() -> Column:
-    """C1 on ``stripped``, with a second look at the comment-free ``clean``."""
-    return ~(
-        (F.col("stripped") == "") | (F.col("clean") == "")
-        | T.starts_with_any("stripped", SECURITY_STARTS + IMPORT_STARTS)
-        | T.starts_with_any("clean", COMMENT_STARTS + IMPORT_STARTS)
-    )
+    return F.expr(kept_sql("security"))
 
 
 def kept_by_quality() -> Column:
-    """C2 on ``stripped``."""
-    stripped = F.col("stripped")
-    return ~(
-        (stripped == "")
-        | T.starts_with_any("stripped", COMMENT_STARTS + IMPORT_STARTS + ("__import__",))
-        | stripped.contains("import ") | stripped.endswith(" import")
-        | F.left(stripped, F.lit(10)).contains("from ")
-    )
+    return F.expr(kept_sql("quality"))
 
 
 def kept_simple() -> Column:
-    """C3 on ``stripped``."""
-    return ~((F.col("stripped") == "") | T.starts_with_any("stripped", COMMENT_STARTS))
+    return F.expr(kept_sql("simple"))
 
 
 def pruned(path: Column, names) -> Column:
@@ -66,7 +74,7 @@ def kept_by(group: R.RuleGroup) -> Column:
 def first_rule(group: R.RuleGroup) -> Column:
     """Index of the first rule that matches, or null."""
     patterns = [r.pattern if r.live else None for r in group.rules]
-    return F.when(kept_by(group), T.first_match(group.text, "low", patterns, R.BUILT_IN))
+    return F.when(kept_by(group), F.expr(T.first_match(group.text, "low", patterns, R.BUILT_IN)))
 
 
 def prepared_lines(lines: DataFrame) -> DataFrame:
@@ -83,7 +91,7 @@ def prepared_lines(lines: DataFrame) -> DataFrame:
 
 def _cell(rank, kind, dedup, rule, issue, severity, snippet) -> Column:
     return F.expr(
-        f"named_struct('rank', {rank}, 'rule', {rule}, 'severity', {severity}, 'issue', {issue}, "
+        f"named_struct('line', line, 'rank', {rank}, 'rule', {rule}, 'severity', {severity}, 'issue', {issue}, "
         f"'type', '{kind}', 'dedup', '{dedup}', 'code_snippet', {snippet})")
 
 
@@ -121,50 +129,155 @@ def long_file_cell() -> Column:
         "concat('Total lines: ', n_lines)"))
 
 
-# Name of the function or class on a line.
-_NAME = r"regexp_extract(stripped, '(?U)^(?:def|class)\\s+(\\w+)', 1)"
-
-
 DOCUMENTATION = ("function", "class", "marker")
 
 
-def documentation_cells(kinds=DOCUMENTATION) -> list[Column]:
-    """Missing docstrings and TODO/FIXME marks in visible Python files."""
-    def cell(test, dedup, order, issue, severity, snippet):
+def marker_cells() -> list[Column]:
+    """TODO/FIXME marks in visible Python files."""
+    def cell(test, order, issue, severity):
         return F.when(F.expr(f"documented AND {test}"), _cell(
-            R.RANKS["documentation"], "documentation", dedup, order, issue, f"'{severity}'", snippet))
+            R.RANKS["documentation"], "documentation", R.ONCE_PER_LINE, order, issue, f"'{severity}'", "left(stripped, 80)"))
 
-    cells = [
-        cell("undocumented = 'F'", R.FIRST_PER_MESSAGE, 0,
-             f"concat('Missing docstring for function ', {_NAME})", "LOW",
-             f"concat('def ', {_NAME}, '(...)')"),
-        cell("undocumented = 'K'", R.FIRST_PER_MESSAGE, 0,
-             f"concat('Missing docstring for class ', {_NAME})", "MEDIUM",
-             f"concat('class ', {_NAME}, ':')"),
-        cell("contains(upper(raw), 'TODO')", R.ONCE_PER_LINE, 1,
-             "'TODO comment found - address before release'", "LOW", "left(stripped, 80)"),
-        cell("contains(upper(raw), 'FIXME')", R.ONCE_PER_LINE, 2,
-             "'FIXME comment found - fix before release'", "MEDIUM", "left(stripped, 80)"),
-    ]
-    return [c for c, kind in zip(cells, ("function", "class", "marker", "marker")) if kind in kinds]
+    return [cell("contains(upper(raw), 'TODO')", 1, "'TODO comment found - address before release'", "LOW"),
+            cell("contains(upper(raw), 'FIXME')", 2, "'FIXME comment found - fix before release'", "MEDIUM")]
 
 
-HIT_COLUMNS = ("rank", "rule", "severity", "issue", "type", "dedup", "code_snippet")
+# --- what is found on the row of a file -------------------------------------------------------
+
+WIDE = 200  # a group of more rules is matched through its index of literals
+
+
+def _hits_of_a_file(group: R.RuleGroup) -> str:
+    """SQL text: per line of the array ``texts`` the index of the first rule that matches, or null."""
+    tests = [kept_sql(group.skip, "x.")]
+    if group.mask:
+        tests.append("NOT coalesce(get(inside, i) = '1', false)")
+    if group.text == "clean":
+        tests.append("x.clean <> ''")
+    reads_it = f"reads_{group.name}"
+    if len(group.rules) > WIDE:
+        first = candidate_match(f"candidates_{group.name}", f"x.{group.text}", "x.low")
+        # named twice: a column that is named once would be worked out again for every line
+        reads_it = f"size(candidates_{group.name}) > 0"
+    else:
+        first = T.first_match(f"x.{group.text}", "x.low", [r.pattern if r.live else None for r in group.rules], R.BUILT_IN)
+    return (f"CASE WHEN {reads_it} THEN transform(texts, (x, i) -> "
+            f"CASE WHEN {' AND '.join(f'({t})' for t in tests)} THEN {first} END) END")
+
+
+def _first_of_each(column: str) -> str:
+    """SQL text: of an array sorted by (issue, line) the first of each issue."""
+    return f"filter({column}, (f, i) -> i = 0 OR f.issue <> get({column}, i - 1).issue)"
+
+
+def _as_hits(column: str, rank: int, kind: str, dedup: str) -> str:
+    return (f"transform({column}, f -> named_struct('line', f.line, 'rank', {rank}, 'rule', f.rule, 'severity', f.severity, "
+            f"'issue', f.issue, 'type', '{kind}', 'dedup', '{dedup}', 'code_snippet', f.code_snippet))")
+
+
+# Name of the function or class on a line.
+_NAME = r"(?U)^(?:def|class)\s+(\w+)"
+
+
+def _undocumented(lines: Column, flags: Column, kinds, first_line: Column) -> Column:
+    """struct(issue, line, rule, severity, code_snippet) for each marked line."""
+    forms = {"F": ("Missing docstring for function ", "LOW", "def ", "(...)"),
+             "K": ("Missing docstring for class ", "MEDIUM", "class ", ":")}
+    forms = {mark: form for mark, form in forms.items() if {"F": "function", "K": "class"}[mark] in kinds}
+
+    def found(flag: Column, i: Column) -> Column:
+        name = F.regexp_extract(T.strip(F.get(lines, i)), _NAME, 1)
+        out = F.lit(None)
+        for mark, (issue, severity, head, tail) in forms.items():
+            out = F.when(flag == mark, F.struct(
+                F.concat(F.lit(issue), name).alias("issue"), (first_line + i).cast("int").alias("line"), F.lit(0).alias("rule"),
+                F.lit(severity).alias("severity"), F.concat(F.lit(head), name, F.lit(tail)).alias("code_snippet"))).otherwise(out)
+        return out
+
+    return F.filter(F.transform(flags, found), lambda f: f.isNotNull())
+
+
+_HIT_ARRAY = ("array<struct<line:int,rank:int,rule:int,severity:string,issue:string,type:string,dedup:string,code_snippet:string>>")
+
+
+def hits_of_files(arrays: DataFrame, groups, documentation=()) -> DataFrame:
+    """Add ``hits``: what the groups, and D9 and D10, find in the arrays of a row.  The first line
+    per message (E2) is chosen here, so nothing has to be brought together later."""
+    arrays = arrays.withColumn("hits", F.array().cast(_HIT_ARRAY))
+    parts = []
+    if groups:
+        texts = F.transform("lines", lambda l: F.struct(l.alias("raw"), T.strip(l).alias("stripped"), T.folded(l).alias("low")))
+        if any(g.text == "clean" or g.skip == "security" for g in groups):
+            mark = F.col("mark")
+            texts = F.transform(texts, lambda x: F.struct(x.raw.alias("raw"), x.stripped.alias("stripped"), x.low.alias("low"),
+                                                          T.strip_comments(x.stripped, mark).alias("clean")))
+        arrays = arrays.withColumn("texts", F.when(F.expr(" OR ".join(f"reads_{g.name}" for g in groups)), texts))
+    for g in groups:
+        if len(g.rules) > WIDE:
+            arrays = arrays.withColumn(f"candidates_{g.name}", F.when(F.col(f"reads_{g.name}"), candidates(
+                g, F.array_join(F.col("texts.low"), "\n"))))
+    arrays = arrays.withColumns({f"at_{g.name}": F.expr(_hits_of_a_file(g)) for g in groups})
+    arrays = arrays.withColumns({f"found_{g.name}": F.expr(
+        f"filter(transform(at_{g.name}, (h, i) -> CASE WHEN h IS NOT NULL THEN named_struct('issue', "
+        f"get({_texts(r.message for r in g.rules)}, h), 'line', CAST(first_line + i AS INT), 'rule', h, 'severity', "
+        f"get({_texts(r.severity for r in g.rules)}, h), 'code_snippet', get(texts, i).stripped) END), f -> f IS NOT NULL)")
+        for g in groups})
+    for g in groups:
+        column = f"found_{g.name}"
+        if g.dedup == R.FIRST_PER_MESSAGE:
+            arrays = arrays.withColumn(column, F.array_sort(column)).withColumn(column, F.expr(_first_of_each(column)))
+        parts.append(F.expr(f"coalesce({_as_hits(column, g.rank, g.issue_type, g.dedup)}, hits)"))
+    if documentation:
+        found = F.when(F.col("documented"), _undocumented(F.col("lines"), F.col("doc"), documentation, F.col("first_line")))
+        arrays = (arrays.withColumn("found_doc", F.array_sort(found)).withColumn("found_doc", F.expr(_first_of_each("found_doc"))))
+        parts.append(F.expr(f"coalesce({_as_hits('found_doc', R.RANKS['documentation'], 'documentation', R.FIRST_PER_MESSAGE)}, hits)"))
+    return arrays.withColumn("hits", F.concat(F.col("hits"), *parts))
+
+
+HIT_COLUMNS = ("line", "rank", "rule", "severity", "issue", "type", "dedup", "code_snippet")
 
 
 def line_hits(files: DataFrame, groups=(), filenames=False, long_files=False,
               documentation=(), giant_bytes: int | None = None) -> DataFrame:
-    """Everything asked for in one narrow pass over the files: what depends on the file
-    is worked out once per file, a projection over its lines finds the first rule of
-    each group, then each hit becomes a row.
+    """Everything asked for in one narrow pass over the files: what depends on the file is worked out
+    once per file, a projection over its lines finds the first rule of each group, then each hit
+    becomes a row.  Groups that want the first line per message, and groups of very many rules, are
+    matched on the row of the file, before its lines become rows.
 
     A file is one row and so one task's work.  With ``giant_bytes`` larger files are cut into
     chunks that are worked out by themselves; that reads the table a second time.  ``files`` may
-    also be chunks with their places (:func:`siftlake.operators.chunks.placed_chunks`)."""
+    also be chunks with their places (:func:`siftlake.operators.chunks.placed_chunks`).  Chunks give
+    the first line per message of the chunk; these hits are then brought together per file."""
+    if "first_line" in files.columns:
+        return _over_chunks(_hits(files, annotated_chunks, groups, filenames, long_files, documentation))
+    if giant_bytes is None:
+        return _hits(files, annotated_lines, groups, filenames, long_files, documentation)
+    size = F.col("size_bytes") if "size_bytes" in files.columns else F.octet_length("content")
+    giant = placed_chunks(split_chunks(files.where(size > giant_bytes)))
+    small = _hits(files.where(size <= giant_bytes), annotated_lines, groups, filenames, long_files, documentation)
+    return small.unionByName(_over_chunks(_hits(giant, annotated_chunks, groups, filenames, long_files, documentation)))
+
+
+def _over_chunks(hits: DataFrame) -> DataFrame:
+    return dedup_hits(hits, "dedup")
+
+
+def _hits(rows: DataFrame, annotate, groups, filenames, long_files, documentation) -> DataFrame:
     path = F.col("path")
     visible = ~pruned(path, R.VENDORED_DIRS)
     carry = {f"reads_{g.name}": reads(g) for g in groups}
-    cells = [rule_cell(g) for g in groups]
+    on_file = [g for g in groups if g.dedup == R.FIRST_PER_MESSAGE or len(g.rules) > WIDE]
+    names = [g.name for g in groups]
+    if {"security", "advanced"} <= set(names):  # E3 looks at both on the line
+        on_file = [g for g in on_file if g.name not in ("security", "advanced")]
+    on_line = [g for g in groups if g not in on_file]
+    undocumented = [k for k in documentation if k != "marker"]
+    cells = [rule_cell(g) for g in on_line]
+    if {"security", "advanced"} <= set(names):
+        # E3 on the line itself: drop an advanced hit that repeats the security hit
+        first, at = (cells[[g.name for g in on_line].index(n)] for n in ("security", "advanced"))
+        same = first["issue"] == at["issue"]
+        cells[[g.name for g in on_line].index("advanced")] = F.when(~F.coalesce(same, F.lit(False)), at)
     if filenames:
         carry["bad_name"] = (T.has_extension(path, R.SECURITY_EXTENSIONS)
                              & T.file_name(path).rlike(r"[^\x00-\x7F]| "))
@@ -174,29 +287,25 @@ def line_hits(files: DataFrame, groups=(), filenames=False, long_files=False,
         cells.append(long_file_cell())
     if documentation:
         carry["documented"] = T.has_extension(path, R.DOCUMENTATION_EXTENSIONS) & visible
-        cells.extend(documentation_cells(documentation))
-    names = [g.name for g in groups]
-    if {"security", "advanced"} <= set(names):
-        # E3 on the line itself: drop an advanced hit that repeats the security hit
-        at = names.index("advanced")
-        same = cells[names.index("security")]["issue"] == cells[at]["issue"]
-        cells[at] = F.when(~F.coalesce(same, F.lit(False)), cells[at])
-    state = {"comments": any(g.mask or g.text == "clean" for g in groups),
-             "docs": bool({"function", "class"} & set(documentation)), "carry": carry}
-    if "first_line" in files.columns:
-        lines = annotated_chunks(files, **state)
-    elif giant_bytes is None:
-        lines = annotated_lines(files, **state)
-    else:
-        size = F.col("size_bytes") if "size_bytes" in files.columns else F.octet_length("content")
-        giant = placed_chunks(split_chunks(files.where(size > giant_bytes)))
-        lines = annotated_lines(files.where(size <= giant_bytes), **state).unionByName(annotated_chunks(giant, **state))
-    found = prepared_lines(lines).select(
-        "*", *[first_rule(g).alias(f"hit_{g.name}") for g in groups])
+        if "marker" in documentation:
+            cells.extend(marker_cells())
+
+    def whole(arrays: DataFrame) -> DataFrame:
+        return hits_of_files(arrays, on_file, undocumented) if on_file or undocumented else arrays
+
+    lines = annotate(rows, comments=any(g.mask or g.text == "clean" for g in groups), docs=bool(undocumented), carry=carry,
+                     whole=whole, explode=bool(cells))
+    if not cells:
+        return lines.select("repo_id", "path", F.explode_outer("hits").alias("hit")).where(F.col("hit").isNotNull()).select(
+            "repo_id", "path", *[f"hit.{c}" for c in HIT_COLUMNS])
+    found = prepared_lines(lines).select("*", *[first_rule(g).alias(f"hit_{g.name}") for g in on_line])
+    every = F.array(*cells)
+    if on_file or undocumented:  # the hits of the row stand at its first line
+        every = F.when(F.col("hits").isNull(), every).otherwise(F.concat(every, "hits"))
     return (
-        found.select("repo_id", "path", "line", F.explode(F.array(*cells)).alias("hit"))
+        found.select("repo_id", "path", F.explode_outer(every).alias("hit"))  # as posexplode_outer in lines
         .where(F.col("hit").isNotNull())
-        .select("repo_id", "path", "line", *[f"hit.{c}" for c in HIT_COLUMNS])
+        .select("repo_id", "path", *[f"hit.{c}" for c in HIT_COLUMNS])
     )
 
 

@@ -17,22 +17,20 @@ from siftlake.sources.tool_reports import snippet_lookup
 
 def rule_findings(files: DataFrame, *groups: R.RuleGroup, giant_bytes: int | None = None) -> DataFrame:
     """Findings of single rule groups."""
-    hits = line_hits(files, groups, giant_bytes=giant_bytes)
-    if any(g.dedup == R.FIRST_PER_MESSAGE for g in groups):
-        return FD.dedup_hits(hits)
-    return hits.drop("dedup")  # one hit per line and group is unique as it is
+    return line_hits(files, groups, giant_bytes=giant_bytes).drop("dedup")
 
 
 def documentation_findings(files: DataFrame, kinds=DOCUMENTATION, giant_bytes: int | None = None) -> DataFrame:
     """D9 to D11, or some of them."""
     hits = line_hits(files.where(F.col("path").endswith(".py")), documentation=kinds, giant_bytes=giant_bytes)
-    return hits.drop("dedup") if set(kinds) == {"marker"} else FD.dedup_hits(hits)
+    return hits.drop("dedup")
 
 
 def own_findings(files: DataFrame, giant_bytes: int | None = None) -> DataFrame:
-    """All analysers in one pass over the corpus and one shuffle of the hits."""
+    """All analysers in one pass over the corpus.  A path stands for one file: findings are unique on
+    its row, so nothing is shuffled."""
     hits = line_hits(files, R.ALL_GROUPS, filenames=True, long_files=True, documentation=DOCUMENTATION, giant_bytes=giant_bytes)
-    return FD.dedup_hits(hits).withColumns({
+    return hits.drop("dedup").withColumns({
         "tool": F.lit("rules"), "report_id": F.lit(None).cast("long")})
 
 

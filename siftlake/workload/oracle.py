@@ -21,6 +21,20 @@ SQL["rule_filename"] = with_(B.FILES, B.FILENAME) + f"SELECT {FINDING} FROM file
 _TWIN = replace(OWN_GROUP, rules=tuple(replace(r, pattern=p) for r, p in zip(OWN_GROUP.rules, (
     """'.*'|".*\"""", "zq|pass.*word", "TODO", "retu.*n", r"\w.*="))))
 SQL["rules_own"] = with_(B.LINES, B.group_cte(_TWIN)) + f"SELECT {FINDING} FROM own_rows"
+SQL["rules_table"] = with_(B.LINES, *[B.group_cte(g) for g in (*R.ALL_GROUPS, _TWIN)]) + " UNION ALL ".join(
+    f'SELECT "rank", {FINDING} FROM {g.name}_rows' + (
+        " ANTI JOIN (SELECT repo_id, path, line, issue FROM security_rows) USING (repo_id, path, line, issue)" if g is R.ADVANCED else "")
+    for g in (*R.ALL_GROUPS, _TWIN))
+SQL["rules_watch_words"] = with_(B.LINES, f"""
+words AS MATERIALIZED (
+  SELECT word, row_number() OVER (ORDER BY word) - 1 AS rule FROM (
+    SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE length(word) >= 6),
+hits AS (
+  SELECT repo_id, path, line, stripped, min(rule) AS rule FROM lines JOIN words ON contains(lower(stripped), word)
+  WHERE {B.ends_any('path', ('.py', '.js', '.rb'))} AND {B.SIMPLE} GROUP BY ALL)""") + """
+SELECT repo_id, path, line, ['LOW', 'MEDIUM', 'HIGH'][rule % 3 + 1] AS severity, 'Watched word ' || word AS issue, 'quality' AS type,
+  stripped AS code_snippet
+FROM hits JOIN words USING (rule) QUALIFY row_number() OVER (PARTITION BY repo_id, path, word ORDER BY line) = 1"""
 SQL["scan_tree"] = """SELECT 'repo=' || source AS repo_id, 'name=' || doc_id AS folder,
   md5(coalesce(text, '') || chr(10)) AS md5, strlen(coalesce(text, ''))::BIGINT + 1 AS size_bytes FROM documents"""
 SQL["tree_line_blocks"] = f"""

@@ -13,8 +13,8 @@ from siftlake.operators.matching import (
     filename_findings, kept_by_quality, kept_by_security, kept_simple, line_hits, long_file_findings, prepared_lines,
     pruned)
 from siftlake.plans import report, scan
-from siftlake.session import cut
-from siftlake.sources import corpus, test_reports, tool_reports
+from siftlake.session import cut, fresh_path
+from siftlake.sources import corpus, rule_tables, test_reports, tool_reports
 from siftlake.streaming import jobs
 from siftlake.workload import tables
 
@@ -84,7 +84,7 @@ def _small_chunks(spark, sf):
 
 def _chunk_docs(spark, sf, kind):
     hits = line_hits(_small_chunks(spark, sf).where(F.col("path").endswith(".py")), documentation=[kind])
-    return FD.dedup_hits(hits).select(FINDING)
+    return hits.select(FINDING)
 
 
 @query
@@ -114,6 +114,22 @@ def rules_own(spark, sf):
     return scan.rule_findings(tables.files(spark, sf), OWN).select(FINDING)
 
 
+@query
+def rules_table(spark, sf):
+    """All built-in groups and the own one, written as a table and read from it."""
+    path = fresh_path(spark, "rules")
+    rule_tables.rule_rows(spark, (*R.ALL_GROUPS, OWN)).write.parquet(path)
+    groups = rule_tables.read_rules(spark.read.parquet(path))
+    return scan.rule_findings(tables.files(spark, sf), *groups).select("rank", *FINDING)
+
+
+@query
+def rules_watch_words(spark, sf):
+    """A rule for each longer word of the benchmark texts: far more rules than an expression can hold."""
+    groups = rule_tables.read_rules(tables.watch_rules(spark, sf))
+    return scan.rule_findings(tables.files(spark, sf), *groups).select(FINDING)
+
+
 # --- corpus, lines and scalar functions -------------------------------------
 
 def _lines(spark, sf, **options):

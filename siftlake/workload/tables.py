@@ -6,6 +6,7 @@ code lines picked from a bank by its id, followed by the document's whole text."
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from siftlake.functions.text import sql_text
 from siftlake.plans import scan
@@ -57,6 +58,19 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_files(table(spark, sf_dir, "documents"))
 
 
+def watch_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule rows: the words of six letters and more in the benchmark texts, in alphabetical order."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    words = words.where(F.length("word") >= 6).distinct()
+    n = (F.row_number().over(Window.orderBy("word")) - 1).cast("int")  # a list of words is small
+    return words.withColumn("ordinal", n).select(
+        F.lit("watch").alias("group_name"), F.lit(90).alias("rank"), F.lit("quality").alias("issue_type"),
+        F.array(F.lit(".py"), F.lit(".js"), F.lit(".rb")).alias("extensions"), F.lit("stripped").alias("text"),
+        F.lit("first_per_message").alias("dedup"), F.lit(False).alias("prune"), F.lit("simple").alias("skip"), F.lit(False).alias("mask"),
+        "ordinal", F.col("word").alias("pattern"), F.concat(F.lit("Watched word "), "word").alias("message"),
+        pick(["LOW", "MEDIUM", "HIGH"], F.col("ordinal")).alias("severity"))
+
+
 def written_tree(spark: SparkSession, sf_dir: str) -> str:
     """The documents as files below a new folder of the shared folder; its path repeats a
     name and has letters that mean something in a pattern."""
