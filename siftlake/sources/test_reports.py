@@ -4,10 +4,13 @@ A report table has (repo_id, report_id, repo_url, report), report being JSON tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import contextlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftlake.functions import text as T
 from siftlake.operators.findings import top_per_group
+from siftlake.session import cut
 
 SCHEMA = ("repository string, language string, framework string, total_tests string, total string, "
           "passed string, failed string, coverage_percent string, "
@@ -57,18 +60,47 @@ def report_structure_ok(report: Column) -> Column:
     return is_object(report) & T.contains_any(F.lower(report), REPORT_WORDS)
 
 
-# A key named like a path, at any depth, with a text value.  A quote inside a JSON
-# string is escaped, so such a pair cannot be part of a string.
-# Possessive runs: the match goes on in a loop, however long the value, and never back.
-_PAIR = r'(?i)(?<!\\)"(?:{})"\s*:\s*"((?:[^"\\]++|\\.)*+)"'.format("|".join(PATH_KEYS))
+@contextlib.contextmanager
+def _last_of_equal_keys(spark: SparkSession):
+    """As most JSON readers have it; Spark otherwise refuses objects with equal keys."""
+    setting = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
+def walk(values: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(all other columns, key, value) for each member of an object, at any depth below column ``v`` (a
+    VARIANT), whose key is one of ``keys`` in whatever case.  Each round opens one level of all values
+    at once; the rounds end with the deepest value."""
+    spark, rest = values.sparkSession, [c for c in values.columns if c != "v"]
+    names, found, level = ", ".join(f"`{c}`" for c in rest), None, values
+    while True:
+        rows = cut(spark.sql(
+            f"SELECT {names}, key, value, schema_of_variant(value) AS kind FROM {{level}}, LATERAL variant_explode(v) AS t(pos, key, value)",
+            level=level), "level")
+        some = rows.where(F.lower("key").isin(*keys))
+        found = some if found is None else found.unionByName(some)
+        level = rows.where(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")).select(*rest, F.col("value").alias("v"))
+        if level.isEmpty():
+            return found
 
 
 def report_paths(reports: DataFrame) -> DataFrame:
-    """distinct path texts anywhere in a report, without walking its levels."""
-    quoted = F.regexp_extract_all("report", F.lit(_PAIR), F.lit(1))
-    values = F.from_json(F.concat(F.lit('["'), F.array_join(quoted, '","'), F.lit('"]')), "array<string>")
-    return reports.where(F.col("report").rlike(_PAIR)).select(
-        "repo_id", "report_id", F.explode(values).alias("path")).distinct()
+    """distinct path texts anywhere in a report.  The report is walked as a VARIANT, so keys and
+    values count as they are meant, however they are written.  Text that is no JSON names no path; of
+    equal keys in an object the last one counts."""
+    with _last_of_equal_keys(reports.sparkSession):
+        parsed = cut(reports.select("repo_id", "report_id", F.try_parse_json("report").alias("v")).where("v IS NOT NULL"), "reports")
+        found = walk(parsed, PATH_KEYS)
+    return found.where("kind = 'STRING'").select(
+        "repo_id", "report_id", F.variant_get("value", "$", "string").alias("path")).distinct()
 
 
 def existing_paths(files: DataFrame) -> DataFrame:

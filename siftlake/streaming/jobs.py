@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftlake.operators.findings import gate_by_language, repo_gates, with_fix
 from siftlake.operators.history import KEPT, UPDATED, event_order
 from siftlake.plans.scan import own_findings
-from siftlake.session import fresh_path
+from siftlake.session import cut, fresh_path
 
 
 def _run(stream: DataFrame, write, checkpoint: str) -> None:
@@ -16,20 +17,69 @@ def _run(stream: DataFrame, write, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def _file() -> Column:
+    """Key of a file; repositories and paths may be null."""
+    return F.sha2(F.to_json(F.struct("repo_id", "path")), 256)
+
+
+def _latest(arrivals: DataFrame) -> DataFrame:
+    """Per file its last arrival: file, repo_id, path, hash, batch."""
+    return arrivals.groupBy("file").agg(F.max_by(F.struct("repo_id", "path", "hash", "batch"), "batch").alias("l")).select("file", "l.*")
+
+
+def _changed(batch: DataFrame, arrivals: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The files of a batch that are new or have another content than at their last arrival, each once,
+    and their keys.  Of different contents of one file in one batch that with the largest hash counts.
+    Only keys are compared; contents stay where they are unless a file comes twice in the batch."""
+    keyed = batch.withColumns({"file": _file(), "hash": F.sha2(F.coalesce("content", F.lit("")), 256)})
+    keys = cut(keyed.groupBy("file", "hash").agg(F.count(F.lit(1)).alias("n"), F.first("repo_id").alias("repo_id"),
+                                                 F.first("path").alias("path")), "keys")
+    chosen = keys.groupBy("file").agg(F.max_by(F.struct("repo_id", "path", "hash"), "hash").alias("k"), F.sum("n").alias("n"))
+    chosen = chosen.select("file", "k.*", "n")
+    if arrivals is not None:
+        chosen = chosen.join(_latest(arrivals).select("file", "hash"), ["file", "hash"], "left_anti")
+    chosen = cut(chosen, "chosen")
+    rows = keyed.join(chosen.select("file", "hash"), ["file", "hash"], "left_semi")
+    if not chosen.where("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["file"])
+    return rows.select(*batch.columns), chosen.drop("n")
+
+
+def _arrivals(spark: SparkSession, out: str, before: int) -> DataFrame | None:
+    """What earlier batches brought; a batch that runs again does not see itself."""
+    try:
+        rows = spark.read.schema("file string, repo_id string, path string, hash string, batch long").parquet(f"{out}/files")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.where(F.col("batch") < before)
+
+
 def stream_findings(files: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """K1: findings of files as they arrive, gated and with fixes.  A file arrives whole,
-    so each batch is the batch plan; a batch that is run again replaces its own folder.
-    Whether a repository has code of a language is known from all its batches together,
-    so the gates are kept beside the findings and applied to what is read."""
+    """K1: findings of files as they arrive, gated and with fixes.  A file arrives whole, so each batch
+    is the batch plan; a batch that is run again replaces its own folder.
+
+    A file may come again.  If its content is the one last seen it is not scanned; if it has changed,
+    the findings of its last arrival count and the older ones go.  A null or empty content leaves no
+    findings.  Whether a repository has code of a language follows from the last arrivals of all its
+    files."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        own_findings(batch).write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
-        repo_gates(batch).write.mode("overwrite").parquet(f"{out}/gates/batch={batch_id}")
+        changed, keys = _changed(batch, _arrivals(batch.sparkSession, out, batch_id))
+        own_findings(changed).write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
+        keys.write.mode("overwrite").parquet(f"{out}/files/batch={batch_id}")
 
     _run(files, write, checkpoint)
-    read = files.sparkSession.read.parquet
-    gates = read(f"{out}/gates").groupBy("repo_id").agg(
-        F.bool_or("has_python").alias("has_python"), F.bool_or("has_code").alias("has_code"))
-    return with_fix(gate_by_language(read(f"{out}/findings").drop("batch"), gates))
+    return current_findings(files.sparkSession, out)
+
+
+def current_findings(spark: SparkSession, out: str) -> DataFrame:
+    """The findings of the last arrival of every file of a findings stream."""
+    # written: small enough ones are broadcast, others joined by file
+    last = cut(_latest(_arrivals(spark, out, 1 << 62)), "latest")
+    rows = spark.read.parquet(f"{out}/findings").withColumn("file", _file()).withColumn("batch", F.col("batch").cast("long"))
+    rows = rows.join(last.select("file", "batch"), ["file", "batch"], "left_semi").drop("file", "batch")
+    return with_fix(gate_by_language(rows, cut(repo_gates(last), "gates")))
 
 
 def _fold(rows: DataFrame, first_at: Column, last_at: Column) -> DataFrame:

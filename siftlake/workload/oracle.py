@@ -611,7 +611,7 @@ scans AS MATERIALIZED (
 _S = with_(SCANS)
 _ALL_SCANS = _S + "SELECT * FROM scans"
 SQL["upsert_scans"] = _ALL_SCANS
-SQL["stream_scan_status"] = _ALL_SCANS
+SQL["stream_scan_status"] = SQL["scan_table_upsert"] = _ALL_SCANS
 SQL["scan_store_rw"] = _S + "SELECT * REPLACE (coalesce(issues, '[]') AS issues) FROM scans"
 SQL["get_scan"] = _S + "SELECT * FROM scans WHERE job_id = 'job-8' AND user_id = 1"
 _LISTED = "repo_url, status, total_issues, security_issues, quality_issues, files_scanned, directories_scanned, created_at, completed_at"
@@ -621,6 +621,7 @@ SQL["scan_history"] = _S + f"""SELECT job_id, {_LISTED.replace('repo_url, ', '')
   WHERE repo_url = 'https://github.com/team/repo8' AND user_id = 1"""
 SQL["delete_scan"] = _S + "SELECT job_id, user_id, status FROM scans WHERE NOT coalesce(status = 'failed' AND user_id = 3, false)"
 SQL["clear_scans"] = _S + "SELECT job_id, user_id, status FROM scans WHERE user_id IS DISTINCT FROM 3"
+SQL["scan_table_delete"], SQL["scan_table_clear"] = SQL["delete_scan"], SQL["clear_scans"]
 SQL["visible_scans"] = _S + "SELECT job_id, user_id, status FROM scans WHERE user_id IS NULL OR user_id = 2"
 SQL["active_scans"] = _S + "SELECT count(*) AS active_scans FROM scans WHERE status = 'running'"
 SQL["scan_duration"] = _S + """SELECT job_id, (epoch_us(updated_at) - epoch_us(created_at)) / 1000000 AS seconds,

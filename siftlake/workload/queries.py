@@ -12,6 +12,7 @@ from siftlake.operators.lines import annotated_lines, explode_lines
 from siftlake.operators.matching import (
     filename_findings, kept_by_quality, kept_by_security, kept_simple, line_hits, long_file_findings, prepared_lines,
     pruned)
+from siftlake.operators.scan_table import ScanTable
 from siftlake.plans import report, scan
 from siftlake.session import cut, fresh_path
 from siftlake.sources import corpus, rule_tables, test_reports, tool_reports
@@ -683,6 +684,36 @@ def upsert_scans(spark, sf):
     return _flat(_scans(spark, sf))
 
 
+def _scan_table(spark, sf):
+    """The base rows as a first version, then the updates in two writes."""
+    base, updates = tables.scan_base(spark, sf), cut(tables.scan_updates(spark, sf), "updates")
+    table = ScanTable(spark, fresh_path(spark, "scans"), base.schema, parts=8)
+    table.upsert(base, order=("created_at",))
+    early = F.pmod(F.xxhash64("job_id"), F.lit(2)) == 0
+    for some in (updates.where(early), updates.where(~early)):
+        table.upsert(some, history.event_order())
+    return table
+
+
+@query
+def scan_table_upsert(spark, sf):
+    return _flat(_scan_table(spark, sf).read())
+
+
+@query
+def scan_table_delete(spark, sf):
+    table = _scan_table(spark, sf)
+    table.delete(table.read().where("status = 'failed'").select("job_id", F.lit(3).alias("user_id")))
+    return table.read().select("job_id", "user_id", "status")
+
+
+@query
+def scan_table_clear(spark, sf):
+    table = _scan_table(spark, sf)
+    table.clear(3)
+    return table.read().select("job_id", "user_id", "status")
+
+
 @query
 def scan_store_rw(spark, sf):
     return _flat(history.scan_store_rw(_scans(spark, sf)))

@@ -260,3 +260,40 @@ def test_findings_stream_equals_batch(spark, tmp_path, make_files):
     files = make_files(rows)
     want = with_fix(gate_by_language(own_findings(files), repo_gates(files)))
     assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_changed_files_replace_their_findings(spark, tmp_path, make_files):
+    """A file sent twice, one sent changed, one emptied, one twice in a batch: as the last state in one batch."""
+    from siftlake.operators.findings import gate_by_language, repo_gates, with_fix
+    from siftlake.plans.scan import own_findings
+
+    code, more = "eval(x)\ndef a():\ndef b():\n", "password = 'abc'\nimport os\n"
+    batches = [[("r", "a.py", code), ("r", "b.js", code), (None, "c.py", code), ("s", "only.py", more)],
+               [("r", "a.py", code), ("r", "b.js", more)],
+               [("s", "only.py", None), ("r", "d.py", more), ("r", "d.py", more)],
+               [(None, "c.py", more), ("t", "e.py", code)], [(None, "c.py", code)]]
+    for n, rows in enumerate(batches):
+        make_files(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(make_files(rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = jobs.stream_findings(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+        state = {}
+        for some in batches[:n + 1]:
+            state.update({r[:2]: r for r in some})
+        files = make_files(list(state.values()))
+        want = with_fix(gate_by_language(own_findings(files), repo_gates(files)))
+        assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    scanned = spark.read.parquet(str(tmp_path / "out" / "files")).groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in scanned} == {0: 4, 1: 1, 2: 2, 3: 2, 4: 1}  # a.py was not scanned again
+
+
+def test_paths_however_they_are_written(spark):
+    deep = '{"path": "deep.py"}'
+    for i in range(60):
+        deep = f'{{"a": [{deep}]}}' if i % 2 else f'[{{"b{i}": {deep}}}]'
+    bodies = ['{"\\u0066ile": "a.py"}', '{"FI\\u004cE": "\\u0061\\/b.py"}', deep, '{"file": "x", "file": "y"}', '{"file": "x"', "",
+              '{"a": "{\\"file\\": \\"text.py\\"}"}', '{"file": 3, "path": null, "a": {"path": true, "filename": ""}}',
+              '[1, {"file": "z"}]', '"file"', '{"file": {"file": ["f", {"file": "in.py"}]}}']
+    rows = spark.createDataFrame([("r", i, b) for i, b in enumerate(bodies)], "repo_id string, report_id long, report string")
+    got = sorted((r.report_id, r.path) for r in TR.report_paths(rows).collect())
+    assert got == [(0, "a.py"), (1, "a/b.py"), (2, "deep.py"), (3, "y"), (7, ""), (8, "z"), (10, "in.py")]
+    assert TR.report_paths(rows.limit(0)).collect() == []
