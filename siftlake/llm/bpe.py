@@ -22,7 +22,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import fresh, ship, small_batches
+from siftlake.llm.common import fresh, ship, small_batches, unused
+from siftlake.session import cut
 
 HEAD = 50_000  # words sent to every task
 BLOCK = 2 << 20  # characters of a block
@@ -186,9 +187,23 @@ def _encode_words(vocabulary: str):
 
 
 def head_table(docs: DataFrame, vocabulary: str, text: str = "text", size: int = HEAD) -> DataFrame:
-    """(word, ids) of the ``size`` most frequent words, each encoded once; ids are int32 bytes."""
+    """(word, ids) of the most frequent words, at most ``size``, each encoded once; ids are int32 bytes.
+
+    A histogram of the counts gives the smallest count that at most ``size`` words reach, and a filter
+    takes these words: nothing is sorted, and no task sees the words of others.  Words that occur once
+    are not worth a place."""
     counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counted, "word string, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).select("word")
+    often = cut(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "counts")
+    # counts by their leading bits: a few hundred bins, whatever the table's size
+    bins = (often.withColumn("bits", F.greatest(F.length(F.bin("n")) - 6, F.lit(0)))
+            .withColumn("floor", F.expr("shiftleft(shiftright(n, bits), bits)")).groupBy("floor").agg(F.count(F.lit(1)).alias("words")).collect())
+    least, left = None, size
+    for row in sorted(bins, key=lambda r: -r["floor"]):
+        left -= row["words"]
+        if left < 0:
+            break
+        least = row["floor"]
+    top = often.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
     return top.mapInArrow(_encode_words(vocabulary), "word string, ids binary")
 
 
@@ -198,8 +213,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", hea
     add_special_tokens=False, the strings of special tokens in the text included.  A null text is
     an empty one and has no ids.  ``path`` is the tokenizer's JSON file, read on the driver; its
     special tokens must not contain white space.  With ``decoded``, a column of that name has the
-    ids decoded again, as ``decode`` does, by the same worker and so without a second one.  Sets the session's Arrow batches to ROWS rows."""
+    ids decoded again, as ``decode`` does, by the same worker and so without a second one.  A
+    table that has a column of either name is refused.  Sets the session's Arrow batches to ROWS rows."""
     spark = docs.sparkSession
+    unused(docs, out, *([decoded] if decoded else []))
     small_batches(spark)
     vocabulary = _share(spark, path)
     known = {r["word"]: bytes(r["ids"]) for r in head_table(docs, vocabulary, text, head).toLocalIterator()}

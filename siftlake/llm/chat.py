@@ -54,7 +54,8 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 
     Rows follow ``turn`` (null first), equal turns role and the MD5 of the text; repeated rows are
     repeated turns.  Null roles and texts are empty, a null conversation is one of its own.  Only a
-    system turn at the head of a conversation is retained; a later one is an ordinary turn.
+    system turn at the head of a conversation is retained; a later one is an ordinary turn.  A turn
+    without words counts as one word.
 
     The running sums are taken over narrow rows and range-sorted partitions, so one conversation
     may hold any share of all turns; texts are joined to their windows once."""
@@ -63,7 +64,8 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
                         body.alias("text"), F.md5(body.cast("binary")).alias("md5"))
     said = (said.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
             .withColumn("tkey", F.coalesce(F.concat(F.lit("="), F.col("turn").cast("string")), F.lit(""))))
-    words = F.regexp_count("text", F.lit(f"[^{SPACE[1:-1]}]+")).cast("long")
+    # a turn without words counts as one, so that a window has a bounded number of turns
+    words = F.greatest(F.regexp_count("text", F.lit(f"[^{SPACE[1:-1]}]+")).cast("long"), F.lit(1))
     texts = said.groupBy(*_TURN_KEY).agg(F.first("text").alias("text"), F.first("conv_id").alias("conv_id"))
     narrow = said.select(*_TURN_KEY, "turn", words.alias("tokens"))
     rows = number_within(narrow, ["key"], ["turn", "role", "md5"], name="n", value="tokens")

@@ -44,6 +44,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def unused(df: DataFrame, *names: str) -> None:
+    """Refuse a table that already has a column which an operator is about to add."""
+    if clash := {n.lower() for n in names} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the table already has a column {', '.join(sorted(clash))}; rename it or name another one")
+
+
 def ship(module: str) -> None:
     """Send the module's functions to Python workers with the job, so that executors need not have
     this package installed."""

@@ -77,13 +77,20 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The kept documents with all their columns.  Also of repeated rows one stays."""
-    key, points, named = fresh(docs, "_sha", "_points", "_id")
-    kept = (duplicate_groups(docs, id_col, text).where("kept")
-            .select(F.col("doc_id").alias(named), F.col("text_sha256").alias(f"{key}2"),
-                    F.col("points").alias(f"{points}2")))
-    tagged = (docs.withColumn(key, F.sha2(normalised(text), 256))
-              .withColumn(points, F.char_length(text_of(text)).cast("long")))
-    hits = tagged.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(named)) & (F.col(key) == F.col(f"{key}2"))
-                       & (F.col(points) == F.col(f"{points}2")))
-    return hits.dropDuplicates([named, key, points]).select(*docs.columns)
+    """The kept documents with all their columns, which may have any names.  Also of repeated rows one
+    stays.  Texts are moved once: the aggregate that drops repeated rows has the keys of the join."""
+    key, points, name = own = fresh(docs, "_sha", "_points", "_name")
+    kept = duplicate_groups(docs, id_col, text).where("kept").select(
+        _name_of("doc_id").alias("id"), "text_sha256", "points")
+    tagged = docs.withColumns({key: F.sha2(normalised(text), 256), points: F.char_length(text_of(text)).cast("long"),
+                               name: _name_of(id_col)})
+    right = dict(zip(own, fresh(tagged, "_sha2", "_points2", "_name2")))
+    kept = cut(kept.select(F.col("id").alias(right[name]), F.col("text_sha256").alias(right[key]), F.col("points").alias(right[points])),
+               "kept")
+    hits = tagged.join(kept, [F.col(a) == F.col(b) for a, b in right.items()])
+    return hits.dropDuplicates(own).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _name_of(id_col: str) -> Column:
+    """The id as text; a null id has a name of its own."""
+    return F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))

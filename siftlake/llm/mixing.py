@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from siftlake.llm.common import SPACE, text_of
+from siftlake.llm.common import SPACE, fresh, text_of
 from siftlake.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -100,21 +100,24 @@ def _sized(docs: DataFrame, id_col: str, source: str, text: str) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, times, taken.
 
-    Null texts have size 0 and take nothing; a null source is a source of its own, the last one.
+    Texts without words have size 0 and are taken no time; a null source is a source of its own, the last one.
     Repeated rows share their hash and are taken alike."""
     sizes = cut(_sized(docs, id_col, source, text), "sizes")
     limits = _thresholds(sizes, targets(sizes)).withColumnRenamed("source", "s")
-    times = F.col("times") + F.when(F.col("h") < F.col("below"), F.lit(1)).otherwise(F.lit(0))
+    times = F.when(F.col("size") == 0, F.lit(0)).otherwise(
+        F.col("times") + F.when(F.col("h") < F.col("below"), F.lit(1)).otherwise(F.lit(0))).cast("long")
     return (sizes.join(limits, sizes.source.eqNullSafe(F.col("s")))
             .select("doc_id", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken")))
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The documents of the mix, each as often as it is taken, all columns kept."""
+    """The documents of the mix, each as often as it is taken, all columns kept.  Texts without words
+    are not taken; columns may have any names."""
     sizes = cut(_sized(docs, id_col, source, text), "sizes")
-    limits = _thresholds(sizes, targets(sizes)).select(F.col("source").alias("_mix_source"), F.col("times").alias("_mix_times"),
-                                                       F.col("below").alias("_mix_below"))
-    rows = docs.join(limits, docs[source].cast("string").eqNullSafe(F.col("_mix_source")))
-    times = F.col("_mix_times") + F.when(hash_of(id_col) < F.col("_mix_below"), F.lit(1)).otherwise(F.lit(0))
-    return (rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), times.cast("int"))))
-            .where("_mix_copy > 0").select(*docs.columns))
+    of, whole, below, copy = fresh(docs, "_mix_source", "_mix_times", "_mix_below", "_mix_copy")
+    limits = _thresholds(sizes, targets(sizes)).select(F.col("source").alias(of), F.col("times").alias(whole), F.col("below").alias(below))
+    rows = docs.join(limits, docs[source].cast("string").eqNullSafe(F.col(of)))
+    times = F.when(words(text) == 0, F.lit(0)).otherwise(
+        F.col(whole) + F.when(hash_of(id_col) < F.col(below), F.lit(1)).otherwise(F.lit(0)))
+    return (rows.withColumn(copy, F.explode(F.sequence(F.lit(0), times.cast("int"))))
+            .where(F.col(copy) > 0).select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -181,7 +181,7 @@ def _escaped(column: str) -> str:
 _OP10 = f"""
 WITH c AS ({_TURNS}),
 n AS (
-  SELECT *, {_COUNT % ('text', 'text')} AS tokens,
+  SELECT *, greatest({_COUNT % ('text', 'text')}, 1) AS tokens,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n
   FROM c),
 p AS (

@@ -7,13 +7,23 @@ equal length, so the numbers of records differ by one at most (law ``rows``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from siftlake.llm.common import fresh, text_of
+from siftlake.llm.common import fresh, text_of, unused
 from siftlake.session import cut
 
-BUCKET_BYTES = 4 << 20  # aimed-at bytes of a bucket; a task holds one bucket at a time
+BUCKET_SHARE = 32  # a bucket is this part of the memory that a task has
+LEAST_BUCKET, MOST_BUCKET = 4 << 20, 512 << 20
+
+
+def bucket_size(spark: SparkSession) -> int:
+    """Aimed-at bytes of a bucket: a task holds one bucket, sorts it and shuffles it."""
+    memory = spark.conf.get("spark.executor.memory", "1g")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(memory.rstrip("bB")[-1].lower(), 20)
+    whole = int(memory.rstrip("bB").rstrip("kKmMgGtT")) << unit
+    share = whole // max(1, int(spark.conf.get("spark.executor.cores", "1"))) // BUCKET_SHARE
+    return min(MOST_BUCKET, max(LEAST_BUCKET, share))
 
 
 def record_size(text: str = "text") -> Column:
@@ -35,35 +45,43 @@ def _spread_copies(docs: DataFrame, key: str, size: Column, room: int) -> tuple[
                 .where((F.col("bytes") > room) & (F.col("n") > 1)).select(key), "heavy")
     if heavy.isEmpty():
         return docs, False
-    one = docs.join(heavy, key, "left_semi").groupBy(*docs.columns).agg(F.count(F.lit(1)).alias("_n"))
-    copies = (one.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
-              .withColumn(key, F.xxhash64(key, "_n")).drop("_n"))
+    (n,) = fresh(docs, "_n")
+    one = docs.join(heavy, key, "left_semi").groupBy(*docs.columns).agg(F.count(F.lit(1)).alias(n))
+    copies = (one.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n)))
+              .withColumn(key, F.xxhash64(key, n)).drop(n))
     return docs.join(heavy, key, "left_anti").unionByName(copies), True
 
 
-def shuffled(docs: DataFrame, text: str = "text", seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``docs`` in one random order, given by column ``position`` (0, 1, 2...) beside all its columns.
+def shuffled(docs: DataFrame, text: str = "text", seed: int = 0, bucket_bytes: int | None = None) -> DataFrame:
+    """``docs`` in one random order, given by column ``position`` (0, 1, 2...) beside all its columns;
+    a table that has a column of that name is refused.
 
-    Buckets hold ``bucket_bytes`` on average; a longer record makes its bucket longer.  Which rows
-    a bucket has and where it starts depend on the records and the seed alone; the order within a
-    bucket is drawn by the task that writes it, and a task run again draws for its whole bucket."""
-    key, bucket, row, n = fresh(docs, "_hash", "_bucket", "_row", "_n")
+    Buckets hold ``bucket_bytes`` on average, by default a share of a task's memory; a longer record
+    makes its bucket longer.  Every bucket is a partition of its own number, and Spark draws the
+    shuffle of a partition from the seed and that number, after the records of the bucket have been
+    sorted; so the order depends on the records, the seed and the bucket size alone, not on the layout
+    of the table, nor on a task that runs again.  Columns of types without an order (maps, variants)
+    stay in the order of arrival."""
+    unused(docs, "position")
+    bucket_bytes = bucket_bytes or bucket_size(docs.sparkSession)
+    key, bucket, row, n, at = fresh(docs, "_hash", "_bucket", "_row", "_n", "_at")
     size = F.octet_length(text_of(text)) + F.lit(8)
     total = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"]
     buckets = max(1, -(-total // bucket_bytes))
     rows, again = _spread_copies(docs.withColumn(key, _record_hash(docs, str(seed))), key, size, 2 * bucket_bytes)
-    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)))
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)).cast("int"))
     if again:
         rows = cut(rows, "scattered")
     # few rows: one per bucket
     starts = (rows.groupBy(bucket).agg(F.count(F.lit(1)).alias(n)).select(bucket, (F.sum(n).over(
         Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)).alias(n)))
-    whole = (rows.repartition(buckets, bucket)
+    whole = (rows.repartitionById(buckets, F.col(bucket))
              .groupBy(bucket).agg(F.collect_list(F.struct(*docs.columns)).alias(row)))
-    return (whole.join(starts, bucket)
-            .select(n, F.posexplode(F.shuffle(F.sort_array(row) if _sortable(docs) else F.col(row), seed)).alias("_at", row))
+    drawn = whole.select(bucket, F.shuffle(F.sort_array(row) if _sortable(docs) else F.col(row), seed).alias(row))
+    return (drawn.join(starts, bucket)
+            .select(n, F.posexplode_outer(row).alias(at, row)).where(F.col(at).isNotNull())
             .select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns],
-                    (F.col(n) + F.col("_at")).cast("long").alias("position")))
+                    (F.col(n) + F.col(at)).cast("long").alias("position")))
 
 
 def _sortable(docs: DataFrame) -> bool:
@@ -71,10 +89,12 @@ def _sortable(docs: DataFrame) -> bool:
 
 
 def shard(docs: DataFrame, shards: int, text: str = "text", seed: int = 0,
-          bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``docs`` with ``shard`` (0 to shards - 1) and ``slot``, the place within the shard from 0 on
-    without gaps.  Shard k holds the positions from ceil(k * rows / shards) on.  An empty table
-    gives no rows."""
+          bucket_bytes: int | None = None) -> DataFrame:
+    """``docs`` with ``shard`` (0 to shards - 1), ``slot``, the place within the shard from 0 on
+    without gaps, and ``position``; a table that has one of these columns is refused.  Shard k holds the
+    positions from ceil(k * rows / shards) on.  Null ids and texts are records like others, repeated rows
+    are repeated records.  An empty table gives no rows."""
+    unused(docs, "shard", "slot", "position")
     rows = docs.count()
     where = shuffled(docs, text, seed, bucket_bytes)
     number = F.expr(f"(position * {shards}L) div {max(rows, 1)}L")
