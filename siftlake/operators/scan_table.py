@@ -100,6 +100,15 @@ class ScanTable:
             return version
         return self._rewrite(lambda base: upsert_scans(base, updates, order), touched, version, folders)
 
+    def replace(self, rows: DataFrame) -> int:
+        """Whole rows, one per job, in place of those of their jobs."""
+        rows = cut(rows.select(*self.schema.names), "rows")
+        version, folders = self._manifest(None)
+        touched = self._touched_by(rows)
+        if not touched:
+            return version
+        return self._rewrite(lambda base: base.join(rows.select("job_id"), "job_id", "left_anti").unionByName(rows), touched, version, folders)
+
     def delete(self, doomed: DataFrame) -> int:
         """Drop the jobs of ``doomed`` (job_id, user_id) where the owner is right."""
         doomed = cut(doomed.select("job_id", "user_id").distinct(), "doomed")

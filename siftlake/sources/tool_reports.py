@@ -11,6 +11,7 @@ from siftlake import rules as R
 from siftlake.functions import text as T
 from siftlake.functions.classify import prose_class, prose_is_finding
 from siftlake.operators.findings import top_per_group
+from siftlake.session import cut
 
 BANDIT = "results array<struct<filename:string,line_number:int,issue_severity:string,issue_text:string>>"
 PYLINT = "array<struct<type:string,message:string,path:string,line:int>>"
@@ -136,11 +137,20 @@ def snippet_lookup(rows: DataFrame, files: DataFrame) -> DataFrame:
     that is there already stays.  ``rows`` is read twice: pass a written table.
 
     The line numbers wanted of a file are brought together first, so a file is joined
-    and split once, however many findings name it, and no finding carries a file."""
+    and split once, however many findings name it, and no finding carries a file.  Findings
+    from a model's prose all name one file that hardly any repository has; those of
+    repositories without it take no part in the joins."""
     # linters give whole paths below the root; a model's leading slash leads out of it
     outside = (F.col("tool") == "model") & F.col("path").startswith("/")
     keyed = rows.withColumns({"_path": F.when(~outside, F.ltrim("path", F.lit("/"))),
                               "_line": F.coalesce("line", F.lit(1))})
+    prose, lonely = F.coalesce(F.col("_path") == PROSE_FILE, F.lit(False)), None
+    having = cut(files.where(F.col("path") == PROSE_FILE).select("repo_id").distinct(), "having")  # its size is known
+    if having.isEmpty():
+        keyed, lonely = keyed.where(~prose), keyed.where(prose)
+    else:
+        nowhere = keyed.where(prose).join(having, "repo_id", "left_anti")
+        keyed, lonely = keyed.where(~prose).unionByName(keyed.where(prose).join(having, "repo_id", "left_semi")), nowhere
     wanted = keyed.where(F.col("_path").isNotNull()).groupBy("repo_id", "_path").agg(
         F.collect_set("_line").alias("_wanted"))
     texts = files.select("repo_id", F.col("path").alias("_path"), F.col("content").alias("_content"))
@@ -153,6 +163,7 @@ def snippet_lookup(rows: DataFrame, files: DataFrame) -> DataFrame:
     snippet = F.col("_found")
     if "code_snippet" in rows.columns:
         snippet = F.coalesce("code_snippet", snippet)
-    return (keyed.join(found.select("repo_id", "_path", "f.*"), ["repo_id", "_path", "_line"], "left")
+    looked_up = keyed.join(found.select("repo_id", "_path", "f.*"), ["repo_id", "_path", "_line"], "left")
+    return (looked_up.unionByName(lonely.withColumn("_found", F.lit(None).cast("string")))
             .withColumn("code_snippet", F.coalesce(snippet, F.lit("")))
             .drop("_path", "_line", "_found"))

@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftlake.operators.findings import gate_by_language, repo_gates, with_fix
 from siftlake.operators.history import KEPT, UPDATED, event_order
+from siftlake.operators.scan_table import ScanTable
 from siftlake.plans.scan import own_findings
 from siftlake.session import cut, fresh_path
 
 
-def _run(stream: DataFrame, write, checkpoint: str) -> None:
-    query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def _run(stream: DataFrame, write, checkpoint: str, mode: str = "append") -> None:
+    query = (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
 
@@ -107,6 +108,20 @@ def stream_scan_status(events: DataFrame, out: str, checkpoint: str) -> DataFram
     return status_table(events.sparkSession, out)
 
 
+def stream_scan_table(events: DataFrame, table: ScanTable, checkpoint: str) -> DataFrame:
+    """K2 with state: the fold of each job is kept by Spark's state store, so a batch costs what its own
+    events cost.  Jobs that a batch changes are replaced in the versioned table, in the parts that hold
+    them.  Events may come late, twice and in any order; a batch that runs again replaces the same rows
+    by the same rows.  State grows with the jobs and lies in the checkpoint."""
+    at = F.struct(*event_order())
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.replace(batch)
+
+    _run(_fold(events, at, at).drop("first_at", "last_at"), write, checkpoint, "update")
+    return table.read()
+
+
 def _folded(spark: SparkSession, *folders: str) -> DataFrame:
     rows = None
     for folder in folders:

@@ -611,7 +611,7 @@ scans AS MATERIALIZED (
 _S = with_(SCANS)
 _ALL_SCANS = _S + "SELECT * FROM scans"
 SQL["upsert_scans"] = _ALL_SCANS
-SQL["stream_scan_status"] = SQL["scan_table_upsert"] = _ALL_SCANS
+SQL["stream_scan_status"] = SQL["scan_table_upsert"] = SQL["stream_scan_table"] = _ALL_SCANS
 SQL["scan_store_rw"] = _S + "SELECT * REPLACE (coalesce(issues, '[]') AS issues) FROM scans"
 SQL["get_scan"] = _S + "SELECT * FROM scans WHERE job_id = 'job-8' AND user_id = 1"
 _LISTED = "repo_url, status, total_issues, security_issues, quality_issues, files_scanned, directories_scanned, created_at, completed_at"

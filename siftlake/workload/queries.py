@@ -777,3 +777,13 @@ def stream_scan_status(spark, sf):
     schema = tables.table(spark, sf, "events").schema
     stream = tables.scan_events(spark, sf, jobs.read_stream(spark, sf, "events.parquet", schema))
     return _flat(jobs.stream_scan_status(stream, *jobs.stream_paths(spark, "status")))
+
+
+@query
+def stream_scan_table(spark, sf):
+    """The same with state, into the versioned table."""
+    schema = tables.table(spark, sf, "events").schema
+    stream = tables.scan_events(spark, sf, jobs.read_stream(spark, sf, "events.parquet", schema))
+    out, state = jobs.stream_paths(spark, "status")
+    table = ScanTable(spark, out, tables.scan_base(spark, sf).schema, parts=8)
+    return _flat(jobs.stream_scan_table(stream, table, state))

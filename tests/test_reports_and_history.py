@@ -59,6 +59,16 @@ def test_snippets(spark, make_files):
                    ("r", "a/b.py", 0): "", ("q", "a/b.py", 1): ""}
 
 
+def test_snippets_of_prose(spark, make_files):
+    """Prose names one file for all findings: few repositories have it."""
+    files = make_files([("r", "detected_file", " first \nsecond"), ("q", "a.py", "x")])
+    rows = spark.createDataFrame([(repo, TO.PROSE_FILE, 1, given) for repo in ("r", "q", None) for given in (None, "own")],
+                                 "repo_id string, path string, line int, code_snippet string").withColumn("tool", F.lit("model"))
+    for some, text in ((files, "first"), (files.where("repo_id = 'q'"), "")):
+        got = sorted(map(str, ((r.repo_id, r.code_snippet) for r in TO.snippet_lookup(rows, some).collect())))
+        assert got == sorted(map(str, [("r", text), ("r", "own"), ("q", ""), ("q", "own"), (None, ""), (None, "own")]))
+
+
 KEYS = ["file", "filename", "FilePath", "path", "source_file", "test_file", "name", "x\"file", "files"]
 
 
@@ -229,6 +239,27 @@ def test_status_stream_over_many_batches(spark, tmp_path):
         assert {r.job_id: tuple(r) for r in again.select(names).collect()} == fold(writes)
 
 
+def test_status_stream_with_state(spark, tmp_path):
+    """Batches in any order, one of them twice, and a restart from the checkpoint in between."""
+    from siftlake.operators.scan_table import ScanTable
+
+    rng = random.Random(14)
+    writes = [write(f"j{rng.randrange(5)}", m, rng.choice(["queued", "running", "completed", "failed"]),
+                    user=rng.randrange(1, 4), n=m) for m in range(60)]
+    rng.shuffle(writes)
+    events = [(*w, i) for i, w in enumerate(writes)]
+    schema = spark.createDataFrame([], EVENT).schema
+    table = ScanTable(spark, str(tmp_path / "table"), schema[:-1], parts=3)
+    seen = []
+    for part in (events[:15], events[15:30], events[:15], events[30:]):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        seen += part
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = jobs.stream_scan_table(stream, table, str(tmp_path / "state"))
+        assert {r.job_id: tuple(r) for r in out.collect()} == fold([e[:-1] for e in sorted(set(seen), key=lambda e: e[-1])])
+    assert len(table.versions()) == 4
+
+
 def test_events_of_equal_time_follow_state_and_event(spark, tmp_path):
     """Whatever batch they come in."""
     rng = random.Random(12)
