@@ -57,11 +57,11 @@ def shuffled(docs: DataFrame, text: str = "text", seed: int = 0, bucket_bytes: i
     a table that has a column of that name is refused.
 
     Buckets hold ``bucket_bytes`` on average, by default a share of a task's memory; a longer record
-    makes its bucket longer.  Every bucket is a partition of its own number, and Spark draws the
-    shuffle of a partition from the seed and that number, after the records of the bucket have been
-    sorted; so the order depends on the records, the seed and the bucket size alone, not on the layout
-    of the table, nor on a task that runs again.  Columns of types without an order (maps, variants)
-    stay in the order of arrival."""
+    makes its bucket longer.  There are as many partitions as buckets, whatever the layout of the table;
+    Spark draws the shuffles of a partition from the seed and its number, one bucket after another in
+    their order, and the records of a bucket are sorted before.  So the result depends on the records,
+    the seed and the bucket size alone, also if a task runs again.  Records with columns of types without
+    an order (maps, variants) are shuffled from their order of arrival."""
     unused(docs, "position")
     bucket_bytes = bucket_bytes or bucket_size(docs.sparkSession)
     key, bucket, row, n, at = fresh(docs, "_hash", "_bucket", "_row", "_n", "_at")
@@ -75,8 +75,8 @@ def shuffled(docs: DataFrame, text: str = "text", seed: int = 0, bucket_bytes: i
     # few rows: one per bucket
     starts = (rows.groupBy(bucket).agg(F.count(F.lit(1)).alias(n)).select(bucket, (F.sum(n).over(
         Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)).alias(n)))
-    whole = (rows.repartitionById(buckets, F.col(bucket))
-             .groupBy(bucket).agg(F.collect_list(F.struct(*docs.columns)).alias(row)))
+    whole = (rows.repartition(buckets, bucket)
+             .groupBy(bucket).agg(F.collect_list(F.struct(*docs.columns)).alias(row)).sortWithinPartitions(bucket))
     drawn = whole.select(bucket, F.shuffle(F.sort_array(row) if _sortable(docs) else F.col(row), seed).alias(row))
     return (drawn.join(starts, bucket)
             .select(n, F.posexplode_outer(row).alias(at, row)).where(F.col(at).isNotNull())

@@ -66,6 +66,8 @@ def test_shards_do_not_depend_on_the_layout(spark, docs):
 
     one = made(docs, 4)
     assert one == made(docs.repartition(7), 9) == made(docs.orderBy(F.desc("text")), 2)
+    plan = sharding.shuffled(docs, bucket_bytes=300)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(_bucket") <= 3  # of the records, and twice of the few starts
     other = sorted(map(repr, sharding.shard(docs, 5, seed=1, bucket_bytes=300).collect()))
     assert one != other
 
