@@ -38,6 +38,24 @@ def report_json(findings: DataFrame, repos: DataFrame) -> DataFrame:
     return heads.unionByName(rows.select("repo_id", F.col("n").cast("long").alias("n"), _json(*ISSUE_FIELDS).alias("report")))
 
 
+def json_documents(rows: DataFrame) -> DataFrame:
+    """(repo_id, n, text) from the rows of :func:`report_json`: put below each other in the order of
+    ``n``, the texts of a repository are one JSON document, its counters and then its ``issues``.  The
+    row behind the last issue closes it, so a document may have any size."""
+    heads, issues = rows.where("n = 0"), rows.where("n > 0")
+    open_ = F.concat(F.left("report", F.char_length("report") - 1), F.lit(',"issues":['))
+    last = F.get_json_object("report", "$.total_issues").cast("long") + 1
+    return (heads.select("repo_id", "n", open_.alias("text"))
+            .unionByName(issues.select("repo_id", "n", F.concat(F.when(F.col("n") > 1, ",").otherwise(""), "report").alias("text")))
+            .unionByName(heads.select("repo_id", last.alias("n"), F.lit("]}").alias("text"))))
+
+
+def write_documents(rows: DataFrame, path: str) -> None:
+    """A folder ``repo_id=…`` for each repository; its files, one after another, are its document."""
+    (rows.repartitionByRange("repo_id", "n").sortWithinPartitions("repo_id", "n").select("repo_id", F.col("text").alias("value"))
+     .write.partitionBy("repo_id").text(path))
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """Sink of A10 and A11: the rows of ``report_json`` (as JSON lines) or of a text report, one
     repository after another, each in order; a large one covers several files, in their order."""

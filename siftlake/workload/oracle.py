@@ -507,6 +507,12 @@ SELECT repo_id, n, json_object('path', path, 'line', line, 'severity', severity,
 FROM numbered"""
 
 
+SQL["report_documents"] = f"""WITH rows AS ({SQL["report_json"]})
+SELECT repo_id, n, CASE WHEN n = 0 THEN left(report, length(report) - 1) || ',"issues":[' WHEN n = 1 THEN report ELSE ',' || report END AS text
+FROM rows
+UNION ALL SELECT repo_id, count(*) AS n, ']}}' AS text FROM rows GROUP BY repo_id"""
+
+
 def _nl(*parts) -> str:
     return " || ".join(f"{p} || chr(10)" for p in parts)
 

@@ -652,6 +652,13 @@ def report_json(spark, sf):
     return report.report_json(tables.findings(spark, sf), tables.repos(spark, sf).select("repo_id"))
 
 
+@query
+def report_documents(spark, sf):
+    """The same as one document per repository, in lines."""
+    rows = report.report_json(tables.findings(spark, sf), tables.repos(spark, sf).select("repo_id"))
+    return report.json_documents(rows)
+
+
 @query
 def report_text(spark, sf):
     return report.report_text(tables.findings(spark, sf), tables.repos(spark, sf), "2024-02-01",

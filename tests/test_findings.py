@@ -116,6 +116,23 @@ def test_json_report_holds_every_issue_once(spark):
     assert docs["unlisted", 1]["line"] == 2 and docs[None, 1]["line"] == 3 and len(docs) == 60 + 2 + 1 + 2 + 2
 
 
+def test_json_documents_are_whole(spark, tmp_path):
+    import json
+
+    rows = [some(i, repo="hot", path=f"p{i % 7}.py") for i in range(1, 60)] + [some(1, repo="one")]
+    found = FD.with_fix(finding(spark, rows))
+    repos = spark.createDataFrame([("hot",), ("one",), ("none",)], "repo_id string")
+    parts = report.report_json(found, repos)
+    report.write_documents(report.json_documents(parts), str(tmp_path / "docs"))
+    want = {r.repo_id: [] for r in parts.where("n = 0").collect()}
+    for r in parts.where("n > 0").orderBy("n").collect():
+        want[r.repo_id].append(json.loads(r.report))
+    for repo, issues in want.items():
+        files = sorted((tmp_path / "docs" / f"repo_id={repo}").glob("part-*"))
+        document = json.loads("".join(f.read_text() for f in files))
+        assert document["issues"] == issues and document["total_issues"] == len(issues) and document["repo_id"] == repo
+
+
 def test_text_report_keeps_number_gaps(spark, tmp_path):
     rows = [some(1, issue="first"), some(2, issue=None), some(3, issue="  "), some(4, issue="last", severity=None)]
     repos = spark.createDataFrame([("r", "https://host/o/my-api")], "repo_id string, repo_url string")
