@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from siftlake.llm.common import fresh, text_of, unused
 from siftlake.session import cut
 
-BUCKET_SHARE = 32  # a bucket is this part of the memory that a task has
+BUCKET_SHARE = 64  # a bucket is this part of the memory that a task has; a few may meet in one task
 LEAST_BUCKET, MOST_BUCKET = 4 << 20, 512 << 20
 
 
