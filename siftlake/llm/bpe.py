@@ -2,32 +2,34 @@
 
 A text is split into words at every single space or line feed between two other characters, the
 space going with the word after it; no token of the vocabulary's own split crosses such a place, so
-words can be encoded one by one.  The table of words has two parts.  All words are counted over all
-documents by Spark, and the HEAD most frequent ones, a bounded number, are encoded once and sent to
-every task.  Every other word is looked up in its task: a task collects the distinct
-words of a block of texts, encodes each once, and joins the ids back by position.  Decoding joins
-ids with the pieces of the vocabulary."""
+words can be encoded one by one.  Documents are dealt into blocks, each of which reports its distinct
+words once, sorted and packed by the hash of the word.  One partition so meets all reports of a word:
+it encodes the word once and joins its ids with the pieces of the vocabulary.  The answers go back to
+their blocks in the order of the reports, and each block joins ids and pieces back by position.
+
+A text moves once, a word once per block.  A word as frequent as may be is reported once per block,
+so no partition of words is larger than its share of the blocks."""
 
 from __future__ import annotations
 
 import re
+import struct
+import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import fresh, ship, small_batches, unused
-from siftlake.session import cut
+from siftlake.llm.common import fresh, ship, shuffle_partitions, small_batches, unused
 
-HEAD = 50_000  # words sent to every task
-BLOCK = 2 << 20  # characters of a block
-_CACHE = 100_000  # distinct words a task keeps besides
+BLOCK = 8 << 20  # bytes of text in a block, on average
+PART = 64 << 20  # bytes of text in a partition of blocks, on average
+BUCKETS = 8_192  # at most as many partitions of words
+_CACHE = 500_000  # distinct words a partition of words keeps; beyond, they are encoded again
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?)]}"
@@ -104,27 +106,6 @@ class _Encoder:
                 yield word, found.ids
 
 
-class _Table(dict):
-    """Word -> its ids as int32 bytes: the shared head, then what this task has met."""
-
-    def __init__(self, head: dict[str, bytes], encoder: _Encoder):
-        super().__init__(head)
-        self.head, self.encoder = head, encoder
-
-    def learn(self, words: set[str]) -> None:
-        """Encode each word that is not known yet, once."""
-        if len(self) - len(self.head) > _CACHE:
-            self.clear()
-            self.update(self.head)
-        split = {w: _parts(w) for w in words if w not in self}
-        simple = {x for w, (core, marks) in split.items() for x in ((core, marks) if core else (w,)) if x not in self}
-        for word, ids in self.encoder(list(simple)):
-            self[word] = array("i", ids).tobytes()
-        for word, (core, marks) in split.items():
-            if core:
-                self[word] = self[core] + self[marks]
-
-
 def _byte_of() -> dict[str, int]:
     """A byte-level vocabulary writes each byte as one character: the printable ones of Latin-1 as
     themselves, the others, in order, as the characters from U+0100 on."""
@@ -146,101 +127,140 @@ def _share(spark: SparkSession, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        begin = size = 0
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-        for i, n in enumerate(lengths):
-            size += n
-            if size >= BLOCK or i + 1 == len(lengths):
-                yield batch.slice(begin, i + 1 - begin)
-                begin, size = i + 1, 0
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every word with its count, in parts of about _CACHE distinct words; Spark adds the parts up."""
-    def report(counts: Counter) -> Iterator[pa.RecordBatch]:
-        words, numbers = list(counts), list(counts.values())
-        for begin in range(0, len(words), 10_000):
-            yield pa.record_batch([pa.array(words[begin:begin + 10_000], pa.string()),
-                                   pa.array(numbers[begin:begin + 10_000], pa.int64())], names=["word", "n"])
-
-    counts: Counter = Counter()
-    for block in _blocks(batches, 0):
-        for text in block.column(0).to_pylist():
-            counts.update(_words(text or ""))
-        if len(counts) > _CACHE:
-            yield from report(counts)
-            counts = Counter()
-    yield from report(counts)
-
-
-def _encode_words(vocabulary: str):
+def _units(words: set[str], buckets: int) -> dict[int, list[str]]:
+    """The distinct units of ``words`` by bucket, sorted: reports and answers have this order."""
+    units: set[str] = set()
+    for word in words:
+        core, marks = _parts(word)
+        units.update((core, marks) if core else (word,))
+    out: dict[int, list[str]] = {}
+    for unit in sorted(units):
+        out.setdefault(zlib.crc32(unit.encode()) % buckets, []).append(unit)
+    return out
+
+
+def _pack(parts: list[bytes], width: int = 1) -> bytes:
+    """Byte strings as one, compressed; numbers of ``width`` bytes are laid out byte by byte."""
+    lengths = np.fromiter(map(len, parts), np.int32, len(parts))
+    body = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width).T.tobytes()
+    whole = lengths.view(np.uint8).reshape(-1, 4).T.tobytes() + body
+    return struct.pack("<qq", len(parts), len(whole)) + pa.Codec("zstd").compress(whole, asbytes=True)
+
+
+def _unpack(data: bytes, width: int = 1) -> list[bytes]:
+    n, size = struct.unpack_from("<qq", data)
+    whole = pa.Codec("zstd").decompress(data[16:], decompressed_size=size, asbytes=True)
+    lengths = np.frombuffer(whole, np.uint8, 4 * n).reshape(4, n).T.copy().view(np.int32).ravel()
+    body = np.frombuffer(whole, np.uint8, offset=4 * n).reshape(width, -1).T.tobytes()
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    return [body[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _reports(text: int, block: int, buckets: int):
+    """(block, bucket, words): the distinct words of every block of a partition, packed by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[str]] = {}
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            table = _Table({}, _encoder(vocabulary))
-            table.learn(set(words))
-            yield pa.record_batch([pa.array(words, pa.string()), pa.array([table[w] for w in words], pa.binary())],
-                                  names=["word", "ids"])
+            for at, value in zip(batch.column(block).to_pylist(), batch.column(text).to_pylist()):
+                if value:
+                    seen.setdefault(at, set()).update(_words(value))
+        for at in list(seen):
+            units = _units(seen.pop(at), buckets)
+            yield pa.record_batch([
+                pa.array([at] * len(units), pa.int64()), pa.array(list(units), pa.int32()),
+                pa.array([_pack([u.encode() for u in part]) for part in units.values()], pa.binary())],
+                names=["block", "bucket", "words"])
     return run
 
 
-def head_table(docs: DataFrame, vocabulary: str, text: str = "text", size: int = HEAD) -> DataFrame:
-    """(word, ids) of the most frequent words, at most ``size``, each encoded once; ids are int32 bytes.
-
-    A histogram of the counts gives the smallest count that at most ``size`` words reach, and a filter
-    takes these words: nothing is sorted, and no task sees the words of others.  Words that occur once
-    are not worth a place."""
-    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counted, "word string, n long")
-    often = cut(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "counts")
-    # counts by their leading bits: a few hundred bins, whatever the table's size
-    bins = (often.withColumn("bits", F.greatest(F.length(F.bin("n")) - 6, F.lit(0)))
-            .withColumn("floor", F.expr("shiftleft(shiftright(n, bits), bits)")).groupBy("floor").agg(F.count(F.lit(1)).alias("words")).collect())
-    least, left = None, size
-    for row in sorted(bins, key=lambda r: -r["floor"]):
-        left -= row["words"]
-        if left < 0:
-            break
-        least = row["floor"]
-    top = often.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
-    return top.mapInArrow(_encode_words(vocabulary), "word string, ids binary")
-
-
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", head: int = HEAD,
-           decoded: str | None = None) -> DataFrame:
+def _answers(vocabulary: str, pieces):
+    """(block, bucket, ids, pieces): each distinct word of the partition is encoded once, and its ids
+    are joined with their pieces; the answers have the order of the reports."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, known = _encoder(vocabulary), {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = _unpack(batch.column(2)[i].as_py())
+                if len(known) > _CACHE:
+                    known.clear()
+                for word, ids in encoder([w.decode() for w in words if w not in known]):
+                    known[word.encode()] = (array("i", ids).tobytes(), b"".join(map(pieces.value.__getitem__, ids)))
+                found = [known[w] for w in words]
+                yield pa.record_batch([
+                    batch.column(0).slice(i, 1), batch.column(1).slice(i, 1),
+                    pa.array([_pack([x for x, _ in found], 4)], pa.binary()),
+                    pa.array([_pack([x for _, x in found])], pa.binary())], names=["block", "bucket", "ids", "pieces"])
+    return run
+
+
+def _table(words: set[str], buckets: int, answers: pa.Table) -> dict[str, tuple[bytes, bytes]]:
+    """Word -> its ids as int32 bytes and their pieces, from the answers to a block's reports."""
+    units, known = _units(words, buckets), {}
+    for bucket, ids, pieces in zip(*(answers.column(c).to_pylist() for c in ("bucket", "ids", "pieces"))):
+        asked, ids, pieces = units.pop(bucket, []), _unpack(ids, 4), _unpack(pieces)
+        if len(asked) != len(ids):
+            raise RuntimeError("the documents came in another order when read again; write them to a table first")
+        known.update(zip(asked, zip(ids, pieces)))
+    if units:
+        raise RuntimeError("the documents came in another order when read again; write them to a table first")
+    out = {}
+    for word in words:
+        core, marks = _parts(word)
+        if core:
+            (a, b), (c, d) = known[core], known[marks]
+            out[word] = a + c, b + d
+        else:
+            out[word] = known[word]
+    return out
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with ``out``, the ids of the whole text: what the tokenizers library gives with
     add_special_tokens=False, the strings of special tokens in the text included.  A null text is
-    an empty one and has no ids.  ``path`` is the tokenizer's JSON file, read on the driver; its
-    special tokens must not contain white space.  With ``decoded``, a column of that name has the
-    ids decoded again, as ``decode`` does, by the same worker and so without a second one.  A
-    table that has a column of either name is refused.  Sets the session's Arrow batches to ROWS rows."""
+    an empty one and has no ids; repeated rows stay.  ``path`` is the tokenizer's JSON file, read on the
+    driver; its special tokens must not contain white space.  With ``decoded``, a column of that name
+    has the ids decoded again, as ``decode`` does, from the pieces that each word's ids were joined
+    with.  A table that has a column of either name is refused.
+
+    ``docs`` is numbered where it is read, so it should come from a table or files, whose rows have
+    the same order whenever they are read; a changed order is noticed and refused.  Sets the session's
+    Arrow batches to ROWS rows."""
     spark = docs.sparkSession
     unused(docs, out, *([decoded] if decoded else []))
     small_batches(spark)
     vocabulary = _share(spark, path)
-    known = {r["word"]: bytes(r["ids"]) for r in head_table(docs, vocabulary, text, head).toLocalIterator()}
-    shared = spark.sparkContext.broadcast(known)
-    (mine,) = fresh(docs, "_text")
-    rows = docs.withColumn(mine, F.col(text).cast("string"))
-    place = len(rows.columns) - 1
+    pieces = spark.sparkContext.broadcast(id_pieces(path))  # as many as the vocabulary has
+    mine, block = fresh(docs, "_text", "_block")
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK))
+    parts = max(-(-size // PART), min(blocks, shuffle_partitions(spark)))
+    buckets = min(BUCKETS, max(shuffle_partitions(spark), blocks // 64))
+    number = F.xxhash64(F.monotonically_increasing_id())
+    rows = (docs.withColumn(mine, F.col(text).cast("string")).withColumn(block, F.pmod(number, F.lit(blocks)))
+            .repartition(parts, block))
+    place = len(docs.columns)  # of the text; the block comes after it
+    reports = rows.mapInArrow(_reports(place, place + 1, buckets), "block long, bucket int, words binary")
+    answers = reports.repartitionById(buckets, "bucket").mapInArrow(
+        _answers(vocabulary, pieces), "block long, bucket int, ids binary, pieces binary")
     names = [*docs.columns, out, *([decoded] if decoded else [])]
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())),
                            *([T.StructField(decoded, T.StringType())] if decoded else [])])
-    pieces = spark.sparkContext.broadcast(id_pieces(path))  # as many as the vocabulary has
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Table(shared.value, _encoder(vocabulary))
-        for block in _blocks(batches, place):
-            texts = [_words(t) if t else [] for t in block.column(place).to_pylist()]
-            table.learn({w for words in texts for w in words})
-            ids = [b"".join(map(table.__getitem__, words)) for words in texts]
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            more = [pa.array([_joined(np.frombuffer(x, np.int32), pieces.value) for x in ids], pa.string())] if decoded else []
-            yield pa.RecordBatch.from_arrays([*block.columns[:place], lists, *more], names=names)
-
-    return rows.mapInArrow(run, schema)
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = left.column(place).to_pylist()
+        table = _table({w for t in texts if t for w in _words(t)}, buckets, right)
+        ids, back = [], []
+        for value in texts:
+            found = [table[w] for w in _words(value)] if value else []
+            ids.append(b"".join([x for x, _ in found]))
+            if decoded:
+                back.append(b"".join([x for _, x in found]).decode("utf-8", "replace"))
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        return pa.Table.from_arrays([*left.columns[:place], lists, *([pa.array(back, pa.string())] if decoded else [])],
+                                    names=names)
+
+    return rows.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(join, schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -80,21 +81,34 @@ def test_laws_of_the_shard_query(spark):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s]))
 
 
-@pytest.mark.parametrize("size", [0, 1, 7, 60, 10_000])
-def test_head_table_has_the_frequent_words(spark, size):
-    rng = random.Random(3)
-    words = [f"w{min(int(rng.paretovariate(0.7)), 400)}" for _ in range(4_000)]
-    texts = [" ".join(words[i:i + 50]) for i in range(0, 4_000, 50)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    found = {r["word"] for r in bpe.head_table(df, bpe._share(spark, vocabulary_path()), size=size).collect()}
-    counts = Counter()
-    for t in texts:
-        counts.update(w for w in bpe._words(t))
-    assert len(found) <= size and all(counts[w] > 1 for w in found)
-    rest = max((n for w, n in counts.items() if w not in found), default=0)
-    assert all(counts[w] > rest or counts[w] >= 64 for w in found)
-    if size >= 10_000:
-        assert found == {w for w, n in counts.items() if n > 1}
+@given(st.lists(st.binary(max_size=300), max_size=40))
+def test_packed_lists_come_back(parts):
+    assert bpe._unpack(bpe._pack(parts)) == parts
+    wide = [p * 4 for p in parts]
+    assert bpe._unpack(bpe._pack(wide, 4), 4) == wide
+
+
+def test_each_word_is_reported_once_per_block_and_bucket():
+    words = {"a", " b,", " b", " b!", "\n", " c-d.", " 漢字", "x" * 70_000, " \x00y"}
+    units = bpe._units(words, 5)
+    flat = [u for part in units.values() for u in part]
+    assert len(flat) == len(set(flat)) and set(flat) == {"a", " b", ",", "!", "\n", " c-d.", " 漢字", "x" * 70_000, " \x00y"}
+    assert all(part == sorted(part) for part in units.values())
+    assert bpe._unpack(bpe._pack([u.encode() for u in units[min(units)]])) == [u.encode() for u in units[min(units)]]
+
+
+def test_answers_must_fit_the_reports():
+    """A block whose documents changed between the two reads is refused, not answered wrongly."""
+    import pyarrow as pa
+
+    units = bpe._units({"a", " b"}, 1)[0]
+    ids = bpe._pack([b"\x01\0\0\0"] * len(units), 4)
+    table = pa.table({"block": [0], "bucket": [0], "ids": [ids], "pieces": [bpe._pack([b"p"] * len(units))]})
+    assert bpe._table({"a", " b"}, 1, table) == {"a": (b"\x01\0\0\0", b"p"), " b": (b"\x01\0\0\0", b"p")}
+    with pytest.raises(RuntimeError):
+        bpe._table({"a", " b", " c"}, 1, table)
+    with pytest.raises(RuntimeError):
+        bpe._table({"a"}, 1, table.slice(0, 0))
 
 
 def test_empty_turns_fill_windows(spark):

@@ -266,7 +266,7 @@ ODD_TEXTS = [None, "", " ", "  a  b ", "a\n\n b\t\tc  ", "<|endoftext|>", " <|en
              "\u0085 a \u0085b", "a​ b", "a \x1c b\x1d c", " \x1f x", "\r\n \r\n a", "'s 't ' s"]
 
 
-def test_bpe_equals_the_library(spark):
+def test_bpe_equals_the_library(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     rng = random.Random(3)
@@ -275,22 +275,14 @@ def test_bpe_equals_the_library(spark):
     docs += [(5, "again"), (None, "no id"), (5, "again")]
     path = vocabulary_path()
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_text", __import__("pyspark").sql.functions.lit(1))
-    for head in (0, 5):
-        rows = bpe.decode(bpe.encode(df, path, head=head), path).collect()
+    for block in (bpe.BLOCK, 300):  # of one block and of many
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        rows = bpe.decode(bpe.encode(df, path, decoded="back"), path).collect()
         library = Tokenizer.from_file(path)
         assert len(rows) == len(docs)
         for r in rows:
             want = library.encode(r["text"] or "", add_special_tokens=False).ids
-            assert r["ids"] == want and r["decoded"] == library.decode(want, skip_special_tokens=False) == (r["text"] or "")
-
-
-def test_bpe_head_is_by_all_occurrences(spark):
-    """``rare`` is most frequent but never 8 times in one block."""
-    docs = [(i, " ".join(["x", *["rare"] * 4, *(["local"] * 9 if i == 0 else [])])) for i in range(6)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6, "doc_id")
-    spark.sparkContext.addFile(vocabulary_path())
-    found = bpe.head_table(df, vocabulary_path().rsplit("/", 1)[-1], size=1).collect()
-    assert [r["word"] for r in found] == [" rare"]
+            assert r["ids"] == want and r["back"] == r["decoded"] == library.decode(want, skip_special_tokens=False) == (r["text"] or "")
 
 
 def test_bpe_query_digests(spark):
