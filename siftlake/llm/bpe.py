@@ -3,9 +3,10 @@
 A text is split into words at every single space or line feed between two other characters, the
 space going with the word after it; no token of the vocabulary's own split crosses such a place, so
 words can be encoded one by one.  Documents are dealt into blocks, each of which reports its distinct
-words once, sorted and packed by the hash of the word.  One partition so meets all reports of a word:
-it encodes the word once and joins its ids with the pieces of the vocabulary.  The answers go back to
-their blocks in the order of the reports, and each block joins ids and pieces back by position.
+words once, sorted and packed by the hash of the word.  One partition so meets all reports of a word and
+encodes the word once.  The answers go back to their blocks in the order of the reports; each block
+joins the ids of its distinct words with the pieces of the vocabulary, and joins ids and pieces back
+by position.
 
 A text moves once, a word once per block.  A word as frequent as may be is reported once per block,
 so no partition of words is larger than its share of the blocks."""
@@ -16,7 +17,8 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 
 from siftlake.llm.common import fresh, ship, shuffle_partitions, small_batches, unused
 
-BLOCK = 8 << 20  # bytes of text in a block, on average
+BLOCK = 24 << 20  # bytes of text in a block, on average
 PART = 64 << 20  # bytes of text in a partition of blocks, on average
 BUCKETS = 8_192  # at most as many partitions of words
 _CACHE = 500_000  # distinct words a partition of words keeps; beyond, they are encoded again
@@ -127,7 +129,7 @@ def _share(spark: SparkSession, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def _units(words: set[str], buckets: int) -> dict[int, list[str]]:
+def _units(words: Iterable[str], buckets: int) -> dict[int, list[str]]:
     """The distinct units of ``words`` by bucket, sorted: reports and answers have this order."""
     units: set[str] = set()
     for word in words:
@@ -173,9 +175,9 @@ def _reports(text: int, block: int, buckets: int):
     return run
 
 
-def _answers(vocabulary: str, pieces):
-    """(block, bucket, ids, pieces): each distinct word of the partition is encoded once, and its ids
-    are joined with their pieces; the answers have the order of the reports."""
+def _answers(vocabulary: str):
+    """(block, bucket, ids): each distinct word of the partition is encoded once; the answers have the
+    order of the reports."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = _encoder(vocabulary), {}
         for batch in batches:
@@ -184,34 +186,25 @@ def _answers(vocabulary: str, pieces):
                 if len(known) > _CACHE:
                     known.clear()
                 for word, ids in encoder([w.decode() for w in words if w not in known]):
-                    known[word.encode()] = (array("i", ids).tobytes(), b"".join(map(pieces.value.__getitem__, ids)))
-                found = [known[w] for w in words]
+                    known[word.encode()] = array("i", ids).tobytes()
                 yield pa.record_batch([
                     batch.column(0).slice(i, 1), batch.column(1).slice(i, 1),
-                    pa.array([_pack([x for x, _ in found], 4)], pa.binary()),
-                    pa.array([_pack([x for _, x in found])], pa.binary())], names=["block", "bucket", "ids", "pieces"])
+                    pa.array([_pack([known[w] for w in words], 4)], pa.binary())], names=["block", "bucket", "ids"])
     return run
 
 
-def _table(words: set[str], buckets: int, answers: pa.Table) -> dict[str, tuple[bytes, bytes]]:
-    """Word -> its ids as int32 bytes and their pieces, from the answers to a block's reports."""
+def _table(words: Iterable[str], buckets: int, answers: pa.Table) -> list[bytes]:
+    """The ids, as int32 bytes, of each of the distinct ``words``, from the answers to a block's reports."""
     units, known = _units(words, buckets), {}
-    for bucket, ids, pieces in zip(*(answers.column(c).to_pylist() for c in ("bucket", "ids", "pieces"))):
-        asked, ids, pieces = units.pop(bucket, []), _unpack(ids, 4), _unpack(pieces)
+    for bucket, ids in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist()):
+        asked, ids = units.pop(bucket, []), _unpack(ids, 4)
         if len(asked) != len(ids):
             raise RuntimeError("the documents came in another order when read again; write them to a table first")
-        known.update(zip(asked, zip(ids, pieces)))
+        known.update(zip(asked, ids))
     if units:
         raise RuntimeError("the documents came in another order when read again; write them to a table first")
-    out = {}
-    for word in words:
-        core, marks = _parts(word)
-        if core:
-            (a, b), (c, d) = known[core], known[marks]
-            out[word] = a + c, b + d
-        else:
-            out[word] = known[word]
-    return out
+    split = map(_parts, words)
+    return [known[core] + known[marks] if core else known[word] for word, (core, marks) in zip(words, split)]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -219,8 +212,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", dec
     add_special_tokens=False, the strings of special tokens in the text included.  A null text is
     an empty one and has no ids; repeated rows stay.  ``path`` is the tokenizer's JSON file, read on the
     driver; its special tokens must not contain white space.  With ``decoded``, a column of that name
-    has the ids decoded again, as ``decode`` does, from the pieces that each word's ids were joined
-    with.  A table that has a column of either name is refused.
+    has the ids decoded again, as ``decode`` does, from the pieces that the ids of each distinct word
+    of a block are joined with.  A table that has a column of either name is refused.
 
     ``docs`` is numbered where it is read, so it should come from a table or files, whose rows have
     the same order whenever they are read; a changed order is noticed and refused.  Sets the session's
@@ -231,34 +224,35 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", dec
     vocabulary = _share(spark, path)
     pieces = spark.sparkContext.broadcast(id_pieces(path))  # as many as the vocabulary has
     mine, block = fresh(docs, "_text", "_block")
+    plain = (text, "string") in docs.dtypes  # a text that is one already moves as it is
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
     parts = max(-(-size // PART), min(blocks, shuffle_partitions(spark)))
     buckets = min(BUCKETS, max(shuffle_partitions(spark), blocks // 64))
     number = F.xxhash64(F.monotonically_increasing_id())
-    rows = (docs.withColumn(mine, F.col(text).cast("string")).withColumn(block, F.pmod(number, F.lit(blocks)))
-            .repartition(parts, block))
-    place = len(docs.columns)  # of the text; the block comes after it
-    reports = rows.mapInArrow(_reports(place, place + 1, buckets), "block long, bucket int, words binary")
+    rows = docs if plain else docs.withColumn(mine, F.col(text).cast("string"))
+    rows = rows.withColumn(block, F.pmod(number, F.lit(blocks))).repartition(parts, block)
+    width, place = len(docs.columns), rows.columns.index(text if plain else mine)
+    reports = rows.mapInArrow(_reports(place, len(rows.columns) - 1, buckets), "block long, bucket int, words binary")
     answers = reports.repartitionById(buckets, "bucket").mapInArrow(
-        _answers(vocabulary, pieces), "block long, bucket int, ids binary, pieces binary")
+        _answers(vocabulary), "block long, bucket int, ids binary")
     names = [*docs.columns, out, *([decoded] if decoded else [])]
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())),
                            *([T.StructField(decoded, T.StringType())] if decoded else [])])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.column(place).to_pylist()
-        table = _table({w for t in texts if t for w in _words(t)}, buckets, right)
-        ids, back = [], []
-        for value in texts:
-            found = [table[w] for w in _words(value)] if value else []
-            ids.append(b"".join([x for x, _ in found]))
-            if decoded:
-                back.append(b"".join([x for _, x in found]).decode("utf-8", "replace"))
+        numbers = defaultdict()  # a word's number in the block
+        numbers.default_factory = numbers.__len__
+        texts = [array("i", map(numbers.__getitem__, _words(t))) if t else () for t in left.column(place).to_pylist()]
+        table = _table(numbers, buckets, right)
+        ids = [b"".join(map(table.__getitem__, t)) for t in texts]
+        back = []
+        if decoded:
+            table = [b"".join(map(pieces.value.__getitem__, np.frombuffer(x, np.int32).tolist())) for x in table]
+            back = [pa.array([b"".join(map(table.__getitem__, t)).decode("utf-8", "replace") for t in texts], pa.string())]
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-        return pa.Table.from_arrays([*left.columns[:place], lists, *([pa.array(back, pa.string())] if decoded else [])],
-                                    names=names)
+        return pa.Table.from_arrays([*left.columns[:width], lists, *back], names=names)
 
     return rows.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(join, schema)
 
