@@ -30,8 +30,10 @@ from siftlake.llm.common import fresh, ship, shuffle_partitions, small_batches,
 
 BLOCK = 24 << 20  # bytes of text in a block, on average
 PART = 64 << 20  # bytes of text in a partition of blocks, on average
+SLICE = 256  # documents of a block that are joined at a time
 BUCKETS = 8_192  # at most as many partitions of words
 _CACHE = 500_000  # distinct words a partition of words keeps; beyond, they are encoded again
+CHANGED = "the documents came in another order when read again; write them to a table first"
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?)]}"
@@ -199,10 +201,10 @@ def _table(words: Iterable[str], buckets: int, answers: pa.Table) -> list[bytes]
     for bucket, ids in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist()):
         asked, ids = units.pop(bucket, []), _unpack(ids, 4)
         if len(asked) != len(ids):
-            raise RuntimeError("the documents came in another order when read again; write them to a table first")
+            raise RuntimeError(CHANGED)
         known.update(zip(asked, ids))
     if units:
-        raise RuntimeError("the documents came in another order when read again; write them to a table first")
+        raise RuntimeError(CHANGED)
     split = map(_parts, words)
     return [known[core] + known[marks] if core else known[word] for word, (core, marks) in zip(words, split)]
 
@@ -243,16 +245,24 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", dec
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         numbers = defaultdict()  # a word's number in the block
         numbers.default_factory = numbers.__len__
-        texts = [array("i", map(numbers.__getitem__, _words(t))) if t else () for t in left.column(place).to_pylist()]
+        slices = [left.slice(begin, SLICE) for begin in range(0, left.num_rows, SLICE)]
+        texts = [[array("i", map(numbers.__getitem__, _words(t))) if t else () for t in part.column(place).to_pylist()]
+                 for part in slices]
         table = _table(numbers, buckets, right)
-        ids = [b"".join(map(table.__getitem__, t)) for t in texts]
-        back = []
-        if decoded:
-            table = [b"".join(map(pieces.value.__getitem__, np.frombuffer(x, np.int32).tolist())) for x in table]
-            back = [pa.array([b"".join(map(table.__getitem__, t)).decode("utf-8", "replace") for t in texts], pa.string())]
-        ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-        return pa.Table.from_arrays([*left.columns[:width], lists, *back], names=names)
+        del numbers
+        words = [b"".join(map(pieces.value.__getitem__, np.frombuffer(x, np.int32).tolist())) for x in table] if decoded else []
+        done = []
+        for i, part in enumerate(slices):
+            ids = [b"".join(map(table.__getitem__, t)) for t in texts[i]]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            more = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))]
+            if decoded:
+                more.append(pa.array([b"".join(map(words.__getitem__, t)).decode("utf-8", "replace") for t in texts[i]], pa.string()))
+            texts[i] = None
+            done.append(pa.Table.from_arrays([*part.columns[:width], *more], names=names))
+        if not done:
+            raise RuntimeError(CHANGED)
+        return pa.concat_tables(done)
 
     return rows.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(join, schema)
 
