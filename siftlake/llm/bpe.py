@@ -160,6 +160,11 @@ def _unpack(data: bytes, width: int = 1) -> list[bytes]:
     return [body[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def _mark(words: list[bytes]) -> int:
+    """A checksum by which a block knows that an answer belongs to its words."""
+    return zlib.crc32(b"\0".join(words))
+
+
 def _reports(text: int, block: int, buckets: int):
     """(block, bucket, words): the distinct words of every block of a partition, packed by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +183,7 @@ def _reports(text: int, block: int, buckets: int):
 
 
 def _answers(vocabulary: str):
-    """(block, bucket, ids): each distinct word of the partition is encoded once; the answers have the
+    """(block, bucket, mark, ids): each distinct word of the partition is encoded once; the answers have the
     order of the reports."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = _encoder(vocabulary), {}
@@ -191,18 +196,19 @@ def _answers(vocabulary: str):
                     known[word.encode()] = array("i", ids).tobytes()
                 yield pa.record_batch([
                     batch.column(0).slice(i, 1), batch.column(1).slice(i, 1),
-                    pa.array([_pack([known[w] for w in words], 4)], pa.binary())], names=["block", "bucket", "ids"])
+                    pa.array([_mark(words)], pa.int64()), pa.array([_pack([known[w] for w in words], 4)], pa.binary())],
+                    names=["block", "bucket", "mark", "ids"])
     return run
 
 
 def _table(words: Iterable[str], buckets: int, answers: pa.Table) -> list[bytes]:
     """The ids, as int32 bytes, of each of the distinct ``words``, from the answers to a block's reports."""
     units, known = _units(words, buckets), {}
-    for bucket, ids in zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist()):
-        asked, ids = units.pop(bucket, []), _unpack(ids, 4)
-        if len(asked) != len(ids):
+    for bucket, mark, ids in zip(*(answers.column(c).to_pylist() for c in ("bucket", "mark", "ids"))):
+        asked = units.pop(bucket, [])
+        if _mark([u.encode() for u in asked]) != mark:
             raise RuntimeError(CHANGED)
-        known.update(zip(asked, ids))
+        known.update(zip(asked, _unpack(ids, 4)))
     if units:
         raise RuntimeError(CHANGED)
     split = map(_parts, words)
@@ -237,7 +243,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", dec
     width, place = len(docs.columns), rows.columns.index(text if plain else mine)
     reports = rows.mapInArrow(_reports(place, len(rows.columns) - 1, buckets), "block long, bucket int, words binary")
     answers = reports.repartitionById(buckets, "bucket").mapInArrow(
-        _answers(vocabulary), "block long, bucket int, ids binary")
+        _answers(vocabulary), "block long, bucket int, mark long, ids binary")
     names = [*docs.columns, out, *([decoded] if decoded else [])]
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())),
                            *([T.StructField(decoded, T.StringType())] if decoded else [])])

@@ -103,10 +103,12 @@ def test_answers_must_fit_the_reports():
 
     units = bpe._units({"a", " b"}, 1)[0]
     ids = bpe._pack([b"\x01\0\0\0"] * len(units), 4)
-    table = pa.table({"block": [0], "bucket": [0], "ids": [ids]})
+    table = pa.table({"block": [0], "bucket": [0], "mark": [bpe._mark([u.encode() for u in units])], "ids": [ids]})
     assert bpe._table(["a", " b"], 1, table) == [b"\x01\0\0\0"] * 2
     with pytest.raises(RuntimeError):
         bpe._table(["a", " b", " c"], 1, table)
+    with pytest.raises(RuntimeError):  # as many words, but others
+        bpe._table(["a", " c"], 1, table)
     with pytest.raises(RuntimeError):
         bpe._table(["a"], 1, table.slice(0, 0))
 
