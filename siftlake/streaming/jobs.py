@@ -75,9 +75,13 @@ def stream_findings(files: DataFrame, out: str, checkpoint: str) -> DataFrame:
 
 
 def current_findings(spark: SparkSession, out: str) -> DataFrame:
-    """The findings of the last arrival of every file of a findings stream."""
+    """The findings of the last arrival of every file of a findings stream; none if nothing has arrived."""
+    arrivals = _arrivals(spark, out, 1 << 62)
+    if arrivals is None:
+        none = spark.createDataFrame([], "repo_id string, path string, content string")
+        return with_fix(gate_by_language(own_findings(none), repo_gates(none)))
     # written: small enough ones are broadcast, others joined by file
-    last = cut(_latest(_arrivals(spark, out, 1 << 62)), "latest")
+    last = cut(_latest(arrivals), "latest")
     rows = spark.read.parquet(f"{out}/findings").withColumn("file", _file()).withColumn("batch", F.col("batch").cast("long"))
     rows = rows.join(last.select("file", "batch"), ["file", "batch"], "left_semi").drop("file", "batch")
     return with_fix(gate_by_language(rows, cut(repo_gates(last), "gates")))
@@ -143,10 +147,10 @@ def compact_status(spark: SparkSession, into: str, *folders: str) -> None:
     _folded(spark, *folders).write.mode("errorifexists").parquet(into)
 
 
-def read_stream(spark: SparkSession, folder: str, file_name: str, schema) -> DataFrame:
-    """Parquet files called ``file_name`` below a folder, as they arrive."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_name)
-            .option("maxFilesPerTrigger", 100).parquet(folder))
+def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """The Parquet table ``name`` of a folder, a single file or a folder of part files, as they arrive."""
+    # as a pattern of one name: a plain path would have to be a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{folder}/{{{name}}}")
 
 
 def stream_paths(spark: SparkSession, name: str) -> tuple[str, str]:

@@ -293,6 +293,26 @@ def test_findings_stream_equals_batch(spark, tmp_path, make_files):
     assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
 
 
+def test_streams_read_a_file_and_a_folder_of_parts(spark, tmp_path, make_files):
+    rows = make_files([("r", f"f{i}.py", "eval(x)\n") for i in range(6)])
+    rows.repartition(3).write.parquet(str(tmp_path / "parts" / "files.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "file" / "files.parquet")
+    for kind in ("parts", "file"):
+        stream = jobs.read_stream(spark, str(tmp_path / kind), "files.parquet", rows.schema)
+        got = jobs.stream_findings(stream, str(tmp_path / f"out_{kind}"), str(tmp_path / f"state_{kind}"))
+        assert sorted(r.path for r in got.where("type = 'security'").collect()) == [f"f{i}.py" for i in range(6)], kind
+
+
+def test_a_stream_without_files_has_no_findings(spark, tmp_path, make_files):
+    rows = make_files([("r", "a.py", "eval(x)\n")])
+    (tmp_path / "in" / "files.parquet").mkdir(parents=True)
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), "files.parquet", rows.schema)
+    got = jobs.stream_findings(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert got.collect() == [] and {"repo_id", "path", "line", "minimal_fix"} <= set(got.columns)
+
+
 def test_changed_files_replace_their_findings(spark, tmp_path, make_files):
     """A file sent twice, one sent changed, one emptied, one twice in a batch: as the last state in one batch."""
     from siftlake.operators.findings import gate_by_language, repo_gates, with_fix
