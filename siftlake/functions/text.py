@@ -175,11 +175,38 @@ _SHORTER = {
 }
 
 
+# One letter, escaped mark or class of characters, perhaps repeated.
+_ATOM = re.compile(r"""(\\[sSdDwWbB.\[\]()|+*?{}^$/"'\\-]|\[\^?[^\[\]\\]*\]|[^\\\[\]()|+*?{}^$])([+*](?![+*?{]))?""")
+
+
+def _without_end_repeats(pattern: str) -> str:
+    """``\\w+.*=`` as ``\\w.*=``: at both ends of a pattern and beside ``.*`` one of a run is enough,
+    as the search or the ``.*`` takes the others.  A pattern that is more than atoms stays as it is."""
+    pieces = []
+    for piece in _split_on_any_run(pattern):
+        atoms, at = [], 0
+        while at < len(piece):
+            found = _ATOM.match(piece, at)
+            if found is None:
+                return pattern
+            atoms.append(found.groups(""))
+            at = found.end()
+        for end in (0, -1):
+            while atoms and atoms[end][1] == "*":
+                atoms.pop(end)
+            if atoms:
+                atoms[end] = (atoms[end][0], "")
+        pieces.append("".join(a + repeat for a, repeat in atoms))
+    return ".*".join(pieces) if all(pieces) else pattern
+
+
 def linear_form(pattern: str) -> str:
     """A pattern that matches the same lines without trying every way to split
     them: ``a.*b.*c`` takes the first a, the first b after it, then any c.  Long
     lines (minified code) would otherwise cost a power of their length."""
     pattern = _SHORTER.get(pattern, pattern)
+    if is_simple(pattern):
+        pattern = _without_end_repeats(pattern)
     head, mark, tail = pattern.partition("(?!.*")
     if mark:  # x not followed by y: look only behind the last y
         return rf"^(?>(?:.*{tail[:-1]})?).*?{head}"
@@ -236,9 +263,10 @@ _COMPLEX = re.compile(r"""[|()+*?{}^$]|\\[^sSdDwWbB.\[\]()|+*?{}^$/"'\\-]""")
 
 
 def is_simple(pattern: str) -> bool:
-    """Only letters, escaped marks, classes of characters, and ``.*`` between them."""
+    """Only letters, escaped marks, classes of characters, and ``.*`` between them; repeats only where one
+    of a run is enough."""
     return not any(_COMPLEX.search(re.sub(r"\[\^?[^\[\]\\]*\]", "x", p)) or "[" in re.sub(r"\[\^?[^\[\]\\]*\]|\\.", "", p)
-                   for p in pattern.split(".*"))
+                   for p in _without_end_repeats(pattern).split(".*"))
 
 
 def first_match(text: str, low: str, patterns, proven=frozenset()) -> str:

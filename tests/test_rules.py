@@ -98,6 +98,20 @@ def test_long_line_is_matched_in_linear_time(make_files):
     assert {r.type for r in rows} >= {"performance"}
 
 
+def test_repeats_at_the_ends_of_a_pattern_cost_no_power_of_the_line():
+    for pattern, form in ((r"\w+.*=", r"^(?>.*?\w).*?="), (r"a+b+", "ab"), (r"\s*x.*[^c]+", r"^(?>.*?x).*?[^c]")):
+        assert is_simple(pattern) and linear_form(pattern) == form
+    for pattern in (r"ab+c", r"a+?b", r"a.*+b", r"\\w+b", r"x*.*a", r"(a)+", r"a{2}+"):
+        assert not is_simple(pattern), pattern
+
+
+def test_own_pattern_on_a_long_line(make_files):
+    """Every run of words in front of a line without the last mark was tried to its end."""
+    group = R.RuleGroup("mine", "quality", 20, (".py",), "raw", R.ONCE_PER_LINE, False, (R.Rule(r"\w+.*=", "m", "LOW"),))
+    found = scan.rule_findings(make_files([("r", "a.py", "= " + "word " * 60_000 + "\n" + "word " * 60_000 + "\na = 1")]), group)
+    assert [r.line for r in found.collect()] == [3]
+
+
 PARTS = st.lists(st.sampled_from(["a", "b", "ab", r"\s", r"\.", "[ab]", "[^a]", ".*", ".*?", "|", "(a)", r"(['\"])", r"\1", "a+", "b?",
                                   "x{2}", r"\x41", r"\u0042", "^", "$", "a++", "(?i)", r"\Qa\E", r"\p{L}", r"\b", "'"]),
                  min_size=1, max_size=5).map("".join)
