@@ -5,6 +5,10 @@ code lines picked from a bank by its id, followed by the document's whole text."
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -71,13 +75,53 @@ def watch_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(["LOW", "MEDIUM", "HIGH"], F.col("ordinal")).alias("severity"))
 
 
+def _named(column: str, value: Column) -> Column:
+    """A part of a path as Spark names folders of partitions."""
+    marks = r"([\x01-\x1f\x7f\"#%'*/:=?\\\\{\[\]^])"
+    escaped = F.array_join(F.transform(F.split(value.cast("string"), ""), lambda c: F.when(
+        c.rlike(marks), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)), "")
+    return F.concat(F.lit(f"{column}="), F.coalesce(F.nullif(escaped, F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")))
+
+
+def _write_files(root: str):
+    """Function for ``mapInArrow`` that writes rows (repo, name, value), equal names behind each other, as files."""
+    def write(batches):
+        if root.startswith("file:"):
+            system, top = pa.fs.LocalFileSystem(), re.sub("^file:/+", "/", root)
+        else:
+            system, top = pa.fs.FileSystem.from_uri(root)
+        made, at, out, count = set(), None, None, 0
+        for batch in batches:
+            for repo, name, value in zip(*(batch.column(c).to_pylist() for c in ("repo", "name", "value"))):
+                if (repo, name) != at:
+                    if out:
+                        out.close()
+                    if repo not in made:
+                        system.create_dir(f"{top}/{repo}", recursive=True)
+                        made.add(repo)
+                    at, out, count = (repo, name), system.open_output_stream(f"{top}/{repo}/{name}"), count + 1
+                out.write(value)
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([count], pa.int64())})
+
+    return write
+
+
 def written_tree(spark: SparkSession, sf_dir: str) -> str:
     """The documents as files below a new folder of the shared folder; its path repeats a
-    name and has letters that mean something in a pattern."""
-    root = f"{fresh_path(spark, 'tree')}/c++/data/data"
-    docs = table(spark, sf_dir, "documents")
-    (docs.select(F.col("source").alias("repo"), F.col("doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("value"))
-     .write.partitionBy("repo", "name").text(root))
+    name and has letters that mean something in a pattern.  Spark's writer makes a folder for every
+    file, and listing them costs a task each; here a file lies in the folder of its repository.
+    Documents of one id stand in one file."""
+    base = fresh_path(spark, "tree")
+    spark.range(1).select(F.lit("").alias("value")).write.text(f"{base}/mark")  # tells the address with its scheme
+    base = spark.read.text(f"{base}/mark").select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))).first()[0]
+    root = f"{base.rsplit('/', 2)[0]}/c++/data/data"
+    rows = table(spark, sf_dir, "documents").select(
+        _named("repo", F.col("source")).alias("repo"), _named("name", F.col("doc_id")).alias("name"),
+        F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("value"))
+    rows.repartition("repo", "name").sortWithinPartitions("repo", "name").mapInArrow(
+        _write_files(root), "files long").agg(F.sum("files")).collect()
     return root
 
 

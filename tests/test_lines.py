@@ -104,3 +104,25 @@ def test_linear_mask_on_many_marks(make_files):
     content = '"""\nx\n' * 100_000
     lines = annotated_lines(make_files([("r", "big.py", content)]))
     assert lines.where("masked").count() == 100_000
+
+
+def test_the_written_tree_has_no_folder_per_file(spark, tmp_path):
+    """A file lies in the folder of its repository and holds what Spark's own writer puts below a folder for each."""
+    from pathlib import Path
+
+    from siftlake.workload import tables
+
+    rows = [(1, "a\nb", "src1"), (2, None, "src1"), (3, "caf\xe9\r\n", "a/b:c=d[e]^%"), (4, "", ""), (5, "x", None), (None, "y", "s p\t+{}"),
+            (6, "twice", "src1"), (6, "twice", "src1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    (docs.select(F.col("source").alias("repo"), F.col("doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("value"))
+     .write.partitionBy("repo", "name").text(str(tmp_path / "folders")))
+    root = tables.written_tree(spark, str(tmp_path))
+
+    def found(at):
+        files = corpus.read_tree(spark, at).select("repo_id", F.substring_index("path", "/", 1).alias("folder"), "content", "size_bytes")
+        return sorted(map(repr, files.collect()))
+
+    assert found(root) == found(str(tmp_path / "folders")) and len(found(root)) == 7
+    assert not [d for d in Path(root.removeprefix("file:")).glob("*/*") if d.is_dir()]
