@@ -9,7 +9,7 @@ from siftlake.functions import text as T
 from siftlake.operators.chunks import annotated_chunks, placed_chunks, split_chunks
 from siftlake.operators.dedup import dedup_hits
 from siftlake.operators.lines import annotated_lines
-from siftlake.operators.rule_index import candidate_match, candidates
+from siftlake.operators.rule_index import candidate_match, candidates, words
 
 # Line starts that the analysers skip.
 COMMENT_STARTS = ("#", "//", "/*")
@@ -212,10 +212,11 @@ def hits_of_files(arrays: DataFrame, groups, documentation=()) -> DataFrame:
             texts = F.transform(texts, lambda x: F.struct(x.raw.alias("raw"), x.stripped.alias("stripped"), x.low.alias("low"),
                                                           T.strip_comments(x.stripped, mark).alias("clean")))
         arrays = arrays.withColumn("texts", F.when(F.expr(" OR ".join(f"reads_{g.name}" for g in groups)), texts))
-    for g in groups:
-        if len(g.rules) > WIDE:
-            arrays = arrays.withColumn(f"candidates_{g.name}", F.when(F.col(f"reads_{g.name}"), candidates(
-                g, F.array_join(F.col("texts.low"), "\n"))))
+    wide = [g for g in groups if len(g.rules) > WIDE]
+    if wide:  # columns of their own, named twice: within the look-ups they would be worked out again for every gate and rule
+        arrays = arrays.withColumn("whole_low", F.array_join(F.col("texts.low"), "\n")).withColumn("runs", words(F.col("whole_low")))
+        arrays = arrays.withColumns({f"candidates_{g.name}": F.when(F.col(f"reads_{g.name}"), candidates(
+            g, F.col("whole_low"), F.col("runs"))) for g in wide})
     arrays = arrays.withColumns({f"at_{g.name}": F.expr(_hits_of_a_file(g)) for g in groups})
     arrays = arrays.withColumns({f"found_{g.name}": F.expr(
         f"filter(transform(at_{g.name}, (h, i) -> CASE WHEN h IS NOT NULL THEN named_struct('issue', "

@@ -82,3 +82,18 @@ def test_first_per_message_needs_no_shuffle(make_files, rows):
     found = scan.rule_findings(make_files(rows), R.PERFORMANCE)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortAggregate" not in plan
+
+
+def test_word_rules_are_settled_by_their_literal(make_files):
+    """A pattern in a row is compiled for every line; a word needs none, unless its text lacks the comments."""
+    words = [f"word{i}" for i in range(matching.WIDE)] + ["token", r"tok\w+x", "to ken"]
+    files = make_files([("r", "a.py", "x\n a TOKEN  # word7\n word3word5\nto ken\ntokenax\nwo rd9\n" + "word11 " * 2_000)])
+    for text, extra in (("raw", {7}), ("stripped", {7}), ("clean", set())):
+        group = R.RuleGroup("many", "quality", 20, (".py",), text, R.ONCE_PER_LINE, False, tuple(R.Rule(w, w, "LOW") for w in words))
+        settled = {r["rule"] for gate in rule_index.index(group) for r in gate["rules"] if r["pattern"] is None}
+        assert settled == (set() if text == "clean" else set(range(matching.WIDE + 1)))
+        found = scan.rule_findings(files, group)
+        want = {(2, "word7" if extra else "token"), (3, "word3"), (4, "to ken"), (5, "token"), (7, "word1")}
+        assert {(r.line, r.issue) for r in found.collect()} == want, text
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array_join(texts") == 1  # not again for every gate and rule
