@@ -216,45 +216,90 @@ def linear_form(pattern: str) -> str:
     return "^" + "".join(f"(?>.*?{p})" for p in pieces[:-1]) + ".*?" + pieces[-1]
 
 
-def needed_literal(pattern: str) -> str:
-    """The longest text, in lower case, that every match of ``pattern`` contains."""
+def _needed_runs(pattern: str) -> list[tuple[str, ...]]:
+    """What every match of ``pattern`` contains, in lower case: of each tuple at least one text.  A tuple is
+    a run of letters and marks, or the choice of a class of marks or of a group of plain words."""
     runs, run, i = [], "", 0
     while i < len(pattern):
-        ch, literal = pattern[i], ""
+        ch, literal, choice = pattern[i], "", ()
         if ch == "\\":
             i += 1
             literal = "" if pattern[i].isalnum() else pattern[i]
         elif ch == "[":
+            start = i
             while pattern[i] != "]":
                 i += 2 if pattern[i] == "\\" else 1
+            choice = _one_of(pattern[start:i + 1])
         elif ch == "(":
-            depth = 0
+            depth, start = 0, i
             while True:
                 depth += {"(": 1, ")": -1}.get(pattern[i], 0)
                 if depth == 0:
                     break
                 i += 2 if pattern[i] == "\\" else 1
+            choice = _one_of(pattern[start:i + 1])
         elif ch == "|":
-            return ""
+            return []
         elif ch == "{":
             i = pattern.index("}", i)
         elif ch not in ".^$*+?":
             literal = ch
         i += 1
-        if literal and pattern[i:i + 1] not in ("*", "?", "{"):
+        kept = pattern[i:i + 1] not in ("*", "?", "{")
+        if literal and kept:
             run += literal
         else:
-            runs.append(run)
+            runs.append((run,))
             run = ""
-    return max(runs + [run], key=len).lower()
+            if choice and kept:
+                runs.append(choice)
+    return [tuple(x.lower() for x in r) for r in (*runs, (run,)) if all(r)]
+
+
+def _one_of(part: str) -> tuple[str, ...]:
+    """The texts that a class of quotation marks or a group of plain words stands for, or none."""
+    if re.fullmatch(r"\[[\"'\\]+\]", part):
+        return tuple(dict.fromkeys(part[1:-1].replace("\\", "")))
+    words = re.fullmatch(r"\((?:\?:)?([A-Za-z0-9]+(?:\|[A-Za-z0-9]+)*)\)", part)
+    return tuple(words[1].split("|")) if words else ()
+
+
+def needed_literal(pattern: str) -> str:
+    """The longest text, in lower case, that every match of ``pattern`` contains."""
+    return max([r[0] for r in _needed_runs(pattern) if len(r) == 1] + [""], key=len)
+
+
+# Marks of code that are rare in prose.
+MARKS = "!\"#$%&'()*+/:;<=>?@[\\]^`{|}~"
+HAS_MARK = "[" + re.escape(MARKS) + "]"
+
+
+# Letters from the most to the least frequent; a search stops at each place that has the first letter of its text.
+_FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def _from_rare_letter(text: str) -> str:
+    """The end of ``text``, of three letters or more, that begins with the rarest letter."""
+    starts = range(max(1, len(text) - 2))
+    return text[max(starts, key=lambda i: (_FREQUENT.find(text[i]) % 99, -i)):]
+
+
+def needed_texts(pattern: str) -> tuple[tuple[str, ...], bool]:
+    """The texts of which every match of ``pattern`` contains one, the most telling choice of them; and
+    whether every match contains one of ``MARKS`` as well."""
+    runs = _needed_runs(pattern)
+    if not runs:
+        return ("",), False
+    best = max(runs, key=lambda r: (min(map(len, r)), -len(r)))
+    marked = any(all(set(x) & set(MARKS) for x in r) for r in runs)
+    return tuple(dict.fromkeys(_from_rare_letter(x) for x in best)), marked
 
 
 def folded(line: Column) -> Column:
     """Lower case for literal look-ups: the four letters that match an ASCII letter
     when case is ignored become that letter."""
-    plain = F.octet_length(line) == F.char_length(line)
-    return F.when(plain, F.lower(line)).otherwise(
-        F.lower(F.translate(line, "\u0130\u0131\u017f\u212a", "iisk")))
+    has = line.contains("\u0130") | line.contains("\u0131") | line.contains("\u017f") | line.contains("\u212a")
+    return F.when(has, F.lower(F.translate(line, "\u0130\u0131\u017f\u212a", "iisk"))).otherwise(F.lower(line))
 
 
 # What must not be taken apart: alternatives, groups, back references, coded characters, quoted
@@ -269,19 +314,11 @@ def is_simple(pattern: str) -> bool:
                    for p in _without_end_repeats(pattern).split(".*"))
 
 
-def first_match(text: str, low: str, patterns, proven=frozenset()) -> str:
-    """SQL text: index of the first pattern that occurs in column ``text``, case ignored, or
-    null; null patterns are passed over.  ``low`` is the folded line: most lines lack
-    the literal a pattern needs and are spared the regular expression.  Only ``proven``
-    and simple patterns get a quicker form; all others are matched as they are."""
-    branches = []
-    for i, pattern in enumerate(patterns):
-        if pattern is None:
-            continue
-        quick = pattern in proven or is_simple(pattern)
-        test = f"rlike({text}, {sql_text(FLAGS + (linear_form(pattern) if quick else pattern))})"
-        literal = needed_literal(pattern) if quick else ""
-        if literal:
-            test = f"contains({low}, {sql_text(literal)}) AND {test}"
-        branches.append(f"WHEN {test} THEN {i}")
-    return f"CASE {' '.join(branches)} END" if branches else "CAST(NULL AS INT)"
+def searched(pattern: str, proven=frozenset()) -> tuple[str, tuple[str, ...], bool]:
+    """The pattern to search a line with, case ignored; texts in lower case of which the folded line must have
+    one; and whether it must have one of ``MARKS``.  Most lines lack them and are spared the
+    regular expression.  Only ``proven`` and simple patterns get a quicker form and needed texts; all
+    others are matched as they are."""
+    if pattern in proven or is_simple(pattern):
+        return (FLAGS + linear_form(pattern), *needed_texts(pattern))
+    return FLAGS + pattern, ("",), False

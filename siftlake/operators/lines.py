@@ -122,9 +122,8 @@ def annotated_lines(files: DataFrame, comments: bool = True, docs: bool = True,
     """Lines with ``stripped`` text, ``masked`` (C4) and ``undocumented`` marks
     ('F', 'K' or other; D9/D10).  ``carry`` are columns worked out once per file.
 
-    ``whole`` may add a column ``hits`` to the rows of whole files, from the arrays ``lines``,
-    ``inside`` ('1' for masked lines; empty if none is) and ``doc``; the first line carries it.
-    Without ``explode`` the rows stay files."""
+    ``whole`` may add columns to the rows of whole files, from the arrays ``lines``,
+    ``inside`` ('1' for masked lines; empty if none is) and ``doc``.  Without ``explode`` the rows stay files."""
     return annotated(split_lines(files), comments, docs, carry, whole=whole, explode=explode)
 
 
@@ -174,14 +173,10 @@ def annotated(arrays: DataFrame, comments: bool, docs: bool, carry: dict | None,
         flagged = whole(flagged)
     if not explode:
         return flagged
-    zipped, more = ["lines", "inside", "doc"], []
-    if "hits" in flagged.columns:
-        flagged = flagged.withColumn("hits", F.array("hits"))  # one element: that of the first line
-        zipped, more = [*zipped, "hits"], [F.col("cell.hits").alias("hits")]
     return flagged.select(
         "repo_id", "path", "ext", *carry, "n_lines", "first_line",
         # not posexplode: Spark would test the array's size below, and work it out a second time for that
-        F.posexplode_outer(F.arrays_zip(*zipped)).alias("pos", "cell"),
+        F.posexplode_outer(F.arrays_zip("lines", "inside", "doc")).alias("pos", "cell"),
     ).where("pos IS NOT NULL").select(
         "repo_id", "path", "ext", *carry, "n_lines",
         (F.col("pos") + F.col("first_line")).cast("int").alias("line"),
@@ -189,5 +184,4 @@ def annotated(arrays: DataFrame, comments: bool, docs: bool, carry: dict | None,
         T.strip(F.col("cell.lines")).alias("stripped"),
         F.coalesce(F.col("cell.inside") == "1", F.lit(False)).alias("masked"),
         F.col("cell.doc").alias("undocumented"),
-        *more,
     )

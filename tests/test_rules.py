@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from siftlake import rules as R
-from siftlake.functions.text import is_simple, linear_form, needed_literal
+from siftlake.functions.text import MARKS, is_simple, linear_form, needed_literal, needed_texts
 from siftlake.plans import scan
 from siftlake.workload.bank import BANK
 
@@ -53,6 +53,42 @@ def test_linear_form_and_literal_keep_the_verdict(line):
             assert needed_literal(rule.pattern) in folded, (name, i, line)
 
 
+@settings(max_examples=400, deadline=None)
+@given(PIECES)
+def test_matching_lines_have_a_needed_text(line):
+    folded = line.translate(str.maketrans("İıſK", "iisk")).lower()
+    for name, i, rule in LIVE:
+        if re.search(rule.pattern, line, re.I):
+            texts, marked = needed_texts(rule.pattern)
+            assert any(t in folded for t in texts) and (not marked or set(line) & set(MARKS)), (name, i, line)
+
+
+def test_every_rule_needs_a_text():
+    """Also where the pattern begins with a choice: no rule is asked of all lines."""
+    assert all(all(needed_texts(rule.pattern)[0]) for _, _, rule in LIVE)
+    assert needed_texts(R.QUALITY_RULES[25].pattern) == (
+        ("100", "200", "404", "500", "1000", "9999"), False)
+    assert needed_texts(r"if\s*(?:a|b)x*") == (("if",), False) and needed_texts("a|b") == (("",), False)
+
+
+def test_scan_makes_no_row_per_line(make_files):
+    """Only hits become rows; rules are asked of the lines that have a text needed by them."""
+    plan = scan.own_findings(make_files([("r", "a.py", "x = 1")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1
+
+
+def test_advanced_hit_that_repeats_a_security_hit(make_files):
+    """E3 where both groups have a message, and a mark or a word that only prose has."""
+    def group(name, *rules):
+        return R.RuleGroup(name, "security", 10, (".py",), "clean", R.ONCE_PER_LINE, False, tuple(R.Rule(*r) for r in rules), skip="security")
+
+    security = group("security", ("hush", "same", "LOW"), ("calm", "other", "LOW"))
+    advanced = group("advanced", ("sh!|noise", "same", "LOW"), ("[a-c]lm", "wide", "LOW"))
+    files = make_files([("r", "a.py", "so hush\nhush!\ncalm noise\nnoise\n\nno more")])
+    got = sorted((r.line, r.issue) for r in scan.rule_findings(files, security, advanced).collect())
+    assert got == [(1, "same"), (2, "same"), (3, "other"), (3, "same"), (4, "same")]
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(7)
