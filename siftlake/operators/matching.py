@@ -210,10 +210,6 @@ def _texts_of_files(arrays: DataFrame, groups, wide) -> DataFrame:
     whole = T.folded(F.array_join("lines", "\n"))
     arrays = arrays.withColumn("whole_low", F.when(F.expr(" OR ".join(f"reads_{g.name}" for g in (*groups, *wide))), whole))
     arrays = arrays.withColumn("lows", F.split("whole_low", "\n", -1))
-    if wide:
-        arrays = arrays.withColumn("runs", words(F.col("whole_low")))
-        arrays = arrays.withColumns({f"candidates_{g.name}": F.when(
-            F.col(f"reads_{g.name}"), candidates(g, F.col("whole_low"), F.col("runs"))) for g in wide})
     rules = "CAST(array() AS array<int>)"
     if _needles(groups):
         arrays = arrays.withColumn("marks", F.transform("lows", lambda l: l.rlike(T.HAS_MARK)))
@@ -238,8 +234,13 @@ def _texts_of_files(arrays: DataFrame, groups, wide) -> DataFrame:
             *[x[n].alias(n) for n in names], T.strip_comments(x.stripped, mark).alias("clean"))))
         fields["clean"] = None
     cells = [f"'{n}', x.{n}" for n in fields] + [f"'kept_{skip}', {kept_sql(skip, 'x.')}" for skip in {g.skip: 1 for g in (*groups, *wide)}]
-    return arrays.withColumn("texts", F.expr(f"transform(texts, x -> named_struct({', '.join(cells)}))")).drop(
-        "whole_low", "lows", "runs", "marks", "marked_low", "needles", "plain_needles")
+    arrays = arrays.withColumn("texts", F.expr(f"transform(texts, x -> named_struct({', '.join(cells)}))")).drop(
+        "whole_low", "lows", "marks", "marked_low", "needles", "plain_needles")
+    if wide:  # columns of their own, named twice: within the look-ups they would be worked out again for every gate and rule
+        arrays = arrays.withColumn("whole_low", F.array_join(F.col("texts.low"), "\n")).withColumn("runs", words(F.col("whole_low")))
+        arrays = arrays.withColumns({f"candidates_{g.name}": F.when(
+            F.col(f"reads_{g.name}"), candidates(g, F.col("whole_low"), F.col("runs"))) for g in wide})
+    return arrays
 
 
 def _once_per_file(first: str, rank: int, kind: str, issue: str, severity: str, snippet: str) -> Column:
