@@ -63,13 +63,15 @@ def packed_endings(spark: SparkSession) -> list[str]:
 
 
 def _entries(system: pa.fs.FileSystem, folder: str) -> Iterator[tuple[str, int | None]]:
-    """(name, size) of what lies in a folder; a folder has no size, and a link to nothing is left out."""
+    """(name, size) of what lies in a folder; a folder has no size.  Links to nothing and names that are no UTF-8 are
+    left out, as Spark's listing does."""
     if isinstance(system, pa.fs.LocalFileSystem):  # entry by entry, as a folder may hold any number
         with os.scandir(folder) as found:
             for x in found:
                 try:
                     size = None if x.is_dir() else x.stat().st_size
-                except FileNotFoundError:
+                    x.name.encode()
+                except (FileNotFoundError, UnicodeEncodeError):
                     continue
                 yield x.name, size
     else:

@@ -59,6 +59,8 @@ def _files(blocks):
 
 @pytest.mark.parametrize("size,extensions", [(128 << 20, None), (400, (".py", ".gz"))])
 def test_files_and_lines_are_those_of_sparks_reader(spark, monkeypatch, split, odd_tree, size, extensions):
+    with open(os.path.join(os.fsencode(odd_tree), b"r", b"n\xff.py"), "wb") as file:
+        file.write(b"x")
     split(4000)  # of Spark's tasks; what they read does not depend on it
     monkeypatch.setattr(tree, "address", lambda *_: None)
     want = _files(corpus.read_line_blocks(spark, odd_tree, extensions, 3))
